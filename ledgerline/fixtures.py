@@ -163,7 +163,7 @@ def _transfer_queue(post_requests: DataFrame, accounts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Oracle side: the same views as DuckDB WITH clauses.
 # ---------------------------------------------------------------------------
-def oracle_with(*names: str) -> str:
+def oracle_with(*names: str, recursive: bool = False) -> str:
     """``WITH`` clause defining the named fixture views for DuckDB.
 
     Ledger tables are conformed to their full declared schema, so a query can
@@ -202,4 +202,4 @@ LEFT JOIN accounts ta ON r.to_account = ta.account_number WHERE r.op = 'transfer
             ctes.append(f"post_requests AS ({schemas.conform_sql(VIEW_SQL[name], schemas.REQUESTS, present)})")
         else:
             ctes.append(f"{name} AS ({VIEW_SQL[name]})")
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n"

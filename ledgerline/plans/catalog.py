@@ -33,9 +33,11 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(key: str, oracle: str | None = None, views: tuple[str, ...] = ()):
+def register(key: str, oracle: str | None = None, views: tuple[str, ...] = (), recursive: bool = False):
+    """``oracle`` follows the fixture WITH list: a SELECT, or ``, name AS (...)``
+    to add more CTEs first."""
     def deco(fn):
-        sql = None if oracle is None else fixtures.oracle_with(*views) + oracle
+        sql = None if oracle is None else fixtures.oracle_with(*views, recursive=recursive) + oracle
         REGISTRY[key] = Entry(fn, sql)
         return fn
     return deco
@@ -62,4 +64,4 @@ def money_text_sql(x: str) -> str:
     return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || '$' || format('{{:,.2f}}', abs({x})))"
 
 
-from . import queries_core  # noqa: E402,F401  (registers entries)
+from . import queries_core, queries_jobs  # noqa: E402,F401  (register entries)
