@@ -4,14 +4,18 @@ A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one
 task; with one account holding a third of all rows that task is the job. The
 scan here is the classic two-level prefix sum:
 
-1. ``repartitionByRange(key, order...)`` samples the key/order distribution, so
-   a hot key is cut into many contiguous, ordered ranges; the partition id is
-   the *chunk* number and grows with the order within a key.
+1. Every row gets a *chunk*: a fixed-width bucket of its ordering time. The
+   width comes from one global aggregate (min, max, count of the time) so that
+   the whole table spans about ``count / target_rows`` buckets; a key holding a
+   third of the rows then has about a third of ``target_rows`` per bucket. The
+   chunk is a pure function of the row (no sampling, no partition id), so it
+   is the same in every branch and every retry, and it never decreases along
+   the order, so chunk order is row order within a key.
 2. Inside a chunk: a window over ``(key, chunk)`` (bounded size).
 3. Chunk totals: one row per (key, chunk) after a map-side aggregate; their
-   exclusive prefix per key is a window over at most ``#chunks`` rows per key.
-4. Offsets join back on (key, chunk); the big side is already partitioned on
-   those columns, so only the small side moves.
+   exclusive prefix per key is a window over the chunks of one key.
+4. Offsets join back on (key, chunk); the big side is already hash-partitioned
+   on those columns by the window, so only the small side moves.
 
 The result is exact whatever the chunk boundaries are, since only the sums of
 whole chunks cross chunk borders.
@@ -21,19 +25,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+TARGET_ROWS = 2_000_000  # rows per time bucket over the whole table
 
-def _num_chunks(df: DataFrame, chunks: int | None) -> int:
-    if chunks:
-        return int(chunks)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+def _as_long(df: DataFrame, c: str) -> Column:
+    t = df.schema[c].dataType
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp_ltz"))
+    if isinstance(t, T.DateType):
+        return F.unix_date(F.col(c)).cast("long")
+    return F.col(c).cast("long")
 
-def add_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
-    """Range-partition on (keys, order) and tag rows with their chunk number."""
-    n = _num_chunks(df, chunks)
-    return df.repartitionByRange(n, *keys, *order).withColumn("_chunk", F.spark_partition_id())
+
+def add_chunks(df: DataFrame, order_col: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Tag rows with ``_chunk``, a bucket of ``order_col`` (time or integer)."""
+    v = _as_long(df, order_col)
+    stats = df.agg(
+        F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_ck")
+    )
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(int(target_rows))))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / buckets))
+    tagged = df.withColumn("_ck", F.lit(1)).join(F.broadcast(stats), "_ck")  # one-row stats
+    return tagged.withColumn("_chunk", F.floor((v - F.col("_lo")) / width).cast("long")).drop(
+        "_ck", "_lo", "_hi", "_n"
+    )
 
 
 def running_sums(
@@ -42,15 +60,14 @@ def running_sums(
     order: list[str],
     values: dict[str, Column],
     inclusive: bool = True,
-    chunked: bool = False,
-    chunks: int | None = None,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add, per output name, the sum of its value over earlier rows of the same key.
 
-    ``inclusive`` counts the current row too. ``order`` columns sort ascending
-    and must make the order total (end with a unique id). If ``chunked`` the
-    frame already carries ``_chunk`` (see :func:`add_chunks`)."""
-    base = df if chunked else add_chunks(df, keys, order, chunks)
+    ``inclusive`` counts the current row too. ``order`` sorts ascending, must
+    make the order total (end with a unique id), and its first column (a
+    time or an integer) defines the chunks."""
+    base = add_chunks(df, order[0], target_rows)
     tmp = {name: f"_v_{name}" for name in values}
     base = base.select("*", *[c.alias(tmp[name]) for name, c in values.items()])
 
@@ -67,8 +84,7 @@ def running_sums(
         *[F.coalesce(F.sum(f"_t_{n}").over(wk), F.lit(0)).alias(f"_o_{n}") for n in values],
     )
     joined = local.join(offsets, [*keys, "_chunk"], "inner")
-    out_cols = [c for c in df.columns] + (["_chunk"] if chunked and "_chunk" not in df.columns else [])
     return joined.select(
-        *[F.col(c) for c in out_cols if c in joined.columns],
+        *[F.col(c) for c in df.columns],
         *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in values],
     )

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import expressions as X
 from ..schemas import MONEY
 from ..sources.ledger import Ledger
-from .scan import running_sums
+from .scan import TARGET_ROWS, running_sums
 
 
 
@@ -57,7 +57,7 @@ def transaction_history_all(ledger: Ledger, limit: int = 50, offset: int = 0) ->
 
 
 def running_balance(transactions: DataFrame, opening: DataFrame | None = None,
-                    status: str | None = "completed") -> DataFrame:
+                    status: str | None = "completed", target_rows: int = TARGET_ROWS) -> DataFrame:
     """``balance_before`` / ``balance_after`` of each row, per account in
     (created_at, id) order, from an opening balance (0 without ``opening``,
     else its ``balance`` column keyed by ``account_id``).
@@ -65,7 +65,8 @@ def running_balance(transactions: DataFrame, opening: DataFrame | None = None,
     The running sum is the skew-safe chunked scan (:mod:`.scan`)."""
     t = transactions if status is None else transactions.where(F.col("status") == status)
     t = t.select("id", "account_id", "type", "amount", "created_at")
-    scanned = running_sums(t, ["account_id"], ["created_at", "id"], {"_run": X.signed_amount()})
+    scanned = running_sums(t, ["account_id"], ["created_at", "id"], {"_run": X.signed_amount()},
+                           target_rows=target_rows)
     if opening is not None:
         o = opening.select(F.col("account_id").alias("_oid"), F.col("balance").alias("_open"))
         scanned = scanned.join(o, scanned.account_id == o._oid, "left")

@@ -51,6 +51,7 @@ def q_load_seeds(spark, sf_dir):
 SELECT request_id, ok AS json_ok,
   json_extract_string(b, '$.accountNumber') AS accountNumber,
   json_extract_string(b, '$.type') AS type,
+  COALESCE(json_exists(b, '$.amount'), false) AS amount_present,
   COALESCE(json_type(b, '$.amount') IN ('UBIGINT','BIGINT','DOUBLE','HUGEINT'), false) AS amount_is_number,
   CASE WHEN json_type(b, '$.amount') IN ('UBIGINT','BIGINT','DOUBLE','HUGEINT')
        THEN TRY_CAST(json_extract_string(b, '$.amount') AS DECIMAL(15,2)) END AS amount_value,

@@ -87,3 +87,266 @@ def q_post_mixed(spark, sf_dir):
     """T4: deposits, withdrawals and transfers in one ordered batch.
     No SQL oracle: checked against a sequential solver in the tests."""
     return _posted(spark, sf_dir).results
+
+
+# --------------------------------------------------------------------------- stateless jobs
+from ..functions import expressions as X  # noqa: E402
+from ..operators import jobs as JB  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from ..operators import reads as P  # noqa: E402
+from ..operators import validation as V  # noqa: E402
+from ..operators import windows as W  # noqa: E402
+from ..sources import requests as R  # noqa: E402
+from .catalog import SIGNED_SQL  # noqa: E402
+from .queries_core import RUNNING_SQL  # noqa: E402
+
+_ACC_BASE = "((SELECT COALESCE(MAX(id), 0) FROM accounts) + 1)"
+_SEQ = ("CASE WHEN length(CAST(r.request_id AS VARCHAR)) >= 4 THEN CAST(r.request_id AS VARCHAR) "
+        "ELSE lpad(CAST(r.request_id AS VARCHAR), 4, '0') END")
+
+
+@register("create_accounts", views=("users", "accounts", "create_requests"), oracle=f"""
+SELECT request_id, reason IS NULL AS accepted, reason,
+  CASE WHEN reason IS NULL THEN {_ACC_BASE} + request_id END AS account_id,
+  CASE WHEN reason IS NULL THEN number END AS account_number,
+  CASE WHEN reason IS NULL THEN CAST(COALESCE(initial_balance, 0) AS DECIMAL(15,2)) END AS balance
+FROM (SELECT r.request_id, r.initial_balance,
+        CASE WHEN u.id IS NULL THEN 'user_not_found' WHEN COALESCE(r.initial_balance, 0) < 0
+             THEN 'negative_initial_balance' END AS reason,
+        'KB' || strftime(TIMESTAMP '{AS_OF}', '%Y%m%d%H%M%S') || {_SEQ} AS number
+      FROM create_requests r LEFT JOIN (SELECT DISTINCT id FROM users) u ON u.id = r.user_id)""")
+def q_create_accounts(spark, sf_dir):
+    """T5: open an account per creation request."""
+    f = fx(spark, sf_dir)
+    return JB.create_accounts(f["create_requests"], f.ledger, AS_OF).results
+
+
+def _close_requests(ledger):
+    return ledger.accounts.select(F.col("id").alias("request_id"), "account_number",
+                                  F.lit(None).cast("string").alias("reason"))
+
+
+@register("close_accounts", views=("accounts",), oracle="""
+SELECT a.id AS request_id, a.account_number, (x.id IS NOT NULL AND x.balance = 0) AS accepted,
+  CASE WHEN x.id IS NULL THEN 'account_not_found' WHEN x.balance <> 0 THEN 'non_zero_balance' END AS reason
+FROM accounts a LEFT JOIN accounts x ON x.account_number = a.account_number AND x.status = 'active'""")
+def q_close_accounts(spark, sf_dir):
+    """Every account is asked to close; active zero-balance ones succeed."""
+    led = fx(spark, sf_dir).ledger
+    return JB.close_accounts(_close_requests(led), led, AS_OF).results
+
+
+_INTEREST_SQL = """CASE WHEN status = 'active' THEN CAST(CAST(sign(n) * ((abs(n) * 2 + 120000) // 240000)
+  AS DECIMAL(38,0)) * CAST('0.01' AS DECIMAL(3,2)) AS DECIMAL(15,2)) ELSE CAST(0 AS DECIMAL(15,2)) END"""
+_INTEREST_FROM = """(SELECT *, CAST(balance * 100 AS HUGEINT) * CAST(COALESCE(interest_rate, 0) * 10000 AS HUGEINT) AS n
+  FROM accounts)"""
+
+
+@register("monthly_interest", views=("accounts",), oracle=f"""
+SELECT account_number, {_INTEREST_SQL} AS interest FROM {_INTEREST_FROM}""")
+def q_monthly_interest(spark, sf_dir):
+    """Monthly interest of every account."""
+    return JB.monthly_interest(fx(spark, sf_dir).ledger)
+
+
+_DUE = f"(period = 'daily' AND (reset_at IS NULL OR reset_at <= TIMESTAMP '{AS_OF}'))"
+
+
+@register("reset_daily_limits", views=("accounts", "account_limits"), oracle=f"""
+SELECT id, account_id, limit_type, amount, period,
+  CASE WHEN {_DUE} THEN CAST(0 AS DECIMAL(15,2)) ELSE current_usage END AS current_usage,
+  CASE WHEN {_DUE} THEN TIMESTAMP '{AS_OF}' + INTERVAL 1 DAY ELSE reset_at END AS reset_at,
+  created_at, CASE WHEN {_DUE} THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at
+FROM account_limits""")
+def q_reset_daily_limits(spark, sf_dir):
+    """The limits table after the daily reset."""
+    return JB.reset_daily_limits(fx(spark, sf_dir).ledger.account_limits, AS_OF)
+
+
+@register("expire_sessions", views=("sessions",), oracle=f"""
+SELECT id, user_id, token_hash, device_info, ip_address, user_agent, expires_at, created_at, last_activity,
+  CASE WHEN is_active AND expires_at < TIMESTAMP '{AS_OF}' THEN false ELSE is_active END AS is_active
+FROM sessions""")
+def q_expire_sessions(spark, sf_dir):
+    """The sessions table after expiry."""
+    return JB.expire_sessions(fx(spark, sf_dir).ledger.sessions, AS_OF)
+
+
+_AUDIT_SQL = f"""
+SELECT id AS id, id AS account_id, 'balance_change' AS action, 'account' AS entity_type, id AS entity_id,
+  '{{"balance":' || CAST(balance AS VARCHAR) || '}}' AS old_values,
+  '{{"balance":' || CAST(new_balance AS VARCHAR) || ',"updated_at":"' || strftime(TIMESTAMP '{AS_OF}', '%Y-%m-%dT%H:%M:%S.000') || '"}}' AS new_values,
+  TIMESTAMP '{AS_OF}' AS created_at
+FROM (SELECT *, CAST(balance + {_INTEREST_SQL} AS DECIMAL(15,2)) AS new_balance FROM {_INTEREST_FROM})
+WHERE new_balance <> balance"""
+_AUDIT_COLS = "id, account_id, action, entity_type, entity_id, old_values, new_values, created_at"
+
+
+def _interest_audit(led):
+    return JB.balance_audit(led.accounts, JB.credit_interest(led), AS_OF)
+
+
+@register("balance_audit", views=("accounts",), oracle=_AUDIT_SQL)
+def q_balance_audit(spark, sf_dir):
+    """Audit rows for the balances changed by crediting interest."""
+    return _interest_audit(fx(spark, sf_dir).ledger).select(*_AUDIT_COLS.split(", "))
+
+
+@register("audit_trail", views=("accounts",), oracle=_AUDIT_SQL)
+def q_audit_trail(spark, sf_dir):
+    """Audit rows newest first (all accounts)."""
+    return W.audit_trail(_interest_audit(fx(spark, sf_dir).ledger)).select(*_AUDIT_COLS.split(", "))
+
+
+@register("touch_updated_at", views=("accounts",), oracle=f"""
+SELECT id, CAST(balance + {_INTEREST_SQL} AS DECIMAL(15,2)) AS balance,
+  CASE WHEN {_INTEREST_SQL} <> 0 THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at
+FROM {_INTEREST_FROM}""")
+def q_touch_updated_at(spark, sf_dir):
+    """updated_at stamped on the accounts that crediting interest changed."""
+    led = fx(spark, sf_dir).ledger
+    return JB.touch_updated_at(led.accounts, JB.credit_interest(led), AS_OF).select("id", "balance", "updated_at")
+
+
+@register("validate_debits", views=("accounts", "transactions"), oracle="""
+SELECT t.id AS transaction_id, t.account_id, t.type, t.amount, a.balance, COALESCE(a.overdraft_limit, 0) AS overdraft_limit
+FROM transactions t JOIN accounts a ON a.id = t.account_id
+WHERE t.type IN ('withdrawal', 'transfer') AND a.balance - t.amount < -COALESCE(a.overdraft_limit, 0)""")
+def q_validate_debits(spark, sf_dir):
+    """Fixture withdrawal/transfer rows that would break the overdraft floor."""
+    led = fx(spark, sf_dir).ledger
+    return JB.validate_debits(led.transactions, led.accounts)
+
+
+_ALERT_TAIL = ", false AS is_read, CAST(NULL AS TIMESTAMP) AS read_at, t.created_at, CAST(NULL AS VARCHAR) AS metadata"
+_LARGE_SQL = f"""
+SELECT t.id, a.user_id, t.account_id, t.id AS transaction_id, 'large_transaction' AS type, 'info' AS severity,
+  'Large Deposit' AS title, 'A deposit of $' || CAST(t.amount AS VARCHAR) || ' was made to account ' || a.account_number AS message
+  {_ALERT_TAIL}
+FROM ({RUNNING_SQL}) t JOIN accounts a ON a.id = t.account_id WHERE t.type = 'deposit' AND t.amount > 10000"""
+_LOW_SQL = f"""
+SELECT t.id, a.user_id, t.account_id, t.id AS transaction_id, 'low_balance' AS type, 'warning' AS severity,
+  'Low Balance Alert' AS title, 'Your account ' || a.account_number || ' balance is $' || CAST(t.balance_after AS VARCHAR) AS message
+  {_ALERT_TAIL}
+FROM ({RUNNING_SQL}) t JOIN accounts a ON a.id = t.account_id WHERE t.type = 'withdrawal' AND t.balance_after < 100"""
+
+
+def _posted_fixture(led):
+    return W.running_balance(led.transactions)
+
+
+@register("large_deposit_alerts", views=("accounts", "transactions"), oracle=_LARGE_SQL)
+def q_large_deposit_alerts(spark, sf_dir):
+    """Large-deposit rule over the fixture rows posted from zero."""
+    led = fx(spark, sf_dir).ledger
+    return JB.alert_rules(_posted_fixture(led), led.accounts, "large_deposit")
+
+
+@register("low_balance_alerts", views=("accounts", "transactions"), oracle=_LOW_SQL)
+def q_low_balance_alerts(spark, sf_dir):
+    """Low-balance rule over the fixture rows posted from zero."""
+    led = fx(spark, sf_dir).ledger
+    return JB.alert_rules(_posted_fixture(led), led.accounts, "low_balance")
+
+
+@register("transfer_received_alerts")
+def q_transfer_received_alerts(spark, sf_dir):
+    """Transfer-received rule over the rows the transfer batch posts."""
+    f = fx(spark, sf_dir)
+    out = T.post(f["post_requests"].where(F.col("op") == "transfer"), f.ledger, AS_OF)
+    return JB.alert_rules(out.transactions, f.ledger.accounts, "transfer_received")
+
+
+@register("unread_alerts", views=("accounts", "transactions"), oracle=f"{_LARGE_SQL} UNION ALL {_LOW_SQL}")
+def q_unread_alerts(spark, sf_dir):
+    """Unread alerts (those raised by the two rules above), newest first."""
+    led = fx(spark, sf_dir).ledger
+    posted = _posted_fixture(led)
+    alerts = JB.alert_rules(posted, led.accounts, "large_deposit").unionByName(
+        JB.alert_rules(posted, led.accounts, "low_balance"))
+    return P.unread_alerts(alerts)
+
+
+_B = "CASE WHEN ok THEN body END"
+
+
+@register("request_validation", views=("raw_requests",), oracle=f"""
+SELECT request_id, reason IS NULL AS valid, reason FROM (
+  SELECT request_id, CASE
+    WHEN NOT ok THEN 'invalid_json'
+    WHEN COALESCE(json_extract_string({_B}, '$.accountNumber'), '') = ''
+      OR COALESCE(json_extract_string({_B}, '$.type'), '') = ''
+      OR NOT COALESCE(json_exists({_B}, '$.amount'), false) THEN 'missing_fields'
+    WHEN NOT regexp_matches(json_extract_string({_B}, '$.accountNumber'), '^KB[0-9]+$') THEN 'invalid_account_number'
+    WHEN NOT COALESCE(json_type({_B}, '$.amount') IN ('UBIGINT','BIGINT','DOUBLE','HUGEINT'), false)
+      OR TRY_CAST(json_extract_string({_B}, '$.amount') AS DECIMAL(15,2)) <= 0 THEN 'invalid_amount'
+    WHEN json_extract_string({_B}, '$.type') NOT IN ('deposit', 'withdrawal') THEN 'invalid_type' END AS reason
+  FROM (SELECT request_id, body, COALESCE(json_valid(body), false)
+          AND CASE WHEN json_valid(body) THEN json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT' ELSE false END AS ok
+        FROM raw_requests))""")
+def q_request_validation(spark, sf_dir):
+    """The API's checks on the raw transaction request bodies."""
+    parsed = R.read_requests(fx(spark, sf_dir)["raw_requests"])
+    return V.validate_transaction_requests(parsed).select("request_id", "valid", "reason")
+
+
+# --------------------------------------------------------------------------- data quality
+ALL_TABLES = ("users", "accounts", "transactions", "sessions", "account_limits", "transfer_queue", "audit_logs", "alerts")
+_HEAD = "SELECT '{t}' AS table_name, '{r}' AS rule, '{c}' AS column_name, "
+
+
+def _dq_sql_not_null():
+    return " UNION ALL ".join(
+        _HEAD.format(t=t, r="not_null", c=c) + f"CAST(id AS VARCHAR) AS row_key, CAST(NULL AS VARCHAR) AS value, "
+        f"CAST(1 AS BIGINT) AS n_rows FROM {t} WHERE {c} IS NULL"
+        for t, cols in Q.NOT_NULL.items() for c in cols)
+
+
+def _dq_sql_unique():
+    return " UNION ALL ".join(
+        _HEAD.format(t=t, r="unique", c=c) + f"CAST(NULL AS VARCHAR) AS row_key, CAST({c} AS VARCHAR) AS value, "
+        f"COUNT(*) AS n_rows FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1"
+        for t, c in Q.UNIQUE)
+
+
+def _row_sql(t, r, c, check):
+    return (_HEAD.format(t=t, r=r, c=c) + f"CAST(id AS VARCHAR) AS row_key, CAST({c} AS VARCHAR) AS value, "
+            f"CAST(1 AS BIGINT) AS n_rows FROM {t} WHERE NOT COALESCE({check}, true)")
+
+
+def _dq_sql_domain():
+    return " UNION ALL ".join(
+        _row_sql(t, "domain", c, f"{c} IN ({', '.join(repr(v) for v in allowed)})") for t, c, allowed in Q.DOMAIN)
+
+
+def _dq_sql_format():
+    return " UNION ALL ".join([
+        _row_sql("users", "format", "email", f"regexp_matches(email, '{X.EMAIL_TABLE_RULE}', 'i')"),
+        _row_sql("accounts", "format", "account_number",
+                 f"regexp_matches(account_number, '{X.ACCOUNT_NUMBER_TABLE_RULE}')"),
+    ])
+
+
+def _dq_sql_range():
+    return " UNION ALL ".join(_row_sql(t, "range", c, check) for t, c, check in Q.RANGE)
+
+
+def _dq_sql_fk():
+    return " UNION ALL ".join(
+        _HEAD.format(t=t, r="foreign_key", c=c) + f"CAST(id AS VARCHAR) AS row_key, CAST({c} AS VARCHAR) AS value, "
+        f"CAST(1 AS BIGINT) AS n_rows FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {p} WHERE id IS NOT NULL)"
+        for t, c, p in Q.FOREIGN_KEYS)
+
+
+for _key, _fn, _sql in [
+    ("dq_not_null", Q.dq_not_null, _dq_sql_not_null()),
+    ("dq_unique", Q.dq_unique, _dq_sql_unique()),
+    ("dq_domain", Q.dq_domain, _dq_sql_domain()),
+    ("dq_format", Q.dq_format, _dq_sql_format()),
+    ("dq_range", Q.dq_range, _dq_sql_range()),
+    ("dq_foreign_key", Q.dq_foreign_key, _dq_sql_fk()),
+]:
+    def _run(spark, sf_dir, _fn=_fn):
+        return _fn(fx(spark, sf_dir).ledger)
+    _run.__doc__ = f"Q: {_fn.__doc__}"
+    register(_key, views=ALL_TABLES, oracle=_sql)(_run)

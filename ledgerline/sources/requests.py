@@ -42,7 +42,8 @@ def read_requests(raw: DataFrame, body_col: str = "body", schema: T.StructType =
     The body is parsed once into a VARIANT (``try_parse_json``; malformed
     text gives NULL). Adds ``json_ok`` (the body is a JSON object) and one
     string column per schema field, except ``amount`` / ``initialDeposit``:
-    those give ``<field>_is_number`` (the JSON value is a number, as the API's
+    those give ``<field>_present`` (the key exists, even as JSON null),
+    ``<field>_is_number`` (the JSON value is a number, as the API's
     ``typeof x === 'number'`` test requires) and ``<field>_value``, the exact
     ``decimal(15,2)`` of that number (never a double)."""
     v = F.expr(f"try_parse_json({body_col})")
@@ -54,6 +55,8 @@ def read_requests(raw: DataFrame, body_col: str = "body", schema: T.StructType =
         if f.name in ("amount", "initialDeposit"):
             kind = F.expr(f"schema_of_variant(variant_get(_v, '{path}', 'variant'))")
             is_num = F.coalesce(F.regexp_extract(kind, r"^([A-Z]+)", 1).isin(*_NUMBER_KINDS), F.lit(False))
+            present = F.expr(f"variant_get(_v, '{path}', 'variant')").isNotNull()
+            cols.append(present.alias(f"{f.name}_present"))
             cols.append(is_num.alias(f"{f.name}_is_number"))
             cols.append(F.when(is_num, F.expr(f"try_variant_get(_v, '{path}', 'decimal(15,2)')"))
                         .alias(f"{f.name}_value"))
