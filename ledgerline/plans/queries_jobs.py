@@ -350,3 +350,129 @@ for _key, _fn, _sql in [
         return _fn(fx(spark, sf_dir).ledger)
     _run.__doc__ = f"Q: {_fn.__doc__}"
     register(_key, views=ALL_TABLES, oracle=_sql)(_run)
+
+
+# --------------------------------------------------------------------------- snapshots, streams, metrics
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from .. import schemas  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources import ledger as L  # noqa: E402
+from ..sources import snapshots as S  # noqa: E402
+from ..streaming import alerts as XA  # noqa: E402
+from ..streaming import posting as XP  # noqa: E402
+from ..streaming import rates as XR  # noqa: E402
+
+OLD_SNAPSHOT_AT = "2023-11-01 00:00:00"
+
+
+def scratch(spark) -> str:
+    """A fresh folder under the session's (shared) checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), "ledgerline-scratch", uuid.uuid4().hex)
+
+
+_TX_ALL = ", ".join(c for c, _, _ in schemas.TABLES["transactions"])
+
+
+@register("load_ledger", views=("transactions",), oracle=f"SELECT {_TX_ALL} FROM transactions")
+def q_load_ledger(spark, sf_dir):
+    """Typed read of a written ledger (the fixture exported once, then read
+    back with the declared schemas); returns the transactions table."""
+    root = scratch(spark)
+    S.snapshot_export(fx(spark, sf_dir).ledger, root, AS_OF)
+    return L.load_ledger(spark, os.path.join(root, S.snapshot_name(AS_OF))).transactions
+
+
+@register("snapshot_export")
+def q_snapshot_export(spark, sf_dir):
+    """Export the fixture ledger; the manifest rows (count, checksum)."""
+    return S.snapshot_export(fx(spark, sf_dir).ledger, scratch(spark), AS_OF).drop("path")
+
+
+@register("snapshot_restore", views=ALL_TABLES, oracle=" UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS expected_rows, COUNT(*) AS actual_rows, true AS checksum_ok, true AS ok FROM {t}"
+    for t in schemas.LEDGER_TABLES))
+def q_snapshot_restore(spark, sf_dir):
+    """Restore the exported fixture ledger and verify it against its manifest."""
+    root = scratch(spark)
+    S.snapshot_export(fx(spark, sf_dir).ledger, root, AS_OF)
+    return S.snapshot_restore(spark, root, S.snapshot_name(AS_OF))[1]
+
+
+@register("snapshot_retention", views=ALL_TABLES, oracle=" UNION ALL ".join(
+    f"SELECT '{S.snapshot_name(OLD_SNAPSHOT_AT)}' AS snapshot, TIMESTAMP '{OLD_SNAPSHOT_AT}' AS created_at, "
+    f"'{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in schemas.LEDGER_TABLES))
+def q_snapshot_retention(spark, sf_dir):
+    """Two exports (2023-11-01 and as_of); the one past 30 days is listed."""
+    root = scratch(spark)
+    led = fx(spark, sf_dir).ledger
+    S.snapshot_export(led, root, OLD_SNAPSHOT_AT)
+    S.snapshot_export(led, root, AS_OF)
+    return S.snapshot_retention(spark, root, AS_OF, keep_days=30)
+
+
+@register("apply_updates")
+def q_apply_updates(spark, sf_dir):
+    """Post the fixture batch and write the new version; its row counts."""
+    f = fx(spark, sf_dir)
+    out = T.post(f["post_requests"], f.ledger, AS_OF)
+    new = S.apply_updates(f.ledger, out, scratch(spark), "2024-01-15 00:00:01")
+    return L.verify_load(new)
+
+
+@register("stream_posting")
+def q_stream_posting(spark, sf_dir):
+    """The fixture requests arrive as files and post through the stream
+    (foreachBatch -> T4 -> new version); the per-request results."""
+    root = scratch(spark)
+    f = fx(spark, sf_dir)
+    src = os.path.join(root, "requests")
+    f["post_requests"].repartitionByRange(4, "requested_at", "request_id").write.parquet(src)
+    S.snapshot_export(f.ledger, os.path.join(root, "state", "ledger"), AS_OF)
+    q = XP.stream_posting(spark, src, os.path.join(root, "state"), os.path.join(root, "ckpt"), AS_OF)
+    q.awaitTermination()
+    return XP.posted_results(spark, os.path.join(root, "state"))
+
+
+@register("request_rate_breaches", views=("request_log",), oracle="""
+SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start,
+  time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end, ip, COUNT(*) AS requests
+FROM request_log GROUP BY 1, 2, 3 HAVING COUNT(*) > 2""")
+def q_request_rate_breaches(spark, sf_dir):
+    """Clients with more than 2 requests in a 15-minute window (the
+    fixture's busiest client makes 3; the API default is 100)."""
+    return XR.request_rate_breaches(fx(spark, sf_dir)["request_log"], max_requests=2)
+
+
+@register("stream_alerts", views=("accounts", "transactions"), oracle=f"{_LARGE_SQL} UNION ALL {_LOW_SQL}")
+def q_stream_alerts(spark, sf_dir):
+    """Alert rules on a stream of the fixture rows posted from zero."""
+    root = scratch(spark)
+    led = fx(spark, sf_dir).ledger
+    posted = schemas.conform(_posted_fixture(led), schemas.TABLES["transactions"])
+    src = os.path.join(root, "posted")
+    posted.write.parquet(src)
+    q = XA.run_stream_alerts(spark, src, led.accounts, os.path.join(root, "alerts"), os.path.join(root, "ckpt"))
+    q.awaitTermination()
+    return spark.read.schema(schemas.table_schema("alerts")).parquet(os.path.join(root, "alerts"))
+
+
+@register("query_duration_histogram", views=("request_log",), oracle=f"""
+SELECT g.query_type, b.le,
+  (SELECT COUNT(*) FROM request_log r WHERE r.status_code < 400 AND r.method = g.method AND r.route = g.route
+     AND (b.bound IS NULL OR r.duration_s <= b.bound)) AS bucket_count,
+  g.duration_sum, g.duration_count
+FROM (SELECT method, route, CASE WHEN method = 'POST' AND route = '/api/accounts' THEN 'account_creation'
+        WHEN method = 'GET' AND route = '/api/accounts/:accountNumber' THEN 'account_query'
+        WHEN method = 'POST' AND route = '/api/transactions' THEN 'transaction'
+        WHEN method = 'GET' AND route = '/api/accounts/:accountNumber/transactions' THEN 'transaction_history'
+        WHEN method = 'POST' AND route = '/api/transfers' THEN 'transfer' END AS query_type,
+        COUNT(*) AS duration_count, CAST(SUM(duration_s) AS DECIMAL(20,4)) AS duration_sum
+      FROM request_log WHERE status_code < 400 GROUP BY 1, 2, 3) g,
+     (VALUES {", ".join(f"({i}, '{b}', CAST('{b}' AS DECIMAL(10,4)))" for i, b in enumerate(M.DEFAULT_BUCKETS))},
+             ({len(M.DEFAULT_BUCKETS)}, '+Inf', NULL)) AS b(pos, le, bound)""")
+def q_query_duration_histogram(spark, sf_dir):
+    """A7 (second form): successful request durations by database query type."""
+    return M.duration_histogram(fx(spark, sf_dir)["request_log"], by="query_type")
