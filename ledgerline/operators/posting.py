@@ -21,9 +21,12 @@ the balance before the request (D4).
 How it runs at scale (no per-account loop, no group in one task):
 
 1. Static checks are joins of the request table with the account table.
-2. Valid requests explode into legs. Legs are range-partitioned on (account,
-   time, request): a hot account spans many *chunks*, and each round's
-   window runs per (account, chunk), so no task holds more than a chunk.
+2. Valid requests explode into legs. Each leg gets a *chunk*, a fixed-width
+   bucket of its request time sized so the batch spans ``legs / target_rows``
+   buckets (see :mod:`.scan`): a hot account spans many chunks, and each
+   round's window runs per (account, chunk), so no task holds more than a
+   chunk. Chunk offsets (sums of earlier chunks) join back per round; when the
+   batch fits one bucket that step is skipped.
 3. Each round computes, per leg, exclusive prefix sums over earlier legs of
    its account of accepted and still-unknown credits, debits and limit usage
    (chunk-local window + chunk offsets). That bounds the true balance before
@@ -33,14 +36,17 @@ How it runs at scale (no per-account loop, no group in one task):
    credits take their debit's decision through a join on the request id.
 4. The earliest undecided request overall always has exact bounds, so every
    round settles at least one request: the loop ends, and the result equals
-   the sequential one. Each round's legs are written with ``checkpoint()``
-   (reliable, in the session's checkpoint folder) so lineage stays short and
-   a lost executor only recomputes one round.
+   the sequential one. Each round's legs are written as Parquet to a new
+   folder under the session's checkpoint folder (``spark.checkpoint.dir``,
+   shared on a cluster) and read back, so lineage stays one round long and a
+   lost executor only recomputes part of one round.
 """
 
 from __future__ import annotations
 
 import logging
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -54,6 +60,7 @@ from ..schemas import MONEY
 from ..session import checkpoint_dir
 from ..sources.ledger import Ledger
 from .joins import limit_lookup
+from .scan import TARGET_ROWS, add_chunks
 
 log = logging.getLogger(__name__)
 
@@ -169,16 +176,22 @@ def _legs(checked: DataFrame) -> DataFrame:
 
 
 def _freeze(df: DataFrame) -> DataFrame:
-    """Write the legs to the checkpoint folder and cut the lineage.
+    """Cut the lineage: write the frame as Parquet to a new folder under the
+    session's checkpoint folder (shared on a cluster) and read it back.
 
-    (Spark 4.1's checkpoint does not report the partitioning it was written
-    with, so pre-partitioning here would be a wasted shuffle; each round's
-    window shuffles the legs once by (account, chunk) instead.)"""
-    return df.checkpoint(eager=True)
+    One job, columnar and compressed; an eager ``Dataset.checkpoint`` would
+    compute the frame twice (once to count, once to write) unless cached."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "ledgerline-posting", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _bounds(legs: DataFrame) -> DataFrame:
-    """Exclusive prefix sums per account of accepted / unknown movements."""
+def _bounds(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
+    """Exclusive prefix sums per account of accepted / unknown movements.
+
+    With a single chunk (the whole batch fits one time bucket) the chunk
+    offsets are all zero and their aggregate and join are skipped."""
     st, amt, cr = F.col("state"), F.col("amount"), F.col("credit")
     q = {
         "a_cr": F.when(cr & (st == ACCEPTED), amt),
@@ -190,12 +203,15 @@ def _bounds(legs: DataFrame) -> DataFrame:
     }
     w = Window.partitionBy("acct", "_chunk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     local = legs.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_l_{k}") for k, c in q.items()])
-    totals = legs.groupBy("acct", "_chunk").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in q.items()])
-    wk = Window.partitionBy("acct").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "acct", "_chunk", *[F.coalesce(F.sum(f"_t_{k}").over(wk), F.lit(0)).alias(f"_o_{k}") for k in q]
-    )
-    j = local.join(offsets, ["acct", "_chunk"], "inner")
+    if multi_chunk:
+        totals = legs.groupBy("acct", "_chunk").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in q.items()])
+        wk = Window.partitionBy("acct").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            "acct", "_chunk", *[F.coalesce(F.sum(f"_t_{k}").over(wk), F.lit(0)).alias(f"_o_{k}") for k in q]
+        )
+        j = local.join(offsets, ["acct", "_chunk"], "inner")
+    else:
+        j = local.select("*", *[F.lit(0).alias(f"_o_{k}") for k in q])
     tot = {k: F.col(f"_l_{k}") + F.col(f"_o_{k}") for k in q}
     return j.select(
         *legs.columns,
@@ -239,58 +255,70 @@ def _decide(b: DataFrame, rules: str) -> DataFrame:
         .when(~ok_high, F.lit("insufficient_funds"))
         .when(ok_low & wd & ~lim_ok(F.col("use_low")), F.lit("daily_limit_exceeded"))
     )
+    newly = undecided_debit & (new_state != UNKNOWN)
     return b.select(*[c for c in b.columns if c not in ("state", "reason", "low", "high", "use_low", "use_high")],
-                    new_state.alias("state"), new_reason.alias("reason"))
+                    new_state.alias("state"), new_reason.alias("reason"), newly.alias("_new"))
 
 
-def settle(legs: DataFrame, n: int, rules: str = "procedure", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """Run rounds until every leg is decided; returns (legs, rounds)."""
+def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROADCAST_ROWS,
+           multi_chunk: bool = True) -> tuple[DataFrame, int]:
+    """Run rounds until every leg is decided; returns (legs, rounds).
+
+    A round is two jobs: one materializes the decided legs and counts what is
+    still open and which transfers were just decided; one pushes those
+    decisions to the transfer credit legs and checkpoints the result."""
     cols = legs.columns
     rounds = 0
     unknown = legs.where(F.col("state") == UNKNOWN).count()
     while unknown:
         rounds += 1
-        step = _decide(_bounds(legs), rules).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-        decided = step.where(
-            (F.col("op") == "transfer") & (F.col("leg") == 0) & (F.col("state") != UNKNOWN)
-        ).select("request_id", F.col("state").alias("_ds"))
-        pending_credit = (F.col("leg") == 1) & (F.col("state") == UNKNOWN)
-        n_decided = decided.count()
-        if n_decided <= broadcast_rows:
-            joined = step.join(F.broadcast(decided), "request_id", "left")
-            nxt = joined.select(*[F.when(pending_credit & F.col("_ds").isNotNull(), F.col("_ds")).otherwise(F.col("state")).alias("state")
-                                  if c == "state" else F.col(c) for c in cols])
+        step = _decide(_bounds(legs, multi_chunk), rules).persist(StorageLevel.MEMORY_AND_DISK)
+        new_transfer = F.col("_new") & (F.col("op") == "transfer") & (F.col("leg") == 0)
+        stats = step.agg(
+            F.count(F.when(F.col("state") == UNKNOWN, 1)).alias("u"),
+            F.count(F.when(new_transfer, 1)).alias("t"),
+        ).collect()[0]
+        if stats.t == 0:
+            nxt = step.select(*cols)
         else:
+            decided = step.where(new_transfer).select("request_id", F.col("state").alias("_ds"))
+            if stats.t <= broadcast_rows:  # size checked just above
+                decided = F.broadcast(decided)
+            pending_credit = (F.col("leg") == 1) & (F.col("state") == UNKNOWN) & F.col("_ds").isNotNull()
             joined = step.join(decided, "request_id", "left")
-            nxt = joined.select(*[F.when(pending_credit & F.col("_ds").isNotNull(), F.col("_ds")).otherwise(F.col("state")).alias("state")
+            nxt = joined.select(*[F.when(pending_credit, F.col("_ds")).otherwise(F.col("state")).alias("state")
                                   if c == "state" else F.col(c) for c in cols])
         nxt = _freeze(nxt)
         step.unpersist()
         legs = nxt
-        before, unknown = unknown, legs.where(F.col("state") == UNKNOWN).count()
+        # each newly decided transfer debit settles exactly one waiting credit leg
+        before, unknown = unknown, stats.u - stats.t
         log.info("posting round %d: %d undecided legs left (was %d)", rounds, unknown, before)
         if unknown >= before:  # cannot happen: the earliest undecided request always settles
             raise RuntimeError("posting made no progress in a round")
     return legs, rounds
 
 
-def _balances(legs: DataFrame) -> DataFrame:
+def _balances(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
     """balance_before / balance_after of accepted legs (exclusive prefix)."""
     acc = legs.where(F.col("state") == ACCEPTED)
     signed = F.when(F.col("credit"), F.col("amount")).otherwise(-F.col("amount"))
     w = Window.partitionBy("acct", "_chunk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     local = acc.select("*", F.coalesce(F.sum(signed).over(w), F.lit(0)).alias("_l"), signed.alias("_signed"))
-    totals = acc.groupBy("acct", "_chunk").agg(F.sum(signed).alias("_t"))
-    wk = Window.partitionBy("acct").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("acct", "_chunk", F.coalesce(F.sum("_t").over(wk), F.lit(0)).alias("_o"))
-    j = local.join(offsets, ["acct", "_chunk"], "inner")
+    if multi_chunk:
+        totals = acc.groupBy("acct", "_chunk").agg(F.sum(signed).alias("_t"))
+        wk = Window.partitionBy("acct").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select("acct", "_chunk", F.coalesce(F.sum("_t").over(wk), F.lit(0)).alias("_o"))
+        j = local.join(offsets, ["acct", "_chunk"], "inner")
+    else:
+        j = local.withColumn("_o", F.lit(0))
     before = (F.col("bal0") + F.col("_l") + F.col("_o")).cast(MONEY)
     return j.select(*legs.columns, before.alias("balance_before"),
                     (before + F.col("_signed")).cast(MONEY).alias("balance_after"))
 
 
 def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedure",
-         chunks: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> Outcome:
+         target_rows: int = TARGET_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> Outcome:
     """T4: post a mixed, ordered batch of requests against a ledger version.
 
     ``requests`` has the columns of ``schemas.REQUESTS``. ``rules`` is
@@ -300,13 +328,11 @@ def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedur
     highest id as ``max + 1 + 2 * request_id + leg`` and references are
     hashes of the request, so a replayed batch mints the same rows."""
     checkpoint_dir(requests.sparkSession)
-    n = int(chunks or requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    checked = _checked_requests(requests, ledger, as_of, rules).checkpoint(eager=True)
-    legs0 = _legs(checked)
-    legs0 = legs0.repartitionByRange(n, "acct", *ORDER).withColumn("_chunk", F.spark_partition_id())
-    legs0 = _freeze(legs0)
-    legs, rounds = settle(legs0, n, rules, broadcast_rows)
-    posted = _balances(legs).checkpoint(eager=True)
+    checked = _freeze(_checked_requests(requests, ledger, as_of, rules))
+    legs0 = _freeze(add_chunks(_legs(checked), "requested_at", target_rows))
+    multi_chunk = (legs0.agg(F.max("_chunk")).collect()[0][0] or 0) > 0
+    legs, rounds = settle(legs0, rules, broadcast_rows, multi_chunk)
+    posted = _freeze(_balances(legs, multi_chunk))
     return _outcome(checked, legs, posted, ledger, as_of, rules, rounds)
 
 
