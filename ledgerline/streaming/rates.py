@@ -16,11 +16,17 @@ DEFAULT_WINDOW = "15 minutes"
 
 def request_rate_breaches(log: DataFrame, max_requests: int = DEFAULT_MAX_REQUESTS,
                           window: str = DEFAULT_WINDOW, watermark: str = DEFAULT_WINDOW) -> DataFrame:
-    """(window_start, window_end, ip, requests) where requests > max_requests."""
+    """(window_start, window_end, ip, requests) where requests > max_requests.
+
+    Watermarks need a zone-aware event time: a zone-less ``ts`` is read as UTC
+    (the session zone) for windowing and the bounds are returned in its type."""
+    ts_type = log.schema["ts"].dataType
     counted = (
-        log.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", window).alias("w"), "ip")
+        log.withColumn("_et", F.col("ts").cast("timestamp_ltz"))
+        .withWatermark("_et", watermark)
+        .groupBy(F.window("_et", window).alias("w"), "ip")
         .agg(F.count(F.lit(1)).alias("requests"))
     )
     return counted.where(F.col("requests") > int(max_requests)).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "ip", "requests")
+        F.col("w.start").cast(ts_type).alias("window_start"), F.col("w.end").cast(ts_type).alias("window_end"),
+        "ip", "requests")
