@@ -34,7 +34,11 @@ How it runs at scale (no per-account loop, no group in one task):
    whose checks pass on the pessimistic bounds is accepted; one whose check
    fails on the optimistic bound is rejected; otherwise it waits. Transfer
    credits take their debit's decision through a join on the request id.
-4. The earliest undecided request overall always has exact bounds, so every
+4. In the same round, each account's next ``FOLD_LEGS`` legs from its first
+   undecided leg (whose bounds are exact) are replayed in order by a bounded
+   fold (:func:`_fold`), which settles dependency chains ``FOLD_LEGS`` legs per
+   round instead of one.
+5. The earliest undecided request overall always has exact bounds, so every
    round settles at least one request: the loop ends, and the result equals
    the sequential one. Each round's legs are written as Parquet to a new
    folder under the session's checkpoint folder (``spark.checkpoint.dir``,
@@ -260,8 +264,71 @@ def _decide(b: DataFrame, rules: str) -> DataFrame:
                     new_state.alias("state"), new_reason.alias("reason"), newly.alias("_new"))
 
 
+FOLD_LEGS = 64  # legs replayed in order per account and round, from its first undecided leg
+
+
+def _fold(b: DataFrame, rules: str, k: int = FOLD_LEGS) -> DataFrame:
+    """Exact decisions for up to ``k`` legs per account, replayed in order.
+
+    Every leg before an account's first undecided leg is decided, so the
+    bounds of that leg are exact (``low == high``). From there the next ``k``
+    legs are folded with ``aggregate`` (JVM-side, exact decimals) over a
+    bounded array: a partial ``WindowGroupLimit`` keeps at most ``k`` legs per
+    account per task before the shuffle, so no task ever holds more than
+    ``k`` legs of one account. The fold stops at an undecided transfer credit
+    (its outcome belongs to another account). Returns (request_id, leg,
+    _fs, _fr) for the legs it decided."""
+    unknown = F.col("state") == UNKNOWN
+    key = F.struct(*ORDER)
+    first = b.where(unknown).groupBy(F.col("acct").alias("_fa")).agg(F.min(key).alias("_fk"))
+    opened = b.join(first, F.col("acct") == F.col("_fa"), "inner").where(key >= F.col("_fk"))
+    w = Window.partitionBy("acct").orderBy(*ORDER)
+    head = opened.select("*", F.row_number().over(w).alias("_pos")).where(F.col("_pos") <= int(k))
+    fields = ["_pos", "request_id", "leg", "op", "credit", "state", "amount", "od", "lim", "usage", "low", "use_low"]
+    grouped = head.groupBy("acct").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_legs"))
+
+    dec = "decimal(38,2)"
+    out_t = "array<struct<request_id:bigint,leg:int,state:int,reason:string>>"
+    first_leg = F.col("_legs")[0]
+    init = F.struct(
+        first_leg["low"].cast(dec).alias("bal"), first_leg["use_low"].cast(dec).alias("use"),
+        F.lit(False).alias("stop"), F.expr(f"cast(array() as {out_t})").alias("out"),
+    )
+
+    def step(acc, x):
+        amt = x["amount"]
+        st = x["state"]
+        wd = x["op"] == "withdrawal"
+        open_debit = ~x["credit"] & (st == UNKNOWN) & ~acc["stop"]
+        if rules == "api":
+            bal_ok = (acc["bal"] >= amt) | ((acc["bal"] - amt) >= -x["od"])
+        else:
+            bal_ok = (acc["bal"] - amt) >= -x["od"]
+        bal_ok = F.when(wd, bal_ok).otherwise(acc["bal"] >= amt)
+        lim_ok = x["lim"].isNull() | ((acc["use"] + amt) <= x["lim"])
+        accept = open_debit & bal_ok & (~wd | lim_ok)
+        rej_bal = open_debit & ~bal_ok
+        rej_lim = open_debit & bal_ok & wd & ~lim_ok
+        stop = acc["stop"] | (x["credit"] & (st == UNKNOWN))
+        credit_in = ~stop & x["credit"] & (st == ACCEPTED)
+        debit_out = ~stop & ~x["credit"] & ((st == ACCEPTED) | accept)
+        bal = F.when(credit_in, acc["bal"] + amt).when(debit_out, acc["bal"] - amt).otherwise(acc["bal"]).cast(dec)
+        use = F.when(debit_out & x["usage"], acc["use"] + amt).otherwise(acc["use"]).cast(dec)
+        decided = F.struct(
+            x["request_id"].alias("request_id"), x["leg"].alias("leg"),
+            F.when(accept, F.lit(ACCEPTED)).otherwise(F.lit(REJECTED)).alias("state"),
+            F.when(rej_bal, F.lit("insufficient_funds")).when(rej_lim, F.lit("daily_limit_exceeded")).alias("reason"),
+        )
+        out = F.when(accept | rej_bal | rej_lim, F.concat(acc["out"], F.array(decided))).otherwise(acc["out"])
+        return F.struct(bal.alias("bal"), use.alias("use"), stop.alias("stop"), out.alias("out"))
+
+    folded = grouped.select(F.explode(F.aggregate("_legs", init, step)["out"]).alias("_d"))
+    return folded.select(F.col("_d.request_id").alias("request_id"), F.col("_d.leg").alias("leg"),
+                         F.col("_d.state").alias("_fs"), F.col("_d.reason").alias("_fr"))
+
+
 def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROADCAST_ROWS,
-           multi_chunk: bool = True) -> tuple[DataFrame, int]:
+           multi_chunk: bool = True, fold_legs: int = FOLD_LEGS) -> tuple[DataFrame, int]:
     """Run rounds until every leg is decided; returns (legs, rounds).
 
     A round is two jobs: one materializes the decided legs and counts what is
@@ -272,7 +339,18 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
     unknown = legs.where(F.col("state") == UNKNOWN).count()
     while unknown:
         rounds += 1
-        step = _decide(_bounds(legs, multi_chunk), rules).persist(StorageLevel.MEMORY_AND_DISK)
+        b = _bounds(legs, multi_chunk).persist(StorageLevel.MEMORY_AND_DISK)
+        by_bounds = _decide(b, rules)
+        # the fold's output is at most FOLD_LEGS rows per open account; AQE picks the join
+        both = by_bounds.join(_fold(b, rules, fold_legs), ["request_id", "leg"], "left")
+        from_fold = (F.col("state") == UNKNOWN) & F.col("_fs").isNotNull() & ~F.col("credit")
+        step = both.select(*[
+            F.when(from_fold, F.col("_fs")).otherwise(F.col("state")).alias("state") if c == "state"
+            else F.when(from_fold, F.col("_fr")).otherwise(F.col("reason")).alias("reason") if c == "reason"
+            else (F.col("_new") | from_fold).alias("_new") if c == "_new"
+            else F.col(c)
+            for c in by_bounds.columns
+        ]).persist(StorageLevel.MEMORY_AND_DISK)
         new_transfer = F.col("_new") & (F.col("op") == "transfer") & (F.col("leg") == 0)
         stats = step.agg(
             F.count(F.when(F.col("state") == UNKNOWN, 1)).alias("u"),
@@ -290,6 +368,7 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
                                   if c == "state" else F.col(c) for c in cols])
         nxt = _freeze(nxt)
         step.unpersist()
+        b.unpersist()
         legs = nxt
         # each newly decided transfer debit settles exactly one waiting credit leg
         before, unknown = unknown, stats.u - stats.t
@@ -318,7 +397,8 @@ def _balances(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
 
 
 def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedure",
-         target_rows: int = TARGET_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> Outcome:
+         target_rows: int = TARGET_ROWS, broadcast_rows: int = BROADCAST_ROWS,
+         fold_legs: int = FOLD_LEGS) -> Outcome:
     """T4: post a mixed, ordered batch of requests against a ledger version.
 
     ``requests`` has the columns of ``schemas.REQUESTS``. ``rules`` is
@@ -331,7 +411,7 @@ def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedur
     checked = _freeze(_checked_requests(requests, ledger, as_of, rules))
     legs0 = _freeze(add_chunks(_legs(checked), "requested_at", target_rows))
     multi_chunk = (legs0.agg(F.max("_chunk")).collect()[0][0] or 0) > 0
-    legs, rounds = settle(legs0, rules, broadcast_rows, multi_chunk)
+    legs, rounds = settle(legs0, rules, broadcast_rows, multi_chunk, fold_legs)
     posted = _freeze(_balances(legs, multi_chunk))
     return _outcome(checked, legs, posted, ledger, as_of, rules, rounds)
 
