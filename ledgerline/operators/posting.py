@@ -562,3 +562,40 @@ def post_withdrawals(requests, ledger, as_of, rules="procedure", **kw) -> Outcom
 def post_transfers(requests, ledger, as_of, rules="procedure", **kw) -> Outcome:
     """Transfers only."""
     return post(requests.where(F.col("op") == "transfer"), ledger, as_of, rules, **kw)
+
+
+def process_transfer_queue(ledger: Ledger, as_of: str, rules: str = "procedure", **kw) -> tuple[DataFrame, Outcome]:
+    """P10 -> T3: post the due queue transfers and return the new queue version.
+
+    Due rows (``pending``, ``scheduled_at <= as_of``) post in (scheduled_at,
+    id) order as transfer requests (the queue id is the request id). Each
+    becomes ``completed`` with its debit transaction id, or ``failed`` with
+    the reason as ``error_message`` and ``retry_count + 1``; ``processed_at =
+    as_of``. Rows not due are unchanged."""
+    now = X.ts_literal(as_of)
+    q = ledger.transfer_queue
+    due = q.where((F.col("status") == "pending") & (F.col("scheduled_at") <= now))
+    nums_from = ledger.accounts.select(F.col("id").alias("_fid"), F.col("account_number").alias("account_number"))
+    nums_to = ledger.accounts.select(F.col("id").alias("_tid"), F.col("account_number").alias("to_account"))
+    req = (
+        due.join(nums_from, F.col("from_account_id") == F.col("_fid"), "left")
+        .join(nums_to, F.col("to_account_id") == F.col("_tid"), "left")
+        .select(F.col("id").alias("request_id"), F.col("scheduled_at").alias("requested_at"), "account_number",
+                F.lit("transfer").alias("op"), "to_account", "amount", "description")
+    )
+    out = post(schemas.conform(req, schemas.REQUESTS), ledger, as_of, rules, **kw)
+    res = out.results.select(F.col("request_id").alias("_qid"), F.col("accepted").alias("_ok"),
+                             F.col("reason").alias("_why"), F.col("transaction_id").alias("_tx"))
+    j = q.join(res, F.col("id") == F.col("_qid"), "left")
+    hit = F.col("_qid").isNotNull()
+    new_queue = j.select(*[
+        F.when(hit, F.when(F.col("_ok"), F.lit("completed")).otherwise(F.lit("failed"))).otherwise(F.col(c)).alias(c)
+        if c == "status"
+        else F.when(hit, now).otherwise(F.col(c)).alias(c) if c == "processed_at"
+        else F.when(hit & F.col("_ok"), F.col("_tx")).otherwise(F.col(c)).alias(c) if c == "transaction_id"
+        else F.when(hit & ~F.col("_ok"), F.col("_why")).otherwise(F.col(c)).alias(c) if c == "error_message"
+        else F.when(hit & ~F.col("_ok"), F.col(c) + 1).otherwise(F.col(c)).alias(c) if c == "retry_count"
+        else F.col(c)
+        for c in q.columns
+    ])
+    return schemas.conform(new_queue, schemas.TABLES["transfer_queue"]), out

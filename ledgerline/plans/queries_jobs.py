@@ -476,3 +476,61 @@ FROM (SELECT method, route, CASE WHEN method = 'POST' AND route = '/api/accounts
 def q_query_duration_histogram(spark, sf_dir):
     """A7 (second form): successful request durations by database query type."""
     return M.duration_histogram(fx(spark, sf_dir)["request_log"], by="query_type")
+
+
+@register("process_transfer_queue")
+def q_process_transfer_queue(spark, sf_dir):
+    """P10 -> T3: the due queue transfers posted in order; the new queue.
+    No SQL oracle (transfers couple accounts); see tests."""
+    return T.process_transfer_queue(fx(spark, sf_dir).ledger, AS_OF)[0]
+
+
+_API_STATIC = """CASE WHEN r.account_number IS NULL OR r.amount IS NULL THEN 'missing_fields'
+         WHEN NOT regexp_matches(r.account_number, '^KB[0-9]+$') THEN 'invalid_account_number'
+         WHEN r.amount <= 0 THEN 'invalid_amount' WHEN a.id IS NULL THEN 'account_not_found' END"""
+
+
+@register("post_deposits_api", views=("accounts", "transactions", "post_requests"), oracle=f""",
+chk AS (
+  SELECT r.request_id, r.requested_at, r.amount, a.id AS acct, a.balance, {_API_STATIC} AS reason
+  FROM post_requests r LEFT JOIN accounts a ON a.account_number = r.account_number
+  WHERE r.op = 'deposit')
+SELECT request_id, 'deposit' AS op, reason IS NULL AS accepted, reason,
+  CASE WHEN reason IS NULL THEN CAST(balance + SUM(CASE WHEN reason IS NULL THEN amount ELSE 0 END)
+    OVER (PARTITION BY acct ORDER BY requested_at, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    AS DECIMAL(15,2)) END AS new_balance,
+  CASE WHEN reason IS NULL THEN {_TX_BASE} + 2 * request_id END AS transaction_id
+FROM chk""")
+def q_post_deposits_api(spark, sf_dir):
+    """T1 under the REST endpoint's rules: any account status (D6), API
+    formats (D10), no alerts."""
+    f = fx(spark, sf_dir)
+    return T.post(f["post_requests"].where(F.col("op") == "deposit"), f.ledger, AS_OF, rules="api").results
+
+
+@register("post_withdrawals_api", views=("accounts", "transactions", "post_requests"), recursive=True, oracle=f""",
+chk AS (
+  SELECT r.request_id, r.requested_at, r.amount, a.id AS acct, a.balance, COALESCE(a.overdraft_limit, 0) AS od,
+    {_API_STATIC} AS sreason
+  FROM post_requests r LEFT JOIN accounts a ON a.account_number = r.account_number
+  WHERE r.op = 'withdrawal'),
+v AS (SELECT *, row_number() OVER (PARTITION BY acct ORDER BY requested_at, request_id) AS pos
+      FROM chk WHERE sreason IS NULL),
+walk(acct, pos, bal, request_id, reason) AS (
+  SELECT DISTINCT acct, CAST(0 AS BIGINT), CAST(balance AS DECIMAL(38,2)), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM v
+  UNION ALL
+  SELECT v.acct, v.pos,
+    CASE WHEN w.bal < v.amount AND w.bal - v.amount < -v.od THEN w.bal ELSE w.bal - v.amount END,
+    v.request_id,
+    CASE WHEN w.bal < v.amount AND w.bal - v.amount < -v.od THEN 'insufficient_funds' END
+  FROM walk w JOIN v ON v.acct = w.acct AND v.pos = w.pos + 1)
+SELECT c.request_id, 'withdrawal' AS op, COALESCE(c.sreason, w.reason) IS NULL AS accepted,
+  COALESCE(c.sreason, w.reason) AS reason,
+  CASE WHEN COALESCE(c.sreason, w.reason) IS NULL THEN CAST(w.bal AS DECIMAL(15,2)) END AS new_balance,
+  CASE WHEN COALESCE(c.sreason, w.reason) IS NULL THEN {_TX_BASE} + 2 * c.request_id END AS transaction_id
+FROM chk c LEFT JOIN walk w ON w.request_id = c.request_id""")
+def q_post_withdrawals_api(spark, sf_dir):
+    """T2 under the REST endpoint's rules: any status, the API's funds test
+    (``balance < amount AND balance - amount < -overdraft`` rejects), no limits."""
+    f = fx(spark, sf_dir)
+    return T.post(f["post_requests"].where(F.col("op") == "withdrawal"), f.ledger, AS_OF, rules="api").results
