@@ -176,7 +176,9 @@ def _legs(checked: DataFrame) -> DataFrame:
     legs_arr = F.when(F.col("op") == "transfer", F.array(first, second)).otherwise(F.array(first))
     return valid.select(
         "request_id", "requested_at", "op", "amount", F.explode(legs_arr).alias("_l")
-    ).select("request_id", "requested_at", "op", "amount", "_l.*", F.lit(None).cast("string").alias("reason"))
+    ).select("request_id", "requested_at", "op", "amount", "_l.*", F.lit(None).cast("string").alias("reason"),
+             # net effect of this account's legs already settled and set aside (see settle)
+             F.lit(0).cast("decimal(38,2)").alias("adj_bal"), F.lit(0).cast("decimal(38,2)").alias("adj_use"))
 
 
 def _freeze(df: DataFrame) -> DataFrame:
@@ -219,10 +221,10 @@ def _bounds(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
     tot = {k: F.col(f"_l_{k}") + F.col(f"_o_{k}") for k in q}
     return j.select(
         *legs.columns,
-        (F.col("bal0") + tot["a_cr"] - tot["a_db"] - tot["u_db"]).alias("low"),
-        (F.col("bal0") + tot["a_cr"] + tot["u_cr"] - tot["a_db"]).alias("high"),
-        (F.col("use0") + tot["a_use"]).alias("use_low"),
-        (F.col("use0") + tot["a_use"] + tot["u_use"]).alias("use_high"),
+        (F.col("bal0") + F.col("adj_bal") + tot["a_cr"] - tot["a_db"] - tot["u_db"]).alias("low"),
+        (F.col("bal0") + F.col("adj_bal") + tot["a_cr"] + tot["u_cr"] - tot["a_db"]).alias("high"),
+        (F.col("use0") + F.col("adj_use") + tot["a_use"]).alias("use_low"),
+        (F.col("use0") + F.col("adj_use") + tot["a_use"] + tot["u_use"]).alias("use_high"),
     )
 
 
@@ -265,6 +267,7 @@ def _decide(b: DataFrame, rules: str) -> DataFrame:
 
 
 FOLD_LEGS = 64  # legs replayed in order per account and round, from its first undecided leg
+SET_ASIDE_MIN_LEGS = 5_000_000  # batches at least this large keep only open suffixes between rounds
 
 
 def _fold(b: DataFrame, rules: str, k: int = FOLD_LEGS) -> DataFrame:
@@ -328,15 +331,27 @@ def _fold(b: DataFrame, rules: str, k: int = FOLD_LEGS) -> DataFrame:
 
 
 def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROADCAST_ROWS,
-           multi_chunk: bool = True, fold_legs: int = FOLD_LEGS) -> tuple[DataFrame, int]:
+           multi_chunk: bool = True, fold_legs: int = FOLD_LEGS,
+           set_aside_min_legs: int | None = None) -> tuple[DataFrame, int]:
     """Run rounds until every leg is decided; returns (legs, rounds).
 
-    A round is two jobs: one materializes the decided legs and counts what is
-    still open and which transfers were just decided; one pushes those
-    decisions to the transfer credit legs and checkpoints the result."""
+    A round materializes the decided legs and counts what is still open and
+    which transfers were just decided, pushes those decisions to the transfer
+    credit legs, then sets the final legs aside (:func:`_set_aside`) and
+    writes the open suffixes for the next round. Returns every leg, read back
+    from the set-aside folders."""
     cols = legs.columns
     rounds = 0
-    unknown = legs.where(F.col("state") == UNKNOWN).count()
+    if set_aside_min_legs is None:
+        set_aside_min_legs = SET_ASIDE_MIN_LEGS
+    counts = legs.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("state") == UNKNOWN, 1)).alias("u")).collect()[0]
+    unknown = counts.u
+    if not unknown:
+        return legs, 0
+    # Setting final legs aside costs a few small stages per round; it pays when
+    # the batch is large (later rounds then touch only contended accounts).
+    set_aside = counts.n >= set_aside_min_legs
+    settled_root = os.path.join(checkpoint_dir(legs.sparkSession), "ledgerline-posting", uuid.uuid4().hex)
     while unknown:
         rounds += 1
         b = _bounds(legs, multi_chunk).persist(StorageLevel.MEMORY_AND_DISK)
@@ -366,16 +381,55 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
             joined = step.join(decided, "request_id", "left")
             nxt = joined.select(*[F.when(pending_credit, F.col("_ds")).otherwise(F.col("state")).alias("state")
                                   if c == "state" else F.col(c) for c in cols])
-        nxt = _freeze(nxt)
-        step.unpersist()
-        b.unpersist()
-        legs = nxt
         # each newly decided transfer debit settles exactly one waiting credit leg
         before, unknown = unknown, stats.u - stats.t
+        legs = _set_aside(nxt, cols, settled_root, rounds, final=unknown == 0) if set_aside else _freeze(nxt)
+        step.unpersist()
+        b.unpersist()
         log.info("posting round %d: %d undecided legs left (was %d)", rounds, unknown, before)
         if unknown >= before:  # cannot happen: the earliest undecided request always settles
             raise RuntimeError("posting made no progress in a round")
-    return legs, rounds
+    if not set_aside:
+        return legs, rounds
+    spark = legs.sparkSession
+    return spark.read.schema(legs.schema).parquet(os.path.join(settled_root, "round-*")), rounds
+
+
+def _set_aside(nxt: DataFrame, cols: list[str], settled_root: str, rnd: int, final: bool) -> DataFrame:
+    """Write the legs that are final and keep only each account's open suffix.
+
+    A leg is final when its account has no undecided leg, or when it comes
+    before the account's first undecided leg. Final legs are written once
+    (``round-<n>``); their accepted net effect on balance and usage is added
+    to the open legs of the same account (``adj_bal``, ``adj_use``), so later
+    rounds scan and shuffle only the accounts still in contention, from their
+    first open leg on."""
+    spark = nxt.sparkSession
+    out = os.path.join(settled_root, f"round-{rnd:04d}")
+    if final:
+        nxt.select(*cols).write.parquet(out)
+        return nxt
+    key = F.struct(*ORDER)
+    first = nxt.where(F.col("state") == UNKNOWN).groupBy(F.col("acct").alias("_fa")).agg(F.min(key).alias("_fk"))
+    tagged = nxt.join(first, F.col("acct") == F.col("_fa"), "left").withColumn(
+        "_open", F.col("_fk").isNotNull() & (key >= F.col("_fk"))
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    tagged.where(~F.col("_open")).select(*cols).write.parquet(out)
+    signed = F.when(F.col("credit"), F.col("amount")).otherwise(-F.col("amount"))
+    accepted = F.col("state") == ACCEPTED
+    delta = tagged.where(~F.col("_open") & F.col("_fa").isNotNull()).groupBy(F.col("acct").alias("_da")).agg(
+        F.sum(F.when(accepted, signed)).alias("_db"),
+        F.sum(F.when(accepted & F.col("usage"), F.col("amount"))).alias("_du"),
+    )
+    opened = tagged.where(F.col("_open")).join(delta, F.col("acct") == F.col("_da"), "left")
+    opened = opened.select(*[
+        (F.col("adj_bal") + F.coalesce("_db", F.lit(0))).cast("decimal(38,2)").alias(c) if c == "adj_bal"
+        else (F.col("adj_use") + F.coalesce("_du", F.lit(0))).cast("decimal(38,2)").alias(c) if c == "adj_use"
+        else F.col(c) for c in cols
+    ])
+    frozen = _freeze(opened)
+    tagged.unpersist()
+    return frozen
 
 
 def _balances(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
@@ -398,7 +452,7 @@ def _balances(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
 
 def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedure",
          target_rows: int = TARGET_ROWS, broadcast_rows: int = BROADCAST_ROWS,
-         fold_legs: int = FOLD_LEGS) -> Outcome:
+         fold_legs: int = FOLD_LEGS, set_aside_min_legs: int = SET_ASIDE_MIN_LEGS) -> Outcome:
     """T4: post a mixed, ordered batch of requests against a ledger version.
 
     ``requests`` has the columns of ``schemas.REQUESTS``. ``rules`` is
@@ -411,7 +465,7 @@ def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedur
     checked = _freeze(_checked_requests(requests, ledger, as_of, rules))
     legs0 = _freeze(add_chunks(_legs(checked), "requested_at", target_rows))
     multi_chunk = (legs0.agg(F.max("_chunk")).collect()[0][0] or 0) > 0
-    legs, rounds = settle(legs0, rules, broadcast_rows, multi_chunk, fold_legs)
+    legs, rounds = settle(legs0, rules, broadcast_rows, multi_chunk, fold_legs, set_aside_min_legs)
     posted = _freeze(_balances(legs, multi_chunk))
     return _outcome(checked, legs, posted, ledger, as_of, rules, rounds)
 
