@@ -361,6 +361,7 @@ from ..operators import metrics as M  # noqa: E402
 from ..session import checkpoint_dir  # noqa: E402
 from ..sources import ledger as L  # noqa: E402
 from ..sources import snapshots as S  # noqa: E402
+from ..sources import store as ST  # noqa: E402
 from ..streaming import alerts as XA  # noqa: E402
 from ..streaming import posting as XP  # noqa: E402
 from ..streaming import rates as XR  # noqa: E402
@@ -415,25 +416,29 @@ def q_snapshot_retention(spark, sf_dir):
 
 @register("apply_updates")
 def q_apply_updates(spark, sf_dir):
-    """Post the fixture batch and write the new version; its row counts."""
+    """The fixture ledger becomes batch 0 of a store, the fixture requests
+    post and append as batch 1; the row counts of the committed ledger."""
     f = fx(spark, sf_dir)
-    out = T.post(f["post_requests"], f.ledger, AS_OF)
-    new = S.apply_updates(f.ledger, out, scratch(spark), "2024-01-15 00:00:01")
-    return L.verify_load(new)
+    root = scratch(spark)
+    ST.init_store(f.ledger, root, AS_OF)
+    ledger = ST.read_store(spark, root)
+    ST.apply_updates(root, T.post(f["post_requests"], ledger, AS_OF), AS_OF)
+    return L.verify_load(ST.read_store(spark, root))
 
 
 @register("stream_posting")
 def q_stream_posting(spark, sf_dir):
     """The fixture requests arrive as files and post through the stream
-    (foreachBatch -> T4 -> new version); the per-request results."""
+    (foreachBatch -> T4 -> appended store batch); the per-request results."""
     root = scratch(spark)
     f = fx(spark, sf_dir)
     src = os.path.join(root, "requests")
     f["post_requests"].repartitionByRange(4, "requested_at", "request_id").write.parquet(src)
-    S.snapshot_export(f.ledger, os.path.join(root, "state", "ledger"), AS_OF)
-    q = XP.stream_posting(spark, src, os.path.join(root, "state"), os.path.join(root, "ckpt"), AS_OF)
+    store_root = os.path.join(root, "store")
+    ST.init_store(f.ledger, store_root, AS_OF)
+    q = XP.stream_posting(spark, src, store_root, os.path.join(root, "ckpt"), AS_OF)
     q.awaitTermination()
-    return XP.posted_results(spark, os.path.join(root, "state"))
+    return XP.posted_results(spark, store_root)
 
 
 @register("request_rate_breaches", views=("request_log",), oracle="""

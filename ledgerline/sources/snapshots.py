@@ -1,4 +1,4 @@
-"""Snapshots and versions of the ledger.
+"""Snapshots of the ledger (S5-S7): full, verified, consistent copies.
 
 Layout under a root folder (a shared path on a cluster):
 
@@ -117,23 +117,6 @@ def snapshot_retention(spark: SparkSession, root: str, as_of: str, keep_days: in
         "snapshot", "created_at", "table_name", "row_count")
 
 
-def apply_updates(ledger: Ledger, outcome, root: str, as_of: str) -> Ledger:
-    """Write the ledger state after a posting batch as a new version.
-
-    Facts are appended (transactions, alerts, audit rows); state tables
-    (accounts, limits) are replaced by the outcome's new version. The new
-    version is written as a new snapshot folder; the old one is untouched."""
-    new = ledger.with_tables(
-        transactions=ledger.transactions.unionByName(outcome.transactions),
-        alerts=ledger.alerts.unionByName(outcome.alerts),
-        audit_logs=ledger.audit_logs.unionByName(outcome.audit_logs),
-        accounts=outcome.accounts,
-        account_limits=outcome.account_limits,
-    )
-    snapshot_export(new, root, as_of, source="apply_updates")
-    return load_ledger(ledger.users.sparkSession, os.path.join(root, snapshot_name(as_of)))
-
-
 def latest_snapshot(spark: SparkSession, root: str) -> str | None:
     """Name of the newest complete snapshot (the version pointer)."""
     try:

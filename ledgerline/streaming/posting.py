@@ -1,62 +1,55 @@
 """Posting requests that arrive as a stream.
 
 ``readStream`` of request files -> ``foreachBatch`` -> ordered posting (T4) of
-the micro-batch against the newest ledger version -> the new version written
-as a new snapshot folder (S8) and the per-request results appended.
+the micro-batch against the committed ledger -> the batch appended to the
+ledger store (S8: new fact rows, new state versions, results, commit marker).
 
 Replays are harmless: ``foreachBatch`` may run a batch again after a failure,
-so requests whose id already has a result are dropped first (a left anti
-join), and ids and references are functions of the request id. Within one
-micro-batch requests post in ``(requested_at, request_id)`` order; across
-micro-batches the file order of the source decides, so producers should write
-request files in time order.
+so requests whose id already has a committed result are dropped first (a left
+anti join), ids and references are functions of the request id, and an
+uncommitted batch folder is overwritten by the retry. Within one micro-batch
+requests post in ``(requested_at, request_id)`` order; across micro-batches
+the file order of the source decides, so producers write request files in
+time order.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators import posting as T
-from ..sources import snapshots as S
-
+from ..operators import posting as P
+from ..sources import store as S
 
-def _results_path(state_root: str) -> str:
-    return os.path.join(state_root, "results")
+RESULTS = "results"
+RESULT_SCHEMA = T.StructType([
+    T.StructField("request_id", T.LongType()), T.StructField("op", T.StringType()),
+    T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
+    T.StructField("new_balance", schemas.MONEY), T.StructField("transaction_id", T.LongType()),
+])
 
 
-def stream_posting(spark: SparkSession, source_dir: str, state_root: str, checkpoint_location: str,
+def stream_posting(spark: SparkSession, source_dir: str, store_root: str, checkpoint_location: str,
                    as_of: str, max_files_per_trigger: int | None = None):
-    """Start the stream; returns the ``StreamingQuery``. The ledger must
-    already have a snapshot under ``<state_root>/ledger`` (``snapshot_export``)."""
+    """Start the stream; returns the ``StreamingQuery``. The store must hold a
+    committed batch (``store.init_store``)."""
     reader = spark.readStream.schema(schemas.struct(schemas.REQUESTS))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     stream = reader.parquet(source_dir)
-    ledger_root = os.path.join(state_root, "ledger")
-    results_path = _results_path(state_root)
 
     def post_batch(batch: DataFrame, epoch_id: int) -> None:
         s = batch.sparkSession
-        name = S.latest_snapshot(s, ledger_root)
-        ledger, _ = S.snapshot_restore(s, ledger_root, name)
-        try:
-            done = s.read.parquet(results_path).select("request_id")
-            batch = batch.join(done, "request_id", "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: no results yet
-            pass
+        ledger = S.read_store(s, store_root)
+        done = S.read_batch_rows(s, store_root, RESULTS, RESULT_SCHEMA)
+        if done is not None:
+            batch = batch.join(done.select("request_id"), "request_id", "left_anti")
         if not batch.take(1):
             return
-        out = T.post(batch, ledger, as_of)
-        # One version per micro-batch: the version stamp is as_of plus the epoch in seconds.
-        version_ts = s.range(1).select(
-            F.date_format(F.to_timestamp(F.lit(as_of)) + F.make_interval(secs=F.lit(epoch_id + 1)),
-                          "yyyy-MM-dd HH:mm:ss").alias("v")).collect()[0].v
-        S.apply_updates(ledger, out, ledger_root, version_ts)
-        out.results.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(results_path)
+        out = P.post(batch, ledger, as_of)
+        S.apply_updates(store_root, out, as_of, extra={RESULTS: out.results})
 
     return (
         stream.writeStream.foreachBatch(post_batch)
@@ -66,5 +59,5 @@ def stream_posting(spark: SparkSession, source_dir: str, state_root: str, checkp
     )
 
 
-def posted_results(spark: SparkSession, state_root: str) -> DataFrame:
-    return spark.read.parquet(_results_path(state_root)).drop("epoch")
+def posted_results(spark: SparkSession, store_root: str) -> DataFrame:
+    return S.read_batch_rows(spark, store_root, RESULTS, RESULT_SCHEMA).drop("batch")

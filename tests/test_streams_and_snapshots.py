@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline import fixtures
 from ledgerline.operators import posting as T
 from ledgerline.sources import snapshots as S
+from ledgerline.sources import store as ST
 from ledgerline.streaming import posting as XP
 from ledgerline.streaming import rates as XR
 
@@ -26,14 +27,19 @@ def test_stream_posting_in_two_batches_equals_one_batch(spark):
     # two files in time order: the second written after the first
     req.where(F.col("requested_at") < cut).coalesce(1).write.parquet(os.path.join(src, "a"))
     req.where(F.col("requested_at") >= cut).coalesce(1).write.mode("append").parquet(os.path.join(src, "b"))
-    S.snapshot_export(f.ledger, os.path.join(root, "state", "ledger"), AS_OF)
-    q = XP.stream_posting(spark, os.path.join(src, "*"), os.path.join(root, "state"), os.path.join(root, "ckpt"),
+    store_root = os.path.join(root, "store")
+    ST.init_store(f.ledger, store_root, AS_OF)
+    q = XP.stream_posting(spark, os.path.join(src, "*"), store_root, os.path.join(root, "ckpt"),
                           AS_OF, max_files_per_trigger=1)
     q.awaitTermination()
     streamed = {r.request_id: (r.accepted, r.reason, r.new_balance) for r in
-                XP.posted_results(spark, os.path.join(root, "state")).collect()}
+                XP.posted_results(spark, store_root).collect()}
     batch = {r.request_id: (r.accepted, r.reason, r.new_balance) for r in T.post(req, f.ledger, AS_OF).results.collect()}
     assert streamed == batch
+    assert ST.committed(spark, store_root) == 2  # two micro-batches after batch 0
+    final = ST.read_store(spark, store_root)
+    assert final.transactions.count() == f.ledger.transactions.count() + \
+        sum(1 for r in T.post(req, f.ledger, AS_OF).transactions.collect())
 
 
 def test_rate_breaches_stream_equals_batch(spark):
