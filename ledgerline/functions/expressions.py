@@ -35,6 +35,25 @@ QUEUE_STATUSES = ("pending", "processing", "completed", "failed")
 LARGE_DEPOSIT_THRESHOLD = 10000
 LOW_BALANCE_THRESHOLD = 100
 
+# Alert rules: (type, severity, title, message format).
+ALERT_LARGE_DEPOSIT = ("large_transaction", "info", "Large Deposit", "A deposit of $%s was made to account %s")
+ALERT_LOW_BALANCE = ("low_balance", "warning", "Low Balance Alert", "Your account %s balance is $%s")
+ALERT_TRANSFER_RECEIVED = ("transfer_received", "info", "Transfer Received", "You received $%s from account %s")
+
+# Transaction descriptions and display defaults.
+TRANSFER_OUT_DESCRIPTION = "Transfer to %s: %s"
+TRANSFER_IN_DESCRIPTION = "Transfer from %s: %s"
+DEFAULT_DESCRIPTIONS = {"deposit": "Deposit", "withdrawal": "Withdrawal", "transfer": "Transfer"}
+INITIAL_DEPOSIT_DESCRIPTION = "Initial deposit"
+NO_DESCRIPTION = "No description"
+DEFAULT_CLOSE_REASON = "Customer request"
+
+# Audit actions and the entity they name.
+AUDIT_BALANCE_CHANGE = "balance_change"
+AUDIT_ACCOUNT_CREATED = "account_created"
+AUDIT_ACCOUNT_CLOSED = "account_closed"
+AUDIT_ENTITY_ACCOUNT = "account"
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c

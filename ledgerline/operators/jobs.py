@@ -81,7 +81,7 @@ def create_accounts(requests: DataFrame, ledger: Ledger, as_of: str, rules: str
     tx = schemas.conform(good.where(F.col("opening") > 0).select(
         (F.col("_tb") + 2 * F.col("request_id")).alias("id"), F.col("account_id"), F.lit("deposit").alias("type"),
         F.col("opening").alias("amount"), F.lit(0).alias("balance_before"), F.col("opening").alias("balance_after"),
-        F.lit("Initial deposit").alias("description"),
+        F.lit(X.INITIAL_DEPOSIT_DESCRIPTION).alias("description"),
         X.stable_uuid(F.lit("open"), F.col("request_id")).alias("reference_number"),
         F.lit("completed").alias("status"), now.alias("created_at"), now.alias("completed_at"),
     ), schemas.TABLES["transactions"])
@@ -93,7 +93,7 @@ def create_accounts(requests: DataFrame, ledger: Ledger, as_of: str, rules: str
             "period", F.lit(0).alias("current_usage"), now.alias("created_at"), now.alias("updated_at"))
         audit = good.select(
             (F.col("_xb") + F.col("request_id")).alias("id"), "user_id", "account_id",
-            F.lit("account_created").alias("action"), F.lit("account").alias("entity_type"),
+            F.lit(X.AUDIT_ACCOUNT_CREATED).alias("action"), F.lit(X.AUDIT_ENTITY_ACCOUNT).alias("entity_type"),
             F.col("account_id").alias("entity_id"),
             X.json_object(account_number=F.col("account_number"), type=F.col("account_type"),
                           balance=F.col("opening")).alias("new_values"),
@@ -145,12 +145,12 @@ def close_accounts(requests: DataFrame, ledger: Ledger, as_of: str) -> Closed:
     ])
     audit = _with_bases(closed, _base(ledger.audit_logs, "_xb")).select(
         (F.col("_xb") + F.col("request_id")).alias("id"), "user_id", "account_id",
-        F.lit("account_closed").alias("action"), F.lit("account").alias("entity_type"),
+        F.lit(X.AUDIT_ACCOUNT_CLOSED).alias("action"), F.lit(X.AUDIT_ENTITY_ACCOUNT).alias("entity_type"),
         F.col("account_id").alias("entity_id"),
         X.json_object(status=F.lit("active")).alias("old_values"),
         X.json_object(status=F.lit("closed"), closed_at=now).alias("new_values"),
         now.alias("created_at"),
-        X.json_object(reason=F.coalesce("reason", F.lit("Customer request"))).alias("metadata"),
+        X.json_object(reason=F.coalesce("reason", F.lit(X.DEFAULT_CLOSE_REASON))).alias("metadata"),
     )
     return Closed(results, accounts, schemas.conform(audit, schemas.TABLES["audit_logs"]))
 
@@ -213,7 +213,7 @@ def balance_audit(old: DataFrame, new: DataFrame, as_of: str, audit_logs: DataFr
         j = j.withColumn("_xb", F.lit(0).cast("bigint"))
     out = j.select(
         (F.col("_xb") + F.col("id")).alias("id"), F.col("id").alias("account_id"),
-        F.lit("balance_change").alias("action"), F.lit("account").alias("entity_type"),
+        F.lit(X.AUDIT_BALANCE_CHANGE).alias("action"), F.lit(X.AUDIT_ENTITY_ACCOUNT).alias("entity_type"),
         F.col("id").alias("entity_id"),
         X.json_object(balance=F.col("_ob"), updated_at=F.col("_ou")).alias("old_values"),
         X.json_object(balance=F.col("balance"), updated_at=now).alias("new_values"),
@@ -257,17 +257,17 @@ def alert_rules(posted: DataFrame, accounts: DataFrame, rule: str) -> DataFrame:
     amt = F.col("amount").cast("string")
     if rule == "large_deposit":
         src = posted.where((F.col("type") == "deposit") & (F.col("amount") > X.LARGE_DEPOSIT_THRESHOLD))
-        kind, sev, title = "large_transaction", "info", "Large Deposit"
-        msg = F.format_string("A deposit of $%s was made to account %s", amt, F.col("_num"))
+        kind, sev, title, fmt = X.ALERT_LARGE_DEPOSIT
+        msg = F.format_string(fmt, amt, F.col("_num"))
     elif rule == "low_balance":
         src = posted.where((F.col("type") == "withdrawal") & (F.col("balance_after") < X.LOW_BALANCE_THRESHOLD))
-        kind, sev, title = "low_balance", "warning", "Low Balance Alert"
-        msg = F.format_string("Your account %s balance is $%s", F.col("_num"), F.col("balance_after").cast("string"))
+        kind, sev, title, fmt = X.ALERT_LOW_BALANCE
+        msg = F.format_string(fmt, F.col("_num"), F.col("balance_after").cast("string"))
     elif rule == "transfer_received":
         src = posted.where((F.col("type") == "deposit") & F.col("transfer_ref").isNotNull())
         src = src.join(other, F.col("related_account_id") == F.col("_rid"), "left")
-        kind, sev, title = "transfer_received", "info", "Transfer Received"
-        msg = F.format_string("You received $%s from account %s", amt, F.col("_from"))
+        kind, sev, title, fmt = X.ALERT_TRANSFER_RECEIVED
+        msg = F.format_string(fmt, amt, F.col("_from"))
     else:
         raise ValueError(rule)
     j = src.join(acc, F.col("account_id") == F.col("_aid"), "inner")

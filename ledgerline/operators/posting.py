@@ -498,12 +498,13 @@ def _outcome(checked, legs, posted, ledger: Ledger, as_of: str, rules: str, roun
     tx_id = F.col("_base") + 2 * F.col("request_id") + F.col("leg")
     desc = (
         F.when(is_transfer & (F.col("leg") == 0),
-               F.format_string("Transfer to %s: %s", F.col("to_account"), F.coalesce("description", F.lit("Transfer"))))
-        .when(is_transfer, F.format_string("Transfer from %s: %s", F.col("account_number"),
-                                           F.coalesce("description", F.lit("Transfer"))))
+               F.format_string(X.TRANSFER_OUT_DESCRIPTION, F.col("to_account"),
+                               F.coalesce("description", F.lit(X.DEFAULT_DESCRIPTIONS["transfer"]))))
+        .when(is_transfer, F.format_string(X.TRANSFER_IN_DESCRIPTION, F.col("account_number"),
+                               F.coalesce("description", F.lit(X.DEFAULT_DESCRIPTIONS["transfer"]))))
         .when(F.lit(rules == "api"), F.col("description"))
-        .when(F.col("op") == "deposit", F.coalesce("description", F.lit("Deposit")))
-        .otherwise(F.coalesce("description", F.lit("Withdrawal")))
+        .when(F.col("op") == "deposit", F.coalesce("description", F.lit(X.DEFAULT_DESCRIPTIONS["deposit"])))
+        .otherwise(F.coalesce("description", F.lit(X.DEFAULT_DESCRIPTIONS["withdrawal"])))
     )
     with_balances = rules != "api"
     tx = p.select(
@@ -559,7 +560,7 @@ def _outcome(checked, legs, posted, ledger: Ledger, as_of: str, rules: str, roun
     # --- balance_change audit rows, one per accepted leg (the trigger fires per update)
     audit = p.select(
         tx_id.alias("id"), F.col("acct").alias("account_id"), tx_id.alias("transaction_id"),
-        F.lit("balance_change").alias("action"), F.lit("account").alias("entity_type"),
+        F.lit(X.AUDIT_BALANCE_CHANGE).alias("action"), F.lit(X.AUDIT_ENTITY_ACCOUNT).alias("entity_type"),
         F.col("acct").alias("entity_id"),
         X.json_object(balance=F.col("balance_before")).alias("old_values"),
         X.json_object(balance=F.col("balance_after"), updated_at=F.col("requested_at")).alias("new_values"),
@@ -584,18 +585,20 @@ def posting_alerts(posted: DataFrame, checked: DataFrame, nums: DataFrame, rules
     low = (op == "withdrawal") & (F.col("balance_after") < X.LOW_BALANCE_THRESHOLD)
     received = (op == "transfer") & (leg == 1)
     fired = p.where(large | low | received)
+
+    def pick(i):
+        return (F.when(large, F.lit(X.ALERT_LARGE_DEPOSIT[i])).when(low, F.lit(X.ALERT_LOW_BALANCE[i]))
+                .otherwise(F.lit(X.ALERT_TRANSFER_RECEIVED[i])))
+
     out = fired.select(
         F.col("request_id").alias("id"),
         F.when(received, F.col("dst_user")).otherwise(F.col("src_user")).alias("user_id"),
         F.col("acct").alias("account_id"),
-        F.when(large, "large_transaction").when(low, "low_balance").otherwise("transfer_received").alias("type"),
-        F.when(low, "warning").otherwise("info").alias("severity"),
-        F.when(large, "Large Deposit").when(low, "Low Balance Alert").otherwise("Transfer Received").alias("title"),
-        F.when(large, F.format_string("A deposit of $%s was made to account %s",
-                                      F.col("amount").cast("string"), F.col("account_number")))
-        .when(low, F.format_string("Your account %s balance is $%s", F.col("account_number"),
+        pick(0).alias("type"), pick(1).alias("severity"), pick(2).alias("title"),
+        F.when(large, F.format_string(X.ALERT_LARGE_DEPOSIT[3], F.col("amount").cast("string"), F.col("account_number")))
+        .when(low, F.format_string(X.ALERT_LOW_BALANCE[3], F.col("account_number"),
                                    F.col("balance_after").cast("string")))
-        .otherwise(F.format_string("You received $%s from account %s", F.col("amount").cast("string"),
+        .otherwise(F.format_string(X.ALERT_TRANSFER_RECEIVED[3], F.col("amount").cast("string"),
                                    F.col("account_number"))).alias("message"),
         F.lit(False).alias("is_read"),
         F.col("requested_at").alias("created_at"),

@@ -61,7 +61,7 @@ def statement_lines(transactions: DataFrame) -> DataFrame:
     return transactions.select(
         F.col("id").alias("transaction_id"),
         X.upper_first("type").alias("type_label"),
-        X.js_default("description", "No description").alias("description_text"),
+        X.js_default("description", X.NO_DESCRIPTION).alias("description_text"),
         X.signed_display_amount("type", "amount").alias("amount_text"),
     )
 

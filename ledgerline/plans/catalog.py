@@ -4,7 +4,7 @@ oracle per operator key of the inventory.
 Every query reads the test tables of ``sf_dir`` through the fixture views and
 runs the library's operator over the whole of them. The oracle text starts
 with the same fixture views as ``WITH`` clauses and is written independently
-of the Spark code (plain SQL, often the reference's own statement).
+of the Spark code, as plain SQL.
 """
 
 from __future__ import annotations

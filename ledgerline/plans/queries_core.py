@@ -248,16 +248,22 @@ def q_purge_accounts(spark, sf_dir):
 @register("account_summaries", views=("accounts", "users", "transactions"), oracle="""
 SELECT a.id AS account_id, a.account_number, a.account_type, a.balance, a.currency, a.status,
   a.created_at AS account_created_at, u.id AS user_id, u.first_name, u.last_name, u.email, u.phone,
-  COUNT(DISTINCT t.id) AS total_transactions,
-  COUNT(DISTINCT t.id) FILTER (WHERE t.type = 'deposit' AND t.status = 'completed') AS total_deposits,
-  COUNT(DISTINCT t.id) FILTER (WHERE t.type = 'withdrawal' AND t.status = 'completed') AS total_withdrawals,
-  CAST(COALESCE(SUM(t.amount) FILTER (WHERE t.type = 'deposit' AND t.status = 'completed'), 0) AS DECIMAL(25,2)) AS total_deposited,
-  CAST(COALESCE(SUM(t.amount) FILTER (WHERE t.type = 'withdrawal' AND t.status = 'completed'), 0) AS DECIMAL(25,2)) AS total_withdrawn,
-  MAX(t.created_at) AS last_transaction_at
-FROM accounts a JOIN users u ON a.user_id = u.id LEFT JOIN transactions t ON a.id = t.account_id
-WHERE u.deleted_at IS NULL
-GROUP BY a.id, a.account_number, a.account_type, a.balance, a.currency, a.status, a.created_at,
-  u.id, u.first_name, u.last_name, u.email, u.phone""")
+  COALESCE(s.n_all, 0) AS total_transactions, COALESCE(s.n_dep, 0) AS total_deposits,
+  COALESCE(s.n_wd, 0) AS total_withdrawals,
+  CAST(COALESCE(s.sum_dep, 0) AS DECIMAL(25,2)) AS total_deposited,
+  CAST(COALESCE(s.sum_wd, 0) AS DECIMAL(25,2)) AS total_withdrawn,
+  s.last_at AS last_transaction_at
+FROM accounts a
+JOIN users u ON u.id = a.user_id AND u.deleted_at IS NULL
+LEFT JOIN (
+  SELECT account_id,
+    COUNT(DISTINCT id) AS n_all,
+    COUNT(DISTINCT CASE WHEN type = 'deposit' AND status = 'completed' THEN id END) AS n_dep,
+    COUNT(DISTINCT CASE WHEN type = 'withdrawal' AND status = 'completed' THEN id END) AS n_wd,
+    SUM(CASE WHEN type = 'deposit' AND status = 'completed' THEN amount END) AS sum_dep,
+    SUM(CASE WHEN type = 'withdrawal' AND status = 'completed' THEN amount END) AS sum_wd,
+    MAX(created_at) AS last_at
+  FROM transactions GROUP BY account_id) s ON s.account_id = a.id""")
 def q_account_summaries(spark, sf_dir):
     return A.account_summaries(fx(spark, sf_dir).ledger)
 
@@ -273,22 +279,27 @@ def q_daily_transaction_summary(spark, sf_dir):
 
 @register("account_summary_report", views=("accounts", "transactions"), oracle="""
 SELECT a.account_number, a.account_type, a.balance,
-  CAST(COALESCE(SUM(t.amount) FILTER (WHERE t.type = 'deposit' AND t.status = 'completed'), 0) AS DECIMAL(15,2)) AS total_deposits,
-  CAST(COALESCE(SUM(t.amount) FILTER (WHERE t.type = 'withdrawal' AND t.status = 'completed'), 0) AS DECIMAL(15,2)) AS total_withdrawals,
-  COUNT(t.id) FILTER (WHERE t.status = 'completed') AS transaction_count,
-  MAX(t.created_at) AS last_transaction
-FROM accounts a LEFT JOIN transactions t ON a.id = t.account_id
-GROUP BY a.id, a.account_number, a.account_type, a.balance""")
+  CAST(COALESCE(s.dep, 0) AS DECIMAL(15,2)) AS total_deposits,
+  CAST(COALESCE(s.wd, 0) AS DECIMAL(15,2)) AS total_withdrawals,
+  COALESCE(s.n_done, 0) AS transaction_count, s.last_at AS last_transaction
+FROM accounts a LEFT JOIN (
+  SELECT account_id,
+    SUM(CASE WHEN status = 'completed' AND type = 'deposit' THEN amount END) AS dep,
+    SUM(CASE WHEN status = 'completed' AND type = 'withdrawal' THEN amount END) AS wd,
+    COUNT(CASE WHEN status = 'completed' THEN id END) AS n_done,
+    MAX(created_at) AS last_at
+  FROM transactions GROUP BY account_id) s ON s.account_id = a.id""")
 def q_account_summary_report(spark, sf_dir):
     return A.account_summary_report(fx(spark, sf_dir).ledger)
 
 
 @register("balance_reconciliation", views=("accounts", "transactions"), oracle=f"""
 SELECT a.account_number, a.balance AS current_balance,
-  CAST(COALESCE(SUM({SIGNED_SQL.replace('type', 't.type').replace('amount', 't.amount')}), 0) AS DECIMAL(25,2)) AS calculated_balance
-FROM accounts a LEFT JOIN transactions t ON a.id = t.account_id AND t.status = 'completed'
-GROUP BY a.id, a.account_number, a.balance
-HAVING a.balance <> COALESCE(SUM({SIGNED_SQL.replace('type', 't.type').replace('amount', 't.amount')}), 0)""")
+  CAST(COALESCE(s.total, 0) AS DECIMAL(25,2)) AS calculated_balance
+FROM accounts a LEFT JOIN (
+  SELECT account_id, SUM({SIGNED_SQL}) AS total FROM transactions WHERE status = 'completed' GROUP BY account_id
+) s ON s.account_id = a.id
+WHERE a.balance <> COALESCE(s.total, 0)""")
 def q_balance_reconciliation(spark, sf_dir):
     return A.balance_reconciliation(fx(spark, sf_dir).ledger)
 
