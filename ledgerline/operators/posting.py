@@ -225,6 +225,8 @@ def _bounds(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
         (F.col("bal0") + F.col("adj_bal") + tot["a_cr"] + tot["u_cr"] - tot["a_db"]).alias("high"),
         (F.col("use0") + F.col("adj_use") + tot["a_use"]).alias("use_low"),
         (F.col("use0") + F.col("adj_use") + tot["a_use"] + tot["u_use"]).alias("use_high"),
+        # an undecided leg comes earlier in this account (valid amounts are > 0)
+        ((tot["u_cr"] + tot["u_db"]) > 0).alias("_open_before"),
     )
 
 
@@ -262,7 +264,8 @@ def _decide(b: DataFrame, rules: str) -> DataFrame:
         .when(ok_low & wd & ~lim_ok(F.col("use_low")), F.lit("daily_limit_exceeded"))
     )
     newly = undecided_debit & (new_state != UNKNOWN)
-    return b.select(*[c for c in b.columns if c not in ("state", "reason", "low", "high", "use_low", "use_high")],
+    return b.select(*[c for c in b.columns if c not in ("state", "reason", "low", "high", "use_low", "use_high",
+                                                        "_open_before")],
                     new_state.alias("state"), new_reason.alias("reason"), newly.alias("_new"))
 
 
@@ -281,10 +284,9 @@ def _fold(b: DataFrame, rules: str, k: int = FOLD_LEGS) -> DataFrame:
     ``k`` legs of one account. The fold stops at an undecided transfer credit
     (its outcome belongs to another account). Returns (request_id, leg,
     _fs, _fr) for the legs it decided."""
-    unknown = F.col("state") == UNKNOWN
-    key = F.struct(*ORDER)
-    first = b.where(unknown).groupBy(F.col("acct").alias("_fa")).agg(F.min(key).alias("_fk"))
-    opened = b.join(first, F.col("acct") == F.col("_fa"), "inner").where(key >= F.col("_fk"))
+    # from each account's first undecided leg on (no aggregate or join needed:
+    # the bounds pass already knows whether an undecided leg comes earlier)
+    opened = b.where((F.col("state") == UNKNOWN) | F.col("_open_before"))
     w = Window.partitionBy("acct").orderBy(*ORDER)
     head = opened.select("*", F.row_number().over(w).alias("_pos")).where(F.col("_pos") <= int(k))
     fields = ["_pos", "request_id", "leg", "op", "credit", "state", "amount", "od", "lim", "usage", "low", "use_low"]
