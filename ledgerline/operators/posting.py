@@ -358,8 +358,13 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
         rounds += 1
         b = _bounds(legs, multi_chunk).persist(StorageLevel.MEMORY_AND_DISK)
         by_bounds = _decide(b, rules)
-        # the fold's output is at most FOLD_LEGS rows per open account; AQE picks the join
-        both = by_bounds.join(_fold(b, rules, fold_legs), ["request_id", "leg"], "left")
+        # The fold's output is at most FOLD_LEGS rows per open account; broadcast
+        # it when its counted size allows, so the legs are not shuffled for this join.
+        folded_cached = _fold(b, rules, fold_legs).persist(StorageLevel.MEMORY_AND_DISK)
+        folded = folded_cached
+        if folded_cached.count() <= broadcast_rows:
+            folded = F.broadcast(folded_cached)
+        both = by_bounds.join(folded, ["request_id", "leg"], "left")
         from_fold = (F.col("state") == UNKNOWN) & F.col("_fs").isNotNull() & ~F.col("credit")
         step = both.select(*[
             F.when(from_fold, F.col("_fs")).otherwise(F.col("state")).alias("state") if c == "state"
@@ -388,6 +393,7 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
         legs = _set_aside(nxt, cols, settled_root, rounds, final=unknown == 0) if set_aside else _freeze(nxt)
         step.unpersist()
         b.unpersist()
+        folded_cached.unpersist()
         log.info("posting round %d: %d undecided legs left (was %d)", rounds, unknown, before)
         if unknown >= before:  # cannot happen: the earliest undecided request always settles
             raise RuntimeError("posting made no progress in a round")
