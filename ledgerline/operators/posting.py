@@ -236,7 +236,7 @@ def _decide(b: DataFrame, rules: str) -> DataFrame:
     wd = F.col("op") == "withdrawal"
 
     if rules == "api":
-        def bal_ok(bal):  # the API rejects only when both tests fail (API:325)
+        def bal_ok(bal):  # the REST endpoint rejects only when both tests fail
             return (bal >= x) | ((bal - x) >= -od)
     else:
         def bal_ok(bal):

@@ -78,3 +78,16 @@ def test_create_and_close_accounts(spark):
     n_ok = closed.results.where("accepted").count()
     assert n_ok == closed.audit_logs.count() > 0
     assert closed.accounts.where("status = 'closed' AND closed_at IS NOT NULL").count() >= n_ok
+
+
+def test_request_log_files_round_trip(spark):
+    import os
+    import tempfile
+
+    f = fixtures.build(spark, SF_SMALL)
+    log = f["request_log"]
+    path = os.path.join(tempfile.mkdtemp(prefix="ll-log-"), "log")
+    R.request_log_lines(log).write.text(path)  # one JSON object per line
+    back = R.read_request_log(spark, path=path)
+    cols = ["ts", "method", "route", "status_code", "duration_s", "ip"]
+    assert sorted(back.select(*cols).collect()) == sorted(log.select(*cols).collect())
