@@ -539,3 +539,52 @@ def q_post_withdrawals_api(spark, sf_dir):
     (``balance < amount AND balance - amount < -overdraft`` rejects), no limits."""
     f = fx(spark, sf_dir)
     return T.post(f["post_requests"].where(F.col("op") == "withdrawal"), f.ledger, AS_OF, rules="api").results
+
+
+def _transfer_bodies(f):
+    """Transfer request bodies as the API receives them (JSON text)."""
+    r = f["post_requests"].where(F.col("op") == "transfer")
+    return r.select("request_id", F.to_json(F.struct(
+        F.col("account_number").alias("fromAccount"), F.col("to_account").alias("toAccount"),
+        F.col("amount").alias("amount"), F.col("description").alias("description"))).alias("body"))
+
+
+def _account_bodies(f):
+    """Account-creation bodies (names and email of the requesting user, the
+    opening amount as initialDeposit)."""
+    u = f.ledger.users.select(F.col("id").alias("_uid"), "first_name", "last_name", "email")
+    r = f["create_requests"].join(u, F.col("user_id") == F.col("_uid"), "left")
+    return r.select("request_id", F.to_json(F.struct(
+        F.col("first_name").alias("firstName"), F.col("last_name").alias("lastName"), F.col("email").alias("email"),
+        F.col("initial_balance").alias("initialDeposit"))).alias("body"))
+
+
+@register("transfer_request_validation", views=("post_requests",), oracle="""
+SELECT request_id, reason IS NULL AS valid, reason FROM (
+  SELECT request_id, CASE
+    WHEN COALESCE(account_number, '') = '' OR COALESCE(to_account, '') = '' OR amount IS NULL THEN 'missing_fields'
+    WHEN NOT regexp_matches(account_number, '^KB[0-9]+$') OR NOT regexp_matches(to_account, '^KB[0-9]+$')
+      THEN 'invalid_account_number'
+    WHEN amount <= 0 THEN 'invalid_amount'
+    WHEN account_number = to_account THEN 'same_account' END AS reason
+  FROM post_requests WHERE op = 'transfer')""")
+def q_transfer_request_validation(spark, sf_dir):
+    """The API's transfer checks on transfer request bodies."""
+    bodies = _transfer_bodies(fx(spark, sf_dir))
+    parsed = R.read_requests(bodies, schema=R.TRANSFER_BODY)
+    return V.validate_transfer_requests(parsed).select("request_id", "valid", "reason")
+
+
+@register("account_request_validation", views=("users", "create_requests"), oracle=f"""
+SELECT request_id, reason IS NULL AS valid, reason FROM (
+  SELECT r.request_id, CASE
+    WHEN COALESCE(u.first_name, '') = '' OR COALESCE(u.last_name, '') = '' OR COALESCE(u.email, '') = ''
+      THEN 'missing_fields'
+    WHEN NOT regexp_matches(u.email, '{X.EMAIL_API_RULE}') THEN 'invalid_email'
+    WHEN r.initial_balance < 0 THEN 'invalid_initial_deposit' END AS reason
+  FROM create_requests r LEFT JOIN users u ON u.id = r.user_id)""")
+def q_account_request_validation(spark, sf_dir):
+    """The API's account-creation checks on creation request bodies."""
+    bodies = _account_bodies(fx(spark, sf_dir))
+    parsed = R.read_requests(bodies, schema=R.ACCOUNT_BODY)
+    return V.validate_account_requests(parsed).select("request_id", "valid", "reason")
