@@ -91,3 +91,16 @@ def test_request_log_files_round_trip(spark):
     back = R.read_request_log(spark, path=path)
     cols = ["ts", "method", "route", "status_code", "duration_s", "ip"]
     assert sorted(back.select(*cols).collect()) == sorted(log.select(*cols).collect())
+
+
+def test_api_account_creation_and_repeated_close(spark):
+    f = fixtures.build(spark, SF_SMALL)
+    created = JB.create_accounts(f["create_requests"], f.ledger, AS_OF, rules="api")
+    assert created.account_limits.count() == 0 and created.audit_logs.count() == 0
+    zero = [r.account_number for r in f.ledger.accounts.where("status = 'active' AND balance = 0").collect()]
+    busy = [r.account_number for r in f.ledger.accounts.where("status = 'active' AND balance <> 0").limit(1).collect()]
+    req = spark.createDataFrame(
+        [(1, zero[0], None), (2, zero[0], None), (3, busy[0], None), (4, busy[0], None)],
+        "request_id long, account_number string, reason string")
+    got = {r.request_id: r.reason for r in JB.close_accounts(req, f.ledger, AS_OF).results.collect()}
+    assert got == {1: None, 2: "account_not_found", 3: "non_zero_balance", 4: "non_zero_balance"}
