@@ -362,7 +362,9 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
         # it when its counted size allows, so the legs are not shuffled for this join.
         folded_cached = _fold(b, rules, fold_legs).persist(StorageLevel.MEMORY_AND_DISK)
         folded = folded_cached
-        if folded_cached.count() <= broadcast_rows:
+        # Each open account adds at most fold_legs rows and has an undecided
+        # leg, so fold_legs * unknown bounds the size without counting.
+        if fold_legs * unknown <= broadcast_rows or folded_cached.count() <= broadcast_rows:
             folded = F.broadcast(folded_cached)
         both = by_bounds.join(folded, ["request_id", "leg"], "left")
         from_fold = (F.col("state") == UNKNOWN) & F.col("_fs").isNotNull() & ~F.col("credit")
