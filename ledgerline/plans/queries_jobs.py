@@ -588,3 +588,10 @@ def q_account_request_validation(spark, sf_dir):
     bodies = _account_bodies(fx(spark, sf_dir))
     parsed = R.read_requests(bodies, schema=R.ACCOUNT_BODY)
     return V.validate_account_requests(parsed).select("request_id", "valid", "reason")
+
+
+@register("quality_report", views=ALL_TABLES, oracle=" UNION ALL ".join([
+    _dq_sql_not_null(), _dq_sql_unique(), _dq_sql_domain(), _dq_sql_format(), _dq_sql_range(), _dq_sql_fk()]))
+def q_quality_report(spark, sf_dir):
+    """Q1-Q6 in one violations report (table_name, rule, column_name, row_key, value, n_rows)."""
+    return Q.quality_report(fx(spark, sf_dir).ledger)
