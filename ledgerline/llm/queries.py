@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, packing
+from . import common, decontaminate, htmltext, packing, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,66 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         decontaminate.items_digest().alias("items_sha256"), "contaminated",
     )
+
+
+#: The site rules of the contract.
+SITE_RULES = (
+    urlfilter.site_rule("block", "net/"), urlfilter.site_rule("allow", "example.net/en/"),
+    urlfilter.site_rule("block", "example.com/de/"), urlfilter.site_rule("allow", "org/fr/"),
+)
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the site rules, then by the pattern rules."""
+    pages = common.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlfilter.filter_urls(pages, SITE_RULES + urlfilter.DEFAULT_TERMS)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten largest integer inner products of every vector whose id is divisible by 100."""
+    found = topk.top_k(common.read_table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page (conditional random field over leaf blocks)."""
+    pages = common.read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+_URL_WORDS = "|".join("[^a-z0-9]".join(t.tokens) for t in urlfilter.DEFAULT_TERMS)
+
+ORACLES["op3_url_filter"] = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+  SELECT page_id, translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), ruled AS (
+  SELECT page_id, low, host, path, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM cut
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(low, '(^|[^a-z0-9])({_URL_WORDS})($|[^a-z0-9])') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled"""
+
+ORACLES["op7_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10"""
