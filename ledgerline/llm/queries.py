@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, htmltext, packing, topk, urlfilter
+from . import common, decontaminate, htmltext, packing, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record into seekable bundles, and read back."""
+    pages = common.read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = common.shared_folder(common.prepare(spark), "warc")
+    index = warc.write(pages, folder)
+    return warc.read(index, folder, payloads=False).select(
+        F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT payload_digest, max(page_id) AS r FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN r IS NULL OR r = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN r <> page_id THEN r END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)"""
+
+
 #: The site rules of the contract.
 SITE_RULES = (
     urlfilter.site_rule("block", "net/"), urlfilter.site_rule("allow", "example.net/en/"),
