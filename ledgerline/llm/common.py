@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -121,4 +120,58 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
     return labels
 
 
-Rows = Callable[..., object]
+
+
+# --- Bloom filters: fewer rows shuffled before an exact join ---------------------
+
+
+class Bloom:
+    """A set of 64-bit integers with false positives; used only before a join that is
+    exact, so its size bounds memory and not the result."""
+
+    def __init__(self, bits: int, data: np.ndarray | None = None):
+        self.bits = bits
+        self.data = np.zeros(bits // 8, dtype=np.uint8) if data is None else data
+
+    def _places(self, values: np.ndarray) -> list[np.ndarray]:
+        h = mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        mask = np.uint64(self.bits - 1)
+        return [(h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)]
+
+    def add(self, values: np.ndarray) -> None:
+        for at in self._places(values):
+            np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def __contains__(self, value: int) -> bool:
+        return bool(self.test(np.asarray([value], dtype=np.int64))[0])
+
+    def test(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), dtype=bool)
+        for at in self._places(values):
+            out &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+#: Largest Bloom filter: 2^27 bits are 16 MB.
+BLOOM_BITS = 1 << 27
+
+
+def bloom(df: DataFrame, column: str, count: int, tasks: int = 6):
+    """A broadcast Bloom filter of a bigint column: 16 bits a value and at most
+    ``BLOOM_BITS``. The ``tasks`` partial filters are the only data that reach the driver."""
+    import pyarrow as pa
+
+    bits = 1 << 13
+    while bits < min(16 * count, BLOOM_BITS):
+        bits *= 2
+
+    def run(batches):
+        part = Bloom(bits)
+        for batch in batches:
+            part.add(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([part.data.tobytes()], pa.binary())], names=["data"])
+
+    whole = np.zeros(bits // 8, dtype=np.uint8)
+    for row in df.select(F.col(column).cast("bigint")).coalesce(tasks).mapInArrow(run, "data binary").toLocalIterator():
+        whole |= np.frombuffer(row["data"], np.uint8)
+    return df.sparkSession.sparkContext.broadcast(Bloom(bits, whole))
