@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, htmltext, jaccard, packing, topk, urlfilter, warc
+from . import common, decontaminate, htmltext, jaccard, knmodel, packing, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(common.read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under its language's model of trusted text, and the verdict."""
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = knmodel.classify(docs, common.read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside 13-word windows of the benchmark (winnowing)."""
