@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, htmltext, jaccard, knmodel, packing, topk, urlfilter, warc
+from . import common, decontaminate, htmltext, jaccard, knmodel, packing, surrogates, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,17 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(common.read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+#: The key of the registered query; a deployment passes its own secret.
+PII_KEY = "registered-query"
+
+
+@query
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by consistent surrogates."""
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, PII_KEY).select("doc_id", "text", "n_entities")
+
+
 @query
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under its language's model of trusted text, and the verdict."""
