@@ -1,24 +1,27 @@
 """N-gram Jaccard join by prefix trees.
 
-A text is its set of word shingles, kept as 62-bit hashes in one global order: rare
-shingles first, and the most frequent ones (counted over all texts) last. Texts of equal
+A text is its set of word shingles, kept as 62-bit hashes in one global order. Texts of equal
 sets form a class, and one text stands for each class.
 
-Two sets whose Jaccard similarity reaches ``num / den`` share a shingle among the
-first ``n - ceil(n num / den) + 1`` of each. Sets are dealt by these shingles to groups,
-in blocks of at most ``block`` sets. A block's sets are stored in a path-compressed trie; each
-set walks it once for all that share a path, counts the overlap on the way, and leaves a
-subtree when what remains of either set cannot reach the overlap that the lengths
-require.
+*Dealing.* A set's shingles are dealt by hash into ``m`` parts, and the hash of a part's shingles is a
+signature. Sets that reach the similarity differ in at most ``d`` shingles; with ``m`` above ``d`` by
+more than the parts that may be empty, they agree in a part that is not. So linked sets share a
+signature, and others hardly ever do, however frequent single shingles are. ``m`` follows from the
+size class (sizes in a ratio of 1.5); a set close below a class's end also gets the next
+class's signatures. Classes of texts that share a signature form a group, in blocks of at most ``block``.
 
-1. *Whole sets.* Each class goes to the group of its first shingle that another class
-   shares. The walk is exact there, and sets already connected are passed over, so a
-   large group of copies costs about one comparison a member.
+*Joining.* A block's sets are stored in a path-compressed trie; each set walks it once for all that share a
+path, counts the overlap on the way, and leaves a subtree when what remains of either set
+cannot reach the overlap that the lengths require.
+
+1. *Whole sets.* Each class goes to the group of its first shared signature. The walk is exact
+   there, and sets already connected are passed over, so a large group of copies costs about one
+   comparison a member.
 2. *Prefixes.* What the first round connected need not meet again: only groups that
-   still hold sets of different components (and of lengths that can match) are joined,
-   by tries of the prefixes. In a group of several blocks the sets outside its largest
-   component visit all blocks. Pairs that survive the bounds are verified on whole sets.
-   Every pair shares such a group, so no link is lost.
+   still hold sets of different components are joined, by tries of the prefixes (the first
+   ``n - ceil(n num / den) + 1`` shingles in the global order). In a group of several blocks the sets outside its
+   largest component visit all blocks. Pairs that survive the bounds are verified on whole
+   sets. No link is lost, since every linked pair shares a group.
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than
 a shingle are one shingle. Rows with the same id count as one document, linked with all that any of
@@ -28,6 +31,7 @@ no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +41,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Shingles whose rank by frequency is kept; the order of all others is by hash.
-HEAVY = 1 << 16
 BLOCK = 256
-_NORMAL = np.uint64(2)  # bits that a hash gives up, so that frequent shingles sort last
+#: Ratio of the largest to the smallest size of a size class.
+CLASS_RATIO = 1.5
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,26 +55,70 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.int64)
-    return (common.hash_ngrams(common.hash_words(words), min(n, len(words))) >> _NORMAL).astype(np.int64)
+    return (common.hash_ngrams(common.hash_words(words), min(n, len(words))) >> np.uint64(2)).astype(np.int64)
 
 
-def ordered_set(text: str | None, n: int, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The distinct shingles in the global order; ``heavy``: sorted hashes and their ranks."""
-    keys = np.unique(shingles(text, n))
-    hashes, ranks = heavy
-    if len(hashes) and len(keys):
-        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        found = hashes[at] == keys
-        if found.any():
-            keys[found] = (1 << 62) + ranks[at[found]]
-            keys.sort()
-    return keys
+def ordered_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct shingles in the global order."""
+    return np.unique(shingles(text, n))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
+class Signatures:
+    """A set's signatures for the similarity ``num / den``."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.known: dict[int, tuple[int, int]] = {}
+
+    @staticmethod
+    def bounds(c: int) -> tuple[int, int]:
+        """Least and largest size of a class."""
+        return math.ceil(CLASS_RATIO**c), math.ceil(CLASS_RATIO ** (c + 1)) - 1
+
+    def class_of(self, size: int) -> int:
+        c = max(0, int(math.log(size) / math.log(CLASS_RATIO)) - 1)
+        while self.bounds(c)[1] < size:
+            c += 1
+        return c
+
+    def parts(self, c: int) -> tuple[int, int]:
+        """Parts of a class, and how many shingles linked sets in it may differ by."""
+        if c not in self.known:
+            low, high = self.bounds(c)
+            low = max(1, -(-low * self.num // self.den))  # sets close below belong to it too
+            d = 2 * high * (self.den - self.num) // (self.den + self.num)
+            m = d + 1
+            while m > 1 and m - d <= (empty := m * math.exp(-low / m)) + 4 * math.sqrt(empty) + 0.5 and m < 4 * d + 8:
+                m += 1
+            self.known[c] = m, d
+        return self.known[c]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.empty(0, np.int64)
+        c = self.class_of(len(keys))
+        out = [self._of(keys, c)]
+        if len(keys) * self.den >= self.num * (self.bounds(c)[1] + 1):
+            out.append(self._of(keys, c + 1))
+        return np.concatenate(out)
+
+    def _of(self, keys: np.ndarray, c: int) -> np.ndarray:
+        m, d = self.parts(c)
+        hashes = common.mix(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        part = (hashes % np.uint64(m)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        number, start = np.unique(part[order], return_index=True)
+        sums = np.add.reduceat(common.mix(hashes[order] + np.uint64(c + 1)), start)
+        if m - len(number) >= m - d:  # so many empty parts that they must count as parts that agree
+            empty = np.setdiff1d(np.arange(m), number)
+            number, sums = np.concatenate((number, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
+        return (common.mix(sums + common.mix(number.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(c))) >> np.uint64(2)).astype(np.int64)
+
+
 # --- the trie -------------------------------------------------------------------------
 
 
@@ -191,79 +238,46 @@ def link_block(arrays: list[np.ndarray], num: int, den: int) -> list[tuple[int,
 # --- Spark jobs ---------------------------------------------------------------------
 
 
-def frequent(docs: DataFrame, text_col: str, n: int, limit: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """The ``limit`` most frequent shingles of all texts and their ranks (rarer first), as
-    far as tasks met them twice among a few thousand texts. They set the order alone."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        held: list[np.ndarray] = []
-        size = 0
+def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """``id, n, digest`` of each row."""
 
-        def fold() -> None:
-            nonlocal held, size
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
-            often = counts > 2
-            for k, c in zip(keys[often].tolist(), counts[often].tolist(), strict=True):
-                seen[k] = seen.get(k, 0) + c
-            if len(seen) > 4 * limit:
-                kept = sorted(seen.items(), key=lambda e: -e[1])[:limit]
-                seen.clear()
-                seen.update(kept)
-            held, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, n))
-                size += len(held[-1])
-                if size > 2_000_000:
-                    fold()
-        fold()
-        top = sorted(seen.items(), key=lambda e: -e[1])[:limit]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.int64()), pa.array([c for _, c in top], pa.int64())], names=["key", "n"])
+            sets = [ordered_set(text, n) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())], names=["id", "n", "digest"])
 
-    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "key bigint, n bigint")
-    top = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(limit).collect()
-    keys = np.asarray([r["key"] for r in reversed(top)], dtype=np.int64)
-    order = np.argsort(keys)
-    return keys[order], order.astype(np.int64)
+    read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return read.mapInArrow(run, "id bigint, n bigint, digest binary")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, heavy) -> DataFrame:
-    """``id, n, digest, prefix`` of each row."""
+def _signed(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``class, signatures`` (64-bit integers) of ``class, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
+        signatures = Signatures(num, den)
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
-                keys = ordered_set(text, n, heavy.value)
-                sizes.append(len(keys))
-                digests.append(xxh3_128_digest(keys.tobytes()))
-                prefixes.append(keys[: prefix_length(len(keys), num, den)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=["id", "n", "digest", "prefix"])
+            got = [signatures.of(ordered_set(text, n)).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["class", "signatures"])
 
-    read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return read.mapInArrow(run, "id bigint, n bigint, digest binary, prefix binary")
+    return texts.mapInArrow(run, "class bigint, signatures binary")
 
 
-def _exploded(classes: DataFrame, shared=None) -> DataFrame:
-    """``token, class, n, pos`` for the prefixes' shingles; ``shared``: a Bloom filter of those wanted."""
+def _exploded(signed: DataFrame, shared=None) -> DataFrame:
+    """``token, class`` for each signature; ``shared``: a Bloom filter of those wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = [np.frombuffer(p, np.int64) for p in batch.column(2).to_pylist()]
-            lengths = np.asarray([len(p) for p in prefixes], dtype=np.int64)
-            tokens = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            owner, n = np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(batch.column(1).to_numpy(), lengths)
+            lists = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
+            tokens = np.concatenate(lists) if lists else np.empty(0, np.int64)
+            owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
             if shared is not None:
                 keep = shared.value.test(tokens)
-                tokens, pos, owner, n = tokens[keep], pos[keep], owner[keep], n[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner), pa.array(n), pa.array(pos.astype(np.int32))], names=["token", "class", "n", "pos"])
+                tokens, owner = tokens[keep], owner[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["token", "class"])
 
-    return classes.select("class", "n", "prefix").mapInArrow(run, "token bigint, class bigint, n bigint, pos int")
+    return signed.select("class", "signatures").mapInArrow(run, "token bigint, class bigint")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -297,8 +311,8 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def _first_round(docs, id_col, text_col, shared, n, num, den, heavy, block) -> DataFrame:
-    """Links among the classes that have the same first shared shingle, by whole sets."""
+def _first_round(docs, id_col, text_col, shared, n, num, den, block) -> DataFrame:
+    """Links among the classes that have the same first shared signature, by whole sets."""
     first = shared.groupBy("class").agg(F.min("token").alias("token"))
     size = first.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
     blocks = F.ceil(F.col("g") / block).cast("bigint")
@@ -309,49 +323,53 @@ def _first_round(docs, id_col, text_col, shared, n, num, den, heavy, block) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 2):
             if len(group) > 1:
-                arrays = [ordered_set(r[3], n, heavy.value) for r in group]
+                arrays = [ordered_set(r[3], n) for r in group]
                 yield _pairs_batch([(group[i][2], group[j][2]) for i, j in link_block(arrays, num, den)])
 
     parts = texts.repartition("token", "blk").sortWithinPartitions("token", "blk")
     return parts.mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
-def _second_round(classes, shared, labels, num, den, block) -> DataFrame:
+def _second_round(docs, id_col, text_col, shared, labels, n, num, den, block) -> DataFrame:
     """Pairs of classes of different components that the bounds on their prefixes allow."""
-    step = float(np.log(den / num)) * (1 + 1e-9) if den > num else 1.0  # a little wider, for rounding
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("bigint")
     rows = shared.join(labels.withColumnRenamed("node", "class"), "class", "left")
     rows = rows.withColumn("component", F.coalesce("component", "class"))
-    # sets of matching lengths lie in one band or in two neighbours, so they share a number
-    rows = rows.withColumn("band", F.explode(F.array(band, band + 1))).select("token", "band", "class", "component")
-    counts = rows.groupBy("token", "band", "component").agg(F.count("*").alias("n"))
-    groups = counts.groupBy("token", "band").agg(F.count("*").alias("parts"), F.sum("n").alias("g"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1").drop("parts")
-    mixed = common.materialize(rows.join(groups, ["token", "band"]), "ngram-mixed")
+    counts = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("token").agg(F.count("*").alias("parts"), F.sum("n").alias("g"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1").drop("parts")
+    mixed = common.materialize(rows.join(groups, "token"), "ngram-mixed")
     blocks = F.ceil(F.col("g") / block).cast("bigint")
     own = F.pmod(F.xxhash64("class", "token"), blocks)
-    stored = mixed.select("token", "band", own.alias("blk"), "class", "component", F.lit(False).alias("guest"))
+    stored = mixed.select("token", own.alias("blk"), "class", "component", F.lit(False).alias("guest"))
     guests = mixed.where("component <> main").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    guests = guests.where(F.col("blk") != own).select("token", "band", "blk", "class", "component", F.lit(True).alias("guest"))
-    kept = classes.select("class", F.col("n").alias("size"), "prefix")
-    dealt = stored.union(guests).join(kept, "class").select("token", "band", "blk", "class", "component", "guest", "size", "prefix")
+    guests = guests.where(F.col("blk") != own).select("token", "blk", "class", "component", F.lit(True).alias("guest"))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [ordered_set(text, n) for text in batch.column(1).to_pylist()]
+            cut = [x[: prefix_length(len(x), num, den)].tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(cut, pa.binary())], names=["class", "size", "prefix"])
+
+    kept = _texts(docs, id_col, text_col, mixed).mapInArrow(prefixes, "class bigint, size bigint, prefix binary")
+    kept = common.materialize(kept, "ngram-prefixes")
+    dealt = stored.union(guests).join(kept, "class").select("token", "blk", "class", "component", "guest", "size", "prefix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, 3):
-            if len(group) < 2 or len({r[4] for r in group}) < 2:
+        for group in _runs(batches, 2):
+            if len(group) < 2 or len({r[3] for r in group}) < 2:
                 continue
-            home = [r for r in group if not r[5]]
+            home = [r for r in group if not r[4]]
             if not home:
                 continue
-            arrays = [np.frombuffer(r[7], np.int64) for r in home]
-            root = build(arrays, [r[6] for r in home])
+            arrays = [np.frombuffer(r[6], np.int64) for r in home]
+            root = build(arrays, [r[5] for r in home])
             pairs = set()
             for r in group:
-                x, own_component = np.frombuffer(r[7], np.int64), r[4]
-                for j, _ in walk(root, x, r[6], num, den, lambda j: home[j][4] == own_component, False):  # noqa: B023
-                    pairs.add((min(r[3], home[j][3]), max(r[3], home[j][3])))
+                x, own_component = np.frombuffer(r[6], np.int64), r[3]
+                for j, _ in walk(root, x, r[5], num, den, lambda j: home[j][3] == own_component, False):  # noqa: B023
+                    pairs.add((min(r[2], home[j][2]), max(r[2], home[j][2])))
             yield _pairs_batch(sorted(pairs))
 
-    parts = dealt.repartition("token", "band", "blk").sortWithinPartitions("token", "band", "blk")
+    parts = dealt.repartition("token", "blk").sortWithinPartitions("token", "blk")
     return parts.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
@@ -380,21 +398,24 @@ def link(
     """``id, n_shingles, component_id`` of every row: texts are linked when ``den`` times the
     sets' intersection reaches ``num`` times their union, and a component is named
     by its smallest id."""
-    spark = common.prepare(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     if not 0 < num <= den:
         raise ValueError("the similarity must be above 0 and at most 1")
-    heavy = spark.sparkContext.broadcast(frequent(docs, text_col, n))
-    sets = common.materialize(_sets(docs, id_col, text_col, n, num, den, heavy), "ngram-sets")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = common.materialize(_sets(docs, id_col, text_col, n), "ngram-sets")
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"))
     classes = common.materialize(classes.where("class is not null"), "ngram-classes")
-    often = _exploded(classes).groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
-    often = common.materialize(often, "ngram-shared")
-    shared = _exploded(classes, common.bloom(often, "token", often.count())).join(often, "token")
-    shared = common.materialize(shared, "ngram-rows")
-
-    near = common.materialize(_first_round(docs, id_col, text_col, shared, n, num, den, heavy, block), "ngram-links")
+    signed = _signed(_texts(docs, id_col, text_col, classes), n, num, den)
+    signed = common.materialize(signed, "ngram-signatures")
+    often = _exploded(signed).groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
+    often = common.materialize(often, "ngram-often")
+    shared = _exploded(signed, common.bloom(often, "token", often.count())).join(often, "token")
+    # the Bloom filters let other rows pass; only texts that stand for a class are joined, once a signature
+    shared = shared.join(classes.select("class").distinct(), "class", "left_semi").distinct()
+    shared = common.materialize(shared.select("token", "class"), "ngram-shared")
+
+    near = common.materialize(_first_round(docs, id_col, text_col, shared, n, num, den, block), "ngram-links")
     labels = common.components(near, name="ngram-cc1")
-    pairs = common.materialize(_second_round(classes, shared, labels, num, den, block), "ngram-pairs")
+    pairs = common.materialize(_second_round(docs, id_col, text_col, shared, labels, n, num, den, block), "ngram-pairs")
     more = common.materialize(_verified(docs, id_col, text_col, pairs, n, num, den), "ngram-links2")
     # the second round joins components, so it is enough to join their names
     named = labels.select(F.col("node"), F.col("component"))
