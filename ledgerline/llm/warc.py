@@ -167,14 +167,27 @@ class BundleReader:
 
 
 def with_responses(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """``page, url, payload, digest, response``: the id that a revisit refers to, else null."""
+    """``page, url, payload, digest, response``: the id that a revisit refers to, else null.
+    Only payloads that a Bloom filter of the shared digests lets through are shuffled."""
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"), html.cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= min_bytes)
     shared = large.groupBy("digest").agg(F.max("page").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, "digest", "left")
-    return joined.select("page", "url", "payload", "digest", F.when(~F.col("response").eqNullSafe(F.col("page")), F.col("response")).alias("response"))
+    shared = common.materialize(shared, "warc-shared")
+    member = common.bloom(shared.select(F.xxhash64("digest").alias("h")), "h", shared.count())
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(member.value.test(batch.column(4).to_numpy()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], names=[*batch.schema.names[:4], "maybe"])
+
+    kind = common.column_kind(rows, "page")
+    tested = rows.withColumn("h", F.xxhash64("digest")).mapInArrow(test, f"page {kind}, url string, payload binary, digest string, maybe boolean")
+    alone = tested.where(~F.col("maybe")).withColumn("response", F.lit(None).cast(kind))
+    joined = tested.where("maybe").join(shared, "digest", "left")
+    response = F.when(~F.col("response").eqNullSafe(F.col("page")), F.col("response")).alias("response")
+    return alone.unionByName(joined).select("page", "url", "payload", "digest", response)
 
 
 def write(
@@ -257,7 +270,7 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                             rows.append(row if payloads else (*row[:-1], None))
                         yield _batch(rows)
 
-    return bundles.repartition(max(1, n), "bundle").mapInArrow(run, _READ)
+    return bundles.repartition(max(1, n)).mapInArrow(run, _READ)
 
 
 def fetch(index: DataFrame, folder: str, wanted: DataFrame, id_col: str = "page_id") -> DataFrame:
