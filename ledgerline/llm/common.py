@@ -175,3 +175,27 @@ def bloom(df: DataFrame, column: str, count: int, tasks: int = 6):
     for row in df.select(F.col(column).cast("bigint")).coalesce(tasks).mapInArrow(run, "data binary").toLocalIterator():
         whole |= np.frombuffer(row["data"], np.uint8)
     return df.sparkSession.sparkContext.broadcast(Bloom(bits, whole))
+
+
+def without_ids(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows whose bigint id is not in ``gone`` (one column, distinct). Rows that a Bloom
+    filter of ``gone`` holds back meet an exact anti join; the others are not shuffled."""
+    import pyarrow as pa
+
+    name = gone.columns[0]
+    member = bloom(gone, name, gone.count())
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def only(maybe: bool):
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(batch.num_columns - 1)
+                found = member.value.test(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~np.asarray(ids.is_null())
+                kept = batch.filter(pa.array(found == maybe))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+        return rows.select("*", F.col(f"`{id_col}`").cast("bigint").alias("__id")).mapInArrow(run, kinds)
+
+    held = only(True)
+    held = held.join(gone.select(F.col(name).alias("__gone")), F.col(f"`{id_col}`").cast("bigint") == F.col("__gone"), "left_anti")
+    return only(False).unionByName(held)
