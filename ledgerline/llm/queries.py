@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, htmltext, jaccard, knmodel, packing, surrogates, topk, urlfilter, warc
+from . import common, decontaminate, eftrie, htmltext, jaccard, knmodel, packing, surrogates, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +117,13 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the n-gram trie of four fifths of them."""
+    scored = eftrie.score(common.read_table(spark, sf_dir, "documents"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page (conditional random field over leaf blocks)."""
