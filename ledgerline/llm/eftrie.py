@@ -279,8 +279,8 @@ SHARES = np.concatenate(([0.0], 10 ** (-_STEP * np.arange(255))))
 class Model:
     """What tasks need to open the levels. The file names are one for about a million entries."""
 
-    def __init__(self, folder: str, n: int, v: int, bits: int):
-        self.folder, self.n, self.v, self.bits = folder, n, v, bits
+    def __init__(self, folder: str, n: int, v: int, bits: int, shard: int = SHARD):
+        self.folder, self.n, self.v, self.bits, self.size = folder, n, v, bits, shard
         self.words: dict[int, tuple[str, int]] = {}  # shard: file, number of its first frequent word
         self.frequent = 0
         self.pairs: dict[tuple[int, int], str] = {}
@@ -325,9 +325,9 @@ class Model:
     def look_rests(self, u: np.ndarray) -> np.ndarray:
         """The back-off weights of sorted distinct contexts."""
         out = np.ones(len(u))
-        for s, a, b in _spans(u // SHARD):
+        for s, a, b in _spans(u // self.size):
             if s in self.rests:
-                out[a:b] = np.asarray(load(self.folder, self.rests[s])["rest"])[u[a:b] - s * SHARD] / 65535.0
+                out[a:b] = np.asarray(load(self.folder, self.rests[s])["rest"])[u[a:b] - s * self.size] / 65535.0
         return out
 
 
@@ -338,8 +338,8 @@ def _spans(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(values.tolist(), start.tolist(), [*start[1:].tolist(), len(sorted_values)], strict=True))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], text_at: int, take: Callable[[list, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Rows in groups of about ``GROUP`` tokens: their other columns, the tokens and each row's number of tokens."""
+def _grouped(batches: Iterator[pa.RecordBatch], text_at: int, take: Callable[[list, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], group: int) -> Iterator[pa.RecordBatch]:
+    """Rows in groups of about ``group`` tokens: their other columns, the tokens and each row's number of tokens."""
     rows: list[tuple] = []
     held: list[np.ndarray] = []
     size = 0
@@ -350,7 +350,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], text_at: int, take: Callable[[li
             rows.append(row[:text_at] + row[text_at + 1 :])
             held.append(tokens)
             size += len(tokens)
-            if size >= GROUP:
+            if size >= group:
                 yield from take(rows, np.concatenate(held), np.asarray([len(x) for x in held]))
                 rows, held, size = [], [], 0
     if rows:
@@ -370,7 +370,7 @@ def _contexts(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np
     return count, number, context
 
 
-def _count_words(train: DataFrame) -> DataFrame:
+def _count_words(train: DataFrame, group: int) -> DataFrame:
     """``h, c`` of all training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +378,7 @@ def _count_words(train: DataFrame) -> DataFrame:
             h, c = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-        yield from _grouped(batches, 0, take)
+        yield from _grouped(batches, 0, take, group)
 
     return train.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -402,7 +402,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.n
         yield key, [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _pair_blobs(train: DataFrame, held) -> DataFrame:
+def _pair_blobs(train: DataFrame, held, group: int) -> DataFrame:
     """``shard, keys, counts``: each task's pairs of a group, sorted and packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +424,7 @@ def _pair_blobs(train: DataFrame, held) -> DataFrame:
                 out.append((s, zstd.compress(deltas.tobytes()), zstd.compress(np.minimum(counts[at], (1 << 32) - 1).astype("<u4").tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["shard", "keys", "counts"])
 
-        yield from _grouped(batches, 0, take)
+        yield from _grouped(batches, 0, take, group)
 
     return train.select("text").mapInArrow(run, "shard bigint, keys binary, counts binary")
 
@@ -437,7 +437,7 @@ def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(deltas).view("<i8").ravel()), np.frombuffer(z.decompress(counts), "<u4").astype(np.int64)
 
 
-def _merged_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _merged_blobs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Shard, keys and counts: the blobs of a shard added up, as they come."""
     shard, keys, counts, waiting, size = None, np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
@@ -458,29 +458,29 @@ def _merged_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
             shard = s
             waiting.append(_unpacked(k, c))
             size += len(waiting[-1][0])
-            if size > 4 * SHARD:
+            if size > limit:
                 fold()
     if shard is not None:
         fold()
         yield shard, keys, counts
 
 
-def train_model(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
+def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD, group: int = GROUP) -> Model:
     """The model of ``docs`` (column ``text``), its levels in the shared folder."""
     spark = common.prepare(docs.sparkSession)
     folder = common.shared_folder(spark, "trie")
-    words = common.materialize(_count_words(docs), "lm-words")
+    words = common.materialize(_count_words(docs, group), "lm-words")
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    bits = max(0, math.ceil(math.log2(max(1, v / SHARD))))
-    model = Model(folder, n, v, bits)
+    bits = max(0, math.ceil(math.log2(max(1, v / shard))))
+    model = Model(folder, n, v, bits, shard)
     if not v:
         return model
 
     def word_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, (h, c) in _runs_of(batches):
+        for part, (h, c) in _runs_of(batches):
             arrays = Words.arrays(h, c, min_count)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([save(folder, arrays)], pa.string()), pa.array([len(arrays["frequent"])], pa.int64())], names=["shard", "file", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([save(folder, arrays)], pa.string()), pa.array([len(arrays["frequent"])], pa.int64())], names=["shard", "file", "n"])
 
     dealt = words.select(F.shiftright("h", 63 - bits).alias("shard") if bits else F.lit(0).cast("bigint").alias("shard"), "h", "c")
     dealt = dealt.repartition(1 << bits, "shard").sortWithinPartitions("shard", "h")
@@ -489,7 +489,7 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
         model.frequent += r["n"]
 
     # the second level: contexts that fill a shard alone have their successors dealt again
-    limit = 8 * SHARD
+    limit = 8 * shard
     model.shards = max(1, -(-n // limit))
     texts = docs.count()
     hot = words.where((F.col("c") > limit // 4) & (F.col("h") != END)).select("h", "c").collect()  # at most 4 n / limit
@@ -500,18 +500,18 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
     if texts > limit // 4:
         model.hot[model.frequent] = -(-texts * 4 // limit) + 1
     held = spark.sparkContext.broadcast(model)
-    blobs = common.materialize(_pair_blobs(docs, held), "lm-pairs")
+    blobs = common.materialize(_pair_blobs(docs, held, group), "lm-pairs")
     size = model.frequent + 2
     parted = blobs.repartition(model.shards, "shard").sortWithinPartitions("shard")
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in _merged_blobs(batches):
+        for part, keys, counts in _merged_blobs(batches, limit):
             kept = counts > 1
             import zstandard
 
             z = zstandard.ZstdCompressor(level=1)
             deltas = np.diff(keys[kept], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
-            row = [shard, int((counts == 1).sum()), int((counts == 2).sum()), z.compress(deltas.tobytes()), z.compress(np.minimum(counts[kept], (1 << 32) - 1).astype("<u4").tobytes())]
+            row = [part, int((counts == 1).sum()), int((counts == 2).sum()), z.compress(deltas.tobytes()), z.compress(np.minimum(counts[kept], (1 << 32) - 1).astype("<u4").tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "ones", "twos", "keys", "counts"])
 
     merged = common.materialize(parted.mapInArrow(kinds, "shard bigint, ones bigint, twos bigint, keys binary, counts binary"), "lm-merged")
@@ -525,7 +525,7 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
         starts = sorted((first, s) for s, (_, first) in model.words.items())
         firsts = np.asarray([x[0] for x in starts])
         for batch in batches:
-            for shard, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for part, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 k, c = _unpacked(keys, counts)
                 u, w = k // size, k % size
                 total = np.full(len(u), float(texts))
@@ -545,7 +545,7 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
                 name = save(folder, Pairs.arrays(u, w, codes, size))
                 x, where = np.unique(u, return_inverse=True)
                 used = np.bincount(where, SHARES[codes], len(x)) if len(x) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] + [None] * len(x), pa.int64()), pa.array([name] + [None] * len(x), pa.string()), pa.array([None, *x.tolist()], pa.int64()), pa.array([None, *used.tolist()], pa.float64())], names=["shard", "file", "u", "used"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] + [None] * len(x), pa.int64()), pa.array([name] + [None] * len(x), pa.string()), pa.array([None, *x.tolist()], pa.int64()), pa.array([None, *used.tolist()], pa.float64())], names=["shard", "file", "u", "used"])
 
     built = common.materialize(merged.select("shard", "keys", "counts").repartition(model.shards, "shard").mapInArrow(contexts, "shard bigint, file string, u bigint, used double"), "lm-level2")
     for r in built.where("shard is not null").select("shard", "file").collect():
@@ -553,19 +553,19 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
 
     def rest_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (u, used) in _runs_of(batches):
-            rest = np.full(min(SHARD, held.value.frequent + 1 - part * SHARD), 65535, np.uint16)
-            rest[u - part * SHARD] = np.floor(np.clip(1 - used, 0, 1) * 65535).astype(np.uint16)
+            rest = np.full(min(shard, held.value.frequent + 1 - part * shard), 65535, np.uint16)
+            rest[u - part * shard] = np.floor(np.clip(1 - used, 0, 1) * 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([save(folder, {"rest": rest})], pa.string())], names=["part", "file"])
 
     used = built.where("u is not null").groupBy("u").agg(F.sum("used").alias("used"))
-    used = used.select(F.floor(F.col("u") / SHARD).cast("bigint").alias("part"), "u", "used")
-    used = used.repartition(max(1, model.frequent // SHARD + 1), "part").sortWithinPartitions("part")
+    used = used.select(F.floor(F.col("u") / shard).cast("bigint").alias("part"), "u", "used")
+    used = used.repartition(max(1, model.frequent // shard + 1), "part").sortWithinPartitions("part")
     for r in common.materialize(used.mapInArrow(rest_files, "part bigint, file string"), "lm-rests").collect():
         model.rests[r["part"]] = r["file"]
     return model
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
     """Adds ``n_tokens, n_known, base_score, score`` to the columns of ``docs`` but ``text``."""
     spark = common.prepare(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
@@ -597,15 +597,18 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [pa.array(list(c), t) for c, t in zip([*columns, lengths.tolist(), known.tolist(), base.tolist(), score.tolist()], out.types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
-        yield from _grouped(batches, len(kept), take)
+        yield from _grouped(batches, len(kept), take, group)
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], "text").mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held_fold: int = 1, min_count: int = MIN_COUNT) -> DataFrame:
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held_fold: int = 1,
+    min_count: int = MIN_COUNT, shard: int = SHARD, group: int = GROUP,
+) -> DataFrame:
     """``id, held_out, train_tokens`` and the scores of every row, by the model of the rows whose
     ``crc32`` of the id as text leaves another remainder than ``held_fold``."""
     fold = F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), (fold == held_fold).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    model = train_model(rows.where(~F.col("held_out")).select("text"), min_count)
-    return score_texts(rows, model).withColumn("train_tokens", F.lit(model.n).cast("bigint"))
+    model = train_model(rows.where(~F.col("held_out")).select("text"), min_count, shard, group)
+    return score_texts(rows, model, group).withColumn("train_tokens", F.lit(model.n).cast("bigint"))

@@ -33,13 +33,13 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-# Fixed values of the HTML standard: elements by how they are parsed and laid out.
+# Fixed values of the HTML standard: elements by how they are parsed and laid out. INLINE ones end no block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 UNSEEN = frozenset("script style template head title noscript iframe object svg math canvas datalist".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr script style template noscript object svg math canvas".split()
 )
 _P_ENDERS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "

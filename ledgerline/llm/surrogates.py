@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-# Titles by gender.
+# Titles by gender; they may be in capitals.
 _TITLES = {
     "m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir", "г-н", "господин"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Mme", "Madame", "г-жа", "госпожа"),
     "n": ("Dr", "Prof"),
 }
-_ALL_TITLES = "|".join(sorted((t for v in _TITLES.values() for t in v), key=lambda t: (-len(t), t)))
+_ALL_TITLES = "|".join(sorted({x for v in _TITLES.values() for t in v for x in (t, t.upper())}, key=lambda t: (-len(t), t)))
 #: Kinds in the order in which they are tried at a place: the mention, then what must not stand before and after.
 PATTERNS = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}", r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9]"),
@@ -133,8 +133,8 @@ def _script(word: Column) -> Column:
 
 def atoms(kind: Column, mention: Column) -> Column:
     """``array<struct<kind, canon>>`` of a mention: of a name its given (if any) and family part."""
-    title = _title(mention)
-    gender = F.when(title.isin(*_TITLES["m"]), "m").when(title.isin(*_TITLES["f"]), "f").otherwise("n")
+    title = F.lower(_title(mention))
+    gender = F.when(title.isin(*map(str.lower, _TITLES["m"])), "m").when(title.isin(*map(str.lower, _TITLES["f"])), "f").otherwise("n")
     words = F.split(F.regexp_replace(mention, rf"^({_ALL_TITLES})\.?\s", ""), r"\s")
     family, given = F.element_at(words, -1), F.get(words, F.lit(0))
     # a family name has a gendered form in Cyrillic only
