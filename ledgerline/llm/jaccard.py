@@ -10,18 +10,15 @@ signature, and others hardly ever do, however frequent single shingles are. ``m`
 size class (sizes in a ratio of 1.5); a set close below a class's end also gets the next
 class's signatures. Classes of texts that share a signature form a group, in blocks of at most ``block``.
 
-*Joining.* A block's sets are stored in a path-compressed trie; each set walks it once for all that share a
-path, counts the overlap on the way, and leaves a subtree when what remains of either set
-cannot reach the overlap that the lengths require.
-
-1. *Whole sets.* Each class goes to the group of its first shared signature. The walk is exact
-   there, and sets already connected are passed over, so a large group of copies costs about one
-   comparison a member.
-2. *Prefixes.* What the first round connected need not meet again: only groups that
-   still hold sets of different components are joined, by tries of the prefixes (the first
-   ``n - ceil(n num / den) + 1`` shingles in the global order). In a group of several blocks the sets outside its
-   largest component visit all blocks. Pairs that survive the bounds are verified on whole
-   sets. No link is lost, since every linked pair shares a group.
+*Joining.* A block's sets are stored in a path-compressed trie. Its sets walk it together, so that each path's
+overlap is counted once for all that share it, and leave a subtree when what remains of either set
+cannot reach the overlap that the lengths require. At an entry the overlap is exact.
+
+1. Each class goes to the group of its first shared signature.
+2. What the first round connected need not meet again: only groups that still hold sets of different
+   components are joined. In a group of several blocks the sets outside its largest component
+   visit all blocks, and the others only their own. Every linked pair shares a group, so no link
+   between components is lost; a group of copies is left after the first round.
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than
 a shingle are one shingle. Rows with the same id count as one document, linked with all that any of
@@ -63,10 +60,6 @@ def ordered_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingles(text, n))
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1 if n else 0
-
-
 class Signatures:
     """A set's signatures for the similarity ``num / den``."""
 
@@ -123,10 +116,10 @@ class Signatures:
 
 
 class Node:
-    __slots__ = ("children", "ends", "least", "most", "run")
+    __slots__ = ("children", "ends", "least", "most", "number", "run")
 
     def __init__(self, run: np.ndarray):
-        self.run, self.children, self.ends, self.least, self.most = run, [], [], 1 << 60, 0
+        self.run, self.children, self.ends, self.least, self.most, self.number = run, [], [], 1 << 60, 0, 0
 
 
 def build(arrays: list[np.ndarray], sizes: list[int]) -> Node:
@@ -171,67 +164,73 @@ class Links:
             i = self.up[i]
         return i
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
         a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.parts -= 1
-
-
-def walk(root: Node, x: np.ndarray, size: int, num: int, den: int, skip, whole: bool, chunk: int = 128) -> Iterator[tuple[int, int]]:
-    """The entries of the trie that may reach the similarity with ``x`` (a set of ``size``, or
-    its prefix), with the overlap counted so far: of ``whole`` arrays all of it. ``skip(entry)``:
-    not asked for."""
-    todo = [(root, 0, 0)]
-    both = num + den
-    end = x[-1] if len(x) else -1
-    while todo:
-        node, matched, depth = todo.pop()
-        # lengths that can match at all
-        if den * node.most < num * size or num * node.least > den * size:
-            continue
-        if not node.children and all(skip(i) for i in node.ends):
-            continue
-        run, at, possible = node.run, 0, True
-        while at < len(run):
-            part = run[at : at + chunk]
-            if not whole and part[-1] > end:  # beyond x's prefix its shingles are unknown
-                part = part[: int(np.searchsorted(part, end, "right"))]
-                at = len(run)
-            at += chunk
-            if not len(part):
-                break
-            place = np.searchsorted(x, part)
-            hit = int((x[np.minimum(place, len(x) - 1)] == part).sum()) if len(x) else 0
-            matched += hit
-            depth += len(part)
-            passed = int(np.searchsorted(x, part[-1], "right"))
-            missed_x, missed_y = passed - matched, depth - matched
-            # overlap <= size - missed_x and <= other - missed_y must reach num / (num + den) of both sizes
-            if both * (size - missed_x) < num * (size + node.least) or both * (node.most - missed_y) < num * (size + node.most):
-                possible = False
-                break
-        if not possible:
-            continue
-        for i in node.ends:
-            if not skip(i):
-                yield i, matched
-        todo += [(c, matched, depth) for c in node.children]
-
-
-def link_block(arrays: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all linked whole sets of a block."""
-    links, sizes = Links(list(range(len(arrays)))), [len(a) for a in arrays]
-    root, out = build(arrays, sizes), []
-    for i, x in enumerate(arrays):
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        self.parts -= 1
+        return True
+
+
+#: Cells of the membership table of the sets that walk together.
+_CELLS = 16 << 20
+
+
+def linked(home: list[np.ndarray], probes: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """All (probe, entry) whose similarity reaches ``num / den``."""
+    if not home or not probes:
+        return
+    ends = np.cumsum([len(x) for x in [*home, *probes]])
+    universe, inverse = np.unique(np.concatenate([*home, *probes]), return_inverse=True)
+    placed = np.split(inverse, ends[:-1])  # the sets as places in the order of all their shingles
+    home, probes = placed[: len(home)], placed[len(home) :]
+    sizes, both = [len(x) for x in home], num + den
+    root = build(home, sizes)
+    nodes = [root]
+    for node in nodes:
+        for child in node.children:
+            child.number = len(nodes)
+            nodes.append(child)
+    last = np.asarray([n.run[-1] if len(n.run) else -1 for n in nodes])
+    step = max(1, _CELLS // max(1, len(universe)))
+    for at in range(0, len(probes), step):
+        part = probes[at : at + step]
+        size = np.asarray([len(x) for x in part])
+        holds = np.zeros((len(part), len(universe)), dtype=bool)
+        holds[np.repeat(np.arange(len(part)), size), np.concatenate(part)] = True
+        passed = np.stack([np.searchsorted(x, last, "right") for x in part])
+        todo = [(root, np.arange(len(part)), np.zeros(len(part), np.int64), 0)]
+        while todo:
+            node, who, matched, depth = todo.pop()
+            fits = (den * node.most >= num * size[who]) & (num * node.least <= den * size[who])
+            who, matched = who[fits], matched[fits]
+            if not len(who):
+                continue
+            if len(node.run):
+                matched = matched + holds[who[:, None], node.run].sum(1)
+                depth += len(node.run)
+                missed_x, missed_y = passed[who, node.number] - matched, depth - matched
+                # overlap <= size - missed_x and <= other - missed_y must reach num / (num + den) of both sizes
+                fits = (both * (size[who] - missed_x) >= num * (size[who] + node.least)) & (both * (node.most - missed_y) >= num * (size[who] + node.most))
+                who, matched = who[fits], matched[fits]
+            for j in node.ends:
+                for i in who[den * matched >= num * (size[who] + sizes[j] - matched)].tolist():
+                    yield at + i, j
+            if len(who):
+                todo += [(c, who, matched, depth) for c in node.children]
+
+
+def link_block(home: list[np.ndarray], num: int, den: int, guests: list[np.ndarray] = (), groups: list | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of a block and its guests (numbered after the
+    home sets); ``groups``: what is connected already."""
+    links = Links(list(range(len(home) + len(guests))) if groups is None else groups)
+    out: list[tuple[int, int]] = []
+    for i, j in linked(home, [*home, *guests], num, den):
         if links.parts == 1:
             break
-        own = links.find(i)
-        for j, matched in walk(root, x, len(x), num, den, lambda j: links.find(j) == own, True):  # noqa: B023
-            if j != i and links.find(j) != own and den * matched >= num * (len(x) + sizes[j] - matched):
-                links.join(i, j)
-                own = links.find(i)
-                out.append((i, j))
+        if links.join(i, j):
+            out.append((i, j))
     return out
 
 
@@ -311,27 +310,17 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def _first_round(docs, id_col, text_col, shared, n, num, den, block) -> DataFrame:
-    """Links among the classes that have the same first shared signature, by whole sets."""
+def _first_round(shared: DataFrame, block: int) -> DataFrame:
+    """``class, token, blk, component, guest``: each class in the group of its first shared signature."""
     first = shared.groupBy("class").agg(F.min("token").alias("token"))
     size = first.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
     blocks = F.ceil(F.col("g") / block).cast("bigint")
-    dealt = first.join(size, "token").select("class", "token", F.pmod(F.xxhash64("class", "token"), blocks).alias("blk"))
-    dealt = common.materialize(dealt, "ngram-first")
-    texts = _texts(docs, id_col, text_col, dealt).join(dealt, "class").select("token", "blk", "class", "text")
+    blk = F.pmod(F.xxhash64("class", "token"), blocks)
+    return first.join(size, "token").select("class", "token", blk.alias("blk"), F.col("class").alias("component"), F.lit(False).alias("guest"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, 2):
-            if len(group) > 1:
-                arrays = [ordered_set(r[3], n) for r in group]
-                yield _pairs_batch([(group[i][2], group[j][2]) for i, j in link_block(arrays, num, den)])
-
-    parts = texts.repartition("token", "blk").sortWithinPartitions("token", "blk")
-    return parts.mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
-
-def _second_round(docs, id_col, text_col, shared, labels, n, num, den, block) -> DataFrame:
-    """Pairs of classes of different components that the bounds on their prefixes allow."""
+def _second_round(shared: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """The same of the groups that hold several components."""
     rows = shared.join(labels.withColumnRenamed("node", "class"), "class", "left")
     rows = rows.withColumn("component", F.coalesce("component", "class"))
     counts = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
@@ -339,57 +328,25 @@ def _second_round(docs, id_col, text_col, shared, labels, n, num, den, block) ->
     mixed = common.materialize(rows.join(groups, "token"), "ngram-mixed")
     blocks = F.ceil(F.col("g") / block).cast("bigint")
     own = F.pmod(F.xxhash64("class", "token"), blocks)
-    stored = mixed.select("token", own.alias("blk"), "class", "component", F.lit(False).alias("guest"))
+    stored = mixed.select("class", "token", own.alias("blk"), "component", F.lit(False).alias("guest"))
     guests = mixed.where("component <> main").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    guests = guests.where(F.col("blk") != own).select("token", "blk", "class", "component", F.lit(True).alias("guest"))
+    return stored.union(guests.where(F.col("blk") != own).select("class", "token", "blk", "component", F.lit(True).alias("guest")))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [ordered_set(text, n) for text in batch.column(1).to_pylist()]
-            cut = [x[: prefix_length(len(x), num, den)].tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(cut, pa.binary())], names=["class", "size", "prefix"])
 
-    kept = _texts(docs, id_col, text_col, mixed).mapInArrow(prefixes, "class bigint, size bigint, prefix binary")
-    kept = common.materialize(kept, "ngram-prefixes")
-    dealt = stored.union(guests).join(kept, "class").select("token", "blk", "class", "component", "guest", "size", "prefix")
+def _joined(docs: DataFrame, id_col: str, text_col: str, dealt: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links that connect the linked sets of each block."""
+    texts = _texts(docs, id_col, text_col, dealt).join(dealt, "class").select("token", "blk", "guest", "class", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 2):
-            if len(group) < 2 or len({r[3] for r in group}) < 2:
-                continue
-            home = [r for r in group if not r[4]]
-            if not home:
-                continue
-            arrays = [np.frombuffer(r[6], np.int64) for r in home]
-            root = build(arrays, [r[5] for r in home])
-            pairs = set()
-            for r in group:
-                x, own_component = np.frombuffer(r[6], np.int64), r[3]
-                for j, _ in walk(root, x, r[5], num, den, lambda j: home[j][3] == own_component, False):  # noqa: B023
-                    pairs.add((min(r[2], home[j][2]), max(r[2], home[j][2])))
-            yield _pairs_batch(sorted(pairs))
-
-    parts = dealt.repartition("token", "blk").sortWithinPartitions("token", "blk")
-    return parts.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
-
+            if len({r[4] for r in group}) > 1:
+                sets = [ordered_set(r[5], n) for r in group]  # home sets come before guests
+                n_home = sum(not r[2] for r in group)
+                links = link_block(sets[:n_home], num, den, sets[n_home:], [r[4] for r in group])
+                yield _pairs_batch([(group[i][3], group[j][3]) for i, j in links])
 
-def _verified(docs, id_col, text_col, pairs, n, num, den) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
-    texts = _texts(docs, id_col, text_col, ends)
-    both = pairs.join(texts.withColumnsRenamed({"class": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"class": "b", "text": "y"}), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.unique(shingles(x, n)), np.unique(shingles(y, n))
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                if inter and den * inter >= num * (len(x) + len(y) - inter):
-                    out.append((a, b))
-            yield _pairs_batch(out)
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    parts = texts.repartition("token", "blk").sortWithinPartitions("token", "blk", "guest")
+    return parts.mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
 def link(
@@ -413,10 +370,11 @@ def link(
     shared = shared.join(classes.select("class").distinct(), "class", "left_semi").distinct()
     shared = common.materialize(shared.select("token", "class"), "ngram-shared")
 
-    near = common.materialize(_first_round(docs, id_col, text_col, shared, n, num, den, block), "ngram-links")
+    first = common.materialize(_first_round(shared, block), "ngram-first")
+    near = common.materialize(_joined(docs, id_col, text_col, first, n, num, den), "ngram-links")
     labels = common.components(near, name="ngram-cc1")
-    pairs = common.materialize(_second_round(docs, id_col, text_col, shared, labels, n, num, den, block), "ngram-pairs")
-    more = common.materialize(_verified(docs, id_col, text_col, pairs, n, num, den), "ngram-links2")
+    second = common.materialize(_second_round(shared, labels, block), "ngram-second")
+    more = common.materialize(_joined(docs, id_col, text_col, second, n, num, den), "ngram-links2")
     # the second round joins components, so it is enough to join their names
     named = labels.select(F.col("node"), F.col("component"))
     for end in ("a", "b"):
