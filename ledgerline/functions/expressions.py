@@ -133,8 +133,8 @@ def stable_uuid(*parts: Column) -> Column:
 
 # F10 -----------------------------------------------------------------------
 def json_object(**fields: Column) -> Column:
-    """``jsonb_build_object`` as JSON text."""
-    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    """``jsonb_build_object`` as JSON text; a NULL member stays as ``null``."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
 
 
 # F14 / P4 ------------------------------------------------------------------

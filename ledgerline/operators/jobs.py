@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -82,13 +82,11 @@ def create_accounts(requests: DataFrame, ledger: Ledger, as_of: str, rules: str
         (F.col("_tb") + 2 * F.col("request_id")).alias("id"), F.col("account_id"), F.lit("deposit").alias("type"),
         F.col("opening").alias("amount"), F.lit(0).alias("balance_before"), F.col("opening").alias("balance_after"),
         F.lit(X.INITIAL_DEPOSIT_DESCRIPTION).alias("description"),
-        X.stable_uuid(F.lit("open"), F.col("request_id")).alias("reference_number"),
+        X.stable_uuid(F.lit("open"), F.col("_tb") + 2 * F.col("request_id")).alias("reference_number"),
         F.lit("completed").alias("status"), now.alias("created_at"), now.alias("completed_at"),
     ), schemas.TABLES["transactions"])
     if rules == "procedure":
-        lim = default_limits(good.select("account_id", "request_id", "_lb"), "account_id")
-        lim = lim.join(good.select(F.col("account_id").alias("_a"), "request_id", "_lb"),
-                       F.col("account_id") == F.col("_a")).select(
+        lim = default_limits(good, "account_id", ("request_id", "_lb")).select(
             (F.col("_lb") + 3 * F.col("request_id") + F.col("k")).alias("id"), "account_id", "limit_type", "amount",
             "period", F.lit(0).alias("current_usage"), now.alias("created_at"), now.alias("updated_at"))
         audit = good.select(
@@ -157,20 +155,18 @@ def close_accounts(requests: DataFrame, ledger: Ledger, as_of: str) -> Closed:
 
 def monthly_interest(ledger: Ledger) -> DataFrame:
     """``round(balance * rate / 12, 2)`` per account; 0 unless active."""
-    a = ledger.accounts
-    return a.select(
-        "account_number",
-        F.when(F.col("status") == "active", X.monthly_interest("balance", F.coalesce("interest_rate", F.lit(0))))
-        .otherwise(F.lit(0).cast(MONEY)).alias("interest"),
-    )
+    return ledger.accounts.select("account_number", _interest().alias("interest"))
+
+
+def _interest() -> Column:
+    return F.when(F.col("status") == "active", X.monthly_interest("balance", F.coalesce("interest_rate", F.lit(0)))).otherwise(
+        F.lit(0).cast(MONEY))
 
 
 def credit_interest(ledger: Ledger) -> DataFrame:
     """A new accounts version with the month's interest added to the balance."""
-    i = monthly_interest(ledger).select(F.col("account_number").alias("_n"), "interest")
-    a = ledger.accounts.join(i, F.col("account_number") == F.col("_n"), "left")
-    return a.select(*[(F.col("balance") + F.coalesce("interest", F.lit(0))).cast(MONEY).alias("balance")
-                      if c == "balance" else F.col(c) for c in ledger.accounts.columns])
+    return ledger.accounts.select(*[(F.col("balance") + F.coalesce(_interest(), F.lit(0))).cast(MONEY).alias("balance")
+                                    if c == "balance" else F.col(c) for c in ledger.accounts.columns])
 
 
 def reset_daily_limits(limits: DataFrame, as_of: str) -> DataFrame:
@@ -251,7 +247,8 @@ def alert_rules(posted: DataFrame, accounts: DataFrame, rule: str) -> DataFrame:
 
     ``large_deposit``: deposit over 10000 (strict); ``low_balance``: withdrawal
     leaving a balance under 100; ``transfer_received``: the credit leg of a
-    transfer (it carries a ``transfer_ref``). Alert id = transaction id."""
+    transfer (it carries a ``transfer_ref``). An alert bears its transaction's id, as in
+    posting, and like the procedures' alerts no ``transaction_id``."""
     acc = accounts.select(F.col("id").alias("_aid"), F.col("account_number").alias("_num"), F.col("user_id").alias("_uid"))
     other = accounts.select(F.col("id").alias("_rid"), F.col("account_number").alias("_from"))
     amt = F.col("amount").cast("string")
@@ -272,7 +269,7 @@ def alert_rules(posted: DataFrame, accounts: DataFrame, rule: str) -> DataFrame:
         raise ValueError(rule)
     j = src.join(acc, F.col("account_id") == F.col("_aid"), "inner")
     out = j.select(
-        F.col("id"), F.col("_uid").alias("user_id"), "account_id", F.col("id").alias("transaction_id"),
+        F.col("id"), F.col("_uid").alias("user_id"), "account_id",
         F.lit(kind).alias("type"), F.lit(sev).alias("severity"), F.lit(title).alias("title"), msg.alias("message"),
         F.lit(False).alias("is_read"), "created_at",
     )

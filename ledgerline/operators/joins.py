@@ -127,8 +127,8 @@ DEFAULT_LIMITS = [
 ]
 
 
-def default_limits(new_accounts: DataFrame, id_col: str = "id") -> DataFrame:
-    """Each new account times the three default limits.
+def default_limits(new_accounts: DataFrame, id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each new account times the three default limits. ``keep``: columns to carry along.
 
     Written as an explode of a three-element literal array (a narrow,
     per-row expansion), not as a join."""
@@ -137,8 +137,8 @@ def default_limits(new_accounts: DataFrame, id_col: str = "id") -> DataFrame:
                  F.lit(p).alias("period"))
         for i, (t, a, p) in enumerate(DEFAULT_LIMITS)
     ])
-    return new_accounts.select(F.col(id_col).alias("account_id"), F.explode(arr).alias("_l")).select(
-        "account_id", "_l.k", "_l.limit_type", "_l.amount", "_l.period"
+    return new_accounts.select(F.col(id_col).alias("account_id"), *keep, F.explode(arr).alias("_l")).select(
+        "account_id", *keep, "_l.k", "_l.limit_type", "_l.amount", "_l.period"
     )
 
 

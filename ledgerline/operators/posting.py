@@ -21,12 +21,11 @@ the balance before the request (D4).
 How it runs at scale (no per-account loop, no group in one task):
 
 1. Static checks are joins of the request table with the account table.
-2. Valid requests explode into legs. Each leg gets a *chunk*, a fixed-width
-   bucket of its request time sized so the batch spans ``legs / target_rows``
-   buckets (see :mod:`.scan`): a hot account spans many chunks, and each
+2. Valid requests explode into legs. Each leg gets a *chunk*, its part of the
+   total order (see :mod:`.scan`): a hot account spans many chunks, and each
    round's window runs per (account, chunk), so no task holds more than a
-   chunk. Chunk offsets (sums of earlier chunks) join back per round; when the
-   batch fits one bucket that step is skipped.
+   chunk. Chunk offsets (sums of earlier chunks) join back per round. A NULL
+   time comes first, in the order of the request ids.
 3. Each round computes, per leg, exclusive prefix sums over earlier legs of
    its account of accepted and still-unknown credits, debits and limit usage
    (chunk-local window + chunk offsets). That bounds the true balance before
@@ -34,22 +33,23 @@ How it runs at scale (no per-account loop, no group in one task):
    whose checks pass on the pessimistic bounds is accepted; one whose check
    fails on the optimistic bound is rejected; otherwise it waits. Transfer
    credits take their debit's decision through a join on the request id.
-4. In the same round, each account's next ``FOLD_LEGS`` legs from its first
-   undecided leg (whose bounds are exact) are replayed in order by a bounded
-   fold (:func:`_fold`), which settles dependency chains ``FOLD_LEGS`` legs per
-   round instead of one.
-5. The earliest undecided request overall always has exact bounds, so every
+4. In the same round, each account's next legs from its first undecided leg
+   (whose bounds are exact) are replayed in order by a bounded fold
+   (:func:`_fold`), which settles dependency chains: ``FOLD_LEGS`` in the first
+   round, twice as many in each further one, up to ``MAX_FOLD_LEGS``.
+5. Final legs (before their account's first undecided one) are set aside after
+   each round, so later rounds read only the open suffixes of contended accounts.
+6. The earliest undecided request overall always has exact bounds, so every
    round settles at least one request: the loop ends, and the result equals
    the sequential one. Each round's legs are written as Parquet to a new
    folder under the session's checkpoint folder (``spark.checkpoint.dir``,
    shared on a cluster) and read back, so lineage stays one round long and a
-   lost executor only recomputes part of one round.
+   lost executor only recomputes part of one round; a replaced folder is deleted.
 """
 
 from __future__ import annotations
 
 import logging
-import os
 import uuid
 from dataclasses import dataclass
 
@@ -61,7 +61,7 @@ from pyspark.sql.window import Window
 from .. import schemas
 from ..functions import expressions as X
 from ..schemas import MONEY
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, discard, freeze
 from ..sources.ledger import Ledger
 from .joins import limit_lookup
 from .scan import TARGET_ROWS, add_chunks
@@ -70,7 +70,7 @@ log = logging.getLogger(__name__)
 
 UNKNOWN, ACCEPTED, REJECTED = 0, 1, 2
 ORDER = ["requested_at", "request_id", "leg"]
-BROADCAST_ROWS = 2_000_000  # decisions pushed to credit legs by broadcast below this many rows
+BROADCAST_ROWS = 500_000  # decisions (under 40 bytes a row, 20 MB in all) are broadcast up to this many
 
 
 @dataclass(frozen=True)
@@ -181,23 +181,8 @@ def _legs(checked: DataFrame) -> DataFrame:
              F.lit(0).cast("decimal(38,2)").alias("adj_bal"), F.lit(0).cast("decimal(38,2)").alias("adj_use"))
 
 
-def _freeze(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the frame as Parquet to a new folder under the
-    session's checkpoint folder (shared on a cluster) and read it back.
-
-    One job, columnar and compressed; an eager ``Dataset.checkpoint`` would
-    compute the frame twice (once to count, once to write) unless cached."""
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "ledgerline-posting", uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _bounds(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
-    """Exclusive prefix sums per account of accepted / unknown movements.
-
-    With a single chunk (the whole batch fits one time bucket) the chunk
-    offsets are all zero and their aggregate and join are skipped."""
+def _bounds(legs: DataFrame) -> DataFrame:
+    """Exclusive prefix sums per account of accepted / unknown movements."""
     st, amt, cr = F.col("state"), F.col("amount"), F.col("credit")
     q = {
         "a_cr": F.when(cr & (st == ACCEPTED), amt),
@@ -209,15 +194,12 @@ def _bounds(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
     }
     w = Window.partitionBy("acct", "_chunk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     local = legs.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_l_{k}") for k, c in q.items()])
-    if multi_chunk:
-        totals = legs.groupBy("acct", "_chunk").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in q.items()])
-        wk = Window.partitionBy("acct").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            "acct", "_chunk", *[F.coalesce(F.sum(f"_t_{k}").over(wk), F.lit(0)).alias(f"_o_{k}") for k in q]
-        )
-        j = local.join(offsets, ["acct", "_chunk"], "inner")
-    else:
-        j = local.select("*", *[F.lit(0).alias(f"_o_{k}") for k in q])
+    totals = legs.groupBy("acct", "_chunk").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in q.items()])
+    wk = Window.partitionBy("acct").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "acct", "_chunk", *[F.coalesce(F.sum(f"_t_{k}").over(wk), F.lit(0)).alias(f"_o_{k}") for k in q]
+    )
+    j = local.join(offsets, ["acct", "_chunk"], "inner")
     tot = {k: F.col(f"_l_{k}") + F.col(f"_o_{k}") for k in q}
     return j.select(
         *legs.columns,
@@ -269,8 +251,8 @@ def _decide(b: DataFrame, rules: str) -> DataFrame:
                     new_state.alias("state"), new_reason.alias("reason"), newly.alias("_new"))
 
 
-FOLD_LEGS = 64  # legs replayed in order per account and round, from its first undecided leg
-SET_ASIDE_MIN_LEGS = 5_000_000  # batches at least this large keep only open suffixes between rounds
+FOLD_LEGS = 64  # legs replayed in order per account in the first round, from its first undecided leg
+MAX_FOLD_LEGS = 4_096  # the fold doubles each round up to this many: about 1 MB of legs for an account
 
 
 def _fold(b: DataFrame, rules: str, k: int = FOLD_LEGS) -> DataFrame:
@@ -333,8 +315,7 @@ def _fold(b: DataFrame, rules: str, k: int = FOLD_LEGS) -> DataFrame:
 
 
 def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROADCAST_ROWS,
-           multi_chunk: bool = True, fold_legs: int = FOLD_LEGS,
-           set_aside_min_legs: int | None = None) -> tuple[DataFrame, int]:
+           fold_legs: int = FOLD_LEGS) -> tuple[DataFrame, int]:
     """Run rounds until every leg is decided; returns (legs, rounds).
 
     A round materializes the decided legs and counts what is still open and
@@ -344,27 +325,22 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
     from the set-aside folders."""
     cols = legs.columns
     rounds = 0
-    if set_aside_min_legs is None:
-        set_aside_min_legs = SET_ASIDE_MIN_LEGS
-    counts = legs.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("state") == UNKNOWN, 1)).alias("u")).collect()[0]
-    unknown = counts.u
+    unknown = legs.agg(F.count(F.when(F.col("state") == UNKNOWN, 1)).alias("u")).collect()[0].u
     if not unknown:
         return legs, 0
-    # Setting final legs aside costs a few small stages per round; it pays when
-    # the batch is large (later rounds then touch only contended accounts).
-    set_aside = counts.n >= set_aside_min_legs
-    settled_root = os.path.join(checkpoint_dir(legs.sparkSession), "ledgerline-posting", uuid.uuid4().hex)
+    settled_root = f"{checkpoint_dir(legs.sparkSession).rstrip('/')}/ledgerline-posting/{uuid.uuid4().hex}"
     while unknown:
         rounds += 1
-        b = _bounds(legs, multi_chunk).persist(StorageLevel.MEMORY_AND_DISK)
+        b = _bounds(legs).persist(StorageLevel.MEMORY_AND_DISK)
         by_bounds = _decide(b, rules)
-        # The fold's output is at most FOLD_LEGS rows per open account; broadcast
+        # The fold's output is at most ``fold`` short rows per open account; broadcast
         # it when its counted size allows, so the legs are not shuffled for this join.
-        folded_cached = _fold(b, rules, fold_legs).persist(StorageLevel.MEMORY_AND_DISK)
+        fold = min(fold_legs << (rounds - 1), max(fold_legs, MAX_FOLD_LEGS))
+        folded_cached = _fold(b, rules, fold).persist(StorageLevel.MEMORY_AND_DISK)
         folded = folded_cached
-        # Each open account adds at most fold_legs rows and has an undecided
-        # leg, so fold_legs * unknown bounds the size without counting.
-        if fold_legs * unknown <= broadcast_rows or folded_cached.count() <= broadcast_rows:
+        # Each open account adds at most ``fold`` rows and has an undecided
+        # leg, so fold * unknown bounds the size without counting.
+        if fold * unknown <= broadcast_rows or folded_cached.count() <= broadcast_rows:
             folded = F.broadcast(folded_cached)
         both = by_bounds.join(folded, ["request_id", "leg"], "left")
         from_fold = (F.col("state") == UNKNOWN) & F.col("_fs").isNotNull() & ~F.col("credit")
@@ -392,17 +368,15 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
                                   if c == "state" else F.col(c) for c in cols])
         # each newly decided transfer debit settles exactly one waiting credit leg
         before, unknown = unknown, stats.u - stats.t
-        legs = _set_aside(nxt, cols, settled_root, rounds, final=unknown == 0) if set_aside else _freeze(nxt)
+        replaced, legs = legs, _set_aside(nxt, cols, settled_root, rounds, final=unknown == 0)
         step.unpersist()
         b.unpersist()
         folded_cached.unpersist()
+        discard(replaced)
         log.info("posting round %d: %d undecided legs left (was %d)", rounds, unknown, before)
         if unknown >= before:  # cannot happen: the earliest undecided request always settles
             raise RuntimeError("posting made no progress in a round")
-    if not set_aside:
-        return legs, rounds
-    spark = legs.sparkSession
-    return spark.read.schema(legs.schema).parquet(os.path.join(settled_root, "round-*")), rounds
+    return nxt.sparkSession.read.schema(nxt.schema).parquet(f"{settled_root}/round-*"), rounds
 
 
 def _set_aside(nxt: DataFrame, cols: list[str], settled_root: str, rnd: int, final: bool) -> DataFrame:
@@ -415,7 +389,7 @@ def _set_aside(nxt: DataFrame, cols: list[str], settled_root: str, rnd: int, fin
     rounds scan and shuffle only the accounts still in contention, from their
     first open leg on."""
     spark = nxt.sparkSession
-    out = os.path.join(settled_root, f"round-{rnd:04d}")
+    out = f"{settled_root}/round-{rnd:04d}"
     if final:
         nxt.select(*cols).write.parquet(out)
         return nxt
@@ -437,53 +411,67 @@ def _set_aside(nxt: DataFrame, cols: list[str], settled_root: str, rnd: int, fin
         else (F.col("adj_use") + F.coalesce("_du", F.lit(0))).cast("decimal(38,2)").alias(c) if c == "adj_use"
         else F.col(c) for c in cols
     ])
-    frozen = _freeze(opened)
+    frozen = freeze(opened, "ledgerline-posting")
     tagged.unpersist()
     return frozen
 
 
-def _balances(legs: DataFrame, multi_chunk: bool = True) -> DataFrame:
+def _balances(legs: DataFrame) -> DataFrame:
     """balance_before / balance_after of accepted legs (exclusive prefix)."""
     acc = legs.where(F.col("state") == ACCEPTED)
     signed = F.when(F.col("credit"), F.col("amount")).otherwise(-F.col("amount"))
     w = Window.partitionBy("acct", "_chunk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     local = acc.select("*", F.coalesce(F.sum(signed).over(w), F.lit(0)).alias("_l"), signed.alias("_signed"))
-    if multi_chunk:
-        totals = acc.groupBy("acct", "_chunk").agg(F.sum(signed).alias("_t"))
-        wk = Window.partitionBy("acct").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select("acct", "_chunk", F.coalesce(F.sum("_t").over(wk), F.lit(0)).alias("_o"))
-        j = local.join(offsets, ["acct", "_chunk"], "inner")
-    else:
-        j = local.withColumn("_o", F.lit(0))
+    totals = acc.groupBy("acct", "_chunk").agg(F.sum(signed).alias("_t"))
+    wk = Window.partitionBy("acct").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("acct", "_chunk", F.coalesce(F.sum("_t").over(wk), F.lit(0)).alias("_o"))
+    j = local.join(offsets, ["acct", "_chunk"], "inner")
     before = (F.col("bal0") + F.col("_l") + F.col("_o")).cast(MONEY)
     return j.select(*legs.columns, before.alias("balance_before"),
                     (before + F.col("_signed")).cast(MONEY).alias("balance_after"))
 
 
+@dataclass(frozen=True)
+class Marks:
+    """The ledger's highest ids before a batch: its new rows continue from them."""
+
+    transactions: int
+    audit_logs: int
+
+    @staticmethod
+    def of(ledger: Ledger) -> Marks:
+        def top(df: DataFrame) -> int:
+            return df.agg(F.max("id")).first()[0] or 0
+
+        return Marks(top(ledger.transactions), top(ledger.audit_logs))
+
+
 def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedure",
          target_rows: int = TARGET_ROWS, broadcast_rows: int = BROADCAST_ROWS,
-         fold_legs: int = FOLD_LEGS, set_aside_min_legs: int = SET_ASIDE_MIN_LEGS) -> Outcome:
+         fold_legs: int = FOLD_LEGS, marks: Marks | None = None) -> Outcome:
     """T4: post a mixed, ordered batch of requests against a ledger version.
 
     ``requests`` has the columns of ``schemas.REQUESTS``. ``rules`` is
     ``procedure`` (stored-procedure behaviour, default) or ``api`` (the REST
     endpoints: any account status, API formats, no limits, no alerts, no
     before/after balances). Transaction ids continue after the ledger's
-    highest id as ``max + 1 + 2 * request_id + leg`` and references are
-    hashes of the request, so a replayed batch mints the same rows."""
+    highest id as ``max + 1 + 2 * request_id + leg``, audit ids likewise after
+    the audit table's; references are hashes of the transaction id and an
+    alert bears the id of its transaction. So batches that follow each other
+    never share a key, whatever their request ids are, and a batch replayed on
+    the same ledger version mints the same rows. ``marks``: the highest ids
+    where the caller knows them (else two aggregates read them)."""
     checkpoint_dir(requests.sparkSession)
-    checked = _freeze(_checked_requests(requests, ledger, as_of, rules))
-    legs0 = _freeze(add_chunks(_legs(checked), "requested_at", target_rows))
-    multi_chunk = (legs0.agg(F.max("_chunk")).collect()[0][0] or 0) > 0
-    legs, rounds = settle(legs0, rules, broadcast_rows, multi_chunk, fold_legs, set_aside_min_legs)
-    posted = _freeze(_balances(legs, multi_chunk))
-    return _outcome(checked, legs, posted, ledger, as_of, rules, rounds)
-
-
-def _outcome(checked, legs, posted, ledger: Ledger, as_of: str, rules: str, rounds: int) -> Outcome:
-    base = ledger.transactions.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("_base"), F.lit(1).alias("_k"))
-    nums = ledger.accounts.select(F.col("id").alias("_nid"), F.col("account_number").alias("_num"),
-                                  F.col("user_id").alias("_uid"))
+    marks = marks or Marks.of(ledger)
+    checked = freeze(_checked_requests(requests, ledger, as_of, rules), "ledgerline-posting")
+    legs0 = add_chunks(_legs(checked), ORDER, target_rows)
+    legs, rounds = settle(legs0, rules, broadcast_rows, fold_legs)
+    posted = freeze(_balances(legs), "ledgerline-posting")
+    return _outcome(checked, legs, posted, ledger, as_of, rules, rounds, marks)
+
+
+def _outcome(checked, legs, posted, ledger: Ledger, as_of: str, rules: str, rounds: int, marks: Marks) -> Outcome:
+    base = F.lit(marks.transactions + 1).cast("bigint")
     # --- results: one row per request
     leg0 = legs.where(F.col("leg") == 0).select("request_id", F.col("state").alias("_st"), F.col("reason").alias("_dr"))
     bal0 = posted.where(F.col("leg") == 0).select("request_id", F.col("balance_after").alias("_nb"))
@@ -491,21 +479,21 @@ def _outcome(checked, legs, posted, ledger: Ledger, as_of: str, rules: str, roun
         checked.select("request_id", "op", "static_reason")
         .join(leg0, "request_id", "left")
         .join(bal0, "request_id", "left")
-        .withColumn("_k", F.lit(1)).join(F.broadcast(base), "_k")
     )
     accepted = F.coalesce(F.col("_st") == ACCEPTED, F.lit(False))
     results = res.select(
         "request_id", "op", accepted.alias("accepted"),
         F.coalesce("static_reason", "_dr").alias("reason"),
         F.when(accepted, F.col("_nb")).cast(MONEY).alias("new_balance"),
-        F.when(accepted, F.col("_base") + 2 * F.col("request_id")).alias("transaction_id"),
+        F.when(accepted, base + 2 * F.col("request_id")).alias("transaction_id"),
     )
 
     # --- transaction rows
     req = checked.select("request_id", "account_number", "to_account", "description", "src_id", "dst_id")
-    p = posted.join(req, "request_id", "inner").withColumn("_k", F.lit(1)).join(F.broadcast(base), "_k")
+    p = posted.join(req, "request_id", "inner")
     is_transfer = F.col("op") == "transfer"
-    tx_id = F.col("_base") + 2 * F.col("request_id") + F.col("leg")
+    first_id = base + 2 * F.col("request_id")
+    tx_id = first_id + F.col("leg")
     desc = (
         F.when(is_transfer & (F.col("leg") == 0),
                F.format_string(X.TRANSFER_OUT_DESCRIPTION, F.col("to_account"),
@@ -524,13 +512,13 @@ def _outcome(checked, legs, posted, ledger: Ledger, as_of: str, rules: str, roun
         (F.col("balance_before") if with_balances else F.lit(None).cast(MONEY)).alias("balance_before"),
         (F.col("balance_after") if with_balances else F.lit(None).cast(MONEY)).alias("balance_after"),
         desc.alias("description"),
-        X.stable_uuid(F.lit("ref"), F.col("request_id"), F.col("leg")).alias("reference_number"),
+        X.stable_uuid(F.lit("ref"), tx_id).alias("reference_number"),
         F.lit("completed").alias("status"),
-        F.when(is_transfer & (F.col("leg") == 1), F.col("_base") + 2 * F.col("request_id")).alias("related_transaction_id"),
+        F.when(is_transfer & (F.col("leg") == 1), first_id).alias("related_transaction_id"),
         F.when(is_transfer, F.when(F.col("leg") == 0, F.col("dst_id")).otherwise(F.col("src_id"))).alias("related_account_id"),
         F.col("requested_at").alias("created_at"),
         (F.col("requested_at") if with_balances else F.lit(None)).alias("completed_at"),
-        F.when(is_transfer, X.stable_uuid(F.lit("transfer"), F.col("request_id"))).alias("transfer_ref"),
+        F.when(is_transfer, X.stable_uuid(F.lit("transfer"), first_id)).alias("transfer_ref"),
     )
     tx = schemas.conform(tx, schemas.TABLES["transactions"])
 
@@ -565,14 +553,16 @@ def _outcome(checked, legs, posted, ledger: Ledger, as_of: str, rules: str, roun
         limits = ledger.account_limits
 
     # --- alerts (procedure rules only)
-    alerts = posting_alerts(posted, checked, nums, rules)
+    alerts = posting_alerts(posted, checked, rules, base)
 
-    # --- balance_change audit rows, one per accepted leg (the trigger fires per update)
-    audit = p.select(
-        tx_id.alias("id"), F.col("acct").alias("account_id"), tx_id.alias("transaction_id"),
+    # --- balance_change audit rows, one per accepted leg (the trigger fires per update):
+    # before it the account bears the time of its leg before, or of the ledger version
+    audit = _stamped(posted, ledger.accounts).select(
+        (F.lit(marks.audit_logs + 1).cast("bigint") + 2 * F.col("request_id") + F.col("leg")).alias("id"),
+        F.col("acct").alias("account_id"),
         F.lit(X.AUDIT_BALANCE_CHANGE).alias("action"), F.lit(X.AUDIT_ENTITY_ACCOUNT).alias("entity_type"),
         F.col("acct").alias("entity_id"),
-        X.json_object(balance=F.col("balance_before")).alias("old_values"),
+        X.json_object(balance=F.col("balance_before"), updated_at=F.col("_before")).alias("old_values"),
         X.json_object(balance=F.col("balance_after"), updated_at=F.col("requested_at")).alias("new_values"),
         F.col("requested_at").alias("created_at"),
     )
@@ -581,10 +571,25 @@ def _outcome(checked, legs, posted, ledger: Ledger, as_of: str, rules: str, roun
                    schemas.conform(limits, schemas.TABLES["account_limits"]), rounds)
 
 
-def posting_alerts(posted: DataFrame, checked: DataFrame, nums: DataFrame, rules: str) -> DataFrame:
+def _stamped(posted: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds ``_before``: the account's ``updated_at`` before each accepted leg (the
+    time of the leg before it; of the first one, the account's own). Chunk by
+    chunk like the sums: each chunk's last time passes on to the next chunk."""
+    seen = F.struct(F.col("requested_at").alias("t"))  # a struct is never null, though its time may be
+    w = Window.partitionBy("acct", "_chunk").orderBy(*ORDER)
+    local = posted.withColumn("_prev", F.lag(seen).over(w))
+    last = posted.groupBy("acct", "_chunk").agg(F.max_by(seen, F.struct(*ORDER)).alias("_last"))
+    wk = Window.partitionBy("acct").orderBy("_chunk")
+    carried = last.select("acct", "_chunk", F.lag("_last").over(wk).alias("_carry"))
+    own = accounts.select(F.col("id").alias("acct"), F.struct(F.col("updated_at").alias("t")).alias("_own"))
+    j = local.join(carried, ["acct", "_chunk"], "inner").join(own, "acct", "left")
+    return j.withColumn("_before", F.coalesce("_prev", "_carry", "_own")["t"]).drop("_prev", "_carry", "_own")
+
+
+def posting_alerts(posted: DataFrame, checked: DataFrame, rules: str, base: Column) -> DataFrame:
     """The three alert rules on accepted requests (procedure rules only):
     deposit over 10000, withdrawal leaving under 100, and every transfer
-    received. Alert id = request id (one alert per request at most)."""
+    received. An alert bears the id of the transaction that raised it."""
     spark = posted.sparkSession
     if rules == "api":
         return spark.createDataFrame([], schemas.table_schema("alerts"))
@@ -601,7 +606,7 @@ def posting_alerts(posted: DataFrame, checked: DataFrame, nums: DataFrame, rules
                 .otherwise(F.lit(X.ALERT_TRANSFER_RECEIVED[i])))
 
     out = fired.select(
-        F.col("request_id").alias("id"),
+        (base + 2 * F.col("request_id") + F.col("leg")).alias("id"),
         F.when(received, F.col("dst_user")).otherwise(F.col("src_user")).alias("user_id"),
         F.col("acct").alias("account_id"),
         pick(0).alias("type"), pick(1).alias("severity"), pick(2).alias("title"),

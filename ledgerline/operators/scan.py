@@ -4,54 +4,46 @@ A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one
 task; with one account holding a third of all rows that task is the job. The
 scan here is the classic two-level prefix sum:
 
-1. Every row gets a *chunk*: a fixed-width bucket of its ordering time. The
-   width comes from one global aggregate (min, max, count of the time) so that
-   the whole table spans about ``count / target_rows`` buckets; a key holding a
-   third of the rows then has about a third of ``target_rows`` per bucket. The
-   chunk is a pure function of the row (no sampling, no partition id), so it
-   is the same in every branch and every retry, and it never decreases along
-   the order, so chunk order is row order within a key.
+1. Every row gets a *chunk*: the table is range-partitioned by the whole order
+   (NULLs first, ending with a unique id) into ``rows / target_rows`` parts, and
+   the part's number is written with the rows, once, so every branch and retry
+   reads the same chunks. Chunks hold about equally many rows whatever the
+   times are: outliers, bursts and equal times only move their borders.
 2. Inside a chunk: a window over ``(key, chunk)`` (bounded size).
 3. Chunk totals: one row per (key, chunk) after a map-side aggregate; their
    exclusive prefix per key is a window over the chunks of one key.
-4. Offsets join back on (key, chunk); the big side is already hash-partitioned
-   on those columns by the window, so only the small side moves.
+4. Offsets join back on (key, chunk), null-safely; no row is lost.
 
-The result is exact whatever the chunk boundaries are, since only the sums of
-whole chunks cross chunk borders.
+The result is exact whatever the chunk borders are, since only the sums of
+whole chunks cross them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-TARGET_ROWS = 2_000_000  # rows per time bucket over the whole table
+from ..session import freeze
 
+TARGET_ROWS = 2_000_000  # rows of a chunk, about
 
-def _as_long(df: DataFrame, c: str) -> Column:
-    t = df.schema[c].dataType
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp_ltz"))
-    if isinstance(t, T.DateType):
-        return F.unix_date(F.col(c)).cast("long")
-    return F.col(c).cast("long")
 
+def add_chunks(df: DataFrame, order: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """The rows, written and read back, with ``_chunk``: the number of their part
+    of the order (ascending, NULLs first)."""
+    parts = max(1, -(-df.count() // target_rows))
+    if parts == 1:
+        return freeze(df.withColumn("_chunk", F.lit(0)), "ledgerline-chunks")
+    dealt = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
+    return freeze(dealt.withColumn("_chunk", F.spark_partition_id()), "ledgerline-chunks")
 
-def add_chunks(df: DataFrame, order_col: str, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Tag rows with ``_chunk``, a bucket of ``order_col`` (time or integer)."""
-    v = _as_long(df, order_col)
-    stats = df.agg(
-        F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_ck")
-    )
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(int(target_rows))))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / buckets))
-    tagged = df.withColumn("_ck", F.lit(1)).join(F.broadcast(stats), "_ck")  # one-row stats
-    return tagged.withColumn("_chunk", F.floor((v - F.col("_lo")) / width).cast("long")).drop(
-        "_ck", "_lo", "_hi", "_n"
-    )
+
+def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    """The null-safe join condition on columns of both frames."""
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
 
 
 def running_sums(
@@ -65,9 +57,8 @@ def running_sums(
     """Add, per output name, the sum of its value over earlier rows of the same key.
 
     ``inclusive`` counts the current row too. ``order`` sorts ascending, must
-    make the order total (end with a unique id), and its first column (a
-    time or an integer) defines the chunks."""
-    base = add_chunks(df, order[0], target_rows)
+    make the order total (end with a unique id); NULLs come first."""
+    base = add_chunks(df, order, target_rows)
     tmp = {name: f"_v_{name}" for name in values}
     base = base.select("*", *[c.alias(tmp[name]) for name, c in values.items()])
 
@@ -83,8 +74,8 @@ def running_sums(
         *keys, "_chunk",
         *[F.coalesce(F.sum(f"_t_{n}").over(wk), F.lit(0)).alias(f"_o_{n}") for n in values],
     )
-    joined = local.join(offsets, [*keys, "_chunk"], "inner")
+    joined = local.join(offsets, same(local, offsets, [*keys, "_chunk"]), "inner")
     return joined.select(
-        *[F.col(c) for c in df.columns],
+        *[local[c] for c in df.columns],
         *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in values],
     )

@@ -75,20 +75,137 @@ def q_post_withdrawals(spark, sf_dir):
     return _posted(spark, sf_dir, "withdrawal").results
 
 
-@register("post_transfers")
+def _walked(requests: str) -> str:
+    """CTEs that post a mixed batch one request at a time: ``walk`` carries every
+    account's balance and limit usage (in cents) as lists from request to request.
+    ``requests``: a SELECT of request_id, requested_at, account_number, op, to_account, amount."""
+    return f""",
+acc AS (SELECT id, account_number, user_id, status, balance, COALESCE(overdraft_limit, 0) AS od, row_number() OVER (ORDER BY id) AS ix
+        FROM accounts),
+lim AS (SELECT acc.ix, l.amount, l.current_usage, l.account_id FROM acc LEFT JOIN {_LIMIT_SQL} l ON l.account_id = acc.id AND l.rn = 1),
+req AS ({requests}),
+chk AS (
+  SELECT r.*, s.id AS src, d.id AS dst, s.ix AS s, d.ix AS d, CAST(s.od * 100 AS BIGINT) AS od, d.user_id AS dst_user,
+    CAST(CASE WHEN r.op = 'withdrawal' THEN l.amount END * 100 AS BIGINT) AS cap, CAST(r.amount * 100 AS BIGINT) AS cents,
+    CASE WHEN r.op IN ('deposit', 'withdrawal') THEN
+        CASE WHEN s.id IS NULL THEN 'account_not_found' WHEN r.amount IS NULL THEN 'amount_missing'
+             WHEN r.amount <= 0 THEN 'invalid_amount' END
+      WHEN r.op = 'transfer' THEN
+        CASE WHEN r.account_number = r.to_account THEN 'same_account' WHEN r.amount IS NULL THEN 'amount_missing'
+             WHEN r.amount <= 0 THEN 'invalid_amount' WHEN s.id IS NULL THEN 'source_not_found'
+             WHEN d.id IS NULL THEN 'destination_not_found' END
+      ELSE 'invalid_type' END AS sreason
+  FROM req r LEFT JOIN acc s ON s.account_number = r.account_number AND s.status = 'active'
+  LEFT JOIN acc d ON r.op = 'transfer' AND d.account_number = r.to_account AND d.status = 'active'
+  LEFT JOIN lim l ON l.ix = s.ix),
+v AS (SELECT *, row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id) AS pos FROM chk WHERE sreason IS NULL),
+walk(pos, bals, uses, request_id, why, before0, before1) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(CAST(balance * 100 AS BIGINT) ORDER BY ix) FROM acc),
+    (SELECT list(CAST(COALESCE(current_usage, 0) * 100 AS BIGINT) ORDER BY ix) FROM lim),
+    CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT pos, CASE WHEN why IS NOT NULL THEN bals WHEN op = 'deposit' THEN list_transform(bals, lambda b, i: CASE WHEN i = s THEN b + cents ELSE b END)
+      ELSE list_transform(bals, lambda b, i: CASE WHEN i = s THEN b - cents WHEN i = d THEN b + cents ELSE b END) END,
+    CASE WHEN why IS NULL AND op = 'withdrawal' THEN list_transform(uses, lambda b, i: CASE WHEN i = s THEN b + cents ELSE b END) ELSE uses END,
+    request_id, why, bals[s], bals[d]
+  FROM (SELECT v.*, w.bals, w.uses, CASE
+      WHEN v.op = 'withdrawal' AND w.bals[v.s] - v.cents < -v.od THEN 'insufficient_funds'
+      WHEN v.op = 'withdrawal' AND w.uses[v.s] + v.cents > v.cap THEN 'daily_limit_exceeded'
+      WHEN v.op = 'transfer' AND w.bals[v.s] < v.cents THEN 'insufficient_funds' END AS why
+    FROM walk w JOIN v ON v.pos = w.pos + 1)),
+done AS (SELECT c.*, COALESCE(c.sreason, w.why) AS reason, w.before0, w.before1,
+    {_TX_BASE} + 2 * c.request_id AS tx FROM chk c LEFT JOIN walk w ON w.request_id = c.request_id),
+legs AS (
+  SELECT tx AS id, request_id, requested_at, op, src AS account_id, CASE WHEN op = 'deposit' THEN 'deposit' ELSE 'withdrawal' END AS type, amount,
+    before0 AS b, before0 + CASE WHEN op = 'deposit' THEN cents ELSE -cents END AS a, dst AS other FROM done WHERE reason IS NULL
+  UNION ALL
+  SELECT tx + 1, request_id, requested_at, op, dst, 'deposit', amount, before1, before1 + cents, src FROM done WHERE reason IS NULL AND op = 'transfer')
+"""
+
+
+def _cents(x: str) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(20,0)) * CAST('0.01' AS DECIMAL(3,2)) AS DECIMAL(15,2))"
+
+
+_REQ_SQL = "SELECT request_id, requested_at, account_number, op, to_account, amount FROM post_requests"
+_RESULT_SQL = f"""SELECT request_id, op, reason IS NULL AS accepted, reason,
+  CASE WHEN reason IS NULL THEN {_cents("before0 + CASE WHEN op = 'deposit' THEN cents ELSE -cents END")} END AS new_balance,
+  CASE WHEN reason IS NULL THEN tx END AS transaction_id FROM done"""
+_POST_VIEWS = ("accounts", "transactions", "post_requests", "account_limits")
+
+
+@register("post_transfers", views=_POST_VIEWS, recursive=True, oracle=_walked(f"{_REQ_SQL} WHERE op = 'transfer'") + _RESULT_SQL)
 def q_post_transfers(spark, sf_dir):
-    """Transfers (two legs each, coupled accounts), posted in order.
-    No SQL oracle: checked against a sequential solver in the tests."""
+    """Transfers (two legs each, coupled accounts), posted in order."""
     return _posted(spark, sf_dir, "transfer").results
 
 
-@register("post_mixed")
+@register("post_mixed", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + _RESULT_SQL)
 def q_post_mixed(spark, sf_dir):
-    """T4: deposits, withdrawals and transfers in one ordered batch.
-    No SQL oracle: checked against a sequential solver in the tests."""
+    """T4: deposits, withdrawals and transfers in one ordered batch; the results."""
     return _posted(spark, sf_dir).results
 
 
+@register("post_mixed_transactions", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + f"""
+SELECT id, account_id, type, amount, {_cents("b")} AS balance_before, {_cents("a")} AS balance_after, 'completed' AS status,
+  CASE WHEN op = 'transfer' THEN other END AS related_account_id,
+  CASE WHEN op = 'transfer' AND type = 'deposit' THEN id - 1 END AS related_transaction_id, requested_at AS created_at FROM legs""")
+def q_post_mixed_transactions(spark, sf_dir):
+    """T4: the transaction rows that the mixed batch posts."""
+    return _posted(spark, sf_dir).transactions.select(
+        "id", "account_id", "type", "amount", "balance_before", "balance_after", "status", "related_account_id",
+        "related_transaction_id", "created_at")
+
+
+@register("post_mixed_accounts", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + f"""
+SELECT acc.id, {_cents("w.bals[acc.ix]")} AS balance, m.t AS posted_at
+FROM acc, (SELECT bals FROM walk ORDER BY pos DESC LIMIT 1) w
+LEFT JOIN (SELECT account_id, max(requested_at) AS t FROM legs GROUP BY 1) m ON m.account_id = acc.id""")
+def q_post_mixed_accounts(spark, sf_dir):
+    """T4: every account's balance after the mixed batch, and the time of its last posting."""
+    f = fx(spark, sf_dir)
+    before = f.ledger.accounts.select("id", F.col("updated_at").alias("old"))
+    after = T.post(f["post_requests"], f.ledger, AS_OF).accounts.join(before, "id")
+    return after.select("id", "balance", F.when(~F.col("updated_at").eqNullSafe(F.col("old")), F.col("updated_at")).alias("posted_at"))
+
+
+@register("post_mixed_limits", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + """
+SELECT l.id, l.account_id, l.limit_type, CAST(COALESCE(l.current_usage, 0) + COALESCE(u.used, 0) AS DECIMAL(15,2)) AS current_usage
+FROM account_limits l LEFT JOIN (SELECT account_id, sum(amount) AS used FROM legs WHERE op = 'withdrawal' GROUP BY 1) u
+  ON u.account_id = l.account_id AND l.limit_type = 'daily_withdrawal'""")
+def q_post_mixed_limits(spark, sf_dir):
+    """T4: the limit usage after the mixed batch."""
+    return _posted(spark, sf_dir).account_limits.select(
+        "id", "account_id", "limit_type", F.coalesce("current_usage", F.lit(0)).cast("decimal(15,2)").alias("current_usage"))
+
+
+_RECEIVED = """'transfer_received' AS type, 'info' AS severity, 'Transfer Received' AS title,
+  'You received $' || CAST(amount AS VARCHAR) || ' from account ' || account_number AS message"""
+
+
+@register("post_mixed_alerts", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + f"""
+SELECT l.id, acc.user_id, l.account_id, CASE WHEN l.op = 'deposit' THEN 'large_transaction'
+    WHEN l.op = 'withdrawal' THEN 'low_balance' ELSE 'transfer_received' END AS type, l.requested_at AS created_at
+FROM legs l JOIN acc ON acc.id = l.account_id
+WHERE (l.op = 'deposit' AND l.amount > 10000) OR (l.op = 'withdrawal' AND l.a < 10000) OR (l.op = 'transfer' AND l.type = 'deposit')""")
+def q_post_mixed_alerts(spark, sf_dir):
+    """T4: the alerts that the mixed batch raises."""
+    return _posted(spark, sf_dir).alerts.select("id", "user_id", "account_id", "type", "created_at")
+
+
+@register("post_mixed_audit", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + f"""
+SELECT l.id - {_TX_BASE} + 1 AS id, l.account_id, 'balance_change' AS action,
+  '{{"balance":' || CAST({_cents("l.b")} AS VARCHAR) || ',"updated_at":' || COALESCE('"' || strftime(CASE WHEN l.nth = 1 THEN l.updated_at
+    ELSE l.prev END, '%Y-%m-%dT%H:%M:%S.%g') || '"', 'null') || '}}' AS old_values,
+  '{{"balance":' || CAST({_cents("l.a")} AS VARCHAR) || ',"updated_at":' || COALESCE('"' || strftime(l.requested_at, '%Y-%m-%dT%H:%M:%S.%g') || '"', 'null')
+    || '}}' AS new_values, l.requested_at AS created_at
+FROM (SELECT legs.*, x.updated_at, lag(requested_at) OVER w AS prev, row_number() OVER w AS nth FROM legs JOIN accounts x ON x.id = legs.account_id
+      WINDOW w AS (PARTITION BY account_id ORDER BY requested_at NULLS FIRST, request_id, legs.id)) l""")
+def q_post_mixed_audit(spark, sf_dir):
+    """T4: the balance_change audit rows of the mixed batch (the ledger has none before)."""
+    return _posted(spark, sf_dir).audit_logs.select("id", "account_id", "action", "old_values", "new_values", "created_at")
+
+
 # --------------------------------------------------------------------------- stateless jobs
 from ..functions import expressions as X  # noqa: E402
 from ..operators import jobs as JB  # noqa: E402
@@ -163,6 +280,13 @@ def q_reset_daily_limits(spark, sf_dir):
     return JB.reset_daily_limits(fx(spark, sf_dir).ledger.account_limits, AS_OF)
 
 
+@register("reset_count", views=("accounts", "account_limits"), oracle=f"""
+SELECT COUNT(*) AS reset_count FROM account_limits WHERE {_DUE}""")
+def q_reset_count(spark, sf_dir):
+    """How many limits the daily reset touches."""
+    return JB.reset_count(fx(spark, sf_dir).ledger.account_limits, AS_OF)
+
+
 @register("expire_sessions", views=("sessions",), oracle=f"""
 SELECT id, user_id, token_hash, device_info, ip_address, user_agent, expires_at, created_at, last_activity,
   CASE WHEN is_active AND expires_at < TIMESTAMP '{AS_OF}' THEN false ELSE is_active END AS is_active
@@ -174,7 +298,8 @@ def q_expire_sessions(spark, sf_dir):
 
 _AUDIT_SQL = f"""
 SELECT id AS id, id AS account_id, 'balance_change' AS action, 'account' AS entity_type, id AS entity_id,
-  '{{"balance":' || CAST(balance AS VARCHAR) || '}}' AS old_values,
+  '{{"balance":' || CAST(balance AS VARCHAR) || ',"updated_at":' ||
+    COALESCE('"' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000') || '"', 'null') || '}}' AS old_values,
   '{{"balance":' || CAST(new_balance AS VARCHAR) || ',"updated_at":"' || strftime(TIMESTAMP '{AS_OF}', '%Y-%m-%dT%H:%M:%S.000') || '"}}' AS new_values,
   TIMESTAMP '{AS_OF}' AS created_at
 FROM (SELECT *, CAST(balance + {_INTEREST_SQL} AS DECIMAL(15,2)) AS new_balance FROM {_INTEREST_FROM})
@@ -220,12 +345,12 @@ def q_validate_debits(spark, sf_dir):
 
 _ALERT_TAIL = ", false AS is_read, CAST(NULL AS TIMESTAMP) AS read_at, t.created_at, CAST(NULL AS VARCHAR) AS metadata"
 _LARGE_SQL = f"""
-SELECT t.id, a.user_id, t.account_id, t.id AS transaction_id, 'large_transaction' AS type, 'info' AS severity,
+SELECT t.id, a.user_id, t.account_id, CAST(NULL AS BIGINT) AS transaction_id, 'large_transaction' AS type, 'info' AS severity,
   'Large Deposit' AS title, 'A deposit of $' || CAST(t.amount AS VARCHAR) || ' was made to account ' || a.account_number AS message
   {_ALERT_TAIL}
 FROM ({RUNNING_SQL}) t JOIN accounts a ON a.id = t.account_id WHERE t.type = 'deposit' AND t.amount > 10000"""
 _LOW_SQL = f"""
-SELECT t.id, a.user_id, t.account_id, t.id AS transaction_id, 'low_balance' AS type, 'warning' AS severity,
+SELECT t.id, a.user_id, t.account_id, CAST(NULL AS BIGINT) AS transaction_id, 'low_balance' AS type, 'warning' AS severity,
   'Low Balance Alert' AS title, 'Your account ' || a.account_number || ' balance is $' || CAST(t.balance_after AS VARCHAR) AS message
   {_ALERT_TAIL}
 FROM ({RUNNING_SQL}) t JOIN accounts a ON a.id = t.account_id WHERE t.type = 'withdrawal' AND t.balance_after < 100"""
@@ -249,7 +374,10 @@ def q_low_balance_alerts(spark, sf_dir):
     return JB.alert_rules(_posted_fixture(led), led.accounts, "low_balance")
 
 
-@register("transfer_received_alerts")
+@register("transfer_received_alerts", views=_POST_VIEWS, recursive=True, oracle=_walked(f"{_REQ_SQL} WHERE op = 'transfer'") + f"""
+SELECT tx + 1 AS id, dst_user AS user_id, dst AS account_id, CAST(NULL AS BIGINT) AS transaction_id, {_RECEIVED},
+  false AS is_read, CAST(NULL AS TIMESTAMP) AS read_at, requested_at AS created_at, CAST(NULL AS VARCHAR) AS metadata
+FROM done WHERE reason IS NULL""")
 def q_transfer_received_alerts(spark, sf_dir):
     """Transfer-received rule over the rows the transfer batch posts."""
     f = fx(spark, sf_dir)
@@ -426,7 +554,9 @@ def q_apply_updates(spark, sf_dir):
     return L.verify_load(ST.read_store(spark, root))
 
 
-@register("stream_posting")
+@register("stream_posting", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + """
+SELECT request_id, op, reason IS NULL AS accepted, reason,
+  CASE WHEN reason IS NULL THEN """ + _cents("before0 + CASE WHEN op = 'deposit' THEN cents ELSE -cents END") + " END AS new_balance FROM done")
 def q_stream_posting(spark, sf_dir):
     """The fixture requests arrive as files and post through the stream
     (foreachBatch -> T4 -> appended store batch); the per-request results."""
@@ -438,7 +568,7 @@ def q_stream_posting(spark, sf_dir):
     ST.init_store(f.ledger, store_root, AS_OF)
     q = XP.stream_posting(spark, src, store_root, os.path.join(root, "ckpt"), AS_OF)
     q.awaitTermination()
-    return XP.posted_results(spark, store_root)
+    return XP.posted_results(spark, store_root).select("request_id", "op", "accepted", "reason", "new_balance")
 
 
 @register("request_rate_breaches", views=("request_log",), oracle="""
@@ -483,11 +613,22 @@ def q_query_duration_histogram(spark, sf_dir):
     return M.duration_histogram(fx(spark, sf_dir)["request_log"], by="query_type")
 
 
-@register("process_transfer_queue")
+@register("process_transfer_queue", views=("accounts", "transactions", "account_limits", "transfer_queue"), recursive=True, oracle=_walked(f"""
+  SELECT q.id AS request_id, q.scheduled_at AS requested_at, f.account_number, 'transfer' AS op, t.account_number AS to_account, q.amount
+  FROM transfer_queue q LEFT JOIN accounts f ON f.id = q.from_account_id LEFT JOIN accounts t ON t.id = q.to_account_id
+  WHERE q.status = 'pending' AND q.scheduled_at <= TIMESTAMP '{AS_OF}'""") + f"""
+SELECT q.id, q.from_account_id, q.to_account_id, q.amount, q.scheduled_at,
+  CASE WHEN d.request_id IS NULL THEN q.status WHEN d.reason IS NULL THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN d.request_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE q.processed_at END AS processed_at,
+  CASE WHEN d.request_id IS NOT NULL AND d.reason IS NULL THEN d.tx ELSE q.transaction_id END AS transaction_id,
+  CASE WHEN d.reason IS NOT NULL THEN d.reason ELSE q.error_message END AS error_message,
+  q.retry_count + CASE WHEN d.reason IS NOT NULL THEN 1 ELSE 0 END AS retry_count
+FROM transfer_queue q LEFT JOIN done d ON d.request_id = q.id""")
 def q_process_transfer_queue(spark, sf_dir):
-    """P10 -> T3: the due queue transfers posted in order; the new queue.
-    No SQL oracle (transfers couple accounts); see tests."""
-    return T.process_transfer_queue(fx(spark, sf_dir).ledger, AS_OF)[0]
+    """P10 -> T3: the due queue transfers posted in order; the new queue."""
+    return T.process_transfer_queue(fx(spark, sf_dir).ledger, AS_OF)[0].select(
+        "id", "from_account_id", "to_account_id", "amount", "scheduled_at", "status", "processed_at", "transaction_id",
+        "error_message", "retry_count")
 
 
 _API_STATIC = """CASE WHEN r.account_number IS NULL OR r.amount IS NULL THEN 'missing_fields'

@@ -10,8 +10,9 @@ checkpoint directory when the session has none (local runs and tests only).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -49,6 +50,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def freeze(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write the frame as Parquet to a new folder under the
+    session's checkpoint folder (shared on a cluster) and read it back.
+
+    One job, columnar and compressed; an eager ``Dataset.checkpoint`` would
+    compute the frame twice (once to count, once to write) unless cached."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a frozen frame that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerline") -> SparkSession:
     """Session for tests and the bench: no UI, AQE on, UTC."""
     spark = (

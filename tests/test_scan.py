@@ -33,3 +33,27 @@ def test_running_balance_with_many_chunks(spark):
     a = {r.id: (r.balance_before, r.balance_after) for r in running_balance(led.transactions, target_rows=50).collect()}
     b = {r.id: (r.balance_before, r.balance_after) for r in running_balance(led.transactions).collect()}
     assert a == b and len(a) > 0
+
+
+def test_null_times_keys_and_values_lose_no_row(spark):
+    rows = [(None if i % 9 == 0 else i % 3, None if i % 4 == 0 else i // 5, i, i % 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t long, id long, v long")
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = sorted(df.select("*", F.sum("v").over(w).alias("s")).collect(), key=str)
+    for target in (20, 1_000_000):
+        assert sorted(running_sums(df, ["k"], ["t", "id"], {"s": F.col("v")}, target_rows=target).collect(), key=str) == want
+
+
+def test_chunks_stay_balanced(spark):
+    from ledgerline.operators.scan import add_chunks
+
+    cases = {
+        "outlier": [(1, 10_000_000 + i, i) for i in range(5000)] + [(1, 0, 9999)],
+        "equal times": [(1, 7, i) for i in range(5000)],
+        "hot key": [(1 if i % 10 else i, i // 50, i) for i in range(5000)],
+        "no times": [(1, None, i) for i in range(5000)],
+    }
+    for name, rows in cases.items():
+        df = add_chunks(spark.createDataFrame(rows, "k long, t long, id long"), ["t", "id"], target_rows=500)
+        assert df.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] <= 1000, name
+        assert df.count() == len(rows)
