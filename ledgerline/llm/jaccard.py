@@ -8,17 +8,21 @@ signature. Sets that reach the similarity differ in at most ``d`` shingles; with
 more than the parts that may be empty, they agree in a part that is not. So linked sets share a
 signature, and others hardly ever do, however frequent single shingles are. ``m`` follows from the
 size class (sizes in a ratio of 1.5); a set close below a class's end also gets the next
-class's signatures. Classes of texts that share a signature form a group, in blocks of at most ``block``.
+class's signatures. Classes that share a signature form a group, in blocks of at most ``block``.
 
 *Joining.* A block's sets are stored in a path-compressed trie. Its sets walk it together, so that each path's
 overlap is counted once for all that share it, and leave a subtree when what remains of either set
 cannot reach the overlap that the lengths require. At an entry the overlap is exact.
 
-1. Each class goes to the group of its first shared signature.
-2. What the first round connected need not meet again: only groups that still hold sets of different
+Classes that signatures connect, however indirectly, are a family. A family of at most ``family`` shingles
+is one block. Of a larger one
+
+1. each class goes to the block of its first shared signature;
+2. what the first round connected need not meet again: only groups that still hold sets of different
    components are joined. In a group of several blocks the sets outside its largest component
-   visit all blocks, and the others only their own. Every linked pair shares a group, so no link
-   between components is lost; a group of copies is left after the first round.
+   visit all blocks, and the others only their own.
+
+Every linked pair shares a family and a signature, so no link between components is lost.
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than
 a shingle are one shingle. Rows with the same id count as one document, linked with all that any of
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK = 256
+#: Shingles, repeated ones included, of a family that is joined in one block.
+FAMILY = 2_000_000
 #: Ratio of the largest to the smallest size of a size class.
 CLASS_RATIO = 1.5
 
@@ -257,7 +263,7 @@ def _signed(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(num, den)
         for batch in batches:
-            got = [signatures.of(ordered_set(text, n)).tobytes() for text in batch.column(1).to_pylist()]
+            got = [signatures.of(ordered_set(_unpacked(text), n)).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["class", "signatures"])
 
     return texts.mapInArrow(run, "class bigint, signatures binary")
@@ -280,17 +286,28 @@ def _exploded(signed: DataFrame, shared=None) -> DataFrame:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``class, text`` of the wanted classes (and, before the exact join, of few others)."""
+    """``class, text`` of the wanted classes (and, before the exact join, of few others); the
+    text is compressed, since it is shuffled."""
     ids = wanted.select("class").distinct()
     member = common.bloom(ids, "class", ids.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(member.value.test(ids)))
+            kept = batch.filter(pa.array(member.value.test(batch.column(0).to_numpy(zero_copy_only=False))))
+            texts = [pack((x or "").encode("utf-8", "surrogatepass")) for x in kept.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(texts, pa.binary())], names=["class", "text"])
 
     read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("class"), F.col(f"`{text_col}`").alias("text")).where("class is not null")
-    return read.mapInArrow(run, "class bigint, text string")
+    return read.mapInArrow(run, "class bigint, text binary")
+
+
+def _unpacked(text: bytes) -> str:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(text).decode("utf-8", "surrogatepass")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -310,6 +327,15 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
+def _distinct_groups(shared: DataFrame) -> DataFrame:
+    """One signature of those that the very same classes share (copies of a text with
+    few changes agree in most parts, and need to meet once)."""
+    h = F.xxhash64("class").cast("decimal(38,0)")
+    members = shared.groupBy("token").agg(F.count("*").alias("g"), F.sum(h).alias("a"), F.sum(F.xxhash64("class", F.lit(1)).cast("decimal(38,0)")).alias("b"))
+    kept = members.where("g > 1").groupBy("g", "a", "b").agg(F.min("token").alias("token")).select("token")
+    return shared.join(kept, "token")
+
+
 def _first_round(shared: DataFrame, block: int) -> DataFrame:
     """``class, token, blk, component, guest``: each class in the group of its first shared signature."""
     first = shared.groupBy("class").agg(F.min("token").alias("token"))
@@ -340,7 +366,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, dealt: DataFrame, n: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 2):
             if len({r[4] for r in group}) > 1:
-                sets = [ordered_set(r[5], n) for r in group]  # home sets come before guests
+                sets = [ordered_set(_unpacked(r[5]), n) for r in group]  # home sets come before guests
                 n_home = sum(not r[2] for r in group)
                 links = link_block(sets[:n_home], num, den, sets[n_home:], [r[4] for r in group])
                 yield _pairs_batch([(group[i][3], group[j][3]) for i, j in links])
@@ -351,6 +377,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, dealt: DataFrame, n: in
 
 def link(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 3, num: int = 90, den: int = 100, block: int = BLOCK,
+    family: int = FAMILY,
 ) -> DataFrame:
     """``id, n_shingles, component_id`` of every row: texts are linked when ``den`` times the
     sets' intersection reaches ``num`` times their union, and a component is named
@@ -359,7 +386,7 @@ def link(
     if not 0 < num <= den:
         raise ValueError("the similarity must be above 0 and at most 1")
     sets = common.materialize(_sets(docs, id_col, text_col, n), "ngram-sets")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"))
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"), F.max("n").alias("n"))
     classes = common.materialize(classes.where("class is not null"), "ngram-classes")
     signed = _signed(_texts(docs, id_col, text_col, classes), n, num, den)
     signed = common.materialize(signed, "ngram-signatures")
@@ -368,21 +395,23 @@ def link(
     shared = _exploded(signed, common.bloom(often, "token", often.count())).join(often, "token")
     # the Bloom filters let other rows pass; only texts that stand for a class are joined, once a signature
     shared = shared.join(classes.select("class").distinct(), "class", "left_semi").distinct()
-    shared = common.materialize(shared.select("token", "class"), "ngram-shared")
-
-    first = common.materialize(_first_round(shared, block), "ngram-first")
-    near = common.materialize(_joined(docs, id_col, text_col, first, n, num, den), "ngram-links")
-    labels = common.components(near, name="ngram-cc1")
-    second = common.materialize(_second_round(shared, labels, block), "ngram-second")
-    more = common.materialize(_joined(docs, id_col, text_col, second, n, num, den), "ngram-links2")
-    # the second round joins components, so it is enough to join their names
-    named = labels.select(F.col("node"), F.col("component"))
-    for end in ("a", "b"):
-        more = more.join(named.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
-    top = common.components(more, name="ngram-cc2").select(F.col("node").alias("component"), F.col("component").alias("top"))
-    labels = labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    alone = top.select(F.col("component").alias("node"), "top").join(labels, "node", "left_anti").withColumnRenamed("top", "component")
-    labels = labels.union(alone)
+    shared = common.materialize(_distinct_groups(shared.select("token", "class")), "ngram-shared")
+
+    ends = shared.groupBy("token").agg(F.min("class").alias("b"))
+    of_family = common.components(shared.join(ends, "token").select(F.col("class").alias("a"), "b"), name="ngram-families")
+    of_family = of_family.withColumnsRenamed({"component": "family", "node": "class"})
+    sizes = of_family.join(classes.groupBy("class").agg(F.max("n").alias("n")), "class").groupBy("family").agg(F.sum("n").alias("size"))
+    of_family = common.materialize(of_family.join(sizes, "family"), "ngram-family")
+    whole = of_family.where(F.col("size") <= family).select(
+        "class", F.col("family").alias("token"), F.lit(0).cast("bigint").alias("blk"), F.col("class").alias("component"), F.lit(False).alias("guest"))
+    links = _joined(docs, id_col, text_col, whole, n, num, den)
+    large = common.materialize(shared.join(of_family.where(F.col("size") > family).select("class"), "class"), "ngram-large")
+    if not large.isEmpty():
+        first = common.materialize(_first_round(large, block), "ngram-first")
+        near = common.materialize(_joined(docs, id_col, text_col, first, n, num, den), "ngram-near")
+        second = common.materialize(_second_round(large, common.components(near, name="ngram-cc"), block), "ngram-second")
+        links = links.unionByName(near).unionByName(_joined(docs, id_col, text_col, second, n, num, den))
+    labels = common.components(links, name="ngram-links")
 
     class_of = classes.select("digest", "class")
     rows = sets.select("id", F.col("n").alias("n_shingles"), "digest").join(class_of, "digest", "left")

@@ -36,10 +36,10 @@ def brute(rows, n, num, den):
     return sorted(((doc, len(sets[i]), names.get(find(i)) if sets[i] else doc) for i, (doc, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("n", "num", "block"), [(3, 90, 256), (5, 80, 8)])
-def test_components_against_brute_force(spark, documents, texts, n, num, block):
+@pytest.mark.parametrize(("n", "num", "block", "family"), [(3, 90, 256, 2_000_000), (5, 80, 8, 100)])
+def test_components_against_brute_force(spark, documents, texts, n, num, block, family):
     docs = documents.withColumnRenamed("doc_id", "own").selectExpr("own", "text", "1 as id", "'x' as digest", "2 as class")
-    got = jaccard.link(docs, id_col="own", n=n, num=num, block=block).collect()
+    got = jaccard.link(docs, id_col="own", n=n, num=num, block=block, family=family).collect()
     assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(texts, n, num, 100)
 
 
