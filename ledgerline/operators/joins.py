@@ -29,7 +29,18 @@ def accounts_left_tx(ledger: Ledger) -> DataFrame:
         F.col("account_id").alias("_aid"), F.col("id").alias("transaction_id"), "type", "amount"
     )
     a = ledger.accounts.select(F.col("id").alias("account_id"), "account_number")
-    return a.join(t, a.account_id == t._aid, "left").drop("_aid")
+    return _accounts_left(a, t)
+
+
+def _accounts_left(a: DataFrame, t: DataFrame) -> DataFrame:
+    """Accounts LEFT JOIN the fact rows ``t`` (key ``_aid``), as the inner join and the
+    accounts without a row. With the fact table on the left of an inner join AQE can
+    split a hot account, which it can't on the right of a left join; the anti
+    join meets distinct account ids only."""
+    inner = t.join(a, F.col("_aid") == F.col("account_id"), "inner").drop("_aid")
+    seen = t.select("_aid").distinct()
+    alone = a.join(seen, F.col("account_id") == F.col("_aid"), "left_anti")
+    return inner.select(*a.columns, *[c for c in t.columns if c != "_aid"]).unionByName(alone, allowMissingColumns=True)
 
 
 def tx_for_account(ledger: Ledger, account_numbers: list[str] | None = None) -> DataFrame:
@@ -54,8 +65,7 @@ def left_join_on_status(ledger: Ledger, status: str = "completed") -> DataFrame:
     t = ledger.transactions.select(
         F.col("account_id").alias("_aid"), F.col("id").alias("transaction_id"), "amount", "status"
     )
-    cond = (a.account_id == t._aid) & (t.status == F.lit(status))
-    return a.join(t, cond, "left").select("account_id", "account_number", "transaction_id", "amount")
+    return _accounts_left(a, t.where(F.col("status") == status).drop("status"))
 
 
 def orphan_accounts(ledger: Ledger) -> DataFrame:
@@ -143,22 +153,31 @@ def default_limits(new_accounts: DataFrame, id_col: str = "id", keep: tuple[str,
 
 
 def purge_accounts(ledger: Ledger, doomed: DataFrame) -> Ledger:
-    """Delete accounts and every row that references them (cascade).
-
-    ``doomed`` holds account ids in its first column. Each child table is an
-    anti join on its own reference column; transfer queue rows go when either
-    side is purged. Audit rows are left unchanged (their reference declares no
-    cascade)."""
+    """Delete accounts and every row that references them.
+
+    ``doomed`` holds account ids in its first column. Transactions, alerts,
+    limits and audit rows of the accounts go (the reference's own clean-up
+    deletes audit rows before their account), and so do queue transfers on either
+    side; what other accounts' transactions, alerts and audit rows say of a purged account
+    or of its transactions becomes NULL, so no reference dangles. Each child table is an anti join
+    on its reference column."""
     ids = doomed.select(F.col(doomed.columns[0]).alias("_pid")).distinct()
 
     def drop_by(df: DataFrame, column: str) -> DataFrame:
         return df.join(ids, df[column] == ids._pid, "left_anti")
 
-    tx = drop_by(ledger.transactions, "account_id")
+    def forget(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+        marked = df.join(gone.select(F.col(gone.columns[0]).alias("_gone")), df[column] == F.col("_gone"), "left")
+        return marked.select(*[F.when(F.col("_gone").isNull(), df[c]).alias(c) if c == column else df[c] for c in df.columns])
+
+    lost = ledger.transactions.join(ids, F.col("account_id") == F.col("_pid"), "left_semi").select(F.col("id").alias("_tid"))
+    tx = forget(forget(drop_by(ledger.transactions, "account_id"), "related_account_id", ids), "related_transaction_id", lost)
+    queue = drop_by(drop_by(ledger.transfer_queue, "from_account_id"), "to_account_id")
     return ledger.with_tables(
         accounts=drop_by(ledger.accounts, "id"),
         transactions=tx,
-        alerts=drop_by(ledger.alerts, "account_id"),
+        alerts=forget(drop_by(ledger.alerts, "account_id"), "transaction_id", lost),
+        audit_logs=forget(drop_by(ledger.audit_logs, "account_id"), "transaction_id", lost),
         account_limits=drop_by(ledger.account_limits, "account_id"),
-        transfer_queue=drop_by(drop_by(ledger.transfer_queue, "from_account_id"), "to_account_id"),
+        transfer_queue=forget(queue, "transaction_id", lost),
     )

@@ -71,16 +71,25 @@ FOREIGN_KEYS = [
 OUT = ["table_name", "rule", "column_name", "row_key", "value", "n_rows"]
 
 
-def _row_rules(df: DataFrame, table: str, rule: str, checks: list[tuple[str, Column, Column]]) -> DataFrame:
-    """checks: (column name, failed?, offending value) evaluated in one scan."""
-    arr = F.array(*[F.struct(F.lit(c).alias("c"), failed.alias("f"), value.cast("string").alias("v"))
-                    for c, failed, value in checks])
-    return (
-        df.select(F.col("id").cast("string").alias("row_key"), F.explode(arr).alias("_r"))
-        .where(F.col("_r.f"))
-        .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.col("_r.c").alias("column_name"),
-                "row_key", F.col("_r.v").alias("value"), F.lit(1).cast("bigint").alias("n_rows"))
-    )
+Check = tuple[str, str, Column, Column]  # rule, column name, failed?, offending value
+
+
+def _row_rules(df: DataFrame, table: str, checks: list[Check]) -> DataFrame:
+    """All row rules of a table in one scan; only failed ones are exploded."""
+    arr = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.coalesce(failed, F.lit(False)).alias("f"), value.cast("string").alias("v"))
+                    for r, c, failed, value in checks])
+    failed = df.select(F.col("id").cast("string").alias("row_key"), F.filter(arr, lambda x: x["f"]).alias("_a")).where(F.size("_a") > 0)
+    return failed.select("row_key", F.explode("_a").alias("_r")).select(
+        F.lit(table).alias("table_name"), F.col("_r.r").alias("rule"), F.col("_r.c").alias("column_name"),
+        "row_key", F.col("_r.v").alias("value"), F.lit(1).cast("bigint").alias("n_rows"))
+
+
+def _by_table(ledger: Ledger, *families: dict[str, list[Check]]) -> DataFrame:
+    t, merged = ledger.tables(), {}
+    for family in families:
+        for table, checks in family.items():
+            merged.setdefault(table, []).extend(checks)
+    return _union([_row_rules(t[tb], tb, checks) for tb, checks in merged.items()], ledger.users.sparkSession)
 
 
 def _union(parts: list[DataFrame], spark) -> DataFrame:
@@ -97,12 +106,34 @@ def _violates(check: Column) -> Column:
     return ~F.coalesce(check, F.lit(True))
 
 
+def _not_null() -> dict[str, list[Check]]:
+    return {tb: [("not_null", c, F.col(c).isNull(), F.lit(None)) for c in cols] for tb, cols in NOT_NULL.items()}
+
+
+def _domain() -> dict[str, list[Check]]:
+    out: dict[str, list[Check]] = {}
+    for tb, c, allowed in DOMAIN:
+        out.setdefault(tb, []).append(("domain", c, _violates(F.col(c).isin(*allowed)), F.col(c)))
+    return out
+
+
+def _format() -> dict[str, list[Check]]:
+    return {
+        "users": [("format", "email", _violates(X.valid_email("email")), F.col("email"))],
+        "accounts": [("format", "account_number", _violates(X.valid_account_number("account_number")), F.col("account_number"))],
+    }
+
+
+def _range() -> dict[str, list[Check]]:
+    out: dict[str, list[Check]] = {}
+    for tb, c, check in RANGE:
+        out.setdefault(tb, []).append(("range", c, _violates(F.expr(check)), F.col(c)))
+    return out
+
+
 def dq_not_null(ledger: Ledger) -> DataFrame:
     """Q1: NOT NULL columns holding NULL."""
-    t = ledger.tables()
-    parts = [_row_rules(t[tb], tb, "not_null", [(c, F.col(c).isNull(), F.lit(None)) for c in cols])
-             for tb, cols in NOT_NULL.items()]
-    return _union(parts, ledger.users.sparkSession)
+    return _by_table(ledger, _not_null())
 
 
 def dq_unique(ledger: Ledger) -> DataFrame:
@@ -119,29 +150,17 @@ def dq_unique(ledger: Ledger) -> DataFrame:
 
 def dq_domain(ledger: Ledger) -> DataFrame:
     """Q3: values outside their declared set."""
-    t = ledger.tables()
-    by_table: dict[str, list] = {}
-    for tb, c, allowed in DOMAIN:
-        by_table.setdefault(tb, []).append((c, _violates(F.col(c).isin(*allowed)), F.col(c)))
-    parts = [_row_rules(t[tb], tb, "domain", checks) for tb, checks in by_table.items()]
-    return _union(parts, ledger.users.sparkSession)
+    return _by_table(ledger, _domain())
 
 
 def dq_format(ledger: Ledger) -> DataFrame:
     """Q4: email (case-insensitive) and account-number patterns of the tables."""
-    parts = [
-        _row_rules(ledger.users, "users", "format", [("email", _violates(X.valid_email("email")), F.col("email"))]),
-        _row_rules(ledger.accounts, "accounts", "format",
-                   [("account_number", _violates(X.valid_account_number("account_number")), F.col("account_number"))]),
-    ]
-    return _union(parts, ledger.users.sparkSession)
+    return _by_table(ledger, _format())
 
 
 def dq_range(ledger: Ledger) -> DataFrame:
     """Q5: balance floor, positive amounts and limits."""
-    t = ledger.tables()
-    parts = [_row_rules(t[tb], tb, "range", [(c, _violates(F.expr(check)), F.col(c))]) for tb, c, check in RANGE]
-    return _union(parts, ledger.users.sparkSession)
+    return _by_table(ledger, _range())
 
 
 def dq_foreign_key(ledger: Ledger) -> DataFrame:
@@ -160,6 +179,6 @@ def dq_foreign_key(ledger: Ledger) -> DataFrame:
 
 
 def quality_report(ledger: Ledger) -> DataFrame:
-    """All six rule families in one report."""
-    return _union([dq_not_null(ledger), dq_unique(ledger), dq_domain(ledger), dq_format(ledger),
-                   dq_range(ledger), dq_foreign_key(ledger)], ledger.users.sparkSession)
+    """All six rule families in one report; the row rules take one scan per table."""
+    rows = _by_table(ledger, _not_null(), _domain(), _format(), _range())
+    return _union([rows, dq_unique(ledger), dq_foreign_key(ledger)], ledger.users.sparkSession)

@@ -49,13 +49,15 @@ def validate_transfer_requests(parsed: DataFrame) -> DataFrame:
 
 def validate_account_requests(parsed: DataFrame) -> DataFrame:
     """POST accounts: JSON, names and email present, email format, and an
-    opening deposit that, when given, is a number not below zero."""
+    opening deposit that, when given, is a number not below zero that the
+    ledger's decimal can hold."""
     dep_given = F.col("initialDeposit_present")
     reason = (
         F.when(~F.col("json_ok"), F.lit("invalid_json"))
         .when(_blank("firstName") | _blank("lastName") | _blank("email"), F.lit("missing_fields"))
         .when(~X.valid_email("email", "api"), F.lit("invalid_email"))
-        .when(dep_given & (~F.col("initialDeposit_is_number") | (F.col("initialDeposit_value") < 0)),
+        .when(dep_given & (~F.col("initialDeposit_is_number") | (F.col("initialDeposit_value") < 0)
+                          | F.col("initialDeposit_value").isNull()),
               F.lit("invalid_initial_deposit"))
     )
     return _finish(parsed, reason)

@@ -24,7 +24,8 @@ TX_COLS = "id, account_id, type, amount, status, created_at"
 SELECT 'users' AS table_name, COUNT(*) AS row_count FROM users UNION ALL
 SELECT 'accounts', COUNT(*) FROM accounts UNION ALL
 SELECT 'transactions', COUNT(*) FROM transactions UNION ALL
-SELECT 'audit_logs', COUNT(*) FROM audit_logs UNION ALL
+SELECT 'audit_logs', COUNT(*) FROM audit_logs g
+  WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.status = 'closed' AND a.id = g.account_id) UNION ALL
 SELECT 'sessions', COUNT(*) FROM sessions UNION ALL
 SELECT 'alerts', COUNT(*) FROM alerts UNION ALL
 SELECT 'account_limits', COUNT(*) FROM account_limits UNION ALL
@@ -231,7 +232,8 @@ SELECT 'users' AS table_name, COUNT(*) AS row_count FROM users UNION ALL
 SELECT 'accounts', COUNT(*) FROM accounts WHERE status <> 'closed' UNION ALL
 SELECT 'transactions', COUNT(*) FROM transactions t
   WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.status = 'closed' AND a.id = t.account_id) UNION ALL
-SELECT 'audit_logs', COUNT(*) FROM audit_logs UNION ALL
+SELECT 'audit_logs', COUNT(*) FROM audit_logs g
+  WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.status = 'closed' AND a.id = g.account_id) UNION ALL
 SELECT 'sessions', COUNT(*) FROM sessions UNION ALL
 SELECT 'alerts', COUNT(*) FROM alerts UNION ALL
 SELECT 'account_limits', COUNT(*) FROM account_limits l
@@ -244,6 +246,17 @@ def q_purge_accounts(spark, sf_dir):
     return L.verify_load(J.purge_accounts(led, closed))
 
 
+@register("purge_transactions", views=("accounts", "transactions"), oracle="""
+SELECT t.id, t.account_id, t.type, t.amount,
+  CASE WHEN t.related_account_id IN (SELECT id FROM accounts WHERE status = 'closed') THEN NULL ELSE t.related_account_id END AS related_account_id
+FROM transactions t WHERE t.account_id IS NULL OR t.account_id NOT IN (SELECT id FROM accounts WHERE status = 'closed')""")
+def q_purge_transactions(spark, sf_dir):
+    """The transaction rows that are left when the closed accounts are purged."""
+    led = fx(spark, sf_dir).ledger
+    closed = led.accounts.where(F.col("status") == "closed").select("id")
+    return J.purge_accounts(led, closed).transactions.select("id", "account_id", "type", "amount", "related_account_id")
+
+
 # --------------------------------------------------------------------------- aggregates
 @register("account_summaries", views=("accounts", "users", "transactions"), oracle="""
 SELECT a.id AS account_id, a.account_number, a.account_type, a.balance, a.currency, a.status,

@@ -480,6 +480,19 @@ for _key, _fn, _sql in [
     register(_key, views=ALL_TABLES, oracle=_sql)(_run)
 
 
+@register("dq_domain_dirty", views=ALL_TABLES, oracle=_HEAD.format(t="transactions", r="domain", c="type") + """
+  CAST(id AS VARCHAR) AS row_key, upper(type) AS value, CAST(1 AS BIGINT) AS n_rows FROM transactions WHERE amount > 100000
+UNION ALL """ + _HEAD.format(t="accounts", r="domain", c="status") + """
+  CAST(id AS VARCHAR), 'shut', CAST(1 AS BIGINT) FROM accounts WHERE status = 'closed'""")
+def q_dq_domain_dirty(spark, sf_dir):
+    """Q3 on rows that fail: the fixture's large transactions with their type in
+    capitals, and its closed accounts with an unknown status."""
+    led = fx(spark, sf_dir).ledger
+    tx = led.transactions.withColumn("type", F.when(F.col("amount") > 100000, F.upper("type")).otherwise(F.col("type")))
+    acc = led.accounts.withColumn("status", F.when(F.col("status") == "closed", "shut").otherwise(F.col("status")))
+    return Q.dq_domain(led.with_tables(transactions=tx, accounts=acc))
+
+
 # --------------------------------------------------------------------------- snapshots, streams, metrics
 import os  # noqa: E402
 import uuid  # noqa: E402
@@ -514,10 +527,20 @@ def q_load_ledger(spark, sf_dir):
     return L.load_ledger(spark, os.path.join(root, S.snapshot_name(AS_OF))).transactions
 
 
-@register("snapshot_export")
+@register("snapshot_export", views=ALL_TABLES, oracle=" UNION ALL ".join(
+    f"SELECT '{S.snapshot_name(AS_OF)}' AS snapshot, '{t}' AS table_name, COUNT(*) AS row_count, true AS checksum_ok, "
+    f"TIMESTAMP '{AS_OF}' AS created_at, 'ledgerline' AS source FROM {t}" for t in schemas.LEDGER_TABLES))
 def q_snapshot_export(spark, sf_dir):
-    """Export the fixture ledger; the manifest rows (count, checksum)."""
-    return S.snapshot_export(fx(spark, sf_dir).ledger, scratch(spark), AS_OF).drop("path")
+    """Export the fixture ledger; the manifest rows, each checksum held against
+    that of the table before it was written."""
+    led = fx(spark, sf_dir).ledger
+    manifest = S.snapshot_export(led, scratch(spark), AS_OF)
+    own = None
+    for t, df in led.tables().items():
+        row = S._checksum(schemas.conform(df, schemas.TABLES[t])).select(F.lit(t).alias("table_name"), F.col("checksum").alias("_own"))
+        own = row if own is None else own.unionByName(row)
+    return manifest.join(own, "table_name").select(
+        "snapshot", "table_name", "row_count", (F.col("checksum") == F.col("_own")).alias("checksum_ok"), "created_at", "source")
 
 
 @register("snapshot_restore", views=ALL_TABLES, oracle=" UNION ALL ".join(
@@ -542,7 +565,12 @@ def q_snapshot_retention(spark, sf_dir):
     return S.snapshot_retention(spark, root, AS_OF, keep_days=30)
 
 
-@register("apply_updates")
+@register("apply_updates", views=ALL_TABLES + ("post_requests",), recursive=True, oracle=_walked(_REQ_SQL) + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, (SELECT COUNT(*) FROM {t})" + {
+        "transactions": " + (SELECT COUNT(*) FROM legs)", "audit_logs": " + (SELECT COUNT(*) FROM legs)",
+        "alerts": " + (SELECT COUNT(*) FROM legs WHERE (op = 'deposit' AND amount > 10000) OR (op = 'withdrawal' AND a < 10000) "
+                  "OR (op = 'transfer' AND type = 'deposit'))"}.get(t, "") + " AS row_count"
+    for t in schemas.LEDGER_TABLES))
 def q_apply_updates(spark, sf_dir):
     """The fixture ledger becomes batch 0 of a store, the fixture requests
     post and append as batch 1; the row counts of the committed ledger."""
@@ -571,16 +599,33 @@ def q_stream_posting(spark, sf_dir):
     return XP.posted_results(spark, store_root).select("request_id", "op", "accepted", "reason", "new_balance")
 
 
-@register("request_rate_breaches", views=("request_log",), oracle="""
+_RATE_SQL = """
 SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start,
   time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end, ip, COUNT(*) AS requests
-FROM request_log GROUP BY 1, 2, 3 HAVING COUNT(*) > 2""")
+FROM request_log GROUP BY 1, 2, 3 HAVING COUNT(*) > {limit}"""
+
+
+@register("request_rate_breaches", views=("request_log",), oracle=_RATE_SQL.format(limit=2))
 def q_request_rate_breaches(spark, sf_dir):
     """Clients with more than 2 requests in a 15-minute window (the
     fixture's busiest client makes 3; the API default is 100)."""
     return XR.request_rate_breaches(fx(spark, sf_dir)["request_log"], max_requests=2)
 
 
+@register("stream_rate_breaches", views=("request_log",), oracle=_RATE_SQL.format(limit=1))
+def q_stream_rate_breaches(spark, sf_dir):
+    """X2 on a stream: the request log arrives as files; clients with more than 1
+    request in a 15-minute window."""
+    root = scratch(spark)
+    log = fx(spark, sf_dir)["request_log"]
+    src = os.path.join(root, "log")
+    log.repartitionByRange(3, "ts").write.parquet(src)
+    q = XR.stream_rate_breaches(spark, src, log.schema, os.path.join(root, "breaches"), os.path.join(root, "ckpt"),
+                                max_requests=1)
+    q.awaitTermination()
+    return XR.written_breaches(spark, os.path.join(root, "breaches"))
+
+
 @register("stream_alerts", views=("accounts", "transactions"), oracle=f"{_LARGE_SQL} UNION ALL {_LOW_SQL}")
 def q_stream_alerts(spark, sf_dir):
     """Alert rules on a stream of the fixture rows posted from zero."""

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import expressions as X
-from .ledger import Ledger, load_ledger
+from .ledger import Ledger, _exists, load_ledger
 
 MANIFEST = "manifest"
+ROWS_PER_FILE = 4_000_000  # transactions of a snapshot file, about: some 100 MB of Parquet
 
 
 def snapshot_name(as_of: str) -> str:
@@ -42,7 +43,7 @@ def write_table(df: DataFrame, path: str, table: str) -> None:
     account) before the write, so a busy month is spread over several tasks
     and each file holds a sorted account range (row-group pruning)."""
     if table == "transactions":
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = max(1, -(-df.count() // ROWS_PER_FILE))
         (df.withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
          .repartitionByRange(n, "created_month", "account_id")
          .sortWithinPartitions("created_month", "account_id", "created_at")
@@ -84,13 +85,20 @@ def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
 def snapshot_restore(spark: SparkSession, root: str, name: str) -> tuple[Ledger, DataFrame]:
     """Read a snapshot and verify it against its manifest.
 
-    Refuses (raises) a snapshot with no manifest or no tables. Returns the
-    ledger and the check rows (table_name, expected_rows, actual_rows,
-    checksum_ok, ok)."""
+    Refuses (raises) a snapshot with no manifest, no tables, a listed table
+    without its folder, or counts or checksums that differ from the manifest's.
+    Returns the ledger and the check rows (table_name, expected_rows,
+    actual_rows, checksum_ok, ok)."""
     base = os.path.join(root, name)
+    if not _exists(spark, os.path.join(base, MANIFEST)):
+        raise RuntimeError(f"snapshot {name} has no manifest")
     manifest = spark.read.parquet(os.path.join(base, MANIFEST))
-    if not manifest.take(1):
+    listed = [r.table_name for r in manifest.select("table_name").collect()]  # one row per table
+    if not listed:
         raise RuntimeError(f"snapshot {name} lists no tables")
+    missing = [t for t in listed if not _exists(spark, os.path.join(base, t))]
+    if missing:
+        raise RuntimeError(f"snapshot {name} lacks {', '.join(sorted(missing))}")
     ledger = load_ledger(spark, base)
     parts = [_checksum(df).select(F.lit(t).alias("table_name"), F.col("row_count").alias("actual_rows"),
                                   F.col("checksum").alias("_actual_sum"))
@@ -106,7 +114,11 @@ def snapshot_restore(spark: SparkSession, root: str, name: str) -> tuple[Ledger,
         F.coalesce((F.col("expected_rows") == F.col("actual_rows")) & (F.col("checksum") == F.col("_actual_sum")),
                    F.lit(False)).alias("ok"),
     )
-    return ledger, out
+    rows = out.collect()  # one row per table
+    bad = sorted(r.table_name for r in rows if not r.ok)
+    if bad:
+        raise RuntimeError(f"snapshot {name} does not match its manifest: {', '.join(bad)}")
+    return ledger, spark.createDataFrame(rows, out.schema)
 
 
 def snapshot_retention(spark: SparkSession, root: str, as_of: str, keep_days: int = 30) -> DataFrame:
@@ -119,9 +131,8 @@ def snapshot_retention(spark: SparkSession, root: str, as_of: str, keep_days: in
 
 def latest_snapshot(spark: SparkSession, root: str) -> str | None:
     """Name of the newest complete snapshot (the version pointer)."""
-    try:
-        m = list_snapshots(spark, root)
-    except Exception:  # noqa: BLE001 - no snapshot yet
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(root, "snapshot-*", MANIFEST))
+    if not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
         return None
-    row = m.agg(F.max_by("snapshot", F.struct("created_at", "snapshot")).alias("s")).collect()[0]
+    row = list_snapshots(spark, root).agg(F.max_by("snapshot", F.struct("created_at", "snapshot")).alias("s")).collect()[0]
     return row.s

@@ -6,8 +6,9 @@ state kept for late rows, windows are tumbling and epoch-aligned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The API's limit, 100 requests per 15 minutes per client.
 DEFAULT_MAX_REQUESTS = 100
@@ -30,3 +31,25 @@ def request_rate_breaches(log: DataFrame, max_requests: int = DEFAULT_MAX_REQUES
     return counted.where(F.col("requests") > int(max_requests)).select(
         F.col("w.start").cast(ts_type).alias("window_start"), F.col("w.end").cast(ts_type).alias("window_end"),
         "ip", "requests")
+
+
+def stream_rate_breaches(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str, checkpoint_location: str,
+                         max_requests: int = DEFAULT_MAX_REQUESTS, max_files_per_trigger: int = 100):
+    """Start the rate check on request-log files that arrive in ``source_dir``. Each
+    micro-batch writes the windows that it changed to its own folder of
+    ``sink_dir`` (a repeated one overwrites it); the watermark bounds the state."""
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", int(max_files_per_trigger)).parquet(source_dir)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
+
+    return (
+        request_rate_breaches(log, max_requests).writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start()
+    )
+
+
+def written_breaches(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The breaches that the stream has written: a window's count only grows, so its last is its largest."""
+    rows = spark.read.option("basePath", sink_dir).parquet(f"{sink_dir}/epoch=*")
+    return rows.groupBy("window_start", "window_end", "ip").agg(F.max("requests").alias("requests"))
