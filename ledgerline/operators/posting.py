@@ -62,7 +62,7 @@ from .. import schemas
 from ..functions import expressions as X
 from ..schemas import MONEY
 from ..session import checkpoint_dir, discard, freeze
-from ..sources.ledger import Ledger
+from ..sources.ledger import Ledger, Marks
 from .joins import limit_lookup
 from .scan import TARGET_ROWS, add_chunks
 
@@ -431,21 +431,6 @@ def _balances(legs: DataFrame) -> DataFrame:
                     (before + F.col("_signed")).cast(MONEY).alias("balance_after"))
 
 
-@dataclass(frozen=True)
-class Marks:
-    """The ledger's highest ids before a batch: its new rows continue from them."""
-
-    transactions: int
-    audit_logs: int
-
-    @staticmethod
-    def of(ledger: Ledger) -> Marks:
-        def top(df: DataFrame) -> int:
-            return df.agg(F.max("id")).first()[0] or 0
-
-        return Marks(top(ledger.transactions), top(ledger.audit_logs))
-
-
 def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedure",
          target_rows: int = TARGET_ROWS, broadcast_rows: int = BROADCAST_ROWS,
          fold_legs: int = FOLD_LEGS, marks: Marks | None = None) -> Outcome:

@@ -34,6 +34,21 @@ class Ledger:
         return replace(self, **changes)
 
 
+@dataclass(frozen=True)
+class Marks:
+    """The ledger's highest ids before a batch: its new rows continue from them."""
+
+    transactions: int
+    audit_logs: int
+
+    @staticmethod
+    def of(ledger: Ledger) -> Marks:
+        def top(df: DataFrame) -> int:
+            return df.agg(F.max("id")).first()[0] or 0
+
+        return Marks(top(ledger.transactions), top(ledger.audit_logs))
+
+
 def empty_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], schemas.table_schema(table))
 

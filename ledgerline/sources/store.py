@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from .ledger import Ledger, empty_table
+from .ledger import Ledger, Marks, empty_table
 
 FACTS = ("transactions", "alerts", "audit_logs")
 STATE = ("users", "accounts", "sessions", "account_limits", "transfer_queue")
@@ -75,18 +75,31 @@ def write_batch_rows(df: DataFrame, root: str, name: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(root, name, f"batch={batch}"))
 
 
-def read_batch_rows(spark: SparkSession, root: str, name: str, schema) -> DataFrame | None:
+def read_batch_rows(spark: SparkSession, root: str, name: str, schema, last: int | None = None) -> DataFrame | None:
+    """The committed per-batch rows, or only those of the ``last`` batches (the
+    partition filter prunes the others' folders)."""
     n = committed(spark, root)
     path = os.path.join(root, name)
     if n is None or not _numbers(spark, path, "batch"):
         return None
-    return spark.read.schema(_with_batch(schema)).parquet(path).where(F.col("batch") <= n)
+    rows = spark.read.schema(_with_batch(schema)).parquet(path).where(F.col("batch") <= n)
+    return rows if last is None else rows.where(F.col("batch") > n - last)
 
 
-def _commit(spark: SparkSession, root: str, batch: int, as_of: str) -> None:
-    spark.range(1).select(F.lit(batch).cast("bigint").alias("batch"),
-                          F.to_timestamp(F.lit(as_of)).alias("as_of")).write.parquet(
-        os.path.join(root, "commits", f"batch={batch}"))
+def _commit(spark: SparkSession, root: str, batch: int, as_of: str, marks: Marks, epoch: int | None) -> None:
+    """The marker row: the highest ids so far, and the stream's micro-batch that the batch
+    holds (the last one, if this batch comes from elsewhere)."""
+    spark.range(1).select(
+        F.to_timestamp(F.lit(as_of)).alias("as_of"), F.lit(marks.transactions).cast("bigint").alias("max_transaction"),
+        F.lit(marks.audit_logs).cast("bigint").alias("max_audit"), F.lit(epoch).cast("bigint").alias("epoch"),
+    ).write.parquet(os.path.join(root, "commits", f"batch={batch}"))
+
+
+def last_commit(spark: SparkSession, root: str) -> tuple[Marks, int | None]:
+    """The newest marker's highest ids and micro-batch: one row, whatever the history's size."""
+    n = committed(spark, root)
+    row = spark.read.parquet(os.path.join(root, "commits", f"batch={n}")).first()
+    return Marks(row.max_transaction, row.max_audit), row.epoch
 
 
 def init_store(ledger: Ledger, root: str, as_of: str) -> None:
@@ -95,7 +108,7 @@ def init_store(ledger: Ledger, root: str, as_of: str) -> None:
         _write_fact(getattr(ledger, t), root, t, 0)
     for t in STATE:
         _write_state(getattr(ledger, t), root, t, 0)
-    _commit(ledger.users.sparkSession, root, 0, as_of)
+    _commit(ledger.users.sparkSession, root, 0, as_of, Marks.of(ledger), None)
 
 
 def read_store(spark: SparkSession, root: str, batch: int | None = None) -> Ledger:
@@ -127,13 +140,14 @@ def next_batch(spark: SparkSession, root: str) -> int:
 
 
 def apply_updates(root: str, outcome, as_of: str, batch: int | None = None,
-                  extra: dict[str, DataFrame] | None = None) -> int:
+                  extra: dict[str, DataFrame] | None = None, epoch: int | None = None) -> int:
     """Append a posting outcome as the next batch and commit it.
 
     New transactions, alerts and audit rows are appended; the accounts and
     limits versions of the outcome are written as the batch's state; ``extra``
     per-batch rows (name -> frame) are written too. The commit marker is
-    written last. Returns the batch number."""
+    written last, with the highest ids and the stream's ``epoch``. Returns the
+    batch number."""
     spark = outcome.results.sparkSession
     n = next_batch(spark, root) if batch is None else batch
     for name, df in (extra or {}).items():
@@ -143,5 +157,8 @@ def apply_updates(root: str, outcome, as_of: str, batch: int | None = None,
     _write_fact(outcome.audit_logs, root, "audit_logs", n)
     _write_state(outcome.accounts, root, "accounts", n)
     _write_state(outcome.account_limits, root, "account_limits", n)
-    _commit(spark, root, n, as_of)
+    before, last_epoch = last_commit(spark, root)
+    new = outcome.transactions.agg(F.max("id")).first()[0], outcome.audit_logs.agg(F.max("id")).first()[0]
+    marks = Marks(max(before.transactions, new[0] or 0), max(before.audit_logs, new[1] or 0))
+    _commit(spark, root, n, as_of, marks, last_epoch if epoch is None else epoch)
     return n

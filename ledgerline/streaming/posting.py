@@ -4,13 +4,14 @@
 the micro-batch against the committed ledger -> the batch appended to the
 ledger store (S8: new fact rows, new state versions, results, commit marker).
 
-Replays are harmless: ``foreachBatch`` may run a batch again after a failure,
-so requests whose id already has a committed result are dropped first (a left
-anti join), ids and references are functions of the request id, and an
-uncommitted batch folder is overwritten by the retry. Within one micro-batch
-requests post in ``(requested_at, request_id)`` order; across micro-batches
-the file order of the source decides, so producers write request files in
-time order.
+Replays are harmless: ``foreachBatch`` may run a batch again after a failure, so
+the commit marker names the micro-batch and a repeated one is skipped; an
+uncommitted batch folder is overwritten by the retry. The marker also
+holds the highest ids, so a micro-batch reads no earlier fact file. A request that
+a producer sends again is dropped when its id was posted in the last
+``dedupe_batches`` batches. Within one micro-batch requests post in
+``(requested_at, request_id)`` order; across micro-batches the file order of the
+source decides, so producers write request files in time order.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ RESULT_SCHEMA = T.StructType([
 
 
 def stream_posting(spark: SparkSession, source_dir: str, store_root: str, checkpoint_location: str,
-                   as_of: str, max_files_per_trigger: int | None = None):
+                   as_of: str, max_files_per_trigger: int | None = None, dedupe_batches: int = 96):
     """Start the stream; returns the ``StreamingQuery``. The store must hold a
     committed batch (``store.init_store``)."""
     reader = spark.readStream.schema(schemas.struct(schemas.REQUESTS))
@@ -42,14 +43,17 @@ def stream_posting(spark: SparkSession, source_dir: str, store_root: str, checkp
 
     def post_batch(batch: DataFrame, epoch_id: int) -> None:
         s = batch.sparkSession
+        marks, last_epoch = S.last_commit(s, store_root)
+        if last_epoch is not None and epoch_id <= last_epoch:
+            return
         ledger = S.read_store(s, store_root)
-        done = S.read_batch_rows(s, store_root, RESULTS, RESULT_SCHEMA)
+        done = S.read_batch_rows(s, store_root, RESULTS, RESULT_SCHEMA, last=dedupe_batches)
         if done is not None:
             batch = batch.join(done.select("request_id"), "request_id", "left_anti")
         if not batch.take(1):
             return
-        out = P.post(batch, ledger, as_of)
-        S.apply_updates(store_root, out, as_of, extra={RESULTS: out.results})
+        out = P.post(batch, ledger, as_of, marks=marks)
+        S.apply_updates(store_root, out, as_of, extra={RESULTS: out.results}, epoch=epoch_id)
 
     return (
         stream.writeStream.foreachBatch(post_batch)

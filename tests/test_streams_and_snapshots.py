@@ -67,3 +67,50 @@ def test_snapshot_roundtrip_and_retention(spark):
     old = {r.snapshot for r in S.snapshot_retention(spark, root, AS_OF).collect()}
     assert old == {S.snapshot_name("2023-11-01 00:00:00")}
     assert S.latest_snapshot(spark, root) == S.snapshot_name(AS_OF)
+
+
+def test_stream_commits_name_epochs_and_marks(spark):
+    """Three micro-batches, a forced replay and a resent request."""
+    f = fixtures.build(spark, SF_SMALL)
+    req = f["post_requests"].where("request_id < 300")
+    root = tempfile.mkdtemp(prefix="ll-stream-")
+    for i, name in enumerate("abc"):
+        req.where(f"request_id % 3 = {i}").coalesce(1).write.parquet(os.path.join(root, "requests", name))
+    store_root, src = os.path.join(root, "store"), os.path.join(root, "requests", "*")
+    ST.init_store(f.ledger, store_root, AS_OF)
+    XP.stream_posting(spark, src, store_root, os.path.join(root, "ckpt"), AS_OF, max_files_per_trigger=1).awaitTermination()
+    marks, epoch = ST.last_commit(spark, store_root)
+    assert ST.committed(spark, store_root) == 3 and epoch == 2
+    ledger = ST.read_store(spark, store_root)
+    assert marks.transactions == ledger.transactions.agg(F.max("id")).first()[0]
+    assert marks.audit_logs == ledger.audit_logs.agg(F.max("id")).first()[0]
+    assert ledger.transactions.count() == ledger.transactions.select("id").distinct().count()
+    before = ledger.transactions.count()
+    # a new checkpoint repeats the same micro-batches: all three epochs are known
+    XP.stream_posting(spark, src, store_root, os.path.join(root, "ckpt2"), AS_OF, max_files_per_trigger=1).awaitTermination()
+    # a further file resends an old request
+    req.where("request_id = 3").coalesce(1).write.parquet(os.path.join(root, "requests", "d"))
+    XP.stream_posting(spark, src, store_root, os.path.join(root, "ckpt"), AS_OF, max_files_per_trigger=1).awaitTermination()
+    assert ST.committed(spark, store_root) == 3
+    assert ST.read_store(spark, store_root).transactions.count() == before
+
+
+def test_restore_refuses_a_damaged_snapshot(spark):
+    import shutil
+
+    import pytest
+
+    f = fixtures.build(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="ll-snap-")
+    S.snapshot_export(f.ledger, root, AS_OF)
+    name = S.snapshot_name(AS_OF)
+    with pytest.raises(RuntimeError, match="manifest"):
+        S.snapshot_restore(spark, root, "snapshot-none")
+    users = os.path.join(root, name, "users")
+    f.ledger.users.limit(3).write.mode("overwrite").parquet(users)
+    with pytest.raises(RuntimeError, match="users"):
+        S.snapshot_restore(spark, root, name)
+    shutil.rmtree(os.path.join(root, name, "accounts"))
+    with pytest.raises(RuntimeError, match="lacks accounts"):
+        S.snapshot_restore(spark, root, name)
+    assert S.latest_snapshot(spark, tempfile.mkdtemp(prefix="ll-none-")) is None
