@@ -104,6 +104,60 @@ def create_accounts(requests: DataFrame, ledger: Ledger, as_of: str, rules: str
                    schemas.conform(audit, schemas.TABLES["audit_logs"]))
 
 
+@dataclass(frozen=True)
+class Opened:
+    results: DataFrame
+    users: DataFrame
+    accounts: DataFrame
+    transactions: DataFrame
+
+
+def open_accounts(requests: DataFrame, ledger: Ledger, as_of: str) -> Opened:
+    """T5, the REST path: each request creates its user and the user's first account.
+
+    ``requests``: request_id, first_name, last_name, email, initial_deposit.
+    Rejects ``missing_fields``, ``invalid_email``, ``invalid_initial_deposit``
+    and ``duplicate_email`` (emails are unique: a user has it, or an earlier valid
+    request of the batch takes it). The account is active with the table's type
+    default; a positive deposit is its ``Initial deposit`` transaction. No
+    limits and no audit rows (D12). Ids: ``max + 1 + request_id``
+    (users, accounts), ``max + 1 + 2 * request_id`` (transactions)."""
+    now = X.ts_literal(as_of)
+
+    def blank(c: str) -> Column:
+        return F.col(c).isNull() | (F.col(c) == "")
+
+    why = (F.when(blank("first_name") | blank("last_name") | blank("email"), F.lit("missing_fields"))
+           .when(~X.valid_email("email", "api"), F.lit("invalid_email"))
+           .when(F.col("initial_deposit") < 0, F.lit("invalid_initial_deposit")))
+    r = requests.withColumn("reason", why)
+    taken = ledger.users.select(F.col("email").alias("_te")).where("_te IS NOT NULL").distinct()
+    first = r.where(F.col("reason").isNull()).groupBy(F.col("email").alias("_fe")).agg(F.min("request_id").alias("_first"))
+    r = r.join(taken, F.col("email") == F.col("_te"), "left").join(first, F.col("email") == F.col("_fe"), "left")
+    late = F.col("_te").isNotNull() | (F.col("request_id") != F.col("_first"))
+    r = r.withColumn("reason", F.when(F.col("reason").isNull() & late, F.lit("duplicate_email")).otherwise(F.col("reason")))
+    r = _with_bases(r, _base(ledger.users, "_ub"), _base(ledger.accounts, "_ab"), _base(ledger.transactions, "_tb"))
+    r = r.withColumns({
+        "user_id": F.col("_ub") + F.col("request_id"), "account_id": F.col("_ab") + F.col("request_id"),
+        "account_number": X.new_account_number(now, F.col("request_id")),
+        "opening": F.coalesce(F.col("initial_deposit"), F.lit(0)).cast(MONEY)})
+    ok = F.col("reason").isNull()
+    results = r.select("request_id", ok.alias("accepted"), "reason", *[
+        F.when(ok, F.col(c)).alias(c) for c in ("user_id", "account_id", "account_number")], F.when(ok, F.col("opening")).alias("balance"))
+    good = r.where(ok)
+    users = schemas.conform(good.select(F.col("user_id").alias("id"), "first_name", "last_name", "email", now.alias("created_at")), schemas.TABLES["users"])
+    accounts = schemas.conform(good.select(
+        F.col("account_id").alias("id"), "user_id", "account_number", F.lit("savings").alias("account_type"), F.col("opening").alias("balance"),
+        F.lit("USD").alias("currency"), F.lit("active").alias("status"), F.lit(0).alias("overdraft_limit"), F.lit(0).alias("interest_rate"),
+        now.alias("created_at"), now.alias("updated_at")), schemas.TABLES["accounts"])
+    tx_id = F.col("_tb") + 2 * F.col("request_id")
+    tx = schemas.conform(good.where(F.col("opening") > 0).select(
+        tx_id.alias("id"), "account_id", F.lit("deposit").alias("type"), F.col("opening").alias("amount"),
+        F.lit(X.INITIAL_DEPOSIT_DESCRIPTION).alias("description"), X.stable_uuid(F.lit("open"), tx_id).alias("reference_number"),
+        F.lit("completed").alias("status"), now.alias("created_at")), schemas.TABLES["transactions"])
+    return Opened(results, users, accounts, tx)
+
+
 @dataclass(frozen=True)
 class Closed:
     results: DataFrame

@@ -238,6 +238,31 @@ def q_create_accounts(spark, sf_dir):
     return JB.create_accounts(f["create_requests"], f.ledger, AS_OF).results
 
 
+@register("open_accounts", views=("users", "accounts", "create_requests"), oracle=f"""
+SELECT request_id, reason IS NULL AS accepted, reason, CASE WHEN reason IS NULL THEN user_id END AS user_id,
+  CASE WHEN reason IS NULL THEN {_ACC_BASE} + request_id END AS account_id,
+  CASE WHEN reason IS NULL THEN 'KB' || strftime(TIMESTAMP '{AS_OF}', '%Y%m%d%H%M%S') || {_SEQ.replace("r.request_id", "request_id")} END AS account_number,
+  CASE WHEN reason IS NULL THEN CAST(COALESCE(deposit, 0) AS DECIMAL(15,2)) END AS balance
+FROM (SELECT request_id, deposit, (SELECT COALESCE(MAX(id), 0) + 1 FROM users) + request_id AS user_id,
+    CASE WHEN why IS NOT NULL THEN why WHEN email IN (SELECT email FROM users WHERE email IS NOT NULL)
+      OR row_number() OVER (PARTITION BY email, why ORDER BY request_id) > 1 THEN 'duplicate_email' END AS reason
+  FROM (SELECT q.*, CASE
+      WHEN COALESCE(first_name, '') = '' OR COALESCE(last_name, '') = '' OR COALESCE(email, '') = '' THEN 'missing_fields'
+      WHEN NOT regexp_matches(email, '{X.EMAIL_API_RULE}') THEN 'invalid_email' WHEN deposit < 0 THEN 'invalid_initial_deposit' END AS why
+    FROM (SELECT r.request_id, u.first_name, u.last_name, r.initial_balance AS deposit,
+        CASE WHEN r.request_id % 3 = 0 THEN u.email ELSE 'new' || (r.user_id // 2) || '@example.com' END AS email
+      FROM create_requests r LEFT JOIN users u ON u.id = r.user_id) q))""")
+def q_open_accounts(spark, sf_dir):
+    """T5, the REST path: the creation requests as new customers (some with a known or a shared email)."""
+    f = fx(spark, sf_dir)
+    u = f.ledger.users.select(F.col("id").alias("_uid"), "first_name", "last_name", F.col("email").alias("_known"))
+    r = f["create_requests"].join(u, F.col("user_id") == F.col("_uid"), "left")
+    fresh = F.concat(F.lit("new"), F.floor(F.col("user_id") / 2).cast("string"), F.lit("@example.com"))
+    email = F.when(F.col("request_id") % 3 == 0, F.col("_known")).otherwise(fresh)
+    req = r.select("request_id", "first_name", "last_name", email.alias("email"), F.col("initial_balance").alias("initial_deposit"))
+    return JB.open_accounts(req, f.ledger, AS_OF).results
+
+
 def _close_requests(ledger):
     return ledger.accounts.select(F.col("id").alias("request_id"), "account_number",
                                   F.lit(None).cast("string").alias("reason"))
