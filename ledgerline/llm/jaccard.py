@@ -5,8 +5,9 @@ sets form a class, and one text stands for each class.
 
 *Dealing.* A set's shingles are dealt by hash into ``m`` parts, and the hash of a part's shingles is a
 signature. Sets that reach the similarity differ in at most ``d`` shingles; with ``m`` above ``d`` by
-more than the parts that may be empty, they agree in a part that is not. So linked sets share a
-signature, and others hardly ever do, however frequent single shingles are. ``m`` follows from the
+more than the parts that are empty, they agree in a part that is not. Parts that hold only frequent
+shingles (counted over all texts) count as empty where ``m`` allows it, and else are kept. So
+linked sets share a signature, and others hardly ever do, though they share a passage. ``m`` follows from the
 size class (sizes in a ratio of 1.5); a set close below a class's end also gets the next
 class's signatures. Classes that share a signature form a group, in blocks of at most ``block``.
 
@@ -45,6 +46,8 @@ from . import common
 BLOCK = 256
 #: Shingles, repeated ones included, of a family that is joined in one block.
 FAMILY = 2_000_000
+#: Shingles that count as frequent, at most; they only spare work.
+HEAVY = 1 << 16
 #: Ratio of the largest to the smallest size of a size class.
 CLASS_RATIO = 1.5
 
@@ -67,10 +70,11 @@ def ordered_set(text: str | None, n: int) -> np.ndarray:
 
 
 class Signatures:
-    """A set's signatures for the similarity ``num / den``."""
+    """A set's signatures for the similarity ``num / den``. ``heavy``: frequent shingles, sorted."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, heavy: np.ndarray | None = None):
         self.num, self.den = num, den
+        self.heavy = np.empty(0, np.int64) if heavy is None else heavy
         self.known: dict[int, tuple[int, int]] = {}
 
     @staticmethod
@@ -112,7 +116,13 @@ class Signatures:
         order = np.argsort(part, kind="stable")
         number, start = np.unique(part[order], return_index=True)
         sums = np.add.reduceat(common.mix(hashes[order] + np.uint64(c + 1)), start)
-        if m - len(number) >= m - d:  # so many empty parts that they must count as parts that agree
+        rare = np.ones(len(keys), dtype=bool)
+        if len(self.heavy):
+            rare = self.heavy[np.minimum(np.searchsorted(self.heavy, keys), len(self.heavy) - 1)] != keys
+        telling = np.add.reduceat(rare[order].astype(np.int64), start) > 0
+        if m - int(telling.sum()) < m - d:  # a telling part is among those that agree
+            number, sums = number[telling], sums[telling]
+        elif m - len(number) >= m - d:  # so many empty parts that they must count as parts that agree
             empty = np.setdiff1d(np.arange(m), number)
             number, sums = np.concatenate((number, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
         return (common.mix(sums + common.mix(number.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(c))) >> np.uint64(2)).astype(np.int64)
@@ -257,11 +267,44 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return read.mapInArrow(run, "id bigint, n bigint, digest binary")
 
 
-def _signed(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def frequent(docs: DataFrame, text_col: str, n: int, limit: int = HEAVY) -> np.ndarray:
+    """The most frequent shingles of all texts, at most ``limit``, as far as a task meets them
+    three times among some thousand texts. They decide which parts are spared, not the result."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def fold() -> None:
+            nonlocal held, size, seen
+            keys, counts = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            for k, c in zip(keys[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+                seen[k] = seen.get(k, 0) + c
+            if len(seen) > 4 * limit:
+                seen = dict(sorted(seen.items(), key=lambda e: -e[1])[:limit])
+            held, size = [], 0
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(shingles(text, n))
+                size += len(held[-1])
+                if size > 2_000_000:
+                    fold()
+        fold()
+        top = sorted(seen.items(), key=lambda e: -e[1])[:limit]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.int64()), pa.array([c for _, c in top], pa.int64())], names=["key", "n"])
+
+    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "key bigint, n bigint")
+    top = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(limit).select("key").collect()
+    return np.sort(np.asarray([r["key"] for r in top], dtype=np.int64))
+
+
+def _signed(texts: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
     """``class, signatures`` (64-bit integers) of ``class, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures = Signatures(num, den)
+        signatures = Signatures(num, den, heavy.value)
         for batch in batches:
             got = [signatures.of(ordered_set(_unpacked(text), n)).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["class", "signatures"])
@@ -388,7 +431,8 @@ def link(
     sets = common.materialize(_sets(docs, id_col, text_col, n), "ngram-sets")
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"), F.max("n").alias("n"))
     classes = common.materialize(classes.where("class is not null"), "ngram-classes")
-    signed = _signed(_texts(docs, id_col, text_col, classes), n, num, den)
+    heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, n))
+    signed = _signed(_texts(docs, id_col, text_col, classes), n, num, den, heavy)
     signed = common.materialize(signed, "ngram-signatures")
     often = _exploded(signed).groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
     often = common.materialize(often, "ngram-often")

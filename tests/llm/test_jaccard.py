@@ -63,13 +63,15 @@ def _families(rng):
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 2), (1, 1)])
 def test_trie_and_signatures_lose_no_link(num, den):
     rng = random.Random(num)
-    signatures = jaccard.Signatures(num, den)
     for _ in range(25):
         arrays = _families(rng)
         links = [(i, j) for i, x in enumerate(arrays) for j, y in enumerate(arrays[:i]) if den * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y))]
-        signed = [set(signatures.of(x).tolist()) for x in arrays]
-        for i, j in links:
-            assert signed[i] & signed[j]
+        every = np.concatenate(arrays)
+        for heavy in (None, np.unique(rng.choices(every.tolist(), k=len(every) // 2)), np.unique(every)):
+            signatures = jaccard.Signatures(num, den, heavy)
+            signed = [set(signatures.of(x).tolist()) for x in arrays]
+            for i, j in links:
+                assert signed[i] & signed[j]
         half = len(arrays) // 2
         found = {(i, j) for i, j in jaccard.linked(arrays[:half], arrays, num, den) if i != j}
         assert found == {(i, j) for a, b in links for i, j in ((a, b), (b, a)) if j < half}
