@@ -289,7 +289,7 @@ def frequent(docs: DataFrame, text_col: str, n: int, limit: int = HEAVY) -> np.n
             for text in batch.column(0).to_pylist():
                 held.append(shingles(text, n))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     fold()
         fold()
         top = sorted(seen.items(), key=lambda e: -e[1])[:limit]
