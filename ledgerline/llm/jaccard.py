@@ -300,16 +300,20 @@ def frequent(docs: DataFrame, text_col: str, n: int, limit: int = HEAVY) -> np.n
     return np.sort(np.asarray([r["key"] for r in top], dtype=np.int64))
 
 
-def _signed(texts: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
-    """``class, signatures`` (64-bit integers) of ``class, text``."""
+def _signed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
+    """``class, signatures`` (64-bit integers) of the texts that stand for a class, and of few others."""
+    ids = classes.select("class").distinct()
+    member = common.bloom(ids, "class", ids.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(num, den, heavy.value)
         for batch in batches:
-            got = [signatures.of(ordered_set(_unpacked(text), n)).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["class", "signatures"])
+            kept = batch.filter(pa.array(member.value.test(batch.column(0).to_numpy(zero_copy_only=False))))
+            got = [signatures.of(ordered_set(text, n)).tobytes() for text in kept.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(got, pa.binary())], names=["class", "signatures"])
 
-    return texts.mapInArrow(run, "class bigint, signatures binary")
+    read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("class"), F.col(f"`{text_col}`").alias("text")).where("class is not null")
+    return read.mapInArrow(run, "class bigint, signatures binary")
 
 
 def _exploded(signed: DataFrame, shared=None) -> DataFrame:
@@ -432,7 +436,7 @@ def link(
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"), F.max("n").alias("n"))
     classes = common.materialize(classes.where("class is not null"), "ngram-classes")
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, n))
-    signed = _signed(_texts(docs, id_col, text_col, classes), n, num, den, heavy)
+    signed = _signed(docs, id_col, text_col, classes, n, num, den, heavy)
     signed = common.materialize(signed, "ngram-signatures")
     often = _exploded(signed).groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
     often = common.materialize(often, "ngram-often")
