@@ -193,14 +193,15 @@ class Links:
 _CELLS = 16 << 20
 
 
-def linked(home: list[np.ndarray], probes: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """All (probe, entry) whose similarity reaches ``num / den``."""
-    if not home or not probes:
+def linked(home: list[np.ndarray], guests: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """All (set, entry) whose similarity reaches ``num / den``: the sets are the home sets, which
+    the trie holds, and then the guests."""
+    if not home:
         return
-    ends = np.cumsum([len(x) for x in [*home, *probes]])
-    universe, inverse = np.unique(np.concatenate([*home, *probes]), return_inverse=True)
-    placed = np.split(inverse, ends[:-1])  # the sets as places in the order of all their shingles
-    home, probes = placed[: len(home)], placed[len(home) :]
+    ends = np.cumsum([len(x) for x in [*home, *guests]])
+    universe, inverse = np.unique(np.concatenate([*home, *guests]), return_inverse=True)
+    probes = np.split(inverse, ends[:-1])  # the sets as places in the order of all their shingles
+    home = probes[: len(home)]
     sizes, both = [len(x) for x in home], num + den
     root = build(home, sizes)
     nodes = [root]
@@ -242,7 +243,7 @@ def link_block(home: list[np.ndarray], num: int, den: int, guests: list[np.ndarr
     home sets); ``groups``: what is connected already."""
     links = Links(list(range(len(home) + len(guests))) if groups is None else groups)
     out: list[tuple[int, int]] = []
-    for i, j in linked(home, [*home, *guests], num, den):
+    for i, j in linked(home, list(guests), num, den):
         if links.parts == 1:
             break
         if links.join(i, j):
