@@ -196,6 +196,6 @@ def without_ids(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
 
         return rows.select("*", F.col(f"`{id_col}`").cast("bigint").alias("__id")).mapInArrow(run, kinds)
 
-    held = only(True)
-    held = held.join(gone.select(F.col(name).alias("__gone")), F.col(f"`{id_col}`").cast("bigint") == F.col("__gone"), "left_anti")
+    held, key = only(True), f"gone_{uuid.uuid4().hex}"  # no column of the rows bears this name
+    held = held.join(gone.select(F.col(name).alias(key)), F.col(f"`{id_col}`").cast("bigint") == F.col(key), "left_anti")
     return only(False).unionByName(held)
