@@ -1,19 +1,24 @@
 """Language-model scoring with an n-gram trie in Elias-Fano coded, memory-mapped levels.
 
 *Model.* Word probabilities are ``p(v) = (c(v) + 1/2) / (N + (V + 1) / 2)`` over the training tokens
-(words, and one end for each text). After a frequent word ``u`` (or at a text's begin)
+(words, and one end for each text). After a word ``u`` seen ``min_count`` times (or at a text's begin)
 ``p(v | u) = a(u, v) + g(u) p(v)``, where ``a`` is the absolutely discounted share of a pair seen at
-least twice, rounded down to one of 255 steps of its logarithm, and ``g(u)`` is what the
-rounded shares leave of 1, so the model stays a probability.
+least ``least`` times, rounded down to one of 255 steps of its logarithm, and ``g(u)`` is what the
+rounded shares leave of 1, so the model stays a probability. With ``order`` 3,
+``p(w | u, v) = ((c(u, v, w) - d) + d n(u, v) p(w | v)) / c(u, v)`` after a pair that training texts show, with exact
+counts; ``n`` is the number of its distinct successors. The registered query prunes nothing
+(``min_count`` and ``least`` 1, ``order`` 3); the defaults of the functions do.
 
 *Levels.* Words are 63-bit hashes, dealt by their first bits to shards of bounded size. A shard of the
 first level holds its sorted hashes (Elias-Fano), counts (a byte, with exceptions) and the
-numbers of its frequent words. A shard of the second level holds its contexts (Elias-Fano), their
-pointers into the successors (Elias-Fano), the successors, each relative to its context (Elias-Fano),
+numbers of its frequent words. A shard of the second level holds its contexts (Elias-Fano),
+the successors, each relative to its context (Elias-Fano),
 and the quantised shares. Contexts are dealt by hash, and the successors of one that is too
-frequent for a shard are dealt again. Back-off weights lie in a third set of files.
+frequent for a shard are dealt again. Back-off weights lie in a set of files of their own. A shard of the
+third level holds pairs as contexts, their pointers into the successors and the sums of the counts before
+them (all Elias-Fano), the successors, and counts (a byte, with exceptions); it is dealt like the second.
 
-*Jobs.* Tasks count words, and Spark sums them; then tasks count pairs and send them, sorted and
+*Jobs.* Tasks count words, and Spark sums them; then tasks count pairs and triples and send them, sorted and
 packed, to the shards, which add them up. The levels are files in the shared folder that
 the index tables name; every task maps them into memory, and looks up the distinct
 words and pairs of about a million tokens at a time, shard by shard.
@@ -39,7 +44,7 @@ from pyspark.sql.types import _parse_datatype_string
 from . import common
 from .warc import open_folder
 
-#: Occurrences that make a word frequent: only such words form pairs.
+#: Occurrences that make a word frequent, unless the caller says otherwise: only such words form pairs.
 MIN_COUNT = 3
 #: Entries of a shard, about.
 SHARD = 1 << 20
@@ -64,7 +69,7 @@ def tokens_of(text: str | None) -> np.ndarray:
 
 
 class EliasFano:
-    """A sorted sequence of distinct integers: the low bits packed, the high bits in unary,
+    """A sorted sequence of integers (distinct, where they are looked for): the low bits packed, the high bits in unary,
     and the zeros before each 64-bit word of the latter."""
 
     def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, zeros: np.ndarray):
@@ -101,6 +106,18 @@ class EliasFano:
     def low(self, i: np.ndarray) -> np.ndarray:
         return unpack_bits(self.lows, i, self.low_bits)
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at places."""
+        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - np.asarray(self.zeros)
+        word = np.searchsorted(ones, i, "right") - 1
+        bits = np.asarray(self.highs[word]).astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts = np.cumsum(np.bitwise_count(bits), axis=1, dtype=np.int64)
+        rest = i - ones[word]
+        byte = (counts <= rest[:, None]).sum(1)
+        rest -= np.where(byte > 0, counts[np.arange(len(i)), byte - 1], 0)
+        place = word * 64 + byte * 8 + _NTH_BIT[bits[np.arange(len(i)), byte], rest]
+        return ((place - i) << self.low_bits) | self.low(i)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """The places of values, -1 for those that are not there."""
         out = np.full(len(values), -1, dtype=np.int64)
@@ -240,13 +257,8 @@ class Pairs:
     @staticmethod
     def arrays(u: np.ndarray, v: np.ndarray, code: np.ndarray, size: int) -> dict[str, np.ndarray]:
         """Sorted by context and successor; ``size``: bound of the successors' numbers."""
-        contexts, start = np.unique(u, return_index=True)
-        pointers = np.append(start, len(u))
-        row = np.repeat(np.arange(len(contexts)), np.diff(pointers))
-        return (
-            EliasFano.encode(contexts).parts("context") | EliasFano.encode(pointers).parts("pointer")
-            | EliasFano.encode(row * size + v).parts("successor") | {"code": code, "size": np.array([size], np.int64)}
-        )
+        contexts, row = np.unique(u, return_inverse=True)
+        return EliasFano.encode(contexts).parts("context") | EliasFano.encode(row * size + v).parts("successor") | {"code": code, "size": np.array([size], np.int64)}
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.context, self.successor = EliasFano.of(arrays, "context"), EliasFano.of(arrays, "successor")
@@ -263,6 +275,48 @@ class Pairs:
         return out
 
 
+class Triples:
+    """A shard of the third level: pairs as contexts (``u * size + v``), and their successors' counts."""
+
+    @staticmethod
+    def arrays(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, size: int) -> dict[str, np.ndarray]:
+        """``contexts``: sorted; ``keys``: sorted, the context's place times ``size`` and the successor."""
+        pointers = np.searchsorted(keys // size, np.arange(len(contexts) + 1))
+        sums = np.concatenate(([0], np.cumsum(counts)))[pointers]
+        large = np.flatnonzero(counts >= 255)
+        return (
+            EliasFano.encode(contexts).parts("context") | EliasFano.encode(pointers).parts("pointer") | EliasFano.encode(sums).parts("sum")
+            | EliasFano.encode(keys).parts("successor")
+            | {"code": np.minimum(counts, 255).astype(np.uint8), "large": large.astype(np.uint32), "count": counts[large].astype(np.int64), "size": np.array([size], np.int64)}
+        )
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.a, self.size = arrays, int(arrays["size"][0])
+        self.context, self.pointer, self.sum, self.successor = (EliasFano.of(arrays, x) for x in ("context", "pointer", "sum", "successor"))
+
+    def look_contexts(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many distinct successors the contexts have here, and how often these follow."""
+        distinct, total = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+        row = self.context.find(contexts)
+        known = np.flatnonzero(row >= 0)
+        for out, sequence in ((distinct, self.pointer), (total, self.sum)):
+            out[known] = sequence.at(row[known] + 1) - sequence.at(row[known])
+        return distinct, total
+
+    def look(self, contexts: np.ndarray, row: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The counts of successors ``v`` of ``contexts[row]``."""
+        out = np.zeros(len(row), dtype=np.int64)
+        place = self.context.find(contexts)[row]
+        known = np.flatnonzero(place >= 0)
+        at = self.successor.find(place[known] * self.size + v[known])
+        known, at = known[at >= 0], at[at >= 0]
+        code = np.asarray(self.a["code"][at]).astype(np.int64)
+        big = code == 255
+        code[big] = self.a["count"][np.searchsorted(self.a["large"], at[big])]
+        out[known] = code
+        return out
+
+
 def share_codes(share: np.ndarray) -> np.ndarray:
     """1 to 255: the steps of the logarithm below 0, rounded down; 0 where it is smaller still."""
     code = np.ceil(-np.log10(np.maximum(share, 1e-300)) / _STEP - 1e-9) + 1
@@ -287,6 +341,10 @@ class Model:
         self.shards = 1
         self.hot: dict[int, int] = {}  # contexts whose successors are dealt again, into how many
         self.rests: dict[int, str] = {}
+        self.order = 2
+        self.triples: dict[int, str] = {}
+        self.triple_shards = 1
+        self.triple_discount = 0.0
 
     def p1(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.n + 0.5 * (self.v + 1))
@@ -322,6 +380,48 @@ class Model:
                 out[rows] = Pairs(load(self.folder, self.pairs[s])).look(u[rows], v[rows])
         return out
 
+    def ways(self, contexts: np.ndarray) -> np.ndarray:
+        """Into how many the successors of pairs are dealt: a pair is no more frequent than its rarer word."""
+        if not self.hot:
+            return np.ones(len(contexts), np.int64)
+        hot = np.fromiter(sorted(self.hot), np.int64, len(self.hot))
+        ways = np.asarray([self.hot[int(x)] for x in hot], dtype=np.int64)
+        u, v = np.divmod(contexts, self.frequent + 2)
+        of = lambda x: np.where(hot[at := np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x, ways[at], 1)
+        return np.minimum(of(u), of(v))
+
+    def triple_shard(self, contexts: np.ndarray, way: np.ndarray) -> np.ndarray:
+        key = common.mix(contexts.astype(np.uint64) + np.uint64(54321)) + way.astype(np.uint64)
+        return (common.mix(key) % np.uint64(self.triple_shards)).astype(np.int64)
+
+    def way_of(self, contexts: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (common.mix(w.astype(np.uint64) + np.uint64(77)) % self.ways(contexts).astype(np.uint64)).astype(np.int64)
+
+    def look_triples(self, contexts: np.ndarray, row: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct successors and occurrences of sorted distinct pairs, and the counts of the
+        successors ``w`` (-1: no word) of ``contexts[row]``."""
+        ways = self.ways(contexts)
+        place = np.repeat(np.arange(len(contexts)), ways)
+        way = np.arange(len(place)) - np.repeat(np.cumsum(ways) - ways, ways)
+        # two ways of a context may lie in one shard, which is asked once
+        asked = np.unique(self.triple_shard(contexts[place], way) * max(1, len(contexts)) + place)
+        shard, place = np.divmod(asked, max(1, len(contexts)))
+        words = np.flatnonzero(w >= 0)
+        own = self.triple_shard(contexts[row[words]], self.way_of(contexts[row[words]], w[words]))
+        order = np.argsort(own, kind="stable")
+        spans = {s: words[order[a:b]] for s, a, b in _spans(own[order])}
+        distinct, total, count = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64), np.zeros(len(row), np.int64)
+        for s, a, b in _spans(shard):
+            if s not in self.triples:
+                continue
+            at, level = place[a:b], Triples(load(self.folder, self.triples[s]))
+            for out, x in zip((distinct, total), level.look_contexts(contexts[at]), strict=True):
+                out[at] += x
+            if s in spans:
+                rows = spans[s]
+                count[rows] = level.look(contexts[at], np.searchsorted(at, row[rows]), w[rows])
+        return distinct, total, count
+
     def look_rests(self, u: np.ndarray) -> np.ndarray:
         """The back-off weights of sorted distinct contexts."""
         out = np.ones(len(u))
@@ -370,6 +470,14 @@ def _contexts(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np
     return count, number, context
 
 
+def _before(size: int, context: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each token the pair before it (with the begin), -1 where there is none."""
+    pair = np.full(len(context), -1, np.int64)
+    pair[1:] = np.where((context[1:] >= 0) & (context[:-1] >= 0), context[:-1] * size + context[1:], -1)
+    pair[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = -1
+    return pair
+
+
 def _count_words(train: DataFrame, group: int) -> DataFrame:
     """``h, c`` of all training tokens."""
 
@@ -402,13 +510,24 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.n
         yield key, [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _pair_blobs(train: DataFrame, held, group: int) -> DataFrame:
-    """``shard, keys, counts``: each task's pairs of a group, sorted and packed."""
+def _deltas(values: np.ndarray) -> bytes:
+    import zstandard
+
+    deltas = np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T  # bytes of one rank together
+    return zstandard.ZstdCompressor(level=1).compress(deltas.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        model, zstd = held.value, zstandard.ZstdCompressor(level=1)
+def _small(counts: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, (1 << 32) - 1).astype("<u4").tobytes())
+
+
+def _gram_blobs(train: DataFrame, held, group: int) -> DataFrame:
+    """``shard, contexts, keys, counts``: each task's pairs (no contexts) and triples (shards after the pairs') of a group, sorted and packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         size = model.frequent + 2
 
         def take(rows: list, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -417,24 +536,63 @@ def _pair_blobs(train: DataFrame, held, group: int) -> DataFrame:
             keys, counts = np.unique(context[ok] * size + number[ok], return_counts=True)
             shard = model.shard_of(keys // size, keys % size)
             order = np.argsort(shard, kind="stable")
-            out = []
-            for s, a, b in _spans(shard[order]):
-                at = order[a:b]
-                deltas = np.diff(keys[at], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T  # bytes of one rank together
-                out.append((s, zstd.compress(deltas.tobytes()), zstd.compress(np.minimum(counts[at], (1 << 32) - 1).astype("<u4").tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["shard", "keys", "counts"])
+            out = [(s, None, _deltas(keys[at := order[a:b]]), _small(counts[at])) for s, a, b in _spans(shard[order])]
+            if model.order > 2:
+                pair = _before(size, context, lengths)
+                ok = (number >= 0) & (pair >= 0)
+                pairs, row = np.unique(pair[ok], return_inverse=True)
+                keys, counts = np.unique(row * size + number[ok], return_counts=True)
+                row, w = np.divmod(keys, size)
+                shard = model.triple_shard(pairs[row], model.way_of(pairs[row], w))
+                order = np.argsort(shard, kind="stable")
+                for s, a, b in _spans(shard[order]):
+                    at = order[a:b]
+                    first = np.diff(row[at], prepend=-1) > 0
+                    out.append((model.shards + s, _deltas(pairs[row[at][first]]), _deltas((np.cumsum(first) - 1) * size + w[at]), _small(counts[at])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "contexts", "keys", "counts"])
 
         yield from _grouped(batches, 0, take, group)
 
-    return train.select("text").mapInArrow(run, "shard bigint, keys binary, counts binary")
+    return train.select("text").mapInArrow(run, "shard bigint, contexts binary, keys binary, counts binary")
 
 
 def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    z = zstandard.ZstdDecompressor()
-    deltas = np.frombuffer(z.decompress(keys), np.uint8).reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(deltas).view("<i8").ravel()), np.frombuffer(z.decompress(counts), "<u4").astype(np.int64)
+    return _values(keys), np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), "<u4").astype(np.int64)
+
+
+def _values(deltas: bytes) -> np.ndarray:
+    import zstandard
+
+    ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(deltas), np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(ranks).view("<i8").ravel())
+
+
+def _merged_triples(batches: Iterator[pa.RecordBatch], size: int, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Shard, contexts, keys (the context's place times ``size`` and the successor) and counts: the blobs of a shard added up, as they come."""
+    none = (np.empty(0, np.int64),) * 3
+    shard, sums, waiting, held = None, none, [], 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [sums, *waiting]
+        contexts = np.unique(np.concatenate([x[0] for x in parts]))
+        moved = [np.searchsorted(contexts, c)[k // size] * size + k % size for c, k, _ in parts]
+        keys, where = np.unique(np.concatenate(moved), return_inverse=True)
+        return contexts, keys, np.bincount(where, np.concatenate([x[2] for x in parts]), len(keys)).astype(np.int64)
+
+    for batch in batches:
+        for s, c, k, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if shard is not None and s != shard:
+                yield shard, *fold()
+                sums, waiting, held = none, [], 0
+            shard = s
+            waiting.append((_values(c), *_unpacked(k, n)))
+            held += len(waiting[-1][1])
+            if held > limit:
+                sums, waiting, held = fold(), [], 0
+    if shard is not None:
+        yield shard, *fold()
 
 
 def _merged_blobs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -465,8 +623,8 @@ def _merged_blobs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tup
         yield shard, keys, counts
 
 
-def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD, group: int = GROUP) -> Model:
-    """The model of ``docs`` (column ``text``), its levels in the shared folder."""
+def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD, group: int = GROUP, least: int = 2, order: int = 2) -> Model:
+    """The model of ``docs`` (column ``text``), its levels in the shared folder. ``order``: 2 or 3."""
     spark = common.prepare(docs.sparkSession)
     folder = common.shared_folder(spark, "trie")
     words = common.materialize(_count_words(docs, group), "lm-words")
@@ -474,6 +632,7 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
     n, v = total["n"] or 0, total["v"]
     bits = max(0, math.ceil(math.log2(max(1, v / shard))))
     model = Model(folder, n, v, bits, shard)
+    model.order = order
     if not v:
         return model
 
@@ -490,7 +649,7 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
 
     # the second level: contexts that fill a shard alone have their successors dealt again
     limit = 8 * shard
-    model.shards = max(1, -(-n // limit))
+    model.shards, model.triple_shards = max(1, -(-n // limit)), max(1, -(-2 * n // limit))
     texts = docs.count()
     hot = words.where((F.col("c") > limit // 4) & (F.col("h") != END)).select("h", "c").collect()  # at most 4 n / limit
     if hot:
@@ -500,23 +659,20 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
     if texts > limit // 4:
         model.hot[model.frequent] = -(-texts * 4 // limit) + 1
     held = spark.sparkContext.broadcast(model)
-    blobs = common.materialize(_pair_blobs(docs, held, group), "lm-pairs")
+    every = common.materialize(_gram_blobs(docs, held, group), "lm-grams")
     size = model.frequent + 2
+    blobs = every.where(F.col("shard") < model.shards).select("shard", "keys", "counts")
     parted = blobs.repartition(model.shards, "shard").sortWithinPartitions("shard")
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, keys, counts in _merged_blobs(batches, limit):
-            kept = counts > 1
-            import zstandard
-
-            z = zstandard.ZstdCompressor(level=1)
-            deltas = np.diff(keys[kept], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
-            row = [part, int((counts == 1).sum()), int((counts == 2).sum()), z.compress(deltas.tobytes()), z.compress(np.minimum(counts[kept], (1 << 32) - 1).astype("<u4").tobytes())]
+            kept = counts >= least
+            row = [part, int((counts == 1).sum()), int((counts == 2).sum()), _deltas(keys[kept]), _small(counts[kept])]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "ones", "twos", "keys", "counts"])
 
     merged = common.materialize(parted.mapInArrow(kinds, "shard bigint, ones bigint, twos bigint, keys binary, counts binary"), "lm-merged")
     seen = merged.agg(F.sum("ones").alias("a"), F.sum("twos").alias("b")).first()
-    discount = min(0.95, max(0.1, (seen["a"] or 0) / max(1, (seen["a"] or 0) + 2 * (seen["b"] or 0))))
+    discount = _discount(seen["a"] or 0, seen["b"] or 0)
 
     # a context's count: a join of the shards' distinct contexts with the numbered words' counts
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -562,9 +718,29 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
     used = used.repartition(max(1, model.frequent // shard + 1), "part").sortWithinPartitions("part")
     for r in common.materialize(used.mapInArrow(rest_files, "part bigint, file string"), "lm-rests").collect():
         model.rests[r["part"]] = r["file"]
+    if order > 2:
+        _train_triples(model, every.where(F.col("shard") >= model.shards), limit // 4)
     return model
 
 
+def _discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+
+
+def _train_triples(model: Model, blobs: DataFrame, limit: int) -> None:
+    folder, size, before = model.folder, model.frequent + 2, model.shards
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, contexts, keys, counts in _merged_triples(batches, size, limit):
+            row = [part - before, save(folder, Triples.arrays(contexts, keys, counts, size)), int((counts == 1).sum()), int((counts == 2).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "file", "ones", "twos"])
+
+    parted = blobs.repartition(model.triple_shards, "shard").sortWithinPartitions("shard")
+    built = common.materialize(parted.mapInArrow(files, "shard bigint, file string, ones bigint, twos bigint"), "lm-level3").collect()
+    model.triples = {r["shard"]: r["file"] for r in built}
+    model.triple_discount = _discount(sum(r["ones"] for r in built), sum(r["twos"] for r in built))
+
+
 def score_texts(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
     """Adds ``n_tokens, n_known, base_score, score`` to the columns of ``docs`` but ``text``."""
     spark = common.prepare(docs.sparkSession)
@@ -590,6 +766,15 @@ def score_texts(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
                 both = at[number[at] >= 0]
                 pairs, inverse = np.unique(context[both] * size + number[both], return_inverse=True)
                 p[both] += SHARES[model.look_pairs(pairs // size, pairs % size)][inverse]
+            if model.triples:
+                size, d = model.frequent + 2, model.triple_discount
+                pair = _before(size, context, lengths)
+                at = np.flatnonzero(pair >= 0)
+                pairs, row = np.unique(pair[at], return_inverse=True)
+                keys, inverse = np.unique(row * (size + 1) + number[at] + 1, return_inverse=True)
+                distinct, total, c = model.look_triples(pairs, keys // (size + 1), keys % (size + 1) - 1)
+                c, distinct, total = c[inverse], distinct[row], total[row]
+                p[at] = np.where(total > 0, (np.maximum(c - d, 0) + d * distinct * p[at]) / np.maximum(total, 1), p[at])
             start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             columns = [*zip(*rows, strict=True)] if kept else []
             known = np.add.reduceat((count > 0).astype(np.int64), start)
@@ -604,11 +789,11 @@ def score_texts(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held_fold: int = 1,
-    min_count: int = MIN_COUNT, shard: int = SHARD, group: int = GROUP,
+    min_count: int = MIN_COUNT, shard: int = SHARD, group: int = GROUP, least: int = 2, order: int = 2,
 ) -> DataFrame:
     """``id, held_out, train_tokens`` and the scores of every row, by the model of the rows whose
     ``crc32`` of the id as text leaves another remainder than ``held_fold``."""
     fold = F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), (fold == held_fold).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    model = train_model(rows.where(~F.col("held_out")).select("text"), min_count, shard, group)
+    model = train_model(rows.where(~F.col("held_out")).select("text"), min_count, shard, group, least, order)
     return score_texts(rows, model, group).withColumn("train_tokens", F.lit(model.n).cast("bigint"))

@@ -120,7 +120,7 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under the n-gram trie of four fifths of them."""
-    scored = eftrie.score(common.read_table(spark, sf_dir, "documents"))
+    scored = eftrie.score(common.read_table(spark, sf_dir, "documents"), min_count=1, least=1, order=3)  # nothing counted is dropped
     return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
