@@ -50,6 +50,8 @@ _SIBLINGS = {
     "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head"},
 }
 _SCOPES = frozenset("ul ol dl table select".split())
+#: What may stand in a head: any other start tag, and text, ends it.
+_IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 
 
 class Block:
@@ -86,8 +88,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
             hidden -= tag in UNSEEN
             link -= tag == "a"
 
+    def leave_head() -> None:
+        pop(len(stack) - 1)
+        stack.append(("body", "body"))
+
     def add(raw: str) -> None:
         nonlocal linked
+        if raw and stack and stack[-1][0] == "head" and not raw.isspace():
+            leave_head()
         if raw and not hidden:
             if "&" in raw:
                 raw = htmllib.unescape(raw)
@@ -118,6 +126,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
             continue
+        if stack and stack[-1][0] == "head" and tag not in _IN_HEAD and tag not in ("body", "head"):
+            leave_head()
         if tag not in INLINE:
             flush()
             if tag in _P_ENDERS:
