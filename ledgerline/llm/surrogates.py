@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates, in DataFrame expressions only.
 
 1. One pattern finds the mentions: e-mail and IP addresses, phone, card, bank and social security
-   numbers, passwords, tokens and access keys, and names after a title.
+   numbers, passwords, tokens and access keys (to the next quote or white space, however long), and
+   names after a title. The parts of such a name are mentions wherever else they stand in the same text.
 2. Each distinct mention becomes atoms (kind and canonical form): a phone's national digits,
    an address in lower case, a name's given and family parts. Forms of one entity share atoms,
    so every mention of it, in any document and format, gets one surrogate (coreference).
@@ -33,10 +34,17 @@ _TITLES = {
     "n": ("Dr", "Prof"),
 }
 _ALL_TITLES = "|".join(sorted({x for v in _TITLES.values() for t in v for x in (t, t.upper())}, key=lambda t: (-len(t), t)))
+_LOCAL = r"[\p{L}\p{M}\p{N}._%+-]"
+_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}"
+#: What a secret does not end with: these stay where they are, and forms with and without them are one entity.
+_SECRET_END = r"[^\p{L}\p{N}+/_-]*$"
+#: Words of a text that may repeat a name's part, and what lies between them.
+_WORDS = r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|[^\p{L}\p{M}]+"
 #: Kinds in the order in which they are tried at a place: the mention, then what must not stand before and after.
 PATTERNS = {
-    "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}", r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9]"),
-    "secret": (r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,128}", r"[A-Za-z]", r"[A-Za-z0-9+/_-]"),
+    # a domain has at most 127 labels of 63 characters (DNS); the local part and a secret have no bound
+    "email": (rf"[._%+-]*+[\p{{L}}\p{{N}}]{_LOCAL}*+@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,125}}\.[A-Za-z]{{2,63}}", _LOCAL, r"[A-Za-z0-9]"),
+    "secret": (rf"{_SECRET}(?:\"(?=[^\"\s]*[\p{{L}}\p{{N}}])[^\"\s]{{8,}}+|'(?=[^'\s]*[\p{{L}}\p{{N}}])[^'\s]{{8,}}+|(?=[^\"'\s]*[\p{{L}}\p{{N}}])[^\"'\s]{{8,}}+)", r"[A-Za-z]", r"(?!)"),
     "access": (r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"[A-Za-z0-9]", r"[A-Za-z0-9]"),
     "iban": (r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", r"[A-Za-z0-9]", r"[A-Za-z0-9]"),
     "ip": (r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)", r"[\dA-Za-z.]", r"[\dA-Za-z]|\.\d"),
@@ -93,9 +101,9 @@ def _like(text: Column, digest: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         b = _byte(digest, i)
         return (
-            F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
-            .when(c.rlike("[a-z]"), F.char(b % 26 + a))
-            .when(c.rlike("[A-Z]"), F.char(b % 26 + big_a))
+            F.when(c.rlike(r"\p{N}"), (b % 10).cast("string"))
+            .when(c.rlike(r"\p{Lu}"), F.char(b % 26 + big_a))
+            .when(c.rlike(r"[\p{L}\p{M}]"), F.char(b % 26 + a))
             .otherwise(c)
         )
 
@@ -128,7 +136,7 @@ def kind_of(mention: Column) -> Column:
 
 
 def _secret_value(mention: Column) -> Column:
-    return F.regexp_extract(mention, r"([A-Za-z0-9+/_-]{8,128})$", 1)
+    return F.regexp_replace(F.regexp_replace(mention, rf"^{_SECRET}[\"']?", ""), _SECRET_END, "")
 
 
 def _title(mention: Column) -> Column:
@@ -155,7 +163,7 @@ def atoms(kind: Column, mention: Column) -> Column:
         F.when(kind == "phone", F.when(F.length(digits) > 10, F.substr(digits, F.length(digits) - 9, F.lit(10))).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
-        .when(kind == "email", F.lower(mention))
+        .when(kind == "email", F.lower(F.regexp_replace(mention, r"^[._%+-]+", "")))
         .when(kind == "secret", _secret_value(mention))
         .otherwise(mention)
     )
@@ -177,7 +185,7 @@ def _drawn(kind: Column, canon: Column, digest: Column, draw: Column) -> Column:
     keep = lambda n: F.concat(F.substr(canon, F.lit(1), F.lit(n)), F.substr(_like(canon, digest), F.lit(n + 1), F.length(canon) - n))
     out = (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-        .when(kind == "ssn", ssn).when(kind == "iban", keep(2)).when(kind == "access", keep(4)).when(kind == "secret", _like(canon, digest))
+        .when(kind == "ssn", ssn).when(kind == "iban", keep(2)).when(kind == "access", keep(4)).when(kind == "secret", F.concat(_like(canon, digest), extra))
     )
     for script in ("latin", "cyrillic"):
         for gender in "mfn":
@@ -246,7 +254,7 @@ def _cased(like: Column, word: Column) -> Column:
 
 
 def replacements(mentions: DataFrame, key: str) -> DataFrame:
-    """``mention, replacement`` for distinct mentions."""
+    """``mention, replacement`` for distinct mentions; of names the words and the surrogates (``parts``)."""
     rows = mentions.withColumn("kind", kind_of(F.col("mention")))
     rows = common.materialize(rows.withColumn("atoms", atoms(F.col("kind"), F.col("mention"))), "pii-mentions")
     each = rows.select(F.explode("atoms").alias("a")).select("a.*").distinct()
@@ -261,11 +269,13 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
     text = (
         F.when(F.col("kind").isin("phone", "card", "ssn"), _into(m, last))
         .when(F.col("kind") == "iban", last)
-        .when(F.col("kind") == "secret", F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(_secret_value(m))), last))
+        .when(F.col("kind") == "secret", F.concat(F.regexp_extract(m, rf"^{_SECRET}[\"']?", 0), last, F.regexp_extract(m, _SECRET_END, 0)))
+        .when(F.col("kind") == "email", F.concat(F.regexp_extract(m, r"^[._%+-]*", 0), last))
         .when(F.col("kind") == "name", name)
         .otherwise(last)
     )
-    return parts.select("mention", "kind", text.alias("replacement"))
+    own = F.when(F.col("kind") == "name", F.zip_with(bare, F.col("s"), lambda w, x: F.struct(w.alias("word"), x["surrogate"].alias("surrogate"))))
+    return parts.select("mention", "kind", text.alias("replacement"), own.alias("parts"))
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -281,10 +291,26 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     texts = common.materialize(texts.groupBy("__key").agg(F.first("found").alias("found")), "pii-texts")
     each = texts.select("__key", F.explode("found").alias("mention"))
     swaps = common.materialize(replacements(each.select("mention").distinct(), key), "pii-replacements")
-    by_text = each.join(swaps, "mention").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("__swap"))
+    swap = F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("__swap")
+    by_text = each.join(swaps, "mention").groupBy("__key").agg(swap, F.flatten(F.collect_list("parts")).alias("__parts"))
+    # a part of a name, as written or in capitals, to its surrogate (given and family name of one form: the first)
+    first = lambda a: F.filter(a, lambda x, i: F.array_position(a["word"], x["word"]) == i + 1)
+    spelt = lambda f: F.transform("__parts", lambda x: F.struct(f(x["word"]).alias("word"), _cased(f(x["word"]), x["surrogate"]).alias("surrogate")))
+    spellings = F.array_sort(F.array_distinct(F.concat(spelt(lambda w: w), spelt(F.upper), spelt(lambda w: F.when(F.upper(w) == w, F.initcap(w)).otherwise(w)))))
+    by_text = by_text.withColumn("__spelt", F.filter(spellings, lambda x: F.length(x["word"]) > 1))
+    by_text = by_text.withColumn("__names", F.map_from_entries(first(F.col("__spelt")))).drop("__parts", "__spelt")
     held = rows.where(holds).withColumn("__key", F.sha2(text, 256)).join(by_text, "__key")
-    between = F.split(text, MENTION, -1)
+    names_of = F.col("__names")
+
+    def word(w: Column) -> Column:
+        owner = F.regexp_replace(w, r"['’]s$", "")
+        return F.coalesce(names_of[w], F.concat(names_of[owner], F.substr(w, F.length(owner) + 1, F.lit(2))), w)
+
+    cut = F.transform(F.split(text, MENTION, -1), lambda x: F.regexp_extract_all(x, F.lit(_WORDS), F.lit(0)))
+    again = F.aggregate(cut, F.lit(0), lambda n, x: n + F.size(F.filter(x, lambda w: word(w) != w)))
+    named = F.size(names_of) > 0
+    between = F.when(named, F.transform(cut, lambda x: F.array_join(F.transform(x, word), ""))).otherwise(F.split(text, MENTION, -1))
     put = F.zip_with(between, F.transform(found, lambda x: F.col("__swap")[x]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    new = {text_col: F.array_join(put, ""), "n_entities": F.size(found)}
+    new = {text_col: F.array_join(put, ""), "n_entities": F.size(found) + F.when(named, again).otherwise(0)}
     swapped = held.select(*[new[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in names], new["n_entities"].alias("n_entities"))
     return swapped.unionByName(rows.where(~holds).withColumn("n_entities", F.lit(0)))
