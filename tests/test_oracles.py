@@ -8,7 +8,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF_SMALL
+from ledger_helpers import SF_SMALL
 
 import __spark_entry__ as E
 

@@ -3,7 +3,7 @@ fixture counts the jobs must reproduce."""
 
 from __future__ import annotations
 
-from conftest import SF_MID, SF_SMALL
+from ledger_helpers import SF_MID, SF_SMALL
 
 from ledgerline import fixtures
 from ledgerline.operators import aggregates as A

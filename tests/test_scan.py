@@ -24,7 +24,7 @@ def test_chunked_running_sum_equals_window(spark):
 
 
 def test_running_balance_with_many_chunks(spark):
-    from conftest import SF_SMALL
+    from ledger_helpers import SF_SMALL
 
     from ledgerline import fixtures
     from ledgerline.operators.windows import running_balance

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from conftest import SF_SMALL
+from ledger_helpers import SF_SMALL
 from pyspark.sql import functions as F
 
 from ledgerline import fixtures
