@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, eftrie, htmltext, jaccard, knmodel, packing, surrogates, topk, urlfilter, warc
+from . import common, decontaminate, eftrie, htmltext, jaccard, knmodel, packing, suffixes, surrogates, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,39 @@ WITH v AS (
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10"""
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes inside 50-byte strings of earlier documents (depth-limited radix sort)."""
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return suffixes.dedup(docs).select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+ORACLES["op11_suffix_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, n_bytes - 49)) AS p FROM d)
+), first AS (
+  SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id) OR count(doc_id) < count(*)
+), gone AS (
+  SELECT r, p FROM w JOIN first USING (s) WHERE m < doc_id OR doc_id IS NULL AND m IS NOT NULL
+), runs AS (
+  SELECT r, min(p) AS a, max(p) + 50 AS z FROM (
+    SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS g FROM (
+      SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone))
+  GROUP BY r, g
+), per AS (
+  SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last FROM runs GROUP BY r
+), held AS (
+  SELECT r, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS h FROM (
+    SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS prev FROM runs) JOIN d USING (r) GROUP BY r
+)
+SELECT d.doc_id, d.n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(held.h || substr(d.h, 2 * last + 1), d.h))) AS kept_sha256
+FROM d LEFT JOIN per USING (r) LEFT JOIN held USING (r)"""
