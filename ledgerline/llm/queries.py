@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, eftrie, htmltext, jaccard, knmodel, packing, suffixes, surrogates, topk, urlfilter, warc
+from . import common, decontaminate, eftrie, htmltext, jaccard, knmodel, packing, prefixtrie, runs, suffixes, surrogates, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,9 +178,9 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op11_suffix_dedup"] = """
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n_bytes, encode(coalesce(text, '')) AS b FROM documents
 ), w AS (
-  SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, n_bytes - 49)) AS p FROM d)
+  SELECT r, doc_id, p, b[p + 1 : p + 50] AS s FROM (SELECT r, doc_id, b, unnest(range(0, n_bytes - 49)) AS p FROM d)
 ), first AS (
   SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id) OR count(doc_id) < count(*)
 ), gone AS (
@@ -193,9 +193,79 @@ WITH d AS (
 ), per AS (
   SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last FROM runs GROUP BY r
 ), held AS (
-  SELECT r, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS h FROM (
+  SELECT r, string_agg(hex(b[prev + 1 : a]), '' ORDER BY a) AS h FROM (
     SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS prev FROM runs) JOIN d USING (r) GROUP BY r
 )
 SELECT d.doc_id, d.n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(held.h || substr(d.h, 2 * last + 1), d.h))) AS kept_sha256
+  sha256(coalesce(unhex(held.h || hex(b[last + 1 : n_bytes])), b)) AS kept_sha256
 FROM d LEFT JOIN per USING (r) LEFT JOIN held USING (r)"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words and the text without their repetitions (recompression); a tenth of the
+    texts is made periodic first, as the contract says."""
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.detect(docs, rewrite=runs.periodic_copy)
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"], r["length"]))), F.lit(0))
+    longest = found.withColumn("longest", longest)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return longest.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("longest.start").alias("start"),
+        F.col("longest.length").alias("length"), F.col("longest.period").alias("period"),
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def rebuilt(convs: DataFrame) -> DataFrame:
+    """The contract's conversations: the first h turns of the conversation at the hundred, then the own turns after h."""
+    h = (F.crc32(F.col("conv").cast("string")) % 6).cast("int")
+    heads = convs.where("conv % 100 = 0").select(F.col("conv").alias("hundred"), F.slice("turns", 1, 5).alias("head"))
+    both = convs.join(heads, F.col("hundred") == F.col("conv") - F.col("conv") % 100, "left")
+    head = F.coalesce("head", F.slice("turns", 1, 0))
+    return both.select("conv", F.concat(F.slice(head, F.lit(1), h), F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations (range minima over sorted LCPs)."""
+    turns = common.read_table(common.prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefixtrie.trie(rebuilt(prefixtrie.sequences(turns)))
+
+
+ORACLES["op12_conversation_trie"] = """
+WITH t AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS c,
+    substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'k': k, 'c': c} ORDER BY turn NULLS FIRST, k) AS turns FROM t GROUP BY conv_id
+), bits AS (  -- CRC-32 of the decimal id, bit by bit
+  SELECT conv_id, turns, list_transform(range(0, 8 * length(CAST(conv_id AS VARCHAR))),
+    lambda b: (ord(substr(CAST(conv_id AS VARCHAR), CAST(b // 8 + 1 AS INTEGER), 1)) >> CAST(b % 8 AS INTEGER)) & 1) AS b FROM own
+), hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(list_transform(b, lambda x: CAST(x AS BIGINT)),
+    lambda crc, x: xor(crc >> 1, 3988292384 * (xor(crc, x) & 1)), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h FROM bits
+), built AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns, o.turns[1:0])[1:o.h], o.turns[o.h + 1:]) AS s
+  FROM hashed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), steps AS (
+  SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built
+), nodes AS (
+  SELECT list_transform(s[1:d], lambda x: x.k) AS p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(any_value(s[d].c), 0) AS c, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256
+  FROM steps GROUP BY 1
+), kids AS (
+  SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)
+), under AS (
+  SELECT p[1:up] AS p, sum(n_leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (
+    SELECT p, unnest(range(0, depth + 1)) AS up, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS n_leaf, (n_convs - 1) * c AS saved FROM counted)
+  GROUP BY 1
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN under USING (p) LEFT JOIN counted u ON n.depth > 0 AND u.p = n.p[1:n.depth - 1]"""
