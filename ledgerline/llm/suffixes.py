@@ -2,8 +2,10 @@
 
 A window is a string of ``length`` bytes of one text (UTF-8). It is removed from a document if it
 also starts in a document with a smaller id; overlapping windows count, and all are judged on
-the input. Only suffixes of windows that may be shared are sorted, in five steps:
+the input. Only suffixes of windows that may be shared are sorted:
 
+0. **Copies.** Of rows with one text, those after the smallest id lose it whole; only the first take part below. Texts are
+   grouped by digest, and a Bloom filter holds back the rows that meet their group.
 1. **Anchors.** Each window has one anchor: the leftmost of its ``GRAM``-byte strings with the smallest
    hash. It depends on the window's bytes alone, so equal windows have equal anchors; a text has
    one anchor for about 17 bytes. Anchors are counted by hash (partial aggregates), and those
@@ -28,6 +30,7 @@ result. Input columns pass through; ``spans`` and ``kept`` replace input columns
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,6 +178,12 @@ def _span_batch(doc, mark, first, past) -> pa.RecordBatch:
     )
 
 
+def _gram(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashed anchors at these places (a collision only joins two groups of the sort)."""
+    words = _words(data)
+    return common.mix(words[at] * _MUL + words[at + GRAM - 8])
+
+
 def _sort_slices(rows: pa.Table, length: int) -> pa.RecordBatch:
     """Removed spans of slices (whole anchor groups) by the radix sort."""
     encoded = rows.column("slice").combine_chunks().dictionary_encode()
@@ -187,7 +196,8 @@ def _sort_slices(rows: pa.Table, length: int) -> pa.RecordBatch:
     bounds = np.searchsorted(which[order], np.arange(len(distinct)))
     lo, hi = np.minimum.reduceat(doc[order], bounds), np.maximum.reduceat(doc[order], bounds)
     one = order[bounds]  # a row of each distinct slice; its hash and anchor follow from its bytes
-    code, anchor = np.unique(rows.column("code").to_numpy()[one], return_inverse=True)[1], rows.column("anchor").to_numpy()[one]
+    anchor = rows.column("anchor").to_numpy()[one].astype(np.int64)
+    code = np.unique(_gram(data, ends[:-1] + anchor), return_inverse=True)[1]
     counts = np.diff(ends) - length + 1
     owner, number = _expand(counts)
     group = code[owner] * (2 * length) + (anchor[owner] - number)  # equal windows have equal anchor offsets
@@ -200,7 +210,7 @@ def _sort_slices(rows: pa.Table, length: int) -> pa.RecordBatch:
     return _span_batch(doc[place], rows.column("mark").to_numpy()[place], start + first, start + last + length)
 
 
-SLICE = "code bigint, anchor int, slice binary, doc bigint, mark bigint, start bigint"
+SLICE = "anchor int, slice binary, doc bigint, mark bigint, start bigint"
 
 
 def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -233,10 +243,10 @@ def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 for a in range(0, len(keep), SLICES):
                     k = keep[a : a + SLICES]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(code[k]), pa.array((anchor - first)[k].astype(np.int32)),
+                        pa.array((anchor - first)[k].astype(np.int32)),
                         _slices(data, offsets[row[k]] + first[k], (last - first)[k] + length),
                         pa.array(doc[row[k]]), pa.array(mark[row[k]]), pa.array(first[k]),
-                    ], names=["code", "anchor", "slice", "doc", "mark", "start"])
+                    ], names=["anchor", "slice", "doc", "mark", "start"])
 
         return texts.mapInArrow(run, SLICE)
 
@@ -247,16 +257,20 @@ def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             size += batch.num_rows
             if size >= SLICES:
                 rows = pa.Table.from_batches(held)
-                code = rows.column("code").to_numpy()
-                end = int(np.searchsorted(code, code[-1]))  # the last anchor may go on in the next batch
+                column = rows.column("slice").combine_chunks()
+                ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + size]
+                code = _gram(np.frombuffer(column.buffers()[2], np.uint8), ends + rows.column("anchor").to_numpy())
+                other = np.flatnonzero(code != code[-1])  # the last anchor may go on in the next batch
+                end = int(other[-1]) + 1 if len(other) else 0
                 if end:
                     yield _sort_slices(rows.slice(0, end), length)
                 held = rows.slice(end).combine_chunks().to_batches()
-                size = len(code) - end
+                size -= end
         if size:
             yield _sort_slices(pa.Table.from_batches(held), length)
 
-    spans = cut(False).repartition("code").sortWithinPartitions("code").mapInArrow(radix, SPAN)
+    gram = F.expr(f"substring(slice, anchor + 1, {GRAM})")
+    spans = cut(False).repartition(gram).sortWithinPartitions(gram).mapInArrow(radix, SPAN)
     if n_hot:
         spans = spans.unionByName(_frequent(cut(True), length))
     return spans
@@ -301,6 +315,34 @@ def merge(first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[at], reach[np.append(at[1:], len(first)) - 1]
 
 
+def _member(of: DataFrame, column: str):
+    """A test of bigint columns against a Bloom filter of ``of``; only that column goes to Python."""
+    member = common.bloom(of, column, of.count())
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        return pd.Series(member.value.test(values.to_numpy()))
+
+    return test
+
+
+def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(row, doc, mark, text)`` without later copies of a text, and those copies. In the first part
+    ``mark`` is 0 unless the id may stand at several texts: the spans that are shuffled bear the id alone."""
+    alike = rows.select("mark", "doc", F.sha2("text", 256).alias("sid")).groupBy("mark", "sid").agg(
+        F.min("doc").alias("least"), F.max("doc").alias("most")
+    )
+    alike = common.materialize(alike.where("least < most"), "copies")
+    copied = _member(alike, "mark")
+    maybe = rows.where(copied("mark")).withColumn("sid", F.sha2("text", 256)).join(alike.select("sid", "least"), "sid", "left")
+    maybe = common.materialize(maybe.drop("sid"), "maybe-copies")
+    firsts = rows.where(~copied("mark")).unionByName(maybe.where("least IS NULL OR doc <= least").select("row", "doc", "mark", "text"))
+    twice = rows.groupBy("doc").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("doc")
+    several = _member(common.materialize(twice, "ids-of-several-texts"), "doc")
+    firsts = firsts.withColumn("mark", F.when(several("doc"), F.col("mark")).otherwise(F.lit(0).cast("bigint")))
+    return firsts, maybe.where("doc > least").select("row", "doc", "mark", "text")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with ``spans`` (array of ``(start, end)`` in bytes, maximal removed runs in order) and ``kept`` (binary,
     the remaining bytes; cuts may fall inside a character)."""
@@ -311,20 +353,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("doc"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("mark", F.xxhash64("text"))  # rows of one id may have different texts
-    spans = removed_spans(rows.select("doc", "mark", "text"), length)
+    ).withColumn("mark", F.xxhash64("text"))
+    firsts, copies = _copies(rows)
+    spans = removed_spans(firsts.select("doc", "mark", "text"), length)
     found = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "past")).alias("found"))
     found = common.materialize(found, "removed-spans")
-    member = common.bloom(found, "mark", found.count())
-    struct = rows.schema["row"].dataType
-
-    def only(maybe: bool):
-        def run(batches):
-            for batch in batches:
-                hit = member.value.test(batch.column("mark").to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(hit == maybe))
-
-        return rows.mapInArrow(run, rows.schema)
+    hit = _member(found, "doc")
 
     def take(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -345,9 +379,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             )
 
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([T.StructField("row", struct), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
-    cut = only(True).join(found, ["doc", "mark"], "left").select("row", "text", "found").mapInArrow(take, schema)
-    whole = only(False).select("row", F.array().cast(T.ArrayType(span)).alias("spans"), F.col("text").cast("binary").alias("kept"))
-    out = cut.unionByName(whole)
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
+    cut = firsts.where(hit("doc")).join(found, ["doc", "mark"], "left").select("row", "text", "found").mapInArrow(take, schema)
+    none, size = F.array().cast(T.ArrayType(span)), F.octet_length("text").cast("bigint")
+    whole = firsts.where(~hit("doc")).select("row", none.alias("spans"), F.col("text").cast("binary").alias("kept"))
+    gone = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), size.alias("end")))
+    later = copies.select(
+        "row", F.when(size >= length, gone).otherwise(none).alias("spans"),
+        F.when(size >= length, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"),
+    )
+    out = cut.unionByName(whole).unionByName(later)
     own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("spans", "kept")]
     return out.select(*own, "spans", "kept")
