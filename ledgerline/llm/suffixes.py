@@ -17,8 +17,9 @@ the input. Only suffixes of windows that may be shared are sorted:
    single document go. The groups left after the last pass are exactly the repeated windows;
    each keeps its smallest document id.
 4. **Frequent anchors** (more than ``HOT`` places) may hold a third of all documents, so no task takes one whole:
-   equal slices are first merged by a partial aggregate, windows of the distinct slices are grouped by
-   all their digits at once, and the groups' ids join back to the places by slice.
+   equal slices are first merged by a partial aggregate and the distinct ones sorted as above; an anchor with more than
+   ``HOT`` distinct slices is split into windows, grouped by all their digits at once. The groups' ids join back to
+   the places by slice.
 5. Removed spans are grouped by document and meet only the texts that have some.
 
 Defined results: a null text is empty. Rows without an id come after all ids: they
@@ -32,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +41,7 @@ from . import common
 
 LENGTH, GRAM = 50, 16
 #: An anchor with more places than this is handled by aggregates instead of in one task.
-HOT = 4096
+HOT = 1024
 #: Positions hashed at once (cache-sized), and slices sorted at once.
 BLOCK, SLICES = 1 << 15, 60_000
 NO_ID = (1 << 63) - 1
@@ -210,6 +211,8 @@ def _sort_slices(rows: pa.Table, length: int) -> pa.RecordBatch:
     return _span_batch(doc[place], rows.column("mark").to_numpy()[place], start + first, start + last + length)
 
 
+#: The anchor of a slice, which deals the slices.
+GRAM_OF = f"substring(slice, anchor + 1, {GRAM})"
 SLICE = "anchor int, slice binary, doc bigint, mark bigint, start bigint"
 
 
@@ -250,46 +253,79 @@ def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return texts.mapInArrow(run, SLICE)
 
-    def radix(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= SLICES:
-                rows = pa.Table.from_batches(held)
-                column = rows.column("slice").combine_chunks()
-                ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + size]
-                code = _gram(np.frombuffer(column.buffers()[2], np.uint8), ends + rows.column("anchor").to_numpy())
-                other = np.flatnonzero(code != code[-1])  # the last anchor may go on in the next batch
-                end = int(other[-1]) + 1 if len(other) else 0
-                if end:
-                    yield _sort_slices(rows.slice(0, end), length)
-                held = rows.slice(end).combine_chunks().to_batches()
-                size -= end
-        if size:
-            yield _sort_slices(pa.Table.from_batches(held), length)
-
-    gram = F.expr(f"substring(slice, anchor + 1, {GRAM})")
-    spans = cut(False).repartition(gram).sortWithinPartitions(gram).mapInArrow(radix, SPAN)
+    spans = cut(False).repartition(F.expr(GRAM_OF)).sortWithinPartitions(F.expr(GRAM_OF))
+    spans = spans.mapInArrow(lambda batches: _whole_anchors(batches, lambda rows: _sort_slices(rows, length)), SPAN)
     if n_hot:
         spans = spans.unionByName(_frequent(cut(True), length))
     return spans
 
 
+FOUND = "slice binary, found array<struct<number:int,least:bigint>>"
+
+
+def _sort_distinct(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """For each distinct slice (whole anchor groups) the windows that a smaller document has, and its id."""
+    column = rows.column("slice").combine_chunks()
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    anchor = rows.column("anchor").to_numpy().astype(np.int64)
+    code = np.unique(_gram(data, ends[:-1] + anchor), return_inverse=True)[1]
+    owner, number = _expand(np.diff(ends) - length + 1)
+    lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
+    least = lowest(data, ends[:-1][owner] + number, code[owner] * (2 * length) + (anchor[owner] - number), lo[owner], hi[owner], length)
+    hit = least < hi[owner]
+    some, size = np.unique(owner[hit], return_counts=True)
+    found = pa.StructArray.from_arrays([pa.array(number[hit].astype(np.int32)), pa.array(least[hit])], names=["number", "least"])
+    bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([column.take(pa.array(some)), pa.ListArray.from_arrays(pa.array(bounds), found)], names=["slice", "found"])
+
+
+def _whole_anchors(batches, work):
+    """``work`` on portions of rows sorted by anchor, none of which parts the rows of one anchor."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= SLICES:
+            rows = pa.Table.from_batches(held)
+            column = rows.column("slice").combine_chunks()
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + size]
+            code = _gram(np.frombuffer(column.buffers()[2], np.uint8), ends + rows.column("anchor").to_numpy())
+            other = np.flatnonzero(code != code[-1])  # the last anchor may go on in the next batch
+            end = int(other[-1]) + 1 if len(other) else 0
+            if end:
+                yield work(rows.slice(0, end))
+            held = rows.slice(end).combine_chunks().to_batches()
+            size -= end
+    if size:
+        yield work(pa.Table.from_batches(held))
+
+
 def _frequent(slices: DataFrame, length: int) -> DataFrame:
-    """Removed spans of the slices of frequent anchors: distinct slices, then distinct windows, by aggregates."""
-    slices = common.materialize(slices.withColumn("sid", F.sha2("slice", 256)), "frequent-slices")
-    distinct = slices.groupBy("sid").agg(F.first("slice").alias("slice"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    distinct = common.materialize(distinct, "distinct-slices")
-    windows = distinct.select(
-        "sid", "lo", "hi", "slice",
-        F.explode(F.sequence(F.lit(0), F.length("slice") - length)).alias("number"),
-    ).selectExpr("sid", "number", "lo", "hi", f"substring(slice, number + 1, {length}) AS window")
-    groups = windows.groupBy("window").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
-    groups = groups.where("least < most").select("window", "least")
-    back = windows.select("sid", "number", "window").join(groups, "window")
-    back = back.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("number", "least"))).alias("found"))
-    met = slices.select("sid", "doc", "mark", "start").join(back, "sid").select("doc", "mark", "start", "found")
+    """Removed spans of the slices of frequent anchors: equal slices are merged by a partial aggregate before an anchor's
+    distinct slices meet; an anchor with many of these is split into windows, grouped by all their bytes."""
+    sid = F.substring(F.unhex(F.sha2("slice", 256)), 1, 16)
+    slices = common.materialize(slices, "frequent-slices")
+    distinct = slices.groupBy("slice").agg(F.first("anchor").alias("anchor"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    distinct = common.materialize(distinct.withColumn("gram", F.xxhash64(F.expr(GRAM_OF))), "distinct-slices")
+    wide = common.materialize(distinct.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "wide-anchors")
+    n_wide = wide.count()
+    if n_wide:
+        is_wide = _member(wide, "gram")
+        narrow, wide = distinct.where(~is_wide("gram")), distinct.where(is_wide("gram"))
+    else:
+        narrow = distinct
+    found = narrow.drop("gram").repartition(F.expr(GRAM_OF)).sortWithinPartitions(F.expr(GRAM_OF))
+    found = found.mapInArrow(lambda batches: _whole_anchors(batches, lambda rows: _sort_distinct(rows, length)), FOUND)
+    if n_wide:
+        numbers = F.sequence(F.lit(0), F.length("slice") - length)
+        windows = wide.select("lo", "hi", "slice", F.explode(numbers).alias("number"))
+        windows = windows.withColumn("window", F.expr(f"substring(slice, number + 1, {length})"))
+        groups = windows.groupBy("window").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+        groups = groups.where("least < most").select("window", "least")
+        back = windows.select("slice", "number", "window").join(groups, "window").groupBy("slice")
+        found = found.unionByName(back.agg(F.sort_array(F.collect_list(F.struct("number", "least"))).alias("found")))
+    met = slices.select(sid.alias("sid"), "doc", "mark", "start").join(found.select(sid.alias("sid"), "found"), "sid")
 
     def run(batches):
         for batch in batches:
@@ -302,7 +338,7 @@ def _frequent(slices: DataFrame, length: int) -> DataFrame:
             start = batch.column("start").to_numpy()[place]
             yield _span_batch(doc[place], batch.column("mark").to_numpy()[place], start + first, start + last + length)
 
-    return met.mapInArrow(run, SPAN)
+    return met.select("doc", "mark", "start", "found").mapInArrow(run, SPAN)
 
 
 def merge(first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,21 +362,21 @@ def _member(of: DataFrame, column: str):
     return test
 
 
-def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows ``(row, doc, mark, text)`` without later copies of a text, and those copies. In the first part
+def _copies(rows: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(row, doc, mark)`` without later copies of a text, and those copies. In the first part
     ``mark`` is 0 unless the id may stand at several texts: the spans that are shuffled bear the id alone."""
-    alike = rows.select("mark", "doc", F.sha2("text", 256).alias("sid")).groupBy("mark", "sid").agg(
+    alike = rows.select("mark", "doc", F.sha2(text, 256).alias("sid")).groupBy("mark", "sid").agg(
         F.min("doc").alias("least"), F.max("doc").alias("most")
     )
     alike = common.materialize(alike.where("least < most"), "copies")
     copied = _member(alike, "mark")
-    maybe = rows.where(copied("mark")).withColumn("sid", F.sha2("text", 256)).join(alike.select("sid", "least"), "sid", "left")
+    maybe = rows.where(copied("mark")).withColumn("sid", F.sha2(text, 256)).join(alike.select("sid", "least"), "sid", "left")
     maybe = common.materialize(maybe.drop("sid"), "maybe-copies")
-    firsts = rows.where(~copied("mark")).unionByName(maybe.where("least IS NULL OR doc <= least").select("row", "doc", "mark", "text"))
+    firsts = rows.where(~copied("mark")).unionByName(maybe.where("least IS NULL OR doc <= least").select("row", "doc", "mark"))
     twice = rows.groupBy("doc").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("doc")
     several = _member(common.materialize(twice, "ids-of-several-texts"), "doc")
     firsts = firsts.withColumn("mark", F.when(several("doc"), F.col("mark")).otherwise(F.lit(0).cast("bigint")))
-    return firsts, maybe.where("doc > least").select("row", "doc", "mark", "text")
+    return firsts, maybe.where("doc > least").select("row", "doc", "mark")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -352,10 +388,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("mark", F.xxhash64("text"))
-    firsts, copies = _copies(rows)
-    spans = removed_spans(firsts.select("doc", "mark", "text"), length)
+    )
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    rows = rows.withColumn("mark", F.xxhash64(text))
+    firsts, copies = _copies(rows, text)
+    spans = removed_spans(firsts.select("doc", "mark", text.alias("text")), length)
     found = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "past")).alias("found"))
     found = common.materialize(found, "removed-spans")
     hit = _member(found, "doc")
@@ -380,13 +417,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
-    cut = firsts.where(hit("doc")).join(found, ["doc", "mark"], "left").select("row", "text", "found").mapInArrow(take, schema)
-    none, size = F.array().cast(T.ArrayType(span)), F.octet_length("text").cast("bigint")
-    whole = firsts.where(~hit("doc")).select("row", none.alias("spans"), F.col("text").cast("binary").alias("kept"))
+    cut = firsts.where(hit("doc")).join(found, ["doc", "mark"], "left").select("row", text.alias("text"), "found").mapInArrow(take, schema)
+    none, size = F.array().cast(T.ArrayType(span)), F.octet_length(text).cast("bigint")
+    whole = firsts.where(~hit("doc")).select("row", none.alias("spans"), text.cast("binary").alias("kept"))
     gone = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), size.alias("end")))
     later = copies.select(
         "row", F.when(size >= length, gone).otherwise(none).alias("spans"),
-        F.when(size >= length, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"),
+        F.when(size >= length, F.lit(b"")).otherwise(text.cast("binary")).alias("kept"),
     )
     out = cut.unionByName(whole).unionByName(later)
     own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("spans", "kept")]
