@@ -8,7 +8,7 @@ the input. Only suffixes of windows that may be shared are sorted:
    grouped by digest, and a Bloom filter holds back the rows that meet their group.
 1. **Anchors.** Each window has one anchor: the leftmost of its ``GRAM``-byte strings with the smallest
    hash. It depends on the window's bytes alone, so equal windows have equal anchors; a text has
-   one anchor for about 17 bytes. Anchors are counted by hash (partial aggregates), and those
+   one anchor for about 14 bytes. Anchors are counted by hash (partial aggregates), and those
    of a single document go. Bloom filters carry the others to the tasks; a false positive costs time only.
 2. **Slices.** The windows with one anchor position follow each other and lie in one slice of at most
    ``2 * length - GRAM`` bytes. Slices are dealt by anchor hash, so equal windows meet.
@@ -18,7 +18,7 @@ the input. Only suffixes of windows that may be shared are sorted:
    each keeps its smallest document id.
 4. **Frequent anchors** (more than ``HOT`` places) may hold a third of all documents, so no task takes one whole:
    equal slices are first merged by a partial aggregate and the distinct ones sorted as above; an anchor with more than
-   ``HOT`` distinct slices is split into windows, grouped by all their digits at once. The groups' ids join back to
+   ``WIDE`` distinct slices is split into windows, grouped by all their digits at once. The groups' ids join back to
    the places by slice.
 5. Removed spans are grouped by document and meet only the texts that have some.
 
@@ -39,9 +39,12 @@ from pyspark.sql import types as T
 
 from . import common
 
-LENGTH, GRAM = 50, 16
+#: ``GRAM`` is a multiple of eight.
+LENGTH, GRAM = 50, 24
 #: An anchor with more places than this is handled by aggregates instead of in one task.
 HOT = 1024
+#: An anchor with more distinct slices than this is split into windows.
+WIDE = 32_768
 #: Positions hashed at once (cache-sized), and slices sorted at once.
 BLOCK, SLICES = 1 << 15, 60_000
 NO_ID = (1 << 63) - 1
@@ -71,8 +74,11 @@ def anchors(data: np.ndarray, length: int):
         part = data[a : min(a + BLOCK, n) + length - 1]
         v = _words(part).astype(np.uint64)
         size = len(part) - GRAM + 1
-        h = (v[:size] * _MUL) ^ (v[GRAM - 8 : GRAM - 8 + size] * np.uint64(0xC2B2AE3D27D4EB4F))
-        h ^= h >> np.uint64(29)
+        h = np.zeros(size, np.uint64)
+        for word in range(0, GRAM, 8):
+            h ^= v[word : word + size]
+            h *= _MUL
+            h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         low = _sliding_min((h & ~mask) | np.arange(size, dtype=np.uint64), length - GRAM + 1)
@@ -182,7 +188,10 @@ def _span_batch(doc, mark, first, past) -> pa.RecordBatch:
 def _gram(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The hashed anchors at these places (a collision only joins two groups of the sort)."""
     words = _words(data)
-    return common.mix(words[at] * _MUL + words[at + GRAM - 8])
+    h = np.zeros(len(at), np.uint64)
+    for word in range(0, GRAM, 8):
+        h = common.mix(h * _MUL + words[at + word])
+    return h
 
 
 def _sort_slices(rows: pa.Table, length: int) -> pa.RecordBatch:
@@ -308,7 +317,7 @@ def _frequent(slices: DataFrame, length: int) -> DataFrame:
     slices = common.materialize(slices, "frequent-slices")
     distinct = slices.groupBy("slice").agg(F.first("anchor").alias("anchor"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     distinct = common.materialize(distinct.withColumn("gram", F.xxhash64(F.expr(GRAM_OF))), "distinct-slices")
-    wide = common.materialize(distinct.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "wide-anchors")
+    wide = common.materialize(distinct.groupBy("gram").count().where(F.col("count") > WIDE).select("gram"), "wide-anchors")
     n_wide = wide.count()
     if n_wide:
         is_wide = _member(wide, "gram")
@@ -382,8 +391,8 @@ def _copies(rows: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with ``spans`` (array of ``(start, end)`` in bytes, maximal removed runs in order) and ``kept`` (binary,
     the remaining bytes; cuts may fall inside a character)."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if length < GRAM:
+        raise ValueError(f"length must be at least {GRAM}")
     common.prepare(docs.sparkSession)
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),

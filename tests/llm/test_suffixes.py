@@ -46,9 +46,10 @@ def rows(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_against_brute_force(spark, rows, monkeypatch, hot):
+@pytest.mark.parametrize("hot, wide", [(4096, 4096), (3, 4096), (3, 3)])
+def test_against_brute_force(spark, rows, monkeypatch, hot, wide):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "WIDE", wide)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute([((None if i == suffixes.NO_ID else i), t) for i, t in rows])
     got = [((None if i == suffixes.NO_ID else i), s, k) for i, s, k in result(suffixes.dedup(docs))]
