@@ -39,7 +39,7 @@ _SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}"
 #: What a secret does not end with: these stay where they are, and forms with and without them are one entity.
 _SECRET_END = r"[^\p{L}\p{N}+/_-]*$"
 #: Words of a text that may repeat a name's part, and what lies between them.
-_WORDS = r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|[^\p{L}\p{M}]+"
+_WORDS = r"[\p{L}\p{M}]++(?:['’-][\p{L}\p{M}]++)*+|[^\p{L}\p{M}]++"
 #: Kinds in the order in which they are tried at a place: the mention, then what must not stand before and after.
 PATTERNS = {
     # a domain has at most 127 labels of 63 characters (DNS); the local part and a secret have no bound

@@ -37,3 +37,11 @@ def test_nothing_is_left(spark):
     assert text[6] == f"Mr. {given} {family} came. {family} said {given}'s {family.upper()}; a smith and Smithson. Smith-Jones end"
     assert got[6]["n_entities"] == 4 and text[7] == dict(ROWS)[7]
     assert re.fullmatch(r"MRS\. \S+ (\S+) left\. (\S+) came, token=\*{8} end", text[8]) and "Berger" not in text[8]
+
+
+def test_long_chains_of_name_parts_do_not_overflow(spark):
+    chains = ["a-" * 300_000 + "b", "a'" * 5000 + "b", "é’" * 5000 + "e", "a.b" * 5000, "1-" * 5000, "a@" * 5000, "x@a." * 3000, "DE12 " * 5000, "1." * 5000, "token=" * 3000]
+    docs = spark.createDataFrame([(i, f"Mr. Smith said {c} and Smith") for i, c in enumerate(chains)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace(docs, "k").collect()}
+    assert len(out) == len(chains) and all("Smith" not in t for t in out.values())
+    assert out[0].count("a-") == 300_000 and out[1].count("a'") == 5000
