@@ -22,3 +22,11 @@ def test_text_without_head_and_body_tags():
         page = "<html><head><title>T</title></head><body>" + re.sub(r"</?(?:html|body)[^>]*>|<head>.*?</head>", "", htmltext.labelled_page(rng)[0], flags=re.S)
         want = htmltext.extract(page, crf)
         assert want[0] and htmltext.extract(page.replace("</head><body>", ""), crf) == want
+
+
+def test_stray_quotes_end_no_tag_later():
+    second = "<p>It's the second one.</p><p>Third \"one\" here.</p>"
+    for tag in ("<p title=it's>", "<p it's>", "<p a='x'y'>", '<p a="x"">', "<p a=b'c=\"d>", "<p title='a > b' it's>", "<p a = 'it\"s' \">", "<p a=>", "<p href=x?q='1'>"):
+        blocks = [b.text for b in htmltext.leaf_blocks(f"{tag}One paragraph.</p>{second}")]
+        assert blocks == ["One paragraph.", "It's the second one.", 'Third "one" here.'], tag
+    assert [b.text for b in htmltext.leaf_blocks("<p title='never closed>text</p><p>more</p>")][-1] == "more"
