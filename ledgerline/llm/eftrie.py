@@ -569,17 +569,39 @@ def _values(deltas: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(ranks).view("<i8").ravel())
 
 
-def _merged_triples(batches: Iterator[pa.RecordBatch], size: int, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+#: Entries that wait before they are added up, unless the sum so far is larger.
+WAITING = 1 << 19
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")  # merges the sorted parts
+    keys, counts = keys[order], counts[order]
+    del order
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _merged_triples(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Shard, contexts, keys (the context's place times ``size`` and the successor) and counts: the blobs of a shard added up, as they come."""
     none = (np.empty(0, np.int64),) * 3
     shard, sums, waiting, held = None, none, [], 0
 
     def fold() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [sums, *waiting]
+        parts = [x for x in (sums, *waiting) if len(x[0])]
+        if not parts:
+            return none
         contexts = np.unique(np.concatenate([x[0] for x in parts]))
-        moved = [np.searchsorted(contexts, c)[k // size] * size + k % size for c, k, _ in parts]
-        keys, where = np.unique(np.concatenate(moved), return_inverse=True)
-        return contexts, keys, np.bincount(where, np.concatenate([x[2] for x in parts]), len(keys)).astype(np.int64)
+        moved = []
+        for c, k, _ in parts:
+            k = k.copy()
+            place = np.searchsorted(contexts, c)
+            context = k // size
+            k += (place[context] - context) * size
+            moved.append(k)
+        return contexts, *_added(np.concatenate(moved), np.concatenate([x[2] for x in parts]))
 
     for batch in batches:
         for s, c, k, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -589,38 +611,33 @@ def _merged_triples(batches: Iterator[pa.RecordBatch], size: int, limit: int) ->
             shard = s
             waiting.append((_values(c), *_unpacked(k, n)))
             held += len(waiting[-1][1])
-            if held > limit:
-                sums, waiting, held = fold(), [], 0
+            if held > max(WAITING, len(sums[1])):
+                sums = fold()
+                waiting, held = [], 0
     if shard is not None:
         yield shard, *fold()
 
 
-def _merged_blobs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _merged_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Shard, keys and counts: the blobs of a shard added up, as they come."""
-    shard, keys, counts, waiting, size = None, np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+    shard, keys, counts, waiting, held = None, np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
-    def fold() -> None:
-        nonlocal keys, counts, waiting, size
-        every = np.concatenate([keys, *(k for k, _ in waiting)])
-        weights = np.concatenate([counts, *(c for _, c in waiting)])
-        keys, where = np.unique(every, return_inverse=True)
-        counts = np.bincount(where, weights, len(keys)).astype(np.int64) if len(keys) else np.empty(0, np.int64)
-        waiting, size = [], 0
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        return _added(np.concatenate([keys, *(k for k, _ in waiting)]), np.concatenate([counts, *(c for _, c in waiting)]))
 
     for batch in batches:
         for s, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if shard is not None and s != shard:
-                fold()
-                yield shard, keys, counts
-                keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+                yield shard, *fold()
+                keys, counts, waiting, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
             shard = s
             waiting.append(_unpacked(k, c))
-            size += len(waiting[-1][0])
-            if size > limit:
-                fold()
+            held += len(waiting[-1][0])
+            if held > max(WAITING, len(keys)):
+                keys, counts = fold()
+                waiting, held = [], 0
     if shard is not None:
-        fold()
-        yield shard, keys, counts
+        yield shard, *fold()
 
 
 def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD, group: int = GROUP, least: int = 2, order: int = 2) -> Model:
@@ -648,7 +665,7 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
         model.frequent += r["n"]
 
     # the second level: contexts that fill a shard alone have their successors dealt again
-    limit = 8 * shard
+    limit = 2 * shard
     model.shards, model.triple_shards = max(1, -(-n // limit)), max(1, -(-2 * n // limit))
     texts = docs.count()
     hot = words.where((F.col("c") > limit // 4) & (F.col("h") != END)).select("h", "c").collect()  # at most 4 n / limit
@@ -665,7 +682,7 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
     parted = blobs.repartition(model.shards, "shard").sortWithinPartitions("shard")
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, keys, counts in _merged_blobs(batches, limit):
+        for part, keys, counts in _merged_blobs(batches):
             kept = counts >= least
             row = [part, int((counts == 1).sum()), int((counts == 2).sum()), _deltas(keys[kept]), _small(counts[kept])]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "ones", "twos", "keys", "counts"])
@@ -719,7 +736,7 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
     for r in common.materialize(used.mapInArrow(rest_files, "part bigint, file string"), "lm-rests").collect():
         model.rests[r["part"]] = r["file"]
     if order > 2:
-        _train_triples(model, every.where(F.col("shard") >= model.shards), limit // 4)
+        _train_triples(model, every.where(F.col("shard") >= model.shards))
     return model
 
 
@@ -727,11 +744,11 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
 
 
-def _train_triples(model: Model, blobs: DataFrame, limit: int) -> None:
+def _train_triples(model: Model, blobs: DataFrame) -> None:
     folder, size, before = model.folder, model.frequent + 2, model.shards
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, contexts, keys, counts in _merged_triples(batches, size, limit):
+        for part, contexts, keys, counts in _merged_triples(batches, size):
             row = [part - before, save(folder, Triples.arrays(contexts, keys, counts, size)), int((counts == 1).sum()), int((counts == 2).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "file", "ones", "twos"])
 
