@@ -135,7 +135,7 @@ def _checked_requests(requests: DataFrame, ledger: Ledger, as_of: str, rules: st
         F.col("account_number").alias("_dn"), F.col("id").alias("dst_id"), F.col("balance").alias("dst_bal"),
         F.col("user_id").alias("dst_user"),
     )
-    req = requests.select(*[c for c, _, _ in schemas.REQUESTS])
+    req = requests.select(*[c for c, _, _ in schemas.REQUESTS], "_refused")
     r = (
         req.join(src, F.col("account_number") == F.col("_sn"), "left")
         .join(dst, (F.col("op") == "transfer") & (F.col("to_account") == F.col("_dn")), "left")
@@ -149,7 +149,33 @@ def _checked_requests(requests: DataFrame, ledger: Ledger, as_of: str, rules: st
         r = r.join(lim, F.col("src_id") == F.col("_lid"), "left").drop("_lid")
     else:
         r = r.withColumn("lim", F.lit(None).cast(MONEY)).withColumn("use0", F.lit(0).cast(MONEY))
-    return r.withColumn("static_reason", _static_reason(rules))
+    return r.withColumn("static_reason", F.coalesce("_refused", _static_reason(rules))).drop("_refused")
+
+
+DUPLICATE, NO_ID = "duplicate_request", "request_id_missing"
+
+
+def unique_requests(requests: DataFrame) -> DataFrame:
+    """One row per request id, with ``_refused``. A reference number exists once, so equal repeats of a
+    request are one request, and different bodies under one id are refused with one row
+    (``duplicate_request``); rows without an id are refused each (``request_id_missing``). Ids are
+    counted by a partial aggregate; only repeated ones are looked at further."""
+    cols = [c for c, _, _ in schemas.REQUESTS]
+    requests = requests.select(*cols)
+    missing = F.when(F.col("request_id").isNull(), F.lit(NO_ID))
+    repeated = requests.where(F.col("request_id").isNotNull()).groupBy("request_id").count().where("count > 1")
+    repeated = freeze(repeated.select("request_id"), "ledgerline-posting")
+    if repeated.isEmpty():
+        discard(repeated)
+        return requests.withColumn("_refused", missing)
+    body = F.struct(*[c for c in cols if c != "request_id"])
+    merged = requests.join(repeated, "request_id", "left_semi").groupBy("request_id").agg(
+        F.min(body).alias("_least"), F.max(body).alias("_most")
+    )
+    merged = merged.select(
+        "request_id", "_least.*", F.when(~F.col("_least").eqNullSafe(F.col("_most")), F.lit(DUPLICATE)).alias("_refused")
+    )
+    return requests.join(repeated, "request_id", "left_anti").withColumn("_refused", missing).unionByName(merged)
 
 
 def _legs(checked: DataFrame) -> DataFrame:
@@ -436,7 +462,8 @@ def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedur
          fold_legs: int = FOLD_LEGS, marks: Marks | None = None) -> Outcome:
     """T4: post a mixed, ordered batch of requests against a ledger version.
 
-    ``requests`` has the columns of ``schemas.REQUESTS``. ``rules`` is
+    ``requests`` has the columns of ``schemas.REQUESTS``; repeated ids are handled by
+    :func:`unique_requests`. ``rules`` is
     ``procedure`` (stored-procedure behaviour, default) or ``api`` (the REST
     endpoints: any account status, API formats, no limits, no alerts, no
     before/after balances). Transaction ids continue after the ledger's
@@ -448,7 +475,7 @@ def post(requests: DataFrame, ledger: Ledger, as_of: str, rules: str = "procedur
     where the caller knows them (else two aggregates read them)."""
     checkpoint_dir(requests.sparkSession)
     marks = marks or Marks.of(ledger)
-    checked = freeze(_checked_requests(requests, ledger, as_of, rules), "ledgerline-posting")
+    checked = freeze(_checked_requests(unique_requests(requests), ledger, as_of, rules), "ledgerline-posting")
     legs0 = add_chunks(_legs(checked), ORDER, target_rows)
     legs, rounds = settle(legs0, rules, broadcast_rows, fold_legs)
     posted = freeze(_balances(legs), "ledgerline-posting")

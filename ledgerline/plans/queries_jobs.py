@@ -146,6 +146,26 @@ def q_post_mixed(spark, sf_dir):
     return _posted(spark, sf_dir).results
 
 
+#: The fixture's requests, some sent again as they are and some with another amount under the same id.
+_KEPT_SQL = f"{_REQ_SQL} WHERE request_id % 11 <> 0"
+_REPEATED_RESULT_SQL = _RESULT_SQL + """ UNION ALL SELECT request_id, op, false, 'duplicate_request',
+  CAST(NULL AS DECIMAL(15,2)), CAST(NULL AS BIGINT) FROM post_requests WHERE request_id % 11 = 0"""
+
+
+def _repeated(requests):
+    again = requests.where("request_id % 7 = 0 OR request_id % 11 = 0")
+    other = F.when(F.col("request_id") % 11 == 0, F.coalesce("amount", F.lit(0)) + 1).otherwise(F.col("amount"))
+    return again.withColumn("amount", other.cast(schemas.MONEY))
+
+
+@register("post_repeated", views=_POST_VIEWS, recursive=True, oracle=_walked(_KEPT_SQL) + _REPEATED_RESULT_SQL)
+def q_post_repeated(spark, sf_dir):
+    """T4 on a request table with repeats: equal ones post once, different bodies under one id post neither."""
+    f = fx(spark, sf_dir)
+    requests = f["post_requests"]
+    return T.post(requests.unionByName(_repeated(requests)).unionByName(_repeated(requests)), f.ledger, AS_OF).results
+
+
 @register("post_mixed_transactions", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + f"""
 SELECT id, account_id, type, amount, {_cents("b")} AS balance_before, {_cents("a")} AS balance_after, 'completed' AS status,
   CASE WHEN op = 'transfer' THEN other END AS related_account_id,
@@ -624,6 +644,24 @@ def q_stream_posting(spark, sf_dir):
     return XP.posted_results(spark, store_root).select("request_id", "op", "accepted", "reason", "new_balance")
 
 
+@register("stream_posting_repeated", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + """
+SELECT request_id, op, reason IS NULL AS accepted, reason,
+  CASE WHEN reason IS NULL THEN """ + _cents("before0 + CASE WHEN op = 'deposit' THEN cents ELSE -cents END") + """ END AS new_balance FROM done
+UNION ALL SELECT request_id, op, false, 'duplicate_request', CAST(NULL AS DECIMAL(15,2)) FROM post_requests WHERE request_id % 11 = 0""")
+def q_stream_posting_repeated(spark, sf_dir):
+    """X1 with repeats: the first file holds all requests, some twice; after a restart some come again, unchanged (nothing
+    happens) or with another amount (one reject row each, however often they are sent)."""
+    root = scratch(spark)
+    f = fx(spark, sf_dir)
+    src, store_root = os.path.join(root, "requests"), os.path.join(root, "store")
+    requests = f["post_requests"]
+    ST.init_store(f.ledger, store_root, AS_OF)
+    for part, rows in enumerate((requests.unionByName(requests.where("request_id % 7 = 0")), _repeated(requests), _repeated(requests))):
+        rows.write.parquet(os.path.join(src, f"part={part}"))
+        XP.stream_posting(spark, os.path.join(src, "*"), store_root, os.path.join(root, "ckpt"), AS_OF).awaitTermination()
+    return XP.posted_results(spark, store_root).select("request_id", "op", "accepted", "reason", "new_balance")
+
+
 _RATE_SQL = """
 SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start,
   time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end, ip, COUNT(*) AS requests

@@ -1,27 +1,34 @@
 """Posting requests that arrive as a stream.
 
-``readStream`` of request files -> ``foreachBatch`` -> ordered posting (T4) of
-the micro-batch against the committed ledger -> the batch appended to the
-ledger store (S8: new fact rows, new state versions, results, commit marker).
+``readStream`` of request files -> keyed state by request id -> ``foreachBatch`` -> ordered posting
+(T4) of the micro-batch against the committed ledger -> the batch appended to the
+ledger store (S8: new fact rows, changed state rows, results, commit marker).
 
-Replays are harmless: ``foreachBatch`` may run a batch again after a failure, so
-the commit marker names the micro-batch and a repeated one is skipped; an
+**Repeats.** ``transformWithState`` keeps, for each request id ever seen, the digest of its body
+(RocksDB state, part of the stream's checkpoint; it has no horizon). A request
+that a producer sends again, in the same file or any later batch, also after a restart, posts once. Another body
+under a known id gives one reject row (``duplicate_request``), however often it is sent; two bodies that
+first come together post neither.
+
+**Replays** are harmless: ``foreachBatch`` may run a batch again after a failure, from the same state version,
+and the commit marker names the micro-batch, so a repeated one is skipped; an
 uncommitted batch folder is overwritten by the retry. The marker also
-holds the highest ids, so a micro-batch reads no earlier fact file. A request that
-a producer sends again is dropped when its id was posted in the last
-``dedupe_batches`` batches. Within one micro-batch requests post in
-``(requested_at, request_id)`` order; across micro-batches the file order of the
+holds the highest ids, so a micro-batch reads no earlier fact file. Within one micro-batch
+requests post in ``(requested_at, request_id)`` order; across micro-batches the file order of the
 source decides, so producers write request files in time order.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import posting as P
+from ..session import discard, freeze
 from ..sources import store as S
 
 RESULTS = "results"
@@ -30,37 +37,107 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
     T.StructField("new_balance", schemas.MONEY), T.StructField("transaction_id", T.LongType()),
 ])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_TIMES = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB (the setting is read at the start)."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def _guard():
+    """The processor of one request id; a local class, so workers need not import this package."""
+    import hashlib
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Guard(StatefulProcessor):
+        def init(self, handle):
+            self.seen = handle.getValueState("seen", "digest string, conflict boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            if key[0] is None:  # refused each by the batch
+                for r in rows:
+                    yield Row(request_id=None, body=r.body, conflict=False)
+                return
+            known = self.seen.exists()
+            digest, conflict = self.seen.get() if known else (None, False)
+            least = None
+            for r in rows:
+                own = hashlib.sha256(r.body.encode()).hexdigest()
+                digest = digest or own
+                if own != digest and not conflict:  # the first other body
+                    conflict = True
+                    if known:
+                        yield Row(request_id=key[0], body=r.body, conflict=True)
+                least = r.body if least is None else min(least, r.body)
+            if not known:
+                yield Row(request_id=key[0], body=least, conflict=conflict)
+            self.seen.update((digest, conflict))
+
+        def close(self):
+            pass
+
+    return Guard()
+
+
+def guarded(requests: DataFrame) -> DataFrame:
+    """A request stream without repeats: ``(request_id, body, conflict)``, at most one row without and one with a conflict per
+    id over the stream's life. ``body`` is the request as JSON."""
+    body = F.to_json(F.struct(*[c for c, _, _ in schemas.REQUESTS if c != "request_id"]), _TIMES)
+    keyed = requests.select("request_id", body.alias("body")).groupBy("request_id")
+    return keyed.transformWithState(_guard(), "request_id bigint, body string, conflict boolean", "append", "none")
 
 
 def stream_posting(spark: SparkSession, source_dir: str, store_root: str, checkpoint_location: str,
-                   as_of: str, max_files_per_trigger: int | None = None, dedupe_batches: int = 96):
+                   as_of: str, max_files_per_trigger: int | None = None):
     """Start the stream; returns the ``StreamingQuery``. The store must hold a
     committed batch (``store.init_store``)."""
     reader = spark.readStream.schema(schemas.struct(schemas.REQUESTS))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    stream = reader.parquet(source_dir)
+    return post_stream(guarded(reader.parquet(source_dir)), store_root, checkpoint_location, as_of)
+
+
+def post_stream(stream: DataFrame, store_root: str, checkpoint_location: str, as_of: str):
+    """Post the rows of :func:`guarded`, a micro-batch at a time."""
+    spark = stream.sparkSession
+    body_type = T.StructType([f for f in schemas.struct(schemas.REQUESTS) if f.name != "request_id"])
 
     def post_batch(batch: DataFrame, epoch_id: int) -> None:
         s = batch.sparkSession
-        marks, last_epoch = S.last_commit(s, store_root)
+        _, last_epoch = S.last_commit(s, store_root)
         if last_epoch is not None and epoch_id <= last_epoch:
             return
-        ledger = S.read_store(s, store_root)
-        done = S.read_batch_rows(s, store_root, RESULTS, RESULT_SCHEMA, last=dedupe_batches)
-        if done is not None:
-            batch = batch.join(done.select("request_id"), "request_id", "left_anti")
-        if not batch.take(1):
-            return
-        out = P.post(batch, ledger, as_of, marks=marks)
-        S.apply_updates(store_root, out, as_of, extra={RESULTS: out.results}, epoch=epoch_id)
-
-    return (
-        stream.writeStream.foreachBatch(post_batch)
-        .option("checkpointLocation", checkpoint_location)
-        .trigger(availableNow=True)
-        .start()
-    )
+        batch = freeze(batch, "ledgerline-stream")  # the state is stepped once, whatever reads the batch
+        if not batch.isEmpty():
+            rows = batch.select("request_id", F.from_json("body", body_type, _TIMES).alias("body"), "conflict")
+            rows = rows.select("request_id", "body.*", "conflict")
+            marks, _ = S.last_commit(s, store_root)
+            out = P.post(rows.where(~F.col("conflict")), S.read_store(s, store_root), as_of, marks=marks)
+            refused = rows.where("conflict").select(
+                "request_id", "op", F.lit(False).alias("accepted"), F.lit(P.DUPLICATE).alias("reason"),
+                F.lit(None).cast(schemas.MONEY).alias("new_balance"), F.lit(None).cast("bigint").alias("transaction_id"),
+            )
+            S.apply_updates(store_root, out, as_of, extra={RESULTS: out.results.unionByName(refused)}, epoch=epoch_id)
+        discard(batch)
+
+    with rocksdb_state(spark):
+        return (
+            stream.writeStream.foreachBatch(post_batch)
+            .option("checkpointLocation", checkpoint_location)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def posted_results(spark: SparkSession, store_root: str) -> DataFrame:
