@@ -35,8 +35,9 @@ How it runs at scale (no per-account loop, no group in one task):
    credits take their debit's decision through a join on the request id.
 4. In the same round, each account's next legs from its first undecided leg
    (whose bounds are exact) are replayed in order by a bounded fold
-   (:func:`_fold`), which settles dependency chains: ``FOLD_LEGS`` in the first
-   round, twice as many in each further one, up to ``MAX_FOLD_LEGS``.
+   (:func:`_fold`), which settles short dependency chains: ``FOLD_LEGS`` in the first
+   round, twice as many in each further one. From round ``REPLAY_FROM`` on, open suffixes are replayed as
+   a stream of up to ``REPLAY_LEGS`` legs per account (:func:`_replay`), so long contended accounts take few rounds.
 5. Final legs (before their account's first undecided one) are set aside after
    each round, so later rounds read only the open suffixes of contended accounts.
 6. The earliest undecided request overall always has exact bounds, so every
@@ -278,7 +279,6 @@ def _decide(b: DataFrame, rules: str) -> DataFrame:
 
 
 FOLD_LEGS = 64  # legs replayed in order per account in the first round, from its first undecided leg
-MAX_FOLD_LEGS = 4_096  # the fold doubles each round up to this many: about 1 MB of legs for an account
 
 
 def _fold(b: DataFrame, rules: str, k: int = FOLD_LEGS) -> DataFrame:
@@ -340,6 +340,75 @@ def _fold(b: DataFrame, rules: str, k: int = FOLD_LEGS) -> DataFrame:
                          F.col("_d.state").alias("_fs"), F.col("_d.reason").alias("_fr"))
 
 
+REPLAY_LEGS = 1_000_000  # legs of one account that a round replays
+REPLAY_FROM = 4  # the round from which open suffixes are replayed as a stream
+
+
+def _replayed(rules: str):
+    """A function over Arrow batches of open legs in order of account and place (money in cents): replays each
+    account's legs from the exact balance and usage of its first one, and returns the decisions. It keeps one
+    account's balance and usage, not its legs, so memory does not grow with an account; it needs no import of
+    this package in the workers."""
+    api = rules == "api"
+    unknown, accepted, rejected = UNKNOWN, ACCEPTED, REJECTED
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["acct", "request_id", "leg", "op", "credit", "state", "cents", "od_cents", "lim_cents", "usage", "low_cents", "use_cents"]
+        account, bal, use, stop = None, 0, 0, False
+        for batch in batches:
+            out = []
+            for acct, rid, leg, op, credit, state, amount, od, lim, usage, low, used in zip(*(batch.column(n).to_pylist() for n in names)):
+                if acct != account:
+                    account, bal, use, stop = acct, int(low), int(used), False
+                if stop or state == rejected:
+                    continue
+                if credit:
+                    if state == unknown:  # its outcome belongs to another account
+                        stop = True
+                    else:
+                        bal += amount
+                    continue
+                if state == unknown:
+                    if op == "transfer":
+                        reason = None if bal >= amount else "insufficient_funds"
+                    elif bal - amount >= -od or (api and bal >= amount):
+                        reason = "daily_limit_exceeded" if lim is not None and use + amount > lim else None
+                    else:
+                        reason = "insufficient_funds"
+                    out.append((rid, leg, rejected if reason else accepted, reason))
+                    if reason:
+                        continue
+                bal -= amount
+                if usage:
+                    use += amount
+            columns = [list(c) for c in zip(*out)] if out else [[], [], [], []]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["request_id", "leg", "_fs", "_fr"])
+
+    return run
+
+
+def _replay(b: DataFrame, rules: str) -> DataFrame:
+    """Exact decisions like :func:`_fold`'s, for up to ``REPLAY_LEGS`` legs per account: a partial
+    ``WindowGroupLimit`` caps them per task, and they stream through the fold in order, in constant memory. A contended
+    account's decisions hang on each other, so this part of it is sequential; a longer suffix goes on in the next round."""
+    def cents(name):
+        return (F.col(name) * 100).cast("bigint")
+
+    opened = b.where((F.col("state") == UNKNOWN) | F.col("_open_before"))
+    w = Window.partitionBy("acct").orderBy(*ORDER)
+    head = opened.select("*", F.row_number().over(w).alias("_pos")).where(F.col("_pos") <= REPLAY_LEGS)
+    legs = head.select(
+        "acct", "_pos", "request_id", "leg", "op", "credit", "state", "usage", cents("amount").alias("cents"), cents("od").alias("od_cents"),
+        cents("lim").alias("lim_cents"), *[F.when(F.col("_pos") == 1, F.col(c) * 100).cast("decimal(38,0)").alias(n)
+                                           for c, n in (("low", "low_cents"), ("use_low", "use_cents"))],
+    )
+    legs = legs.sortWithinPartitions("acct", "_pos")  # the window has dealt them by account
+    return legs.mapInArrow(_replayed(rules), "request_id bigint, leg int, _fs int, _fr string")
+
+
 def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROADCAST_ROWS,
            fold_legs: int = FOLD_LEGS) -> tuple[DataFrame, int]:
     """Run rounds until every leg is decided; returns (legs, rounds).
@@ -361,12 +430,15 @@ def settle(legs: DataFrame, rules: str = "procedure", broadcast_rows: int = BROA
         by_bounds = _decide(b, rules)
         # The fold's output is at most ``fold`` short rows per open account; broadcast
         # it when its counted size allows, so the legs are not shuffled for this join.
-        fold = min(fold_legs << (rounds - 1), max(fold_legs, MAX_FOLD_LEGS))
-        folded_cached = _fold(b, rules, fold).persist(StorageLevel.MEMORY_AND_DISK)
+        fold = fold_legs << (min(rounds, REPLAY_FROM) - 1)
+        if rounds < REPLAY_FROM:
+            folded_cached = _fold(b, rules, fold).persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            folded_cached = _replay(b, rules).persist(StorageLevel.MEMORY_AND_DISK)
         folded = folded_cached
         # Each open account adds at most ``fold`` rows and has an undecided
         # leg, so fold * unknown bounds the size without counting.
-        if fold * unknown <= broadcast_rows or folded_cached.count() <= broadcast_rows:
+        if (rounds < REPLAY_FROM and fold * unknown <= broadcast_rows) or folded_cached.count() <= broadcast_rows:
             folded = F.broadcast(folded_cached)
         both = by_bounds.join(folded, ["request_id", "leg"], "left")
         from_fold = (F.col("state") == UNKNOWN) & F.col("_fs").isNotNull() & ~F.col("credit")
