@@ -115,14 +115,12 @@ def post_stream(stream: DataFrame, store_root: str, checkpoint_location: str, as
 
     def post_batch(batch: DataFrame, epoch_id: int) -> None:
         s = batch.sparkSession
-        _, last_epoch = S.last_commit(s, store_root)
-        if last_epoch is not None and epoch_id <= last_epoch:
-            return
-        batch = freeze(batch, "ledgerline-stream")  # the state is stepped once, whatever reads the batch
-        if not batch.isEmpty():
+        # the state is stepped once, whatever reads the batch, and also where the batch is known
+        batch = freeze(batch, "ledgerline-stream")
+        marks, last_epoch = S.last_commit(s, store_root)
+        if (last_epoch is None or epoch_id > last_epoch) and not batch.isEmpty():
             rows = batch.select("request_id", F.from_json("body", body_type, _TIMES).alias("body"), "conflict")
             rows = rows.select("request_id", "body.*", "conflict")
-            marks, _ = S.last_commit(s, store_root)
             out = P.post(rows.where(~F.col("conflict")), S.read_store(s, store_root), as_of, marks=marks)
             refused = rows.where("conflict").select(
                 "request_id", "op", F.lit(False).alias("accepted"), F.lit(P.DUPLICATE).alias("reason"),
