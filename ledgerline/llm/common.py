@@ -122,6 +122,38 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
 
 
 
+# --- Columns of the input whose names an operator needs ----------------------------
+
+
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores added as no column bears it (case ignored)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(columns: list[str], names: list[str]) -> list[str]:
+    """The columns that bear none of the names (case ignored)."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def set_aside(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list]:
+    """``rows`` with the columns that bear one of the names renamed, and the expressions that
+    give all its columns their own names back."""
+    held, back = [], []
+    for c in rows.columns:
+        if not others([c], names):
+            new = spare([*rows.columns, *names, *held], f"{c}_")
+            held.append(new)
+            rows = rows.withColumnRenamed(c, new)
+            back.append(F.col(f"`{new}`").alias(c))
+        else:
+            back.append(F.col(f"`{c}`"))
+    return rows, back
+
+
 # --- Bloom filters: fewer rows shuffled before an exact join ---------------------
 
 
@@ -194,7 +226,7 @@ def without_ids(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
                 kept = batch.filter(pa.array(found == maybe))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
-        return rows.select("*", F.col(f"`{id_col}`").cast("bigint").alias("__id")).mapInArrow(run, kinds)
+        return rows.select("*", F.col(f"`{id_col}`").cast("bigint").alias(spare(rows.columns, "__id"))).mapInArrow(run, kinds)
 
     held, key = only(True), f"gone_{uuid.uuid4().hex}"  # no column of the rows bears this name
     held = held.join(gone.select(F.col(name).alias(key)), F.col(f"`{id_col}`").cast("bigint") == F.col(key), "left_anti")

@@ -132,16 +132,19 @@ def _blocks(spark, bench: DataFrame, item_col: str, text_col: str, block_words:
     return blocks
 
 
+#: The columns that :func:`decontaminate` adds.
+ADDED = ["n_words", "n_hit", "items", "spans", "contaminated"]
+
+
 def decontaminate(
     docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", span: int = SPAN, k: int = K, per_hit: int = 20, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Adds ``n_words, n_hit, items (sorted strings), spans (start, end of each run of hit
-    words), contaminated`` to the columns of ``docs`` (whose own of these names go):
+    words), contaminated`` to the columns of ``docs`` (whose own of these names, case ignored, go):
     contaminated if some word is hit and ``per_hit`` times the hits reach the words."""
     spark = common.prepare(docs.sparkSession)
-    added = ["n_words", "n_hit", "items", "spans", "contaminated"]
-    kept = [c for c in docs.columns if c not in added or c in (id_col, text_col)]
+    kept = [c for c in docs.columns if c in (id_col, text_col) or common.others([c], ADDED)]
     frames = []
     blocks = _blocks(spark, bench, item_col, item_text_col, block_words)
     for block in blocks:
@@ -161,19 +164,20 @@ def decontaminate(
                     spans.append([{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()])
                 bad = [h > 0 and per_hit * h >= m for h, m in zip(n_hit, n, strict=True)]
                 columns = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(bad, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *added])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *ADDED])
 
         own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-        read = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+        read = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(common.spare(kept, "__text")))
         frames.append(read.mapInArrow(scan, f"{own}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean"))
     return frames[0] if len(frames) == 1 else _merged(docs, kept, text_col, frames, per_hit)
 
 
 def _merged(docs: DataFrame, kept: list[str], text_col: str, frames: list[DataFrame], per_hit: int) -> DataFrame:
     """The blocks' hits of each distinct text, put together and joined to its rows."""
-    key = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("__key")
-    one = [f.select(key, "n_words", "items", F.col("spans")).dropDuplicates(["__key"]) for f in frames]
-    every = reduce(DataFrame.unionByName, one).groupBy("__key").agg(
+    name = common.spare([*kept, *ADDED], "__key")
+    key = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias(name)
+    one = [f.select(key, "n_words", "items", F.col("spans")).dropDuplicates([name]) for f in frames]
+    every = reduce(DataFrame.unionByName, one).groupBy(name).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -189,8 +193,8 @@ def _merged(docs: DataFrame, kept: list[str], text_col: str, frames: list[DataFr
     every = every.withColumn("spans", spans)
     hits = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
     every = every.withColumn("n_hit", hits).withColumn("contaminated", (F.col("n_hit") > 0) & (per_hit * F.col("n_hit") >= F.col("n_words")))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], key).join(every, "__key")
-    return rows.select(*kept, "n_words", "n_hit", "items", "spans", "contaminated")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], key).join(every, name)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], "n_words", "n_hit", "items", "spans", "contaminated")
 
 
 def items_digest(items: str = "items"):

@@ -462,11 +462,12 @@ def extract(page: str | None, crf: Crf, cache: dict | None = None) -> tuple[str,
 
 def extract_text(pages: DataFrame, html_col: str = "html", crf: Crf | None = None) -> DataFrame:
     """The columns of ``pages`` without the HTML, and ``text, n_chars`` (code points),
-    ``n_kept`` and ``n_blocks``; columns of ``pages`` with these names are replaced."""
+    ``n_kept`` and ``n_blocks``; columns of ``pages`` with these names (case ignored) are
+    replaced."""
     common.prepare(pages.sparkSession)
     model = crf or trained()
     added = ["text", "n_chars", "n_kept", "n_blocks"]
-    kept = [c for c in pages.columns if c not in added and c != html_col]
+    kept = common.others(pages.columns, [*added, html_col])
     own = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,5 +477,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", crf: Crf | None = Non
             columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *added])
 
-    read = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").alias("__html"))
+    read = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").alias(common.spare(kept, "__html")))
     return read.mapInArrow(run, f"{own}text string, n_chars bigint, n_kept bigint, n_blocks bigint")

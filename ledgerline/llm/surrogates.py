@@ -279,9 +279,11 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with the text's mentions replaced, and ``n_entities``."""
+    """The columns of ``docs`` with the text's mentions replaced, and ``n_entities`` (an own column of this name, case
+    ignored, goes)."""
     common.prepare(docs.sparkSession)
-    names = [c for c in docs.columns if c != "n_entities"]
+    names = common.others(docs.columns, ["n_entities"])
+    key_of, swap_of, parts_of = (common.spare(names, c) for c in ("__key", "__swap", "__names"))
     text = F.col(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
     holds = F.coalesce(may_hold(text) & text.rlike(MENTION), F.lit(False))
@@ -298,9 +300,10 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     spelt = lambda f: F.transform("__parts", lambda x: F.struct(f(x["word"]).alias("word"), _cased(f(x["word"]), x["surrogate"]).alias("surrogate")))
     spellings = F.array_sort(F.array_distinct(F.concat(spelt(lambda w: w), spelt(F.upper), spelt(lambda w: F.when(F.upper(w) == w, F.initcap(w)).otherwise(w)))))
     by_text = by_text.withColumn("__spelt", F.filter(spellings, lambda x: F.length(x["word"]) > 1))
-    by_text = by_text.withColumn("__names", F.map_from_entries(first(F.col("__spelt")))).drop("__parts", "__spelt")
-    held = rows.where(holds).withColumn("__key", F.sha2(text, 256)).join(by_text, "__key")
-    names_of = F.col("__names")
+    by_text = by_text.withColumn("__names", F.map_from_entries(first(F.col("__spelt"))))
+    by_text = by_text.select(F.col("__key").alias(key_of), F.col("__swap").alias(swap_of), F.col("__names").alias(parts_of))
+    held = rows.where(holds).withColumn(key_of, F.sha2(text, 256)).join(by_text, key_of)
+    names_of = F.col(parts_of)
 
     def word(w: Column) -> Column:
         owner = F.regexp_replace(w, r"['’]s$", "")
@@ -310,7 +313,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     again = F.aggregate(cut, F.lit(0), lambda n, x: n + F.size(F.filter(x, lambda w: word(w) != w)))
     named = F.size(names_of) > 0
     between = F.when(named, F.transform(cut, lambda x: F.array_join(F.transform(x, word), ""))).otherwise(F.split(text, MENTION, -1))
-    put = F.zip_with(between, F.transform(found, lambda x: F.col("__swap")[x]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    put = F.zip_with(between, F.transform(found, lambda x: F.col(swap_of)[x]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     new = {text_col: F.array_join(put, ""), "n_entities": F.size(found) + F.when(named, again).otherwise(0)}
     swapped = held.select(*[new[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in names], new["n_entities"].alias("n_entities"))
     return swapped.unionByName(rows.where(~holds).withColumn("n_entities", F.lit(0)))

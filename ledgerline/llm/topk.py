@@ -17,8 +17,10 @@ query blocks in a join on the bucket's number, so a task holds one bucket of at
 
 Vectors that are null or hold null or non-finite components take no part; an
 empty vector scores 0 with others of its kind. Vectors of different dimensions are
-matched as if the shorter ended in zeros. Repeated ids are separate rows; the query's own id is
-no candidate of it. Other columns are not read. Empty tables give no rows.
+matched as if the shorter ended in zeros. Repeated ids are separate rows: a query's own row is
+no candidate of it, another row with its id is one. Products must fit 64 bits, as the
+score's type does; a best score beyond them fails the query rather than give a wrong one.
+Other columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -134,7 +134,8 @@ def token_counts(urls: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> dict
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url") -> DataFrame:
     """Adds ``host, path, rule, verdict, matched`` (names of the pattern rules that fit)
-    and ``n_tried`` (regular expressions that ran) to the columns of ``pages``."""
+    and ``n_tried`` (regular expressions that ran) to the columns of ``pages``, whose own of these
+    names (case ignored) are replaced."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
     if any(not r.tokens for r in rules):
@@ -144,7 +145,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url")
 
     added = "host string, path string, rule string, verdict string, matched array<string>, n_tried int"
     names = [x.split()[0] for x in added.split(", ")]
-    kept = [c for c in pages.columns if c not in names]
+    kept = common.others(pages.columns, names)
     own = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in kept)
     types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32()]
 
@@ -155,5 +156,5 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url")
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
 
-    read = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{url_col}`").alias("__url"))
+    read = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{url_col}`").alias(common.spare(kept, "__url")))
     return read.mapInArrow(run, f"{own}{added}")
