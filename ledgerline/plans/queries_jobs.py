@@ -545,6 +545,7 @@ import uuid  # noqa: E402
 from .. import schemas  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
 from ..session import checkpoint_dir  # noqa: E402
+from ..sources import constraints as CN  # noqa: E402
 from ..sources import ledger as L  # noqa: E402
 from ..sources import snapshots as S  # noqa: E402
 from ..sources import store as ST  # noqa: E402
@@ -627,6 +628,38 @@ def q_apply_updates(spark, sf_dir):
     return L.verify_load(ST.read_store(spark, root))
 
 
+_FAR = 10**12  # beyond every fixture id
+
+
+@register("commit_violations", views=("transactions", "accounts"), oracle=f"""
+, dirty AS (SELECT id, type, CASE WHEN type = 'fee' THEN account_id + {_FAR} ELSE account_id END AS account_id FROM transactions)
+SELECT 'transactions' AS table_name, 'unique' AS rule, 'id' AS column_name, CAST(NULL AS VARCHAR) AS row_key,
+  CAST(id AS VARCHAR) AS value, CAST(2 AS BIGINT) AS n_rows FROM transactions WHERE type = 'deposit'
+UNION ALL SELECT 'transactions', 'unique', 'reference_number', NULL, 'R' || id, 2 FROM transactions WHERE type = 'withdrawal'
+UNION ALL SELECT 'transactions', 'foreign_key', 'account_id', CAST(CASE WHEN type = 'deposit' THEN id ELSE id + {2 * _FAR} END AS VARCHAR),
+  CAST(account_id AS VARCHAR), 1 FROM dirty WHERE account_id NOT IN (SELECT id FROM accounts)
+UNION ALL SELECT 'transactions', 'foreign_key', 'related_transaction_id', CAST(id + {2 * _FAR} AS VARCHAR), CAST(id + {3 * _FAR} AS VARCHAR), 1
+  FROM transactions WHERE type = 'refund'""")
+def q_commit_violations(spark, sf_dir):
+    """Q2 and Q6 before a commit: the ledger is batch 0, its transactions under new ids and references batch 1. In batch 2
+    deposits repeat an id of batch 0, withdrawals a reference of batch 1, fees name missing accounts, refunds a missing
+    transaction (transfers name one of batch 0)."""
+    root, led = scratch(spark), fx(spark, sf_dir).ledger
+    ST.init_store(led, root, AS_OF)
+    kind, rid = F.col("type"), F.col("id")
+    clean = led.transactions.withColumns({"reference_number": F.concat(F.lit("R"), rid), "id": rid + F.lit(_FAR)})
+    ST.write_fact(clean, root, "transactions", 1)
+    ST.apply_changes(spark, root, {}, AS_OF)
+    dirty = led.transactions.withColumns({
+        "reference_number": F.concat(F.when(kind == "withdrawal", "R").otherwise("S"), rid),
+        "account_id": F.col("account_id") + F.when(kind == "fee", F.lit(_FAR)).otherwise(F.lit(0)),
+        "related_transaction_id": F.when(kind == "transfer", rid).when(kind == "refund", rid + F.lit(3 * _FAR)),
+        "id": F.when(kind == "deposit", rid).otherwise(rid + F.lit(2 * _FAR)),
+    })
+    ST.write_fact(dirty, root, "transactions", 2)
+    return CN.violations(spark, root, 2)
+
+
 @register("stream_posting", views=_POST_VIEWS, recursive=True, oracle=_walked(_REQ_SQL) + """
 SELECT request_id, op, reason IS NULL AS accepted, reason,
   CASE WHEN reason IS NULL THEN """ + _cents("before0 + CASE WHEN op = 'deposit' THEN cents ELSE -cents END") + " END AS new_balance FROM done")

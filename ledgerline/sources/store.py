@@ -7,6 +7,7 @@ Layout under a root folder (shared on a cluster):
                                         batch <n>; readable once the write's _SUCCESS file is there
     <root>/state/<table>/delta=<n>/     the rows that batch <n> changed (``_gone``: removed)
     <root>/commits/batch=<n>/           one row, written last: batch <n> is complete
+    <root>/keys/run=<lo>-<hi>/          filters of the fact keys (``constraints``)
 
 A batch costs its new fact rows plus the state rows it changed; neither the history nor the state
 is rewritten. Readers take the newest commit and read fact partitions
@@ -68,7 +69,7 @@ def committed(spark: SparkSession, root: str) -> int | None:
 
 # A batch folder above the last commit is never read, so a retried batch may
 # overwrite what a failed attempt left there.
-def _write_fact(df: DataFrame, root: str, table: str, batch: int) -> None:
+def write_fact(df: DataFrame, root: str, table: str, batch: int) -> None:
     path = os.path.join(root, "facts", table, f"batch={batch}")
     schemas.conform(df, schemas.TABLES[table]).write.mode("overwrite").parquet(path)
 
@@ -190,7 +191,7 @@ def last_commit(spark: SparkSession, root: str) -> tuple[Marks, int | None]:
 def init_store(ledger: Ledger, root: str, as_of: str) -> None:
     """Batch 0: every table as it is now."""
     for t in FACTS:
-        _write_fact(getattr(ledger, t), root, t, 0)
+        write_fact(getattr(ledger, t), root, t, 0)
     for t in STATE:
         _write_base(getattr(ledger, t), root, t, 0)
     _commit(ledger.users.sparkSession, root, 0, as_of, Marks.of(ledger), None)
@@ -220,26 +221,31 @@ def next_batch(spark: SparkSession, root: str) -> int:
 
 
 def apply_updates(root: str, outcome, as_of: str, batch: int | None = None,
-                  extra: dict[str, DataFrame] | None = None, epoch: int | None = None) -> int:
+                  extra: dict[str, DataFrame] | None = None, epoch: int | None = None, references: bool = False) -> int:
     """Append a posting outcome as the next batch and commit it.
 
     New transactions, alerts and audit rows are appended; of accounts and limits the rows that the
     transactions changed are written as the batch's delta; ``extra`` per-batch rows (name -> frame) are
-    written too. The commit marker is written last, with the highest ids and the stream's ``epoch``; then tables
+    written too. A batch that repeats a unique key, its own or a stored one, is not committed
+    (``constraints.ConstraintViolation``); ``references`` also refuses references to missing rows. The commit marker is
+    written last, with the highest ids and the stream's ``epoch``; then tables
     with ``COMPACT_EVERY`` deltas are compacted. Returns the batch number."""
+    from . import constraints
+
     spark = outcome.results.sparkSession
     n = next_batch(spark, root) if batch is None else batch
     for name, df in (extra or {}).items():
         write_batch_rows(df, root, name, n)
-    _write_fact(outcome.transactions, root, "transactions", n)
-    _write_fact(outcome.alerts, root, "alerts", n)
-    _write_fact(outcome.audit_logs, root, "audit_logs", n)
+    write_fact(outcome.transactions, root, "transactions", n)
+    write_fact(outcome.alerts, root, "alerts", n)
+    write_fact(outcome.audit_logs, root, "audit_logs", n)
     # the new fact rows, read back, say which state rows differ
     posted = spark.read.schema(schemas.table_schema("transactions")).parquet(os.path.join(root, "facts", "transactions", f"batch={n}"))
     _write_delta(outcome.accounts.join(posted.select(F.col("account_id").alias("id")).distinct(), "id", "left_semi"), root, "accounts", n)
     debits = posted.where("type = 'withdrawal' AND related_account_id IS NULL").select("account_id").distinct()
     limits = outcome.account_limits.where("limit_type = 'daily_withdrawal'")
     _write_delta(limits.join(debits, "account_id", "left_semi"), root, "account_limits", n)
+    constraints.refuse(constraints.violations(spark, root, n, references), n)
     before, last_epoch = last_commit(spark, root)
     new = outcome.transactions.agg(F.max("id")).first()[0], outcome.audit_logs.agg(F.max("id")).first()[0]
     marks = Marks(max(before.transactions, new[0] or 0), max(before.audit_logs, new[1] or 0))
@@ -250,8 +256,12 @@ def apply_updates(root: str, outcome, as_of: str, batch: int | None = None,
 
 def apply_changes(spark: SparkSession, root: str, changed: dict[str, DataFrame], as_of: str) -> int:
     """Commit changed rows of state tables (with ``_gone`` for removed ones) as a batch of their own, e.g. from the
-    jobs that reset limits, expire sessions or purge accounts."""
+    jobs that reset limits, expire sessions or purge accounts. Rows that repeat a unique column are refused
+    (``constraints.ConstraintViolation``)."""
+    from . import constraints
+
     n = next_batch(spark, root)
+    constraints.refuse(constraints.state_violations(spark, root, changed), n)
     for table, rows in changed.items():
         _write_delta(rows, root, table, n)
     marks, epoch = last_commit(spark, root)
