@@ -22,21 +22,25 @@ def _amount_bad(field: str) -> Column:
     return ~F.col(f"{field}_is_number") | (F.col(f"{field}_value") <= 0) | F.col(f"{field}_value").isNull()
 
 
-def validate_transaction_requests(parsed: DataFrame) -> DataFrame:
-    """POST transactions: JSON, required fields, number format, amount, type."""
-    reason = (
+def transaction_reason() -> Column:
+    """The first failure of a transaction body (NULL: none)."""
+    return (
         F.when(~F.col("json_ok"), F.lit("invalid_json"))
         .when(_blank("accountNumber") | _blank("type") | ~F.col("amount_present"), F.lit("missing_fields"))
         .when(~X.valid_account_number("accountNumber", "api"), F.lit("invalid_account_number"))
         .when(_amount_bad("amount"), F.lit("invalid_amount"))
         .when(~F.col("type").isin("deposit", "withdrawal"), F.lit("invalid_type"))
     )
-    return _finish(parsed, reason)
 
 
-def validate_transfer_requests(parsed: DataFrame) -> DataFrame:
-    """POST transfers: JSON, required fields, both number formats, amount, same account."""
-    reason = (
+def validate_transaction_requests(parsed: DataFrame) -> DataFrame:
+    """POST transactions: JSON, required fields, number format, amount, type."""
+    return _finish(parsed, transaction_reason())
+
+
+def transfer_reason() -> Column:
+    """The first failure of a transfer body (NULL: none)."""
+    return (
         F.when(~F.col("json_ok"), F.lit("invalid_json"))
         .when(_blank("fromAccount") | _blank("toAccount") | ~F.col("amount_present"), F.lit("missing_fields"))
         .when(~X.valid_account_number("fromAccount", "api") | ~X.valid_account_number("toAccount", "api"),
@@ -44,7 +48,11 @@ def validate_transfer_requests(parsed: DataFrame) -> DataFrame:
         .when(_amount_bad("amount"), F.lit("invalid_amount"))
         .when(F.col("fromAccount") == F.col("toAccount"), F.lit("same_account"))
     )
-    return _finish(parsed, reason)
+
+
+def validate_transfer_requests(parsed: DataFrame) -> DataFrame:
+    """POST transfers: JSON, required fields, both number formats, amount, same account."""
+    return _finish(parsed, transfer_reason())
 
 
 def validate_account_requests(parsed: DataFrame) -> DataFrame:

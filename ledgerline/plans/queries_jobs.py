@@ -695,6 +695,35 @@ def q_stream_posting_repeated(spark, sf_dir):
     return XP.posted_results(spark, store_root).select("request_id", "op", "accepted", "reason", "new_balance")
 
 
+_SENT_SQL = """SELECT *, CASE WHEN request_id % 13 = 0 THEN 'invalid_json' WHEN account_number IS NULL OR amount IS NULL
+      OR (op = 'transfer' AND to_account IS NULL) THEN 'missing_fields' WHEN amount <= 0 THEN 'invalid_amount'
+    WHEN account_number = to_account THEN 'same_account' END AS broken FROM post_requests"""
+
+
+@register("stream_bodies", views=_POST_VIEWS, recursive=True, oracle=_walked(f"{_REQ_SQL[:_REQ_SQL.rindex('FROM')]} FROM ({_SENT_SQL}) WHERE broken IS NULL") + f"""
+SELECT request_id, 'result' AS sink, reason, CASE WHEN reason IS NULL THEN
+  {_cents("before0 + CASE WHEN op = 'deposit' THEN cents ELSE -cents END")} END AS new_balance FROM done
+UNION ALL SELECT request_id, 'reject', broken, CAST(NULL AS DECIMAL(15,2)) FROM ({_SENT_SQL}) WHERE broken IS NOT NULL""")
+def q_stream_bodies(spark, sf_dir):
+    """S2 as a stream into X1: the fixture requests arrive as JSON envelopes, some bodies cut off; after a restart some
+    lines come again, broken ones too. Results and dead letters, each once."""
+    root = scratch(spark)
+    f = fx(spark, sf_dir)
+    src, store_root = os.path.join(root, "lines"), os.path.join(root, "store")
+    number = F.get_json_object("value", "$.requestId").cast("bigint")
+    # the body is the envelope's last member: it loses its closing brace
+    lines = R.envelopes(f["post_requests"]).withColumn(
+        "value", F.when(number % 13 == 0, F.regexp_replace("value", r'\}"\}$', '"}')).otherwise(F.col("value")))
+    ST.init_store(f.ledger, store_root, AS_OF)
+    again = number % 7 == 0
+    for part, rows in enumerate((lines, lines.where(again))):
+        rows.write.text(os.path.join(src, f"part={part}"))
+        XP.stream_bodies(spark, os.path.join(src, "*"), store_root, os.path.join(root, "ckpt"), AS_OF).awaitTermination()
+    results = XP.posted_results(spark, store_root).select("request_id", F.lit("result").alias("sink"), "reason", "new_balance")
+    return results.unionByName(XP.rejected_lines(spark, store_root).select(
+        "request_id", F.lit("reject").alias("sink"), "reason", F.lit(None).cast(schemas.MONEY).alias("new_balance")))
+
+
 _RATE_SQL = """
 SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start,
   time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end, ip, COUNT(*) AS requests

@@ -3,7 +3,8 @@
 Bodies are parsed into Spark's VARIANT type and log lines with ``from_json``
 against a declared schema (no inference). A body that is not JSON is flagged
 so the validation step can reject it, as the API answers 400
-``Invalid JSON format``.
+``Invalid JSON format``. Bodies that arrive as a stream come in envelopes, one JSON line each
+(:func:`posting_requests`).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas
 
 TRANSACTION_BODY = T.StructType([
     T.StructField("accountNumber", T.StringType()),
@@ -65,6 +67,62 @@ def read_requests(raw: DataFrame, body_col: str = "body", schema: T.StructType =
     return out.select(*cols)
 
 
+ENVELOPE = T.StructType([
+    T.StructField("requestId", T.LongType()),
+    T.StructField("requestedAt", T.StringType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("body", T.StringType()),
+])
+TRANSACTIONS_PATH, TRANSFERS_PATH = "/api/transactions", "/api/transfers"
+_POSTING_BODY = T.StructType([*TRANSACTION_BODY.fields, *[f for f in TRANSFER_BODY.fields if f.name.endswith("Account")]])
+
+
+def posting_requests(lines: DataFrame) -> DataFrame:
+    """S2 on request envelopes (column ``value``, one JSON object a line, batch or stream): the columns of
+    ``schemas.REQUESTS``, ``line`` and ``reason``, one row per line.
+
+    An envelope holds the request's id, its time, the path it was sent to and the body as it was sent (text, or the
+    object itself). ``reason`` is NULL for a request that may be posted, else the first failure:
+    ``invalid_envelope`` (not an object, or without id or time), ``unknown_path``, or what the API's checks of the
+    path's body say (T14). An empty line is an ``invalid_envelope``."""
+    from ..operators import validation
+
+    envelope = F.from_json("value", ENVELOPE)
+    rows = lines.select(F.col("value").alias("line"), envelope.alias("_e")).select("line", "_e.*")
+    rows = rows.withColumn("requested_at", F.expr("try_cast(requestedAt AS timestamp)"))
+    parsed = read_requests(rows, schema=_POSTING_BODY)
+    is_transfer = F.col("path") == TRANSFERS_PATH
+    reason = (
+        F.when(F.col("requestId").isNull() | F.col("requested_at").isNull(), F.lit("invalid_envelope"))
+        .when(is_transfer, validation.transfer_reason())
+        .when(F.col("path") == TRANSACTIONS_PATH, validation.transaction_reason())
+        .otherwise(F.lit("unknown_path"))
+    )
+    return schemas.conform(parsed.select(
+        F.col("requestId").alias("request_id"), "requested_at",
+        F.when(is_transfer, F.col("fromAccount")).otherwise(F.col("accountNumber")).alias("account_number"),
+        F.when(is_transfer, F.lit("transfer")).otherwise(F.col("type")).alias("op"),
+        F.when(is_transfer, F.col("toAccount")).alias("to_account"),
+        F.col("amount_value").alias("amount"), "description", "line", reason.alias("reason"),
+    ), [*schemas.REQUESTS, ("line", T.StringType(), "VARCHAR"), ("reason", T.StringType(), "VARCHAR")])
+
+
+def envelopes(requests: DataFrame) -> DataFrame:
+    """The envelope lines of posting requests (the writer side of :func:`posting_requests`). A request without an amount
+    has a body without one."""
+    is_transfer = F.col("op") == "transfer"
+    body = F.when(is_transfer, F.to_json(F.struct(
+        F.col("account_number").alias("fromAccount"), F.col("to_account").alias("toAccount"), "amount", "description",
+    ))).otherwise(F.to_json(F.struct(
+        F.col("account_number").alias("accountNumber"), F.col("op").alias("type"), "amount", "description",
+    )))
+    return requests.select(F.to_json(F.struct(
+        F.col("request_id").alias("requestId"),
+        F.date_format("requested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("requestedAt"),
+        F.when(is_transfer, F.lit(TRANSFERS_PATH)).otherwise(F.lit(TRANSACTIONS_PATH)).alias("path"), body.alias("body"),
+    )).alias("value"))
+
+
 REQUEST_LOG_LINE = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("level", T.StringType()),

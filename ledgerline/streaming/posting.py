@@ -10,6 +10,10 @@ that a producer sends again, in the same file or any later batch, also after a r
 under a known id gives one reject row (``duplicate_request``), however often it is sent; two bodies that
 first come together post neither.
 
+**Bodies.** :func:`stream_bodies` reads the requests as JSON envelopes (text files) instead of typed rows. What cannot be
+posted goes to the dead letters (``rejects``), each line once however often it is sent, under the commit
+marker of its micro-batch. A rejected line does not take its request id: a corrected body under that id posts.
+
 **Replays** are harmless: ``foreachBatch`` may run a batch again after a failure, from the same state version,
 and the commit marker names the micro-batch, so a repeated one is skipped; an
 uncommitted batch folder is overwritten by the retry. The marker also
@@ -30,13 +34,17 @@ from .. import schemas
 from ..operators import posting as P
 from ..session import discard, freeze
 from ..sources import store as S
+from ..sources.requests import posting_requests
 
-RESULTS = "results"
+RESULTS, REJECTS = "results", "rejects"
 RESULT_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("op", T.StringType()),
     T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
     T.StructField("new_balance", schemas.MONEY), T.StructField("transaction_id", T.LongType()),
 ])
+REJECT_SCHEMA = T.StructType([
+    T.StructField("request_id", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("line", T.StringType()),
+])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _TIMES = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
@@ -54,7 +62,7 @@ def rocksdb_state(spark: SparkSession):
 
 
 def _guard():
-    """The processor of one request id; a local class, so workers need not import this package."""
+    """The processor of one request id or one rejected line; a local class, so workers need not import this package."""
     import hashlib
 
     from pyspark.sql import Row
@@ -65,9 +73,15 @@ def _guard():
             self.seen = handle.getValueState("seen", "digest string, conflict boolean")
 
         def handleInputRows(self, key, rows, timerValues):
+            if key[1] is not None:  # a rejected line
+                first = next(iter(rows))
+                if not self.seen.exists():
+                    self.seen.update((key[1], False))
+                    yield Row(request_id=None, rejected=key[1], body=first.body, conflict=False)
+                return
             if key[0] is None:  # refused each by the batch
                 for r in rows:
-                    yield Row(request_id=None, body=r.body, conflict=False)
+                    yield Row(request_id=None, rejected=None, body=r.body, conflict=False)
                 return
             known = self.seen.exists()
             digest, conflict = self.seen.get() if known else (None, False)
@@ -78,10 +92,10 @@ def _guard():
                 if own != digest and not conflict:  # the first other body
                     conflict = True
                     if known:
-                        yield Row(request_id=key[0], body=r.body, conflict=True)
+                        yield Row(request_id=key[0], rejected=None, body=r.body, conflict=True)
                 least = r.body if least is None else min(least, r.body)
             if not known:
-                yield Row(request_id=key[0], body=least, conflict=conflict)
+                yield Row(request_id=key[0], rejected=None, body=least, conflict=conflict)
             self.seen.update((digest, conflict))
 
         def close(self):
@@ -91,11 +105,21 @@ def _guard():
 
 
 def guarded(requests: DataFrame) -> DataFrame:
-    """A request stream without repeats: ``(request_id, body, conflict)``, at most one row without and one with a conflict per
-    id over the stream's life. ``body`` is the request as JSON."""
+    """A request stream without repeats: ``(request_id, rejected, body, conflict)``, at most one row without and one with a
+    conflict per id over the stream's life. ``body`` is the request as JSON.
+
+    Rows with a ``reason`` (of ``requests.posting_requests``) come once per distinct ``line``: ``rejected`` is the line's
+    SHA-256 and ``body`` a JSON object of request id, reason and line."""
     body = F.to_json(F.struct(*[c for c, _, _ in schemas.REQUESTS if c != "request_id"]), _TIMES)
-    keyed = requests.select("request_id", body.alias("body")).groupBy("request_id")
-    return keyed.transformWithState(_guard(), "request_id bigint, body string, conflict boolean", "append", "none")
+    if "reason" in requests.columns:
+        bad = F.col("reason").isNotNull()
+        letter = F.to_json(F.struct("request_id", "reason", "line"))
+        rows = requests.select(F.when(~bad, F.col("request_id")).alias("request_id"),
+                               F.when(bad, F.sha2("line", 256)).alias("rejected"), F.when(bad, letter).otherwise(body).alias("body"))
+    else:
+        rows = requests.select("request_id", F.lit(None).cast("string").alias("rejected"), body.alias("body"))
+    return rows.groupBy("request_id", "rejected").transformWithState(
+        _guard(), "request_id bigint, rejected string, body string, conflict boolean", "append", "none")
 
 
 def stream_posting(spark: SparkSession, source_dir: str, store_root: str, checkpoint_location: str,
@@ -108,6 +132,16 @@ def stream_posting(spark: SparkSession, source_dir: str, store_root: str, checkp
     return post_stream(guarded(reader.parquet(source_dir)), store_root, checkpoint_location, as_of)
 
 
+def stream_bodies(spark: SparkSession, source_dir: str, store_root: str, checkpoint_location: str,
+                  as_of: str, max_files_per_trigger: int | None = None):
+    """Start the stream on text files of request envelopes, one JSON object a line. Whole lines are read, also broken ones;
+    results and dead letters of a micro-batch appear together or not at all."""
+    reader = spark.readStream
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return post_stream(guarded(posting_requests(reader.text(source_dir))), store_root, checkpoint_location, as_of)
+
+
 def post_stream(stream: DataFrame, store_root: str, checkpoint_location: str, as_of: str):
     """Post the rows of :func:`guarded`, a micro-batch at a time."""
     spark = stream.sparkSession
@@ -119,14 +153,16 @@ def post_stream(stream: DataFrame, store_root: str, checkpoint_location: str, as
         batch = freeze(batch, "ledgerline-stream")
         marks, last_epoch = S.last_commit(s, store_root)
         if (last_epoch is None or epoch_id > last_epoch) and not batch.isEmpty():
-            rows = batch.select("request_id", F.from_json("body", body_type, _TIMES).alias("body"), "conflict")
+            rejected = batch.where("rejected IS NOT NULL").select(F.from_json("body", REJECT_SCHEMA).alias("r")).select("r.*")
+            rows = batch.where("rejected IS NULL").select("request_id", F.from_json("body", body_type, _TIMES).alias("body"), "conflict")
             rows = rows.select("request_id", "body.*", "conflict")
             out = P.post(rows.where(~F.col("conflict")), S.read_store(s, store_root), as_of, marks=marks)
             refused = rows.where("conflict").select(
                 "request_id", "op", F.lit(False).alias("accepted"), F.lit(P.DUPLICATE).alias("reason"),
                 F.lit(None).cast(schemas.MONEY).alias("new_balance"), F.lit(None).cast("bigint").alias("transaction_id"),
             )
-            S.apply_updates(store_root, out, as_of, extra={RESULTS: out.results.unionByName(refused)}, epoch=epoch_id)
+            S.apply_updates(store_root, out, as_of, epoch=epoch_id,
+                            extra={RESULTS: out.results.unionByName(refused), REJECTS: rejected})
         discard(batch)
 
     with rocksdb_state(spark):
@@ -140,3 +176,9 @@ def post_stream(stream: DataFrame, store_root: str, checkpoint_location: str, as
 
 def posted_results(spark: SparkSession, store_root: str) -> DataFrame:
     return S.read_batch_rows(spark, store_root, RESULTS, RESULT_SCHEMA).drop("batch")
+
+
+def rejected_lines(spark: SparkSession, store_root: str) -> DataFrame | None:
+    """The committed dead letters: the request id (where one could be read), the reason and the line as it was sent."""
+    rows = S.read_batch_rows(spark, store_root, REJECTS, REJECT_SCHEMA)
+    return None if rows is None else rows.drop("batch")
