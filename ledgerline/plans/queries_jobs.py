@@ -234,7 +234,7 @@ from ..operators import reads as P  # noqa: E402
 from ..operators import validation as V  # noqa: E402
 from ..operators import windows as W  # noqa: E402
 from ..sources import requests as R  # noqa: E402
-from .catalog import SIGNED_SQL  # noqa: E402
+from .catalog import POINT_IN_TIME, SIGNED_SQL  # noqa: E402
 from .queries_core import RUNNING_SQL  # noqa: E402
 
 _ACC_BASE = "((SELECT COALESCE(MAX(id), 0) FROM accounts) + 1)"
@@ -546,6 +546,7 @@ from .. import schemas  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
 from ..session import checkpoint_dir  # noqa: E402
 from ..sources import constraints as CN  # noqa: E402
+from ..sources import history as H  # noqa: E402
 from ..sources import ledger as L  # noqa: E402
 from ..sources import snapshots as S  # noqa: E402
 from ..sources import store as ST  # noqa: E402
@@ -628,6 +629,34 @@ def q_apply_updates(spark, sf_dir):
     return L.verify_load(ST.read_store(spark, root))
 
 
+def _history(spark, sf_dir):
+    """The fixture's posted rows as a history of three batches, each with rows of all times (so the later ones are late)."""
+    root, posted = scratch(spark), _posted_fixture(fx(spark, sf_dir).ledger)
+    for part in range(3):
+        H.append(posted.where(F.col("id") % 3 == part), root)
+    return root, posted
+
+
+@register("balance_history", views=("transactions",), oracle=f"""
+SELECT account_id, balance_after AS balance FROM (
+  SELECT account_id, balance_after, row_number() OVER (PARTITION BY account_id ORDER BY created_at DESC, id DESC) AS rn
+  FROM ({RUNNING_SQL}) WHERE created_at <= TIMESTAMP '{POINT_IN_TIME}') WHERE rn = 1""")
+def q_balance_history(spark, sf_dir):
+    """W4 from balance checkpoints: one checkpoint and one period's rows are read."""
+    return H.balance_as_of(spark, _history(spark, sf_dir)[0], POINT_IN_TIME)
+
+
+@register("balances_at_points", views=("transactions",), oracle=f"""
+, posted AS (SELECT account_id, created_at, max_by(balance_after, id) AS balance FROM ({RUNNING_SQL}) GROUP BY 1, 2),
+points AS (SELECT account_id, created_at + INTERVAL 20 DAY AS at FROM posted)
+SELECT p.account_id, p.at, b.balance FROM points p ASOF LEFT JOIN posted b ON b.account_id = p.account_id AND p.at >= b.created_at""")
+def q_balances_at_points(spark, sf_dir):
+    """W4 as an as-of join: every account's balance twenty days after each of its postings."""
+    root, posted = _history(spark, sf_dir)
+    at = F.col("created_at") + F.expr("INTERVAL '20' DAY")
+    return H.balances_at(spark, root, posted.select("account_id", at.alias("at")).distinct())
+
+
 _FAR = 10**12  # beyond every fixture id
 
 
