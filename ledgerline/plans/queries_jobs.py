@@ -780,6 +780,22 @@ def q_stream_rate_breaches(spark, sf_dir):
     return XR.written_breaches(spark, os.path.join(root, "breaches"))
 
 
+@register("stream_rate_decisions", views=("request_log",), oracle="""
+SELECT ts, ip, CASE WHEN rn <= 1 THEN rn END AS position FROM (
+  SELECT ts, ip, CAST(row_number() OVER (PARTITION BY ip, time_bucket(INTERVAL '15 minutes', ts) ORDER BY ts) AS INTEGER) AS rn FROM request_log)""")
+def q_stream_rate_decisions(spark, sf_dir):
+    """X2 per request: one request per client and window passes; the log arrives in two parts, the stream restarts between."""
+    root = scratch(spark)
+    log = fx(spark, sf_dir)["request_log"]
+    src, sink = os.path.join(root, "log"), os.path.join(root, "decisions")
+    middle = log.agg(F.expr("approx_percentile(unix_micros(CAST(ts AS TIMESTAMP_LTZ)), 0.5)")).first()[0]
+    early = F.unix_micros(F.col("ts").cast("timestamp_ltz")) <= middle
+    for part, rows in enumerate((log.where(early), log.where(~early))):
+        rows.write.parquet(os.path.join(src, f"part={part}"))
+        XR.stream_rate_decisions(spark, os.path.join(src, "*"), log.schema, sink, os.path.join(root, "ckpt"), max_requests=1).awaitTermination()
+    return spark.read.parquet(sink).select("ts", "ip", "position")
+
+
 @register("stream_alerts", views=("accounts", "transactions"), oracle=f"{_LARGE_SQL} UNION ALL {_LOW_SQL}")
 def q_stream_alerts(spark, sf_dir):
     """Alert rules on a stream of the fixture rows posted from zero."""

@@ -2,6 +2,9 @@
 
 Works on a batch or a streaming request log: ``withWatermark`` bounds the
 state kept for late rows, windows are tumbling and epoch-aligned.
+
+:func:`stream_rate_decisions` is the limiter itself: it admits or refuses each request of the stream
+as it arrives, with a counter per client and window in keyed state.
 """
 
 from __future__ import annotations
@@ -10,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .posting import _TIMES, rocksdb_state
+
 # The API's limit, 100 requests per 15 minutes per client.
 DEFAULT_MAX_REQUESTS = 100
 DEFAULT_WINDOW = "15 minutes"
+DEFAULT_MINUTES = 15
 
 
 def request_rate_breaches(log: DataFrame, max_requests: int = DEFAULT_MAX_REQUESTS,
@@ -53,3 +59,63 @@ def written_breaches(spark: SparkSession, sink_dir: str) -> DataFrame:
     """The breaches that the stream has written: a window's count only grows, so its last is its largest."""
     rows = spark.read.option("basePath", sink_dir).parquet(f"{sink_dir}/epoch=*")
     return rows.groupBy("window_start", "window_end", "ip").agg(F.max("requests").alias("requests"))
+
+
+def _limiter(max_requests: int):
+    """The processor of one client and window; a local class, so workers need not import this package."""
+    from bisect import insort
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Limiter(StatefulProcessor):
+        def init(self, handle):
+            self.admitted = handle.getValueState("admitted", "n int")
+
+        def handleInputRows(self, key, rows, timerValues):
+            before = self.admitted.get()[0] if self.admitted.exists() else 0
+            free = max(0, max_requests - before)
+            first = []  # the earliest requests so far, at most as many as may still pass
+            for r in rows:
+                insort(first, (r.at is not None, r.at or 0, r.request))
+                if len(first) > free:
+                    yield Row(request=first.pop()[2], position=None)
+            for i, (_, _, request) in enumerate(first):
+                yield Row(request=request, position=before + i + 1)
+            if first:
+                self.admitted.update((before + len(first),))
+
+        def close(self):
+            pass
+
+    return Limiter()
+
+
+def rate_decisions(log: DataFrame, max_requests: int = DEFAULT_MAX_REQUESTS, minutes: int = DEFAULT_MINUTES) -> DataFrame:
+    """The requests of a stream (columns ``ts``, ``ip`` and any others), each with ``position``, its number among the
+    admitted ones of its client and window, or NULL where it is refused: the window had admitted ``max_requests``.
+
+    Within a micro-batch the earliest requests are admitted (ties: by their other columns), across
+    micro-batches the ones that came first. A task holds at most ``max_requests`` requests of a client and
+    window, however many come. Requests without ``ip`` are one client; those without ``ts`` share one window.
+    The counters (one number per client and window) stay for ever: expiry needs processing time, under which a run
+    over the files at hand (``availableNow``) would not end."""
+    at = F.unix_micros(F.col("ts").cast("timestamp_ltz"))
+    start = F.floor(at / F.lit(minutes * 60_000_000)).cast("bigint")
+    request = F.to_json(F.struct(*[F.col(c) for c in log.columns]), _TIMES)
+    keyed = log.select("ip", start.alias("window"), at.alias("at"), request.alias("request")).groupBy("ip", "window")
+    decided = keyed.transformWithState(_limiter(int(max_requests)), "request string, position int", "append", "none")
+    return decided.select(F.from_json("request", log.schema, _TIMES).alias("r"), "position").select("r.*", "position")
+
+
+def stream_rate_decisions(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str, checkpoint_location: str,
+                          max_requests: int = DEFAULT_MAX_REQUESTS, minutes: int = DEFAULT_MINUTES,
+                          max_files_per_trigger: int = 100):
+    """Start the limiter on request-log files that arrive in ``source_dir``; each request's decision is appended to
+    ``sink_dir`` once (the file sink's log drops what a repeated micro-batch wrote)."""
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", int(max_files_per_trigger)).parquet(source_dir)
+    with rocksdb_state(spark):
+        return (
+            rate_decisions(log, max_requests, minutes).writeStream.format("parquet").option("path", sink_dir)
+            .option("checkpointLocation", checkpoint_location).outputMode("append").trigger(availableNow=True).start()
+        )
