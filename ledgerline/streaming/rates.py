@@ -61,8 +61,13 @@ def written_breaches(spark: SparkSession, sink_dir: str) -> DataFrame:
     return rows.groupBy("window_start", "window_end", "ip").agg(F.max("requests").alias("requests"))
 
 
+#: Parts of a window's clients; a part's counters are read and written together (a state call per client costs about a
+#: millisecond). Fixed for the life of a checkpoint.
+CLIENT_PARTS = 16
+
+
 def _limiter(max_requests: int):
-    """The processor of one client and window; a local class, so workers need not import this package."""
+    """The processor of a part of one window's clients; a local class, so workers need not import this package."""
     from bisect import insort
 
     from pyspark.sql import Row
@@ -70,20 +75,25 @@ def _limiter(max_requests: int):
 
     class Limiter(StatefulProcessor):
         def init(self, handle):
-            self.admitted = handle.getValueState("admitted", "n int")
+            self.admitted = handle.getValueState("admitted", "ips array<string>, n array<int>")
 
         def handleInputRows(self, key, rows, timerValues):
-            before = self.admitted.get()[0] if self.admitted.exists() else 0
-            free = max(0, max_requests - before)
-            first = []  # the earliest requests so far, at most as many as may still pass
+            before = dict(zip(*self.admitted.get())) if self.admitted.exists() else {}
+            earliest = {}  # by client the earliest requests so far, at most as many as may still pass
             for r in rows:
+                first = earliest.setdefault(r.ip, [])
                 insort(first, (r.at is not None, r.at or 0, r.request))
-                if len(first) > free:
+                if len(first) > max_requests - before.get(r.ip, 0):
                     yield Row(request=first.pop()[2], position=None)
-            for i, (_, _, request) in enumerate(first):
-                yield Row(request=request, position=before + i + 1)
-            if first:
-                self.admitted.update((before + len(first),))
+            passed = False
+            for ip, first in earliest.items():
+                n = before.get(ip, 0)
+                for i, (_, _, request) in enumerate(first):
+                    yield Row(request=request, position=n + i + 1)
+                if first:
+                    before[ip], passed = n + len(first), True
+            if passed:
+                self.admitted.update((list(before), list(before.values())))
 
         def close(self):
             pass
@@ -97,13 +107,14 @@ def rate_decisions(log: DataFrame, max_requests: int = DEFAULT_MAX_REQUESTS, min
 
     Within a micro-batch the earliest requests are admitted (ties: by their other columns), across
     micro-batches the ones that came first. A task holds at most ``max_requests`` requests of a client and
-    window, however many come. Requests without ``ip`` are one client; those without ``ts`` share one window.
-    The counters (one number per client and window) stay for ever: expiry needs processing time, under which a run
+    window, however many come, for a ``CLIENT_PARTS``-th of one window's clients at a time. Requests without ``ip`` are one client; those without ``ts`` share one window.
+    The counters (one number per client and window, in one state row per window and part of its clients) stay for ever: expiry needs processing time, under which a run
     over the files at hand (``availableNow``) would not end."""
     at = F.unix_micros(F.col("ts").cast("timestamp_ltz"))
     start = F.floor(at / F.lit(minutes * 60_000_000)).cast("bigint")
     request = F.to_json(F.struct(*[F.col(c) for c in log.columns]), _TIMES)
-    keyed = log.select("ip", start.alias("window"), at.alias("at"), request.alias("request")).groupBy("ip", "window")
+    part = F.pmod(F.xxhash64("ip"), F.lit(CLIENT_PARTS)).alias("part")
+    keyed = log.select("ip", start.alias("window"), part, at.alias("at"), request.alias("request")).groupBy("window", "part")
     decided = keyed.transformWithState(_limiter(int(max_requests)), "request string, position int", "append", "none")
     return decided.select(F.from_json("request", log.schema, _TIMES).alias("r"), "position").select("r.*", "position")
 
