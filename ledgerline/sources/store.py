@@ -247,7 +247,8 @@ def apply_updates(root: str, outcome, as_of: str, batch: int | None = None,
     _write_delta(limits.join(debits, "account_id", "left_semi"), root, "account_limits", n)
     constraints.refuse(constraints.violations(spark, root, n, references), n)
     before, last_epoch = last_commit(spark, root)
-    new = outcome.transactions.agg(F.max("id")).first()[0], outcome.audit_logs.agg(F.max("id")).first()[0]
+    audit = spark.read.schema(schemas.table_schema("audit_logs")).parquet(os.path.join(root, "facts", "audit_logs", f"batch={n}"))
+    new = posted.agg(F.max("id")).first()[0], audit.agg(F.max("id")).first()[0]  # of the rows as written, not computed again
     marks = Marks(max(before.transactions, new[0] or 0), max(before.audit_logs, new[1] or 0))
     _commit(spark, root, n, as_of, marks, last_epoch if epoch is None else epoch)
     compact(spark, root, ("accounts", "account_limits"), COMPACT_EVERY)

@@ -175,3 +175,27 @@ def test_fixture_store_equals_one_posting(spark, tmp_path):
     S.apply_updates(str(tmp_path), out, AS_OF)
     now = S.read_store(spark, str(tmp_path))
     assert _rows(now.accounts) == _rows(out.accounts) and _rows(now.account_limits) == _rows(out.account_limits)
+
+
+def test_the_marker_takes_its_ids_from_the_written_rows(spark, tmp_path):
+    """A posting's transactions and audit rows are computed once a batch, for the write."""
+    root, asked = str(tmp_path), []
+
+    class Outcome:
+        def __init__(self, out):
+            self.out = out
+
+        def __getattr__(self, name):
+            asked.append(name)
+            return getattr(self.out, name)
+
+    S.init_store(_ledger(spark), root, AS_OF)
+    out = P.post(_requests(spark, 1, range(1, 11), 100), S.read_store(spark, root), AS_OF)
+    S.apply_updates(root, Outcome(out), AS_OF)
+    assert asked.count("transactions") == asked.count("audit_logs") == 1
+    marks, _ = S.last_commit(spark, root)
+    most = [df.agg(F.max("id")).first()[0] for df in (out.transactions, out.audit_logs)]
+    assert [marks.transactions, marks.audit_logs] == most and None not in most
+    # a batch without an accepted request keeps the marks
+    S.apply_updates(root, P.post(make_requests(spark, [(900, "2024-01-02 10:00:00", "KB9", "deposit", None, 1)]), S.read_store(spark, root), AS_OF), AS_OF)
+    assert S.last_commit(spark, root)[0] == marks
