@@ -29,6 +29,7 @@ counted and scored each. Empty tables give no rows; without training texts every
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import uuid
@@ -92,31 +93,38 @@ class EliasFano:
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th zero (from 0)."""
         word = np.searchsorted(self.zeros, k, "right") - 1
-        bits = (~np.asarray(self.highs[word])).astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(np.bitwise_count(bits), axis=1, dtype=np.int64)
-        rest = k - np.asarray(self.zeros[word])
-        byte = (counts <= rest[:, None]).sum(1)
-        over = byte >= 8  # beyond the last word all are zeros
-        byte = np.minimum(byte, 7)
-        rows = np.arange(len(k))
-        rest -= np.where(byte > 0, counts[rows, byte - 1], 0)
-        bit = _NTH_BIT[bits[rows, byte], np.minimum(rest, 7)]
-        return np.where(over, word * 64 + 64, word * 64 + byte * 8 + bit)
+        return word * 64 + _nth_bits(~np.asarray(self.highs[word]), k - np.asarray(self.zeros[word]))  # beyond the last word all are zeros
+
+    def _zero_from(self, place: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th zero, which is the first one from ``place`` on."""
+        word = np.minimum(place >> 6, len(self.highs) - 1)
+        rest = ~np.asarray(self.highs[word]) >> (place & 63).astype(np.uint64)
+        out = place + np.bitwise_count((rest & -rest) - _ONE)
+        far = np.flatnonzero((rest == 0) | (word != place >> 6))
+        out[far] = self._select0(k[far])
+        return out
 
     def low(self, i: np.ndarray) -> np.ndarray:
         return unpack_bits(self.lows, i, self.low_bits)
 
-    def at(self, i: np.ndarray) -> np.ndarray:
-        """The values at places."""
+    def _select1(self, i: np.ndarray) -> np.ndarray:
+        """The place of the i-th one (from 0)."""
         ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - np.asarray(self.zeros)
         word = np.searchsorted(ones, i, "right") - 1
-        bits = np.asarray(self.highs[word]).astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(np.bitwise_count(bits), axis=1, dtype=np.int64)
-        rest = i - ones[word]
-        byte = (counts <= rest[:, None]).sum(1)
-        rest -= np.where(byte > 0, counts[np.arange(len(i)), byte - 1], 0)
-        place = word * 64 + byte * 8 + _NTH_BIT[bits[np.arange(len(i)), byte], rest]
-        return ((place - i) << self.low_bits) | self.low(i)
+        return word * 64 + _nth_bits(np.asarray(self.highs[word]), i - ones[word])
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at places."""
+        return ((self._select1(i) - i) << self.low_bits) | self.low(i)
+
+    def steps(self, i: np.ndarray) -> np.ndarray:
+        """By how much the next value is greater than that at places."""
+        place, after = self._select1(i), i + 1
+        rest = np.asarray(self.highs[place >> 6]) & (~_ONE << (place & 63).astype(np.uint64))  # the ones after it in its word
+        following = (place | 63) - 63 + np.bitwise_count((rest & -rest) - _ONE)
+        far = np.flatnonzero(rest == 0)
+        following[far] = self._select1(after[far])
+        return ((following - place - 1) << self.low_bits) + self.low(after) - self.low(i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The places of values, -1 for those that are not there."""
@@ -128,9 +136,9 @@ class EliasFano:
         if not len(known):
             return out
         h, low = high[known], values[known] & ((1 << self.low_bits) - 1)
-        begin = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) - (h - 1), 0)
-        end = np.minimum(self._select0(h) - h, self.n)
-        last = end
+        place = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) + 1, 0)
+        begin, last = place - h, np.minimum(self._zero_from(place, h) - h, self.n)
+        end = last.copy()
         while True:  # binary search of the low bits among those of one high part
             open_ = np.flatnonzero(begin < end)
             if not len(open_):
@@ -138,7 +146,6 @@ class EliasFano:
             middle = (begin[open_] + end[open_]) >> 1
             less = self.low(middle) < low[open_]
             begin[open_] = np.where(less, middle + 1, begin[open_])
-            end = end.copy()
             end[open_] = np.where(less, end[open_], middle)
         ok = np.flatnonzero(begin < last)
         ok = ok[self.low(begin[ok]) == low[ok]]
@@ -161,6 +168,20 @@ class EliasFano:
 
 #: The place of the n-th set bit of a byte.
 _NTH_BIT = np.array([[*[i for i in range(8) if b >> i & 1], *[7] * 8][:8] for b in range(256)], dtype=np.int64)
+_ONE = np.uint64(1)
+_BYTES = np.uint64(0x0101010101010101)
+
+
+def _nth_bits(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The place of the n-th set bit (from 0, below 128) of each 64-bit word; 64 where it has fewer."""
+    s = words - (words >> _ONE & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + (s >> np.uint64(2) & np.uint64(0x3333333333333333))
+    s = (s + (s >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES  # in each byte the set bits up to its end
+    high, n = np.uint64(0x8080808080808080), n.astype(np.uint64)
+    byte = np.bitwise_count(((n * _BYTES) | high) - s & high).astype(np.uint64)  # those that end before the bit
+    at = np.minimum(byte, np.uint64(7)) * np.uint64(8)
+    nth = np.minimum(n - (s << np.uint64(8) >> at & np.uint64(255)), np.uint64(7))
+    return np.where(byte > 7, 64, at.astype(np.int64) + _NTH_BIT[(words >> at & np.uint64(255)).astype(np.int64), nth.astype(np.int64)])
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -267,7 +288,8 @@ class Pairs:
     def look(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """The codes of the pairs, 0 for those that are not stored."""
         out = np.zeros(len(u), dtype=np.uint8)
-        row = self.context.find(u)
+        first = np.append(True, u[1:] != u[:-1])[: len(u)]
+        row = self.context.find(u[first])[np.cumsum(first) - 1]
         known = np.flatnonzero(row >= 0)
         at = self.successor.find(row[known] * self.size + v[known])
         found = at >= 0
@@ -294,19 +316,18 @@ class Triples:
         self.a, self.size = arrays, int(arrays["size"][0])
         self.context, self.pointer, self.sum, self.successor = (EliasFano.of(arrays, x) for x in ("context", "pointer", "sum", "successor"))
 
-    def look_contexts(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many distinct successors the contexts have here, and how often these follow."""
+    def look_contexts(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The contexts' places (-1: not here), how many distinct successors they have here, and how often these follow."""
         distinct, total = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
         row = self.context.find(contexts)
         known = np.flatnonzero(row >= 0)
         for out, sequence in ((distinct, self.pointer), (total, self.sum)):
-            out[known] = sequence.at(row[known] + 1) - sequence.at(row[known])
-        return distinct, total
+            out[known] = sequence.steps(row[known])
+        return row, distinct, total
 
-    def look(self, contexts: np.ndarray, row: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The counts of successors ``v`` of ``contexts[row]``."""
-        out = np.zeros(len(row), dtype=np.int64)
-        place = self.context.find(contexts)[row]
+    def look(self, place: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The counts of successors ``v`` of the contexts at places."""
+        out = np.zeros(len(place), dtype=np.int64)
         known = np.flatnonzero(place >= 0)
         at = self.successor.find(place[known] * self.size + v[known])
         known, at = known[at >= 0], at[at >= 0]
@@ -415,11 +436,12 @@ class Model:
             if s not in self.triples:
                 continue
             at, level = place[a:b], Triples(load(self.folder, self.triples[s]))
-            for out, x in zip((distinct, total), level.look_contexts(contexts[at]), strict=True):
-                out[at] += x
+            found, n, occurrences = level.look_contexts(contexts[at])
+            distinct[at] += n
+            total[at] += occurrences
             if s in spans:
                 rows = spans[s]
-                count[rows] = level.look(contexts[at], np.searchsorted(at, row[rows]), w[rows])
+                count[rows] = level.look(found[np.searchsorted(at, row[rows])], w[rows])
         return distinct, total, count
 
     def look_rests(self, u: np.ndarray) -> np.ndarray:
@@ -470,12 +492,18 @@ def _contexts(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np
     return count, number, context
 
 
-def _before(size: int, context: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of each token the pair before it (with the begin), -1 where there is none."""
-    pair = np.full(len(context), -1, np.int64)
-    pair[1:] = np.where((context[1:] >= 0) & (context[:-1] >= 0), context[:-1] * size + context[1:], -1)
-    pair[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = -1
-    return pair
+def _before(context: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The tokens that follow a pair (with the begin) of their text; the pair is that of the token before."""
+    follows = np.append(False, (context[1:] >= 0) & (context[:-1] >= 0))[: len(context)]
+    follows[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = False
+    return np.flatnonzero(follows)
+
+
+def _used(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values at some place of ``at``, in their order, and each place among them."""
+    used = np.zeros(len(values), dtype=bool)
+    used[at] = True
+    return values[used], (np.cumsum(used) - 1)[at]
 
 
 def _count_words(train: DataFrame, group: int) -> DataFrame:
@@ -533,15 +561,16 @@ def _gram_blobs(train: DataFrame, held, group: int) -> DataFrame:
         def take(rows: list, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
             _, number, context = _contexts(model, tokens, lengths)
             ok = (number >= 0) & (context >= 0)
-            keys, counts = np.unique(context[ok] * size + number[ok], return_counts=True)
+            keys, inverse, counts = np.unique(context[ok] * size + number[ok], return_inverse=True, return_counts=True)
+            every = keys
             shard = model.shard_of(keys // size, keys % size)
             order = np.argsort(shard, kind="stable")
             out = [(s, None, _deltas(keys[at := order[a:b]]), _small(counts[at])) for s, a, b in _spans(shard[order])]
             if model.order > 2:
-                pair = _before(size, context, lengths)
-                ok = (number >= 0) & (pair >= 0)
-                pairs, row = np.unique(pair[ok], return_inverse=True)
-                keys, counts = np.unique(row * size + number[ok], return_counts=True)
+                at = _before(context, lengths)
+                at = at[number[at] >= 0]
+                pairs, row = _used(every, inverse[np.cumsum(ok)[at - 1] - 1])
+                keys, counts = np.unique(row * size + number[at], return_counts=True)
                 row, w = np.divmod(keys, size)
                 shard = model.triple_shard(pairs[row], model.way_of(pairs[row], w))
                 order = np.argsort(shard, kind="stable")
@@ -676,18 +705,39 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
     if texts > limit // 4:
         model.hot[model.frequent] = -(-texts * 4 // limit) + 1
     held = spark.sparkContext.broadcast(model)
-    every = common.materialize(_gram_blobs(docs, held, group), "lm-grams")
-    size = model.frequent + 2
-    blobs = every.where(F.col("shard") < model.shards).select("shard", "keys", "counts")
-    parted = blobs.repartition(model.shards, "shard").sortWithinPartitions("shard")
-
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, keys, counts in _merged_blobs(batches):
+    # pairs and triples are shuffled once, and lie nowhere but in the shuffle
+    blobs = _gram_blobs(docs, held, group).repartition(model.shards + (model.triple_shards if order > 2 else 0), "shard").sortWithinPartitions("shard")
+    size, before = model.frequent + 2, model.shards
+    kinds = "shard bigint, ones bigint, twos bigint, keys binary, counts binary, file string"
+    columns = to_arrow_schema(_parse_datatype_string(kinds))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches, rest = iter(batches), []
+
+        def pairs() -> Iterator[pa.RecordBatch]:  # their shards come first
+            for batch in batches:
+                n = int(np.searchsorted(batch.column(0).to_numpy(), before))
+                if n:
+                    yield batch.slice(0, n).select(["shard", "keys", "counts"])
+                if n < batch.num_rows:
+                    rest.append(batch.slice(n))
+                    return
+
+        def row(shard: int, counts: np.ndarray, *values) -> pa.RecordBatch:
+            kept = [shard, int((counts == 1).sum()), int((counts == 2).sum()), *values]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(kept, columns, strict=True)], schema=columns)
+
+        for part, keys, counts in _merged_blobs(pairs()):
             kept = counts >= least
-            row = [part, int((counts == 1).sum()), int((counts == 2).sum()), _deltas(keys[kept]), _small(counts[kept])]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "ones", "twos", "keys", "counts"])
+            yield row(part, counts, _deltas(keys[kept]), _small(counts[kept]), None)
+        for part, contexts, keys, counts in _merged_triples(itertools.chain(rest, batches), size):
+            yield row(part - before, counts, None, None, save(folder, Triples.arrays(contexts, keys, counts, size)))
 
-    merged = common.materialize(parted.mapInArrow(kinds, "shard bigint, ones bigint, twos bigint, keys binary, counts binary"), "lm-merged")
+    every = common.materialize(blobs.mapInArrow(added, kinds), "lm-merged")
+    built = every.where("file is not null").select("shard", "file", "ones", "twos").collect()
+    model.triples = {r["shard"]: r["file"] for r in built}
+    model.triple_discount = _discount(sum(r["ones"] for r in built), sum(r["twos"] for r in built))
+    merged = every.where("file is null")
     seen = merged.agg(F.sum("ones").alias("a"), F.sum("twos").alias("b")).first()
     discount = _discount(seen["a"] or 0, seen["b"] or 0)
 
@@ -735,8 +785,6 @@ def train_model(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD,
     used = used.repartition(max(1, model.frequent // shard + 1), "part").sortWithinPartitions("part")
     for r in common.materialize(used.mapInArrow(rest_files, "part bigint, file string"), "lm-rests").collect():
         model.rests[r["part"]] = r["file"]
-    if order > 2:
-        _train_triples(model, every.where(F.col("shard") >= model.shards))
     return model
 
 
@@ -744,20 +792,6 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
 
 
-def _train_triples(model: Model, blobs: DataFrame) -> None:
-    folder, size, before = model.folder, model.frequent + 2, model.shards
-
-    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, contexts, keys, counts in _merged_triples(batches, size):
-            row = [part - before, save(folder, Triples.arrays(contexts, keys, counts, size)), int((counts == 1).sum()), int((counts == 2).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "file", "ones", "twos"])
-
-    parted = blobs.repartition(model.triple_shards, "shard").sortWithinPartitions("shard")
-    built = common.materialize(parted.mapInArrow(files, "shard bigint, file string, ones bigint, twos bigint"), "lm-level3").collect()
-    model.triples = {r["shard"]: r["file"] for r in built}
-    model.triple_discount = _discount(sum(r["ones"] for r in built), sum(r["twos"] for r in built))
-
-
 def score_texts(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
     """Adds ``n_tokens, n_known, base_score, score`` to the columns of ``docs`` but ``text``."""
     spark = common.prepare(docs.sparkSession)
@@ -776,18 +810,17 @@ def score_texts(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
             p1 = model.p1(count)
             p = p1.copy()
             at = np.flatnonzero(context >= 0)
+            size = model.frequent + 2
+            ok = (context >= 0) & (number >= 0)
+            every, inverse = np.unique(context[ok] * size + number[ok], return_inverse=True)
             if model.pairs and len(at):
-                size = model.frequent + 2
-                distinct, inverse = np.unique(context[at], return_inverse=True)
-                p[at] *= model.look_rests(distinct)[inverse]
-                both = at[number[at] >= 0]
-                pairs, inverse = np.unique(context[both] * size + number[both], return_inverse=True)
-                p[both] += SHARES[model.look_pairs(pairs // size, pairs % size)][inverse]
+                distinct = np.unique(context[at])
+                p[at] *= model.look_rests(distinct)[np.searchsorted(distinct, context[at])]
+                p[ok] += SHARES[model.look_pairs(every // size, every % size)][inverse]
             if model.triples:
-                size, d = model.frequent + 2, model.triple_discount
-                pair = _before(size, context, lengths)
-                at = np.flatnonzero(pair >= 0)
-                pairs, row = np.unique(pair[at], return_inverse=True)
+                d = model.triple_discount
+                at = _before(context, lengths)
+                pairs, row = _used(every, inverse[np.cumsum(ok)[at - 1] - 1])
                 keys, inverse = np.unique(row * (size + 1) + number[at] + 1, return_inverse=True)
                 distinct, total, c = model.look_triples(pairs, keys // (size + 1), keys % (size + 1) - 1)
                 c, distinct, total = c[inverse], distinct[row], total[row]
