@@ -234,7 +234,7 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
 
     system, path = open_folder(folder)
     if isinstance(system, fs.LocalFileSystem):
-        data = np.memmap(f"{path}/{name}", dtype=np.uint8, mode="r")
+        data = np.memmap(f"{path}/{name}", dtype=np.uint8, mode="r").view(np.ndarray)
     else:
         with system.open_input_file(f"{path}/{name}") as f:
             data = np.frombuffer(f.read(), np.uint8)
@@ -425,7 +425,7 @@ class Model:
         place = np.repeat(np.arange(len(contexts)), ways)
         way = np.arange(len(place)) - np.repeat(np.cumsum(ways) - ways, ways)
         # two ways of a context may lie in one shard, which is asked once
-        asked = np.unique(self.triple_shard(contexts[place], way) * max(1, len(contexts)) + place)
+        asked = _distinct(self.triple_shard(contexts[place], way) * max(1, len(contexts)) + place)
         shard, place = np.divmod(asked, max(1, len(contexts)))
         words = np.flatnonzero(w >= 0)
         own = self.triple_shard(contexts[row[words]], self.way_of(contexts[row[words]], w[words]))
@@ -453,6 +453,12 @@ class Model:
         return out
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting is several times faster than the hash table of ``np.unique``."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def _spans(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
     if not len(sorted_values):
         return []
@@ -814,7 +820,7 @@ def score_texts(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
             ok = (context >= 0) & (number >= 0)
             every, inverse = np.unique(context[ok] * size + number[ok], return_inverse=True)
             if model.pairs and len(at):
-                distinct = np.unique(context[at])
+                distinct = _distinct(context[at])
                 p[at] *= model.look_rests(distinct)[np.searchsorted(distinct, context[at])]
                 p[ok] += SHARES[model.look_pairs(every // size, every % size)][inverse]
             if model.triples:

@@ -40,3 +40,8 @@ def test_ngrams_lie_in_one_shuffle(spark, monkeypatch):
     model = eftrie.train_model(docs, min_count=1, least=1, order=3)
     assert model.pairs and model.triples
     assert not [n for n, columns in names if "contexts" in columns]  # the tasks' packed n-grams are no table
+
+
+def test_distinct_values_in_order():
+    for values in ([], [3], [5, 1, 5, 1, 2, 2]):
+        assert eftrie._distinct(np.array(values, np.int64)).tolist() == sorted(set(values))
