@@ -48,6 +48,8 @@ BLOCK = 256
 FAMILY = 2_000_000
 #: Shingles that count as frequent, at most; they only spare work.
 HEAVY = 1 << 16
+#: Signatures that a task packs at a time, and those of a bucket in which they are counted, about.
+PACKED = 1 << 20
 #: Ratio of the largest to the smallest size of a size class.
 CLASS_RATIO = 1.5
 
@@ -317,7 +319,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, n:
     return read.mapInArrow(run, "class bigint, signatures binary")
 
 
-def _exploded(signed: DataFrame, shared=None) -> DataFrame:
+def _exploded(signed: DataFrame, shared) -> DataFrame:
     """``token, class`` for each signature; ``shared``: a Bloom filter of those wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +327,52 @@ def _exploded(signed: DataFrame, shared=None) -> DataFrame:
             lists = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
             tokens = np.concatenate(lists) if lists else np.empty(0, np.int64)
             owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
-            if shared is not None:
-                keep = shared.value.test(tokens)
-                tokens, owner = tokens[keep], owner[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["token", "class"])
+            keep = shared.value.test(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(owner[keep])], names=["token", "class"])
 
     return signed.select("class", "signatures").mapInArrow(run, "token bigint, class bigint")
 
 
+def _often(signed: DataFrame, packed: int = PACKED) -> DataFrame:
+    """``token`` of the signatures that occur twice or more. Tasks send them as sorted arrays to buckets of bounded size,
+    since most occur once: an aggregate of the rows fills the executors with a hash table that saves next to nothing."""
+    total = signed.agg(F.sum(F.length("signatures"))).first()[0] or 0
+    buckets = max(1, -(-total // (8 * packed)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            # of 62 bits, dealt evenly: a bucket is a range
+            numbers, start = np.unique((tokens >> 30) * buckets >> 32, return_index=True)
+            parts = [(tokens[a:b], counts[a:b] > 1) for a, b in zip(start, [*start[1:], len(tokens)], strict=True)]
+            columns = [pa.array(numbers), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in zip(*parts, strict=True))]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "tokens", "often"])
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                held.append(np.frombuffer(x, np.int64))
+                size += len(held[-1])
+                if size >= packed:
+                    yield rows()
+                    held, size = [], 0
+        if size:
+            yield rows()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, 1):
+            tokens = np.concatenate([np.frombuffer(r[1], np.int64) for r in group])
+            often = np.concatenate([np.frombuffer(r[2], bool) for r in group])
+            order = np.argsort(tokens, kind="stable")  # merges the sorted arrays
+            tokens, often = tokens[order], often[order]
+            often[1:] |= tokens[1:] == tokens[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(tokens[often]))], names=["token"])
+
+    parts = signed.select("signatures").mapInArrow(pack, "bucket bigint, tokens binary, often binary")
+    return parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "token bigint")
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """``class, text`` of the wanted classes (and, before the exact join, of few others); the
     text is compressed, since it is shuffled."""
@@ -439,8 +479,7 @@ def link(
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, n))
     signed = _signed(docs, id_col, text_col, classes, n, num, den, heavy)
     signed = common.materialize(signed, "ngram-signatures")
-    often = _exploded(signed).groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
-    often = common.materialize(often, "ngram-often")
+    often = common.materialize(_often(signed), "ngram-often")
     shared = _exploded(signed, common.bloom(often, "token", often.count())).join(often, "token")
     # the Bloom filters let other rows pass; only texts that stand for a class are joined, once a signature
     shared = shared.join(classes.select("class").distinct(), "class", "left_semi").distinct()
