@@ -56,14 +56,30 @@ _STEP = 0.05  # of the quantised log10 shares
 _M63 = np.uint64((1 << 63) - 1)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def tokens_of(text: str | None) -> np.ndarray:
-    """Hashes of the words, then the end."""
-    out = common.hash_words(words_of(text)) >> np.uint64(1)
-    return np.append(out, np.uint64(END)).astype(np.int64)
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, n = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    real = pc.binary_length(words).to_numpy() > 0  # there are empty ones before and after a text's outer white space
+    if not real.all():
+        before, end = np.concatenate(([0], np.cumsum(real))), np.cumsum(n)
+        words, n = words.filter(pa.array(real)), before[end] - before[end - n]
+    return words, n
+
+
+def tokens_of(words: list[pa.Array], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of texts (hashes of their words, and the end) in order, and each token's place among them.
+    A distinct word is hashed once. ``lengths``: tokens of each text, the end with them."""
+    coded = pa.concat_arrays([w.cast(pa.large_binary()) for w in words]).dictionary_encode()
+    own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+    hashes = np.append(common.hash_words(own) >> np.uint64(1), np.uint64(END)).astype(np.int64)
+    distinct, place = np.unique(hashes, return_inverse=True)
+    tokens, is_word = np.full(int(lengths.sum()), place[-1]), np.ones(int(lengths.sum()), dtype=bool)
+    is_word[np.cumsum(lengths) - 1] = False
+    tokens[is_word] = place[coded.indices.to_numpy()]
+    return distinct, tokens
 
 
 # --- Elias-Fano ---------------------------------------------------------------------
@@ -137,18 +153,17 @@ class EliasFano:
             return out
         h, low = high[known], values[known] & ((1 << self.low_bits) - 1)
         place = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) + 1, 0)
-        begin, last = place - h, np.minimum(self._zero_from(place, h) - h, self.n)
-        end = last.copy()
-        while True:  # binary search of the low bits among those of one high part
-            open_ = np.flatnonzero(begin < end)
-            if not len(open_):
-                break
-            middle = (begin[open_] + end[open_]) >> 1
-            less = self.low(middle) < low[open_]
-            begin[open_] = np.where(less, middle + 1, begin[open_])
-            end[open_] = np.where(less, end[open_], middle)
-        ok = np.flatnonzero(begin < last)
-        ok = ok[self.low(begin[ok]) == low[ok]]
+        begin, end = place - h, np.minimum(self._zero_from(place, h) - h, self.n)
+        some = np.flatnonzero(begin < end)
+        known, low, begin, end = known[some], low[some], begin[some], end[some]
+        open_ = np.flatnonzero(end - begin > 1)
+        while len(open_):  # binary search of the low bits among those of one high part, for the last that is not greater
+            a, b = begin[open_], end[open_]
+            middle = (a + b) >> 1
+            greater = self.low(middle) > low[open_]
+            begin[open_], end[open_] = a, b = np.where(greater, a, middle), np.where(greater, middle, b)
+            open_ = open_[b - a > 1]
+        ok = np.flatnonzero(self.low(begin) == low)
         out[known[ok]] = begin[ok]
         return out
 
@@ -200,6 +215,10 @@ def unpack_bits(words: np.ndarray, i: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros(len(i), dtype=np.int64)
     at = i * width
+    if width <= 57:  # they lie within the eight bytes from that of their first bit on
+        data = np.asarray(words).view(np.uint8)
+        eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+        return ((eight[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
     word, shift = at >> 6, (at & 63).astype(np.uint64)
     first, second = np.asarray(words[word]) >> shift, np.asarray(words[word + 1])
     second = np.where(shift > 0, second << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
@@ -381,20 +400,24 @@ class Model:
                 number[a:b] = np.where(places >= 0, places + first, -1)
         return count, number
 
+    def _hot_rows(self, u: np.ndarray, size: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of sorted ``u`` whose word (the number, or of a pair ``size`` times it and the next) is hot, and into how many it is dealt."""
+        hot = np.fromiter(sorted(self.hot), np.int64, len(self.hot))
+        first = np.searchsorted(u, hot * size)
+        n = np.searchsorted(u, (hot + 1) * size) - first
+        return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n), np.repeat(np.asarray([self.hot[x] for x in hot.tolist()], np.int64), n)
+
     def shard_of(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The second level's shard of each pair."""
+        """The second level's shard of each pair (``u`` sorted)."""
         key = u.astype(np.uint64)
         if self.hot:
-            hot = np.fromiter(sorted(self.hot), np.int64, len(self.hot))
-            ways = np.asarray([self.hot[int(x)] for x in hot], dtype=np.uint64)
-            at = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
-            again = (common.mix(v.astype(np.uint64) + np.uint64(77)) % ways[at] + np.uint64(1)) << np.uint64(44)
-            key = key + np.where(hot[at] == u, again, np.uint64(0))
-        return (common.mix(key + np.uint64(12345)) % np.uint64(self.shards)).astype(np.int64)
+            rows, ways = self._hot_rows(u)
+            key[rows] += (_rest(common.mix(v[rows].astype(np.uint64) + np.uint64(77)), ways.astype(np.uint64)) + np.uint64(1)) << np.uint64(44)
+        return _rest(common.mix(key + np.uint64(12345)), np.uint64(self.shards)).astype(np.int64)
 
     def look_pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         shard = self.shard_of(u, v)
-        out, order = np.zeros(len(u), np.uint8), np.argsort(shard, kind="stable")
+        out, order = np.zeros(len(u), np.uint8), _order(shard, self.shards)
         for s, a, b in _spans(shard[order]):
             if s in self.pairs:
                 rows = order[a:b]
@@ -402,36 +425,44 @@ class Model:
         return out
 
     def ways(self, contexts: np.ndarray) -> np.ndarray:
-        """Into how many the successors of pairs are dealt: a pair is no more frequent than its rarer word."""
-        if not self.hot:
-            return np.ones(len(contexts), np.int64)
-        hot = np.fromiter(sorted(self.hot), np.int64, len(self.hot))
-        ways = np.asarray([self.hot[int(x)] for x in hot], dtype=np.int64)
-        u, v = np.divmod(contexts, self.frequent + 2)
-        of = lambda x: np.where(hot[at := np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x, ways[at], 1)
-        return np.minimum(of(u), of(v))
+        """Into how many the successors of pairs (sorted) are dealt: a pair is no more frequent than its rarer word."""
+        out = np.ones(len(contexts), np.int64)
+        if self.hot:
+            size = self.frequent + 2
+            rows, ways = self._hot_rows(contexts, size)
+            v = contexts[rows] - contexts[rows] // size * size
+            order = np.argsort(v)
+            also, again = self._hot_rows(v[order])
+            out[rows[order[also]]] = np.minimum(ways[order[also]], again)
+        return out
 
     def triple_shard(self, contexts: np.ndarray, way: np.ndarray) -> np.ndarray:
         key = common.mix(contexts.astype(np.uint64) + np.uint64(54321)) + way.astype(np.uint64)
-        return (common.mix(key) % np.uint64(self.triple_shards)).astype(np.int64)
+        return _rest(common.mix(key), np.uint64(self.triple_shards)).astype(np.int64)
 
-    def way_of(self, contexts: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return (common.mix(w.astype(np.uint64) + np.uint64(77)) % self.ways(contexts).astype(np.uint64)).astype(np.int64)
+    @staticmethod
+    def way_of(ways: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The way of successors ``w`` of pairs that are dealt into so many."""
+        out, many = np.zeros(len(w), np.int64), np.flatnonzero(ways > 1)
+        out[many] = common.mix(w[many].astype(np.uint64) + np.uint64(77)) % ways[many].astype(np.uint64)
+        return out
 
     def look_triples(self, contexts: np.ndarray, row: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct successors and occurrences of sorted distinct pairs, and the counts of the
         successors ``w`` (-1: no word) of ``contexts[row]``."""
         ways = self.ways(contexts)
-        place = np.repeat(np.arange(len(contexts)), ways)
-        way = np.arange(len(place)) - np.repeat(np.cumsum(ways) - ways, ways)
-        # two ways of a context may lie in one shard, which is asked once
-        asked = _distinct(self.triple_shard(contexts[place], way) * max(1, len(contexts)) + place)
-        shard, place = np.divmod(asked, max(1, len(contexts)))
+        place, start = np.repeat(np.arange(len(contexts)), ways), np.cumsum(ways) - ways
+        shard = self.triple_shard(contexts[place], np.arange(len(place)) - np.repeat(start, ways))
         words = np.flatnonzero(w >= 0)
-        own = self.triple_shard(contexts[row[words]], self.way_of(contexts[row[words]], w[words]))
-        order = np.argsort(own, kind="stable")
+        own = shard[start[row[words]] + self.way_of(ways[row[words]], w[words])]
+        order = _order(own, self.triple_shards)
         spans = {s: words[order[a:b]] for s, a, b in _spans(own[order])}
+        # two ways of a context may lie in one shard, which is asked once
+        asked = _distinct(shard * max(1, len(contexts)) + place)
+        shard = asked // max(1, len(contexts))
+        place = asked - shard * max(1, len(contexts))
         distinct, total, count = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64), np.zeros(len(row), np.int64)
+        found_at = np.empty(len(contexts), np.int64)  # in the shard that is open
         for s, a, b in _spans(shard):
             if s not in self.triples:
                 continue
@@ -440,8 +471,8 @@ class Model:
             distinct[at] += n
             total[at] += occurrences
             if s in spans:
-                rows = spans[s]
-                count[rows] = level.look(found[np.searchsorted(at, row[rows])], w[rows])
+                rows, found_at[at] = spans[s], found
+                count[rows] = level.look(found_at[row[rows]], w[rows])
         return distinct, total, count
 
     def look_rests(self, u: np.ndarray) -> np.ndarray:
@@ -459,43 +490,65 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
 
 
+def _rest(values: np.ndarray, n) -> np.ndarray:
+    """``values % n``; numpy divides by one number several times faster than it takes rests."""
+    return values - values // n * n
+
+
+def _order(values: np.ndarray, bound: int) -> np.ndarray:
+    """The stable order of values from 0 to below ``bound``; numpy sorts short integers by their digits."""
+    return np.argsort(values.astype(np.uint16) if bound <= 1 << 16 else values, kind="stable")
+
+
 def _spans(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
     if not len(sorted_values):
         return []
-    values, start = np.unique(sorted_values, return_index=True)
-    return list(zip(values.tolist(), start.tolist(), [*start[1:].tolist(), len(sorted_values)], strict=True))
+    start = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
+    return list(zip(sorted_values[start].tolist(), start.tolist(), [*start[1:].tolist(), len(sorted_values)], strict=True))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], text_at: int, take: Callable[[list, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], group: int) -> Iterator[pa.RecordBatch]:
-    """Rows in groups of about ``group`` tokens: their other columns, the tokens and each row's number of tokens."""
-    rows: list[tuple] = []
-    held: list[np.ndarray] = []
+def _grouped(batches: Iterator[pa.RecordBatch], text_at: int, take: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], group: int) -> Iterator[pa.RecordBatch]:
+    """Rows in groups of about ``group`` tokens: their other columns, the distinct tokens, each token's place among these,
+    and each row's number of tokens."""
+    rows: list[pa.RecordBatch] = []
+    held: list[pa.Array] = []
+    lengths: list[np.ndarray] = []
     size = 0
+
+    def taken() -> Iterator[pa.RecordBatch]:
+        n = np.concatenate(lengths)
+        distinct, tokens = tokens_of(held, n)
+        held.clear()
+        yield from take(pa.Table.from_batches(rows), distinct, tokens, n)
+
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            tokens = tokens_of(row[text_at])
-            rows.append(row[:text_at] + row[text_at + 1 :])
-            held.append(tokens)
-            size += len(tokens)
+        words, n = words_of(batch.column(text_at))
+        others, ends, first = batch.select([i for i in range(batch.num_columns) if i != text_at]), np.cumsum(n), 0
+        tokens = ends + np.arange(1, len(n) + 1)
+        while first < len(n):
+            before = (int(ends[first - 1]), int(tokens[first - 1])) if first else (0, 0)
+            last = min(len(n), int(np.searchsorted(tokens, group - size + before[1])) + 1)  # its last row reaches the group's size
+            rows.append(others.slice(first, last - first))
+            held.append(words.slice(before[0], int(ends[last - 1]) - before[0]))
+            lengths.append(n[first:last] + 1)
+            size += int(tokens[last - 1]) - before[1]
+            first = last
             if size >= group:
-                yield from take(rows, np.concatenate(held), np.asarray([len(x) for x in held]))
-                rows, held, size = [], [], 0
+                yield from taken()
+                rows, held, lengths, size = [], [], [], 0
     if rows:
-        yield from take(rows, np.concatenate(held), np.asarray([len(x) for x in held]))
+        yield from taken()
 
 
-def _contexts(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each token: count, number, and its context's number (the begin's is ``model.frequent``)."""
-    distinct, inverse = np.unique(tokens, return_inverse=True)
-    count, number = model.look_words(distinct)
-    if len(distinct) and distinct[-1] == END:
-        number[-1] = model.frequent + 1  # the end succeeds, but is no context
-    count, number = count[inverse], number[inverse]
+def _contexts(model: Model, distinct: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each distinct token: count and number; of each token: its number, and its context's (the begin's is ``model.frequent``)."""
+    count, numbers = model.look_words(distinct)
+    numbers[-1] = model.frequent + 1  # the end succeeds, but is no context
+    number = numbers[tokens]
     context = np.empty_like(number)
     context[1:] = number[:-1]
     context[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = model.frequent
-    return count, number, context
+    return count, numbers, number, context
 
 
 def _before(context: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -516,9 +569,8 @@ def _count_words(train: DataFrame, group: int) -> DataFrame:
     """``h, c`` of all training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def take(rows: list, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
-            h, c = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], names=["h", "c"])
+        def take(rows: pa.Table, distinct: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(tokens, minlength=len(distinct)).astype(np.int64))], names=["h", "c"])
 
         yield from _grouped(batches, 0, take, group)
 
@@ -564,22 +616,23 @@ def _gram_blobs(train: DataFrame, held, group: int) -> DataFrame:
         model = held.value
         size = model.frequent + 2
 
-        def take(rows: list, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
-            _, number, context = _contexts(model, tokens, lengths)
+        def take(rows: pa.Table, distinct: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+            _, _, number, context = _contexts(model, distinct, tokens, lengths)
             ok = (number >= 0) & (context >= 0)
             keys, inverse, counts = np.unique(context[ok] * size + number[ok], return_inverse=True, return_counts=True)
             every = keys
-            shard = model.shard_of(keys // size, keys % size)
-            order = np.argsort(shard, kind="stable")
+            shard = model.shard_of(u := keys // size, keys - u * size)
+            order = _order(shard, model.shards)
             out = [(s, None, _deltas(keys[at := order[a:b]]), _small(counts[at])) for s, a, b in _spans(shard[order])]
             if model.order > 2:
                 at = _before(context, lengths)
                 at = at[number[at] >= 0]
                 pairs, row = _used(every, inverse[np.cumsum(ok)[at - 1] - 1])
                 keys, counts = np.unique(row * size + number[at], return_counts=True)
-                row, w = np.divmod(keys, size)
-                shard = model.triple_shard(pairs[row], model.way_of(pairs[row], w))
-                order = np.argsort(shard, kind="stable")
+                row = keys // size
+                w = keys - row * size
+                shard = model.triple_shard(pairs[row], model.way_of(model.ways(pairs)[row], w))
+                order = _order(shard, model.triple_shards)
                 for s, a, b in _spans(shard[order]):
                     at = order[a:b]
                     first = np.diff(row[at], prepend=-1) > 0
@@ -628,7 +681,7 @@ def _merged_triples(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tu
         parts = [x for x in (sums, *waiting) if len(x[0])]
         if not parts:
             return none
-        contexts = np.unique(np.concatenate([x[0] for x in parts]))
+        contexts = _distinct(np.concatenate([x[0] for x in parts]))
         moved = []
         for c, k, _ in parts:
             k = k.copy()
@@ -811,31 +864,36 @@ def score_texts(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
 
-        def take(rows: list, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
-            count, number, context = _contexts(model, tokens, lengths)
+        def take(rows: pa.Table, distinct: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+            count, numbers, number, context = _contexts(model, distinct, tokens, lengths)
             p1 = model.p1(count)
-            p = p1.copy()
-            at = np.flatnonzero(context >= 0)
+            p = p1[tokens]
             size = model.frequent + 2
+            start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             ok = (context >= 0) & (number >= 0)
             every, inverse = np.unique(context[ok] * size + number[ok], return_inverse=True)
-            if model.pairs and len(at):
-                distinct = _distinct(context[at])
-                p[at] *= model.look_rests(distinct)[np.searchsorted(distinct, context[at])]
-                p[ok] += SHARES[model.look_pairs(every // size, every % size)][inverse]
+            if model.pairs:
+                # of the distinct tokens, whose numbers are in order; the end's place stands for the begin
+                numbers[-1] = model.frequent
+                rests, own = np.ones(len(numbers)), np.flatnonzero(numbers >= 0)
+                rests[own] = model.look_rests(numbers[own])
+                before = np.append(tokens[-1:], tokens[:-1])  # a text's first token follows the end of another, as its begin
+                p *= rests[before]
+                u = every // size
+                p[ok] += SHARES[model.look_pairs(u, every - u * size)][inverse]
             if model.triples:
                 d = model.triple_discount
                 at = _before(context, lengths)
                 pairs, row = _used(every, inverse[np.cumsum(ok)[at - 1] - 1])
                 keys, inverse = np.unique(row * (size + 1) + number[at] + 1, return_inverse=True)
-                distinct, total, c = model.look_triples(pairs, keys // (size + 1), keys % (size + 1) - 1)
-                c, distinct, total = c[inverse], distinct[row], total[row]
-                p[at] = np.where(total > 0, (np.maximum(c - d, 0) + d * distinct * p[at]) / np.maximum(total, 1), p[at])
-            start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            columns = [*zip(*rows, strict=True)] if kept else []
-            known = np.add.reduceat((count > 0).astype(np.int64), start)
-            base, score = (np.add.reduceat(np.log10(np.maximum(x, 1e-300)), start) for x in (p1, p))
-            arrays = [pa.array(list(c), t) for c, t in zip([*columns, lengths.tolist(), known.tolist(), base.tolist(), score.tolist()], out.types, strict=True)]
+                place = keys // (size + 1)
+                successors, total, c = model.look_triples(pairs, place, keys - place * (size + 1) - 1)
+                c, successors, total = c[inverse], successors[row], total[row]
+                p[at] = np.where(total > 0, (np.maximum(c - d, 0) + d * successors * p[at]) / np.maximum(total, 1), p[at])
+            known = np.add.reduceat((count > 0).astype(np.int64)[tokens], start)
+            base, score = (np.add.reduceat(x, start) for x in (np.log10(np.maximum(p1, 1e-300))[tokens], np.log10(np.maximum(p, 1e-300))))
+            columns = [c.combine_chunks().cast(t) for c, t in zip(rows.columns, out.types)]  # noqa: B905
+            arrays = [*columns, *(pa.array(x, t) for x, t in zip((lengths, known, base, score), out.types[len(kept) :], strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
         yield from _grouped(batches, len(kept), take, group)
